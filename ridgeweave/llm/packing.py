@@ -12,8 +12,10 @@ as they occur; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,46 +30,92 @@ OPEN_BINS = 512
 #: Pieces that a packing task takes; a sequence left open at a task's end is lost space, so tasks must not be small.
 TASK_PIECES = 16_384
 #: Distinct chunks of which a worker remembers the ids.
-CACHE = 400_000
+CACHE = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the code points from 256 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
 class ChunkEncoder:
     """Ids of whole texts, remembered by blank-separated chunk.
 
     The tokenizer normalises and splits without looking across a blank or a
     line feed, so the ids of a text are those of its chunks in order. A-Z are
-    lowered beforehand as the tokenizer lowers them anyway. A text that has
-    the opening of a special token is encoded whole.
+    lowered beforehand as the tokenizer lowers them anyway. Punctuation behind
+    a letter or digit is a piece of its own, so it is encoded apart, and a
+    chunk of Latin letters is one piece, which the model alone can encode. A
+    text that has the opening of a special token is encoded whole.
     """
 
+    TAIL = b".,;:!?#$%&*|)"
+
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = end_id.to_bytes(4, "little")
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in found]
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            return self._packed([t.id for t in self.model.tokenize(chunk.decode())])
+        text = chunk.decode()
+        if text.isalpha() and max(text) < "\u0250":
+            low = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            if low.isalpha():
+                return self._packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode())))])
+        return self._whole(text)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        core = chunk.rstrip(self.TAIL)
+        if len(core) == len(chunk) or not core or not (core[-1:].isalnum() or core.decode()[-1] < "\u0250" and core.decode()[-1].isalpha()):
+            return self._piece(chunk)
+        known, tail = self.known, chunk[len(core) :]
+        for part in (core, tail):
+            if part not in known:
+                known[part] = self._piece(part)
+        return known[core] + known[tail]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        known = self.known
         for text in texts:
             text = text or ""
             if "<|" in text:
-                yield self._ids([text])[0] + self.end
+                yield self._whole(text) + self.end
                 continue
             chunks = text.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ")
-            known = self.known
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(chunks))
-                known.update(zip(new, self._ids([c.decode() for c in new]), strict=True))
-            yield b"".join([known[c] for c in chunks]) + self.end
+            if len(known) > CACHE:
+                known.clear()
+            try:
+                yield b"".join([known[c] for c in chunks]) + self.end
+            except KeyError:
+                for c in chunks:
+                    if c not in known:
+                        known[c] = self._chunk(c)
+                yield b"".join([known[c] for c in chunks]) + self.end
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One for each worker process, so later tasks find what earlier ones remembered."""
+    return ChunkEncoder(path, end_id)
 
 
 def cut(ids: bytes, size: int) -> Iterator[tuple[int, int, int, int]]:
@@ -123,10 +171,10 @@ def tokenise(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = 1)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, end_id)
+        encode = encoder(path, end_id).encode
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 rows += [(doc_id, *x) for x in cut(ids, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import packing
+from ridgeweave.llm import decontam, licenses, packing, pii, quality
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered personal data of every document."""
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    out = quality.report(read_table(spark, sf_dir, "documents"))
+    return out.drop("votes", "posterior")
+
+
+@query
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document states."""
+    return licenses.report(read_table(spark, sf_dir, "documents"))
