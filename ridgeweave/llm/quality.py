@@ -76,8 +76,8 @@ RULES = (
     Rule("symbols", "q_n_symbols <= 0.02 * q_n_words", "q_n_symbols > 0.3 * q_n_words"),
     Rule("shouting", "q_n_upper <= 0.15 * q_word_chars", "q_n_upper > 0.5 * q_word_chars"),
     Rule("exclamation", "q_n_loud <= 0.02 * q_n_words", "q_n_loud > 0.3 * q_n_words"),
-    Rule("line_repeats", "q_n_dup_lines = 0 and q_n_lines >= 2", "q_n_dup_lines > 0.3 * q_n_lines"),
-    Rule("window_repeats", "q_n_repeat_words <= 0.05 * q_n_words", "q_n_repeat_words > 0.2 * q_n_words"),
+    Rule("line_repeats", "q_n_dup_lines = 0 and q_n_lines >= 2", "q_n_lines >= 4 and q_n_dup_lines > 0.6 * q_n_lines"),
+    Rule("window_repeats", "q_n_repeat_words <= 0.05 * q_n_words", "q_n_repeat_words > 0.3 * q_n_words"),
     Rule("vocabulary", "q_distinct_words >= 0.3 * q_n_words", "q_distinct_words < 0.1 * q_n_words"),
 )
 
@@ -112,7 +112,7 @@ def fit(counts: dict[str, int], rules: int, rounds: int = 50, floor: float = 0.0
     fault only. A vote may never speak against its own meaning, so the two
     classes can't change places. Without any votes the start decides.
     """
-    good, bad = {"+": 0.99, "-": 0.01}, {"+": 0.6, "-": 0.4}
+    good, bad = {"+": 0.998, "-": 0.002}, {"+": 0.8, "-": 0.2}
     model = Fit(start, (good,) * rules, (bad,) * rules)
     total = sum(counts.values())
     if not total:
@@ -140,15 +140,16 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
     """``docs`` with its measures and votes, ``__quality_posterior``, ``__quality_base_failed`` and ``__quality_kept``.
 
     The measured rows are written once to the shared folder; the fit and the
-    answer both read them from there.
+    answer both read them from there. What the base rule rejects takes no part
+    in the fit, as repetition would else be all that bad texts share.
     """
     spark = docs.sparkSession
     measured = Scratch(spark, "quality").keep(features(docs).withColumn(P + "votes", votes(rules)), "measured")
-    counts = {r[0]: r[1] for r in measured.groupBy(P + "votes").count().collect()}
-    model = fit(counts, len(rules))
-    table = spark.createDataFrame([(p, model.posterior(p)) for p in counts], f"{P}votes string, {P}posterior double")
     n, repeats = F.col(P + "n_words"), F.col(P + "n_repeat_words")
     failed = (n < 20) | (100 * repeats > 30 * n)
+    counts = {(r[0], r[1]): r[2] for r in measured.groupBy(P + "votes", failed.alias("failed")).count().collect()}
+    model = fit({p: n for (p, gone), n in counts.items() if not gone}, len(rules))
+    table = spark.createDataFrame([(p, model.posterior(p)) for p in {p for p, _ in counts}], f"{P}votes string, {P}posterior double")
     return (
         measured.join(F.broadcast(table), P + "votes", "left")
         .withColumn(P + "base_failed", failed)

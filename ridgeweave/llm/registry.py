@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, licenses, packing, pii, quality
+from ridgeweave.llm import decontam, licenses, packing, pii, quality, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,17 @@ def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document states."""
     return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc_salvage"] = """
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN strlen(body) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(body) >= 100 AND page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
