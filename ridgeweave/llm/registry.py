@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, licenses, packing, pii, quality, warc
+from ridgeweave.llm import decontam, html_text, licenses, packing, pii, quality, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS p
        CASE WHEN strlen(body) >= 100 AND page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 """
+
+
+@query
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
