@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, html_text, licenses, packing, pii, quality, warc
+from ridgeweave.llm import decontam, html_text, licenses, near_dup, packing, pii, quality, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION B
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates, on shingles of two words."""
+    return near_dup.link(read_table(spark, sf_dir, "documents"), near_dup.Forest(words=2))
