@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, html_text, licenses, near_dup, packing, pii, quality, warc
+from ridgeweave.llm import decontam, html_text, licenses, near_dup, packing, pii, quality, suffix_dedup, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates, on shingles of two words."""
     return near_dup.link(read_table(spark, sf_dir, "documents"), near_dup.Forest(words=2))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that a smaller doc_id has."""
+    return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
