@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, html_text, licenses, near_dup, packing, pii, quality, suffix_dedup, warc
+from ridgeweave.llm import decontam, html_text, licenses, maxent, near_dup, packing, pii, quality, suffix_dedup, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings that a smaller doc_id has."""
     return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by unigrams and by the model."""
+    return maxent.score(read_table(spark, sf_dir, "documents"))
