@@ -1 +1 @@
-
+"""Readers and download control."""

@@ -1 +1 @@
-
+"""Empty on purpose: route analytics has no stream, window or watermark to keep."""
