@@ -2,15 +2,15 @@
 
 Documents with the same shingle set form a class, which its smallest doc_id
 represents. Every tree of the forest orders the classes by its own sequence of
-signature places. A region is what shares a tree's first ``DEPTHS[0]`` places.
-Small regions give all their pairs. Large ones are entered deeper, up to
-``DEPTHS[-1]`` places; on each depth every member is paired with the region's
-smallest member, and at the bottom with its neighbours in the sorted order, so
-candidates grow with the members and not with their square. Candidates that
-the signatures make all but impossible go (six standard errors), the others
-are confirmed on full sets. At last, wherever a large region still holds
-members of different components, the pairs between these are confirmed too,
-so taking only neighbours at first loses no link.
+signature places. A region is what shares a tree's first ``DEPTHS[0]`` places;
+every member is paired with the region's smallest member. Large regions are
+entered deeper, up to ``DEPTHS[-1]`` places, with the same pairs on each depth
+and at the bottom those of neighbours in the sorted order, so candidates grow
+with the members and not with their square. Candidates that the signatures
+make all but impossible go (six standard errors), the others are confirmed on
+full sets. At last, wherever a region still holds members of different
+components, the pairs between these are confirmed too, so taking only
+neighbours at first loses no link.
 
 Sets hold 64-bit hashes of shingles. Defined results: a null, empty or
 wordless text has no shingles and is linked with nothing; a text of fewer
@@ -29,22 +29,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeweave.llm.components import components
 from ridgeweave.scratch import Scratch
 
-DEPTHS = (4, 8, 16)
+DEPTHS = (6, 9, 16)
 
 
 @dataclass(frozen=True)
 class Forest:
-    """``words`` in a shingle, least similarity in ``percent``, signature ``places``, ``trees``, and the size of a ``small`` region."""
+    """``words`` in a shingle, least similarity in ``percent``, signature ``places``, ``trees``, and the size up to which a region is ``small``."""
 
     words: int = 5
     percent: int = 80
-    places: int = 96
-    trees: int = 32
+    places: int = 128
+    trees: int = 48
     small: int = 24
 
     def orders(self) -> list[list[int]]:
@@ -126,39 +127,28 @@ def regions(members: DataFrame, key: str) -> DataFrame:
     return members.drop("size", "leader").join(known, key)
 
 
-def pairs_within(members: DataFrame, key: str) -> DataFrame:
-    """All pairs of members that share a region."""
-    left, right = members.select(F.col(key).alias("k"), F.col("id").alias("a")), members.select(F.col(key).alias("k"), F.col("id").alias("b"))
-    return left.join(right, "k").filter("a < b").select("a", "b")
+def to_leader(members: DataFrame) -> DataFrame:
+    """Each member with the smallest one of its region."""
+    return members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
 
 def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), and the members (region, id) of large regions."""
+    """Pairs (a, b), and the members (region, id) of regions that may hold further pairs."""
     trees = F.posexplode(F.array(*keys(how, DEPTHS[0])))
-    members = regions(classes.select("id", trees.alias("tree", "k0")), "k0")
-    members = scratch.keep(members, "members")
-    out = [pairs_within(members.filter(F.col("size") <= how.small), "k0")]
-    large = scratch.keep(members.filter(F.col("size") > how.small), "large")
-    inside = large
+    members = scratch.keep(regions(classes.select("id", trees.alias("tree", "k0")), "k0"), "members")
+    pairs = to_leader(members)
+    inside = members.filter(F.col("size") > how.small)
     for level, depth in enumerate(DEPTHS[1:], 1):
-        out.append(inside.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
         deeper = classes.select("id", F.array(*keys(how, depth)).alias("deeper"))
         named = inside.select("id", "tree").join(deeper, "id").select("id", "tree", F.get("deeper", F.col("tree")).alias(f"k{level}"))
         named = scratch.keep(regions(named, f"k{level}"), f"level{level}")
-        out.append(pairs_within(named.filter(F.col("size") <= how.small), f"k{level}"))
+        pairs = pairs.union(to_leader(named))
         inside = named.filter(F.col("size") > how.small)
-    last = f"k{len(DEPTHS) - 1}"
-    out.append(inside.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    from pyspark.sql import Window as W
-
     rest = inside.join(classes.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 4096)))
-    order = W.partitionBy(last, "part").orderBy("sig", "id")
+    order = W.partitionBy(f"k{len(DEPTHS) - 1}", "part").orderBy("sig", "id")
     near = rest.select("id", F.lead("id").over(order).alias("next")).filter("next is not null")
-    out.append(near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.union(more)
-    return pairs.filter("a <> b").distinct(), large.select(F.col("k0").alias("region"), "id")
+    pairs = pairs.union(near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))
+    return pairs.filter("a <> b").distinct(), members.filter("size > 2").select(F.col("k0").alias("region"), "id")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
@@ -183,7 +173,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, how: Forest, scratch: Scratch)
 
 
 def between_components(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one large region that lie in different components.
+    """Pairs of members of one region that lie in different components.
 
     Members of the region's largest component need no pairs among themselves,
     so they stand on one side of the join only.
