@@ -88,7 +88,7 @@ def concatenated(lines: Column, tolerance: float = 2.0) -> Column:
         first, last = F.get(line, F.lit(0)), F.get(a["coords"], F.size(a["coords"]) - 1)
         n = F.size(a["coords"])
         gap = distance(last, first)
-        text = F.format_string("gap %s m before segment %d", F.format_number(gap, "0.00"), n)
+        text = F.format_string("gap %s m before segment %d", F.call_function("format_number", gap, F.lit("0.00")), n)
         rest = F.when(last == first, F.slice(line, F.lit(2), F.size(line))).otherwise(line)
         return F.struct(F.concat(a["coords"], rest).alias("coords"), F.when(gap > tolerance, F.array_append(a["warnings"], text)).otherwise(a["warnings"]).alias("warnings"))
 

@@ -84,5 +84,5 @@ def display_names(routes: DataFrame, samples: DataFrame) -> DataFrame:
         .when(F.col("area").isNotNull(), F.concat_ws(" ", F.col("area"), kind))
         .otherwise(title)
     )
-    text = F.concat(label, F.lit(" - "), F.format_number(F.col("distance_m") / 1000, "0.00"), F.lit(" km, "), F.format_number(F.col("ascent_m"), "0"), F.lit(" m gain"))
+    text = F.concat(label, F.lit(" - "), F.call_function("format_number", F.col("distance_m") / 1000, F.lit("0.00")), F.lit(" km, "), F.call_function("format_number", F.col("ascent_m"), F.lit("0")), F.lit(" m gain"))
     return r.withColumn("display_name", text).drop("area", "names")

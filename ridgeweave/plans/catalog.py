@@ -3,8 +3,552 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ridgeweave.functions import clean as C
+from ridgeweave.functions import crs
+from ridgeweave.functions import geometry as G
+from ridgeweave.functions import similarity as S
+from ridgeweave.operators import areas, attribution, elevation, graph, paths, qa, samples, search, series
+from ridgeweave.plans import tables as T
+from ridgeweave.scratch import Scratch
+from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# -- cleaning -------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, lower(p_type) IN ('standard', 'small') AS is_yes,
+CASE WHEN lower(p_brand) IN ('footway', 'brand#1', 'brand#2') THEN true ELSE false END AS listed,
+lower(p_type) NOT IN ('promo', 'economy') AS not_barred FROM part""")
+def q_walkable_filter(spark, sf):
+    """Flags and lists, null-safe."""
+    p = read_table(spark, sf, "part")
+    listed = F.coalesce(F.lower("p_brand").isin("footway", "brand#1", "brand#2"), F.lit(False))
+    return p.select("p_partkey", F.coalesce(F.lower("p_type").isin("standard", "small"), F.lit(False)).alias("is_yes"), listed.alias("listed"), (~F.lower(F.coalesce("p_type", F.lit(""))).isin("promo", "economy")).alias("not_barred"))
+
+
+@query("""SELECT p_partkey, coalesce(try_cast(nullif(regexp_extract(p_name, '[-+]?\\d+(?:\\.\\d+)?'), '') AS DOUBLE),
+try_cast(nullif(regexp_extract(p_brand, '[-+]?\\d+(?:\\.\\d+)?'), '') AS DOUBLE)) AS elevation_m FROM part""")
+def q_contour_parse(spark, sf):
+    """The first field with a number."""
+    return read_table(spark, sf, "part").select("p_partkey", C.contour_elevation([F.col("p_name"), F.col("p_brand")]).alias("elevation_m"))
+
+
+@query("SELECT p_type AS folderpath, count(*) AS n FROM part WHERE p_type ILIKE '%econ%' OR p_type ILIKE '%PROMO%' GROUP BY 1")
+def q_folder_patterns(spark, sf):
+    """Escaped patterns in any case."""
+    return read_table(spark, sf, "part").filter(C.matches_any(F.col("p_type"), ["econ", "PROMO"])).groupBy(F.col("p_type").alias("folderpath")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, CAST(event_id AS VARCHAR)) AS feature_id,
+CASE WHEN value = 0 THEN 0.5 ELSE value END AS weight, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END AS whole FROM events""")
+def q_source_id_coalesce(spark, sf):
+    """The first present identifier, whole numbers, and defaults for zero."""
+    e = read_table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "error", F.lit(" nan ")).otherwise(F.col("event_type"))
+    return e.select("event_id", C.source_id([kind], F.col("event_id")).alias("feature_id"), C.or_default(F.col("value"), 0.5).alias("weight"), F.when(F.col("value") == F.floor("value"), C.scalar_text(F.col("value"))).alias("whole"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"event_type\":\"' || event_type || '\",\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS properties FROM events")
+def q_properties_json(spark, sf):
+    """Present properties as sorted JSON, and one read back from JSON."""
+    e = read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    held = F.map_concat(F.create_map(F.lit("k"), k), F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("blank"), F.lit(" ")))
+    return e.select("event_id", k.cast("long").alias("k"), C.compact_properties(held).alias("properties"))
+
+
+@query("""SELECT event_id, layer, user_id, value FROM (
+SELECT event_id, 'click' AS layer, user_id, NULL::DOUBLE AS value FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'view', NULL, value FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'error', user_id, value FROM events WHERE event_type = 'error')""")
+def q_union_layers(spark, sf):
+    """Layers of different columns."""
+    e = read_table(spark, sf, "events")
+    part = lambda kind, *cols: e.filter(F.col("event_type") == kind).select("event_id", F.lit(kind).alias("layer"), *cols)
+    return graph.union_layers([part("click", "user_id"), part("view", "value"), part("error", "user_id", "value")])
+
+
+# -- graph ------------------------------------------------------------------------
+
+
+@query(f"WITH {T.DIRECTED} SELECT directed_edge_id, src, dst, undirected_edge_id, length_m, ascent_m, descent_m FROM td")
+def q_directed_edges(spark, sf):
+    """Both orientations from one scan."""
+    return graph.directed_edges(T.edges(spark, sf)).select("directed_edge_id", "src", "dst", "undirected_edge_id", "length_m", "ascent_m", "descent_m")
+
+
+@query(f"WITH {T.EDGES} SELECT edge_id, source_primary || '_' || lpad(CAST(row_number() OVER (PARTITION BY source_primary ORDER BY edge_id) AS VARCHAR), 6, '0') AS sequence_id FROM te")
+def q_edge_sequence_ids(spark, sf):
+    """Numbers by source."""
+    n = F.row_number().over(W.partitionBy("source_primary").orderBy("edge_id"))
+    return T.edges(spark, sf).select("edge_id", F.format_string("%s_%06d", "source_primary", n).alias("sequence_id"))
+
+
+@query(f"WITH {T.NODES} SELECT node_id, round_even(x / 2.5, 0) * 2.5 AS kx, round_even(y / 2.5, 0) * 2.5 AS ky, CAST(floor((x - 5000) / 1500) AS BIGINT) AS cx, CAST(floor((y - 5000) / 1500) AS BIGINT) AS cy FROM tn")
+def q_node_keys(spark, sf):
+    """Keys rounded half to even, and cells by floor."""
+    n = T.nodes(spark, sf)
+    key = lambda c: (F.rint(F.col(c) / 2.5) * 2.5).alias("k" + c)
+    return n.select("node_id", key("x"), key("y"), *[graph.cell(F.col(c) - 5000, 1500).alias("c" + c) for c in "xy"])
+
+
+@query(f"""WITH {T.NODES}, p AS (SELECT x, y, min(node_id) AS id FROM tn GROUP BY x, y)
+SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM p a JOIN p b ON a.id < b.id AND a.x BETWEEN b.x - 300 AND b.x + 300
+AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 300""")
+def q_node_snap_candidates(spark, sf):
+    """Points within a tolerance, by grid cells."""
+    p = T.nodes(spark, sf).groupBy("x", "y").agg(F.min("node_id").alias("point"))
+    return paths.snap_pairs(p, 300.0)
+
+
+@query(f"""WITH {T.DIRECTED}, {T.NODES}, s AS (SELECT src AS node_id, max(ascent_m) AS best_ascent, sum(ascent_m) AS total_ascent, count(*) AS degree FROM td GROUP BY src),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY floor(x / 1500), floor(y / 1500) ORDER BY best_ascent DESC, total_ascent DESC, degree DESC, node_id) AS place FROM s JOIN tn USING (node_id)),
+k AS (SELECT node_id FROM r WHERE place <= 4)
+SELECT node_id FROM k UNION SELECT node_id FROM (SELECT src AS node_id FROM td WHERE regexp_matches(name, 'red ring', 'i') UNION SELECT dst FROM td WHERE regexp_matches(name, 'red ring', 'i'))""")
+def q_start_nodes(spark, sf):
+    """Ranked nodes, a few in each cell, and the ends of landmarks."""
+    d = graph.landmark_flags(graph.directed_edges(T.edges(spark, sf)), ["Red Ring"])
+    return graph.start_nodes(d, T.nodes(spark, sf), 1500, 4, None)
+
+
+def unrolled(levels: int, budget_m: float) -> str:
+    """SQL of all trails of ``levels`` edges within the budget."""
+    out = "l1 AS (SELECT src AS start, dst AS cur, length_m AS d, ascent_m AS a, source_confidence AS c, [directed_edge_id] AS p, [undirected_edge_id] AS e FROM td WHERE length_m <= %s + 1e-9)" % budget_m
+    for k in range(2, levels + 1):
+        out += f", l{k} AS (SELECT start, dst AS cur, d + length_m AS d, a + ascent_m AS a, c + source_confidence AS c, list_append(p, directed_edge_id) AS p, list_append(e, undirected_edge_id) AS e FROM l{k - 1} JOIN td ON cur = src WHERE NOT list_contains(e, undirected_edge_id) AND d + length_m <= {budget_m} + 1e-9)"
+    return out
+
+
+def trails(spark: SparkSession, sf: str, levels: int, budget_m: float) -> DataFrame:
+    d = graph.directed_edges(T.edges(spark, sf))
+    steps = search.steps_of(d, T.nodes(spark, sf), [])
+    state = search.seeds(T.nodes(spark, sf).select("node_id"), T.nodes(spark, sf), [budget_m])
+    for _ in range(levels):
+        state = search.expand(state, steps, 1 << 30)
+    return search.scored(state)
+
+
+def level_query(levels: int, budget_m: float):
+    def run(spark, sf):
+        t = trails(spark, sf, levels, budget_m)
+        return t.select(F.array_join("directed_edge_ids", ">").alias("path"), F.col("start_node").alias("start"), F.col("current_node").alias("cur"), F.col("distance_m").alias("d"), F.col("ascent_m").alias("a"), F.col("confidence").alias("c"))
+
+    run.__name__ = f"q_expand_level{levels}"
+    run.__doc__ = "J3, P19-P21, A2, A3: trails of a number of edges within a budget."
+    return query(f"WITH {T.DIRECTED}, {unrolled(levels, budget_m)} SELECT array_to_string(p, '>') AS path, start, cur, d, a, c / len(p) AS c FROM l{levels}")(run)
+
+
+q_expand_level1, q_expand_level2, q_expand_level3 = level_query(1, 500.0), level_query(2, 40.0), level_query(3, 40.0)
+
+
+@query(f"WITH RECURSIVE {T.DIRECTED}, w AS (SELECT src AS start, dst AS cur, length_m AS d, [undirected_edge_id] AS e FROM td WHERE length_m <= 30 UNION ALL SELECT start, dst, d + length_m, list_append(e, undirected_edge_id) FROM w JOIN td ON cur = src WHERE NOT list_contains(e, undirected_edge_id) AND d + length_m <= 30) SELECT start, cur, d, array_to_string(e, '>') AS path FROM w")
+def q_trails_exhaustive(spark, sf):
+    """J3, P20 without a beam: every trail within the budget, level by level until none is left."""
+    scratch = Scratch(spark, "trails")
+    steps = scratch.keep(search.steps_of(graph.directed_edges(T.edges(spark, sf)), T.nodes(spark, sf), []), "steps")
+    state = search.seeds(T.nodes(spark, sf).select("node_id"), T.nodes(spark, sf), [30.0])
+    levels = []
+    while True:
+        state = scratch.keep(search.expand(state, steps, 1 << 30), "level")
+        if not state.limit(1).count():
+            break
+        levels.append(state)
+    return graph.union_layers(levels or [state]).select(F.col("start_node").alias("start"), F.col("current_node").alias("cur"), F.col("distance_m").alias("d"), F.array_join("undirected_edge_ids", ">").alias("path"))
+
+
+@query(f"""WITH {T.DIRECTED}, {T.NODES}, {unrolled(2, 40.0)}, n AS (SELECT l2.*, CASE WHEN d > 0 THEN a / (d / 1000) ELSE 0 END AS density, c / len(p) AS conf,
+floor((s.x + m.x + t.x) / 3 / 2500) AS cx, floor((s.y + m.y + t.y) / 3 / 2500) AS cy FROM l2 JOIN td f ON f.directed_edge_id = p[1] JOIN tn s ON s.node_id = start JOIN tn m ON m.node_id = f.dst JOIN tn t ON t.node_id = cur),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY a DESC, density DESC, conf DESC, d, p) <= 3)
+SELECT array_to_string(p, '>') AS path, a, d FROM k QUALIFY row_number() OVER (ORDER BY a DESC, density DESC, conf DESC, d, p) <= 40""")
+def q_beam_level2(spark, sf):
+    """The beam after two levels."""
+    kept = search.prune(trails(spark, sf, 2, 40.0).drop("density", "confidence"), search.Search(beam_width=40, max_frontier_states_per_grid=3))
+    return kept.select(F.array_join("directed_edge_ids", ">").alias("path"), F.col("ascent_m").alias("a"), F.col("distance_m").alias("d"))
+
+
+def routes(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    how = search.Search(beam_width=40, max_start_nodes_per_grid=4, max_frontier_states_per_grid=3, max_routes_per_grid=1, min_ascent_m=5.0)
+    return search.search_routes(graph.directed_edges(T.edges(spark, sf)), T.nodes(spark, sf), [0.05, 0.1], [mode], how)
+
+
+@query()
+def q_routes_loop(spark, sf):
+    """The whole search for loops; its greedy selection has no SQL."""
+    return routes(spark, sf, "loop")
+
+
+@query()
+def q_routes_p2p(spark, sf):
+    """The whole search from point to point."""
+    return routes(spark, sf, "point_to_point")
+
+
+@query(f"""WITH {T.DIRECTED}, {unrolled(2, 40.0)}, n AS (SELECT *, CASE WHEN d > 0 THEN a / (d / 1000) ELSE 0 END AS density FROM l2 WHERE a >= 8)
+SELECT array_to_string(p, '>') AS path, row_number() OVER (PARTITION BY start ORDER BY a DESC, density DESC, d, p) AS place FROM n""")
+def q_rank_routes(spark, sf):
+    """Ranks with edge sequences as the last resort."""
+    t = trails(spark, sf, 2, 40.0).filter("ascent_m >= 8")
+    return t.select(F.array_join("directed_edge_ids", ">").alias("path"), F.row_number().over(W.partitionBy("start_node").orderBy(*search.rank_order())).alias("place"))
+
+
+@query(f"""WITH {T.DIRECTED}, {unrolled(2, 40.0)}, k AS (SELECT d, array_to_string(list_sort(e), '+') AS edges, array_to_string(p, '>') AS path FROM l2)
+SELECT path, edges FROM k WHERE d > 20 AND NOT EXISTS (SELECT 1 FROM k s WHERE s.d <= 20 AND s.edges = k.edges)""")
+def q_budget_antijoin(spark, sf):
+    """What a smaller budget has already."""
+    k = trails(spark, sf, 2, 40.0).select(F.col("distance_m").alias("d"), F.array_join(F.sort_array("undirected_edge_ids"), "+").alias("edges"), F.array_join("directed_edge_ids", ">").alias("path"))
+    return k.filter("d > 20").join(k.filter("d <= 20"), "edges", "left_anti").select("path", "edges")
+
+
+# -- similarity: orders as sets of parts, their quantities as lengths ------------
+
+SETS = "m AS (SELECT l_orderkey AS k, l_partkey AS e, max(l_quantity) AS n FROM lineitem GROUP BY 1, 2), z AS (SELECT k, count(*) AS size, sum(n) AS total FROM m GROUP BY 1), c AS (SELECT a.k AS a, b.k AS b, count(*) AS common, sum(least(a.n, b.n)) AS shared FROM m a JOIN m b ON a.e = b.e AND a.k < b.k GROUP BY 1, 2), x AS (SELECT c.*, p.size AS sa, q.size AS sb, p.total AS ta, q.total AS tb FROM c JOIN z p ON p.k = c.a JOIN z q ON q.k = c.b)"
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that share a member, from an inverted index; never a cross join."""
+    m = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("e")).agg(F.max("l_quantity").alias("n"))
+    z = m.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    a, b = m.select(F.col("k").alias("a"), "e", F.col("n").alias("na")), m.select(F.col("k").alias("b"), "e", F.col("n").alias("nb"))
+    c = a.join(b, "e").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.least("na", "nb")).alias("shared"))
+    side = lambda x: z.select(F.col("k").alias(x), F.col("size").alias("s" + x), F.col("total").alias("t" + x))
+    return c.join(side("a"), "a").join(side("b"), "b")
+
+
+@query(f"WITH {SETS} SELECT a, b, round(common / (sa + sb - common), 6) AS jaccard FROM x")
+def q_jaccard(spark, sf):
+    """A7."""
+    return pairs(spark, sf).select("a", "b", r6(F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("jaccard"))
+
+
+@query(f"WITH {SETS} SELECT a, b, round(CASE WHEN ta + tb - shared > 0 THEN shared / (ta + tb - shared) ELSE 1 END, 6) AS similarity FROM x")
+def q_weighted_jaccard(spark, sf):
+    """A8."""
+    return pairs(spark, sf).select("a", "b", r6(S.weighted_jaccard(F.col("shared"), F.col("ta"), F.col("tb"))).alias("similarity"))
+
+
+@query(f"WITH {SETS} SELECT a, b, round(CASE WHEN least(ta, tb) > 0 THEN shared / least(ta, tb) ELSE 1 END, 6) AS containment FROM x")
+def q_containment(spark, sf):
+    """A9."""
+    return pairs(spark, sf).select("a", "b", r6(S.weighted_containment(F.col("shared"), F.col("ta"), F.col("tb"))).alias("containment"))
+
+
+@query(f"WITH {SETS} SELECT a, b FROM x WHERE common / (sa + sb - common) >= 0.25 OR shared / (ta + tb - shared) >= 0.2 OR shared / least(ta, tb) >= 0.5")
+def q_near_dup_pairs(spark, sf):
+    """Any of three similarities."""
+    p = pairs(spark, sf)
+    c = {k: F.col(k) for k in ("common", "shared", "sa", "sb", "ta", "tb")}
+    near = (c["common"] / (c["sa"] + c["sb"] - c["common"]) >= 0.25) | (S.weighted_jaccard(c["shared"], c["ta"], c["tb"]) >= 0.2) | (S.weighted_containment(c["shared"], c["ta"], c["tb"]) >= 0.5)
+    return p.filter(near).select("a", "b")
+
+
+@query(f"WITH {T.EDGES} SELECT edge_id, (CASE WHEN regexp_matches(name, 'RED', 'i') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(name, 'w.dget$', 'i') THEN 2 ELSE 0 END) AS marks, highway = 'steps' AND (regexp_matches(name, 'RED', 'i') OR regexp_matches(name, 'w.dget$', 'i')) AS on_steps FROM te")
+def q_landmarks(spark, sf):
+    """Patterns in names, in any case, and on steps."""
+    e = graph.landmark_flags(T.edges(spark, sf), ["RED", "w.dget$"])
+    return e.select("edge_id", F.aggregate("landmarks", F.lit(0), lambda a, k: a + k + 1).alias("marks"), (F.size("step_landmarks") > 0).alias("on_steps"))
+
+
+# -- series -----------------------------------------------------------------------
+
+
+@query(f"WITH {T.PROFILES}, d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY us) AS s FROM tp) SELECT user_id, round(coalesce(sum(s) FILTER (s > 0), 0), 6) AS ascent_m, round(coalesce(-sum(s) FILTER (s < 0), 0), 6) AS descent_m FROM d GROUP BY 1")
+def q_profile_diffs(spark, sf):
+    """A11."""
+    return series.ascent_descent(T.profiles(spark, sf), ["user_id"], "us", "value").select("user_id", r6("ascent_m").alias("ascent_m"), r6("descent_m").alias("descent_m"))
+
+
+@query(f"WITH {T.PROFILES}, d AS (SELECT *, distance - lag(distance) OVER w AS dd, value - lag(value) OVER w AS dz FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY us)) SELECT event_id, round(CASE WHEN dd > 0 THEN dz / dd * 100 ELSE 0 END, 6) AS grade FROM d")
+def q_profile_grades(spark, sf):
+    """W2, W3."""
+    return T.profiles(spark, sf).select("event_id", r6(series.grade(["user_id"], "us", "distance", "value")).alias("grade"))
+
+
+@query(f"WITH {T.PROFILES} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM tp")
+def q_profile_smooth3(spark, sf):
+    """W1 with a frame of three."""
+    w = W.partitionBy("user_id").orderBy("us").rowsBetween(-1, 1)
+    return T.profiles(spark, sf).select("event_id", r6(F.avg("value").over(w)).alias("smooth"))
+
+
+@query(f"""WITH {T.PROFILES}, s AS (SELECT *, row_number() OVER w - 1 AS i, distance - lag(distance) OVER w AS dd FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+k AS (SELECT user_id, count(*) AS n, greatest(1, CAST(round_even(20000 / median(dd) FILTER (dd > 0), 0) AS INTEGER)) // 2 AS reach FROM s GROUP BY 1)
+SELECT a.event_id, round(avg(b.value), 6) AS smooth FROM s a JOIN k USING (user_id) JOIN s b ON a.user_id = b.user_id AND b.i BETWEEN a.i - CASE WHEN n <= 2 THEN 0 ELSE reach END AND a.i + CASE WHEN n <= 2 THEN 0 ELSE reach END GROUP BY 1""")
+def q_profile_smooth(spark, sf):
+    """W1 with a window that follows each series' spacing."""
+    p = T.profiles(spark, sf)
+    return series.smooth(p, ["user_id"], "us", "distance", "value", 20000, "smooth").select("event_id", r6("smooth").alias("smooth"))
+
+
+@query(f"WITH {T.PROFILES}, d AS (SELECT user_id, distance - lag(distance) OVER (PARTITION BY user_id ORDER BY us) AS s FROM tp) SELECT user_id, round(median(s) FILTER (s > 0), 6) AS spacing FROM d GROUP BY 1")
+def q_median_spacing(spark, sf):
+    """A21."""
+    return series.median_spacing(T.profiles(spark, sf), ["user_id"], "us", "distance").select("user_id", r6("spacing_m").alias("spacing"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem")
+def q_cum_distance(spark, sf):
+    """What lies before each edge."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(W.unboundedPreceding, -1)
+    return read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)).alias("before"))
+
+
+@query(f"""WITH {T.PROFILES}, q AS (SELECT event_id AS eid, user_id, distance + 5000 AS pos FROM tp WHERE event_type = 'click'),
+b AS (SELECT eid, pos, arg_max(p.distance, p.distance) AS d0, arg_max(p.value, p.distance) AS v0 FROM q JOIN tp p ON p.user_id = q.user_id AND p.distance <= pos GROUP BY ALL),
+f AS (SELECT eid, pos, arg_min(p.distance, p.distance) AS d1, arg_min(p.value, p.distance) AS v1 FROM q JOIN tp p ON p.user_id = q.user_id AND p.distance >= pos GROUP BY ALL)
+SELECT b.eid AS event_id, round(CASE WHEN d1 IS NULL OR pos = d0 THEN v0 ELSE v0 + (pos - d0) / (d1 - d0) * (v1 - v0) END, 6) AS z FROM b LEFT JOIN f USING (eid)""")
+def q_linear_interp(spark, sf):
+    """Between the points on either side, clamped."""
+    p = T.profiles(spark, sf)
+    asked = p.filter("event_type = 'click'").select("user_id", "event_id", (F.col("distance") + 5000).alias("at"))
+    return series.interpolate(p, asked, ["user_id"], "distance", "value", "at", "z").select("event_id", r6("z").alias("z"))
+
+
+@query(f"""WITH {T.PROFILES}, s AS (SELECT *, abs(value) >= 20 AS steep FROM tp), r AS (SELECT *, row_number() OVER w - sum(CAST(steep AS INT)) OVER w AS run FROM s WINDOW w AS (PARTITION BY user_id ORDER BY us))
+SELECT user_id, min(distance) AS start_distance_m, max(distance) AS end_distance_m, max(abs(value)) AS max_abs_grade_pct FROM r WHERE steep GROUP BY user_id, run""")
+def q_steep_sections(spark, sf):
+    """Islands."""
+    return series.steep_sections(T.profiles(spark, sf), ["user_id"], "us", "distance", "value", 20.0).drop("threshold_pct")
+
+
+# -- attribution and names ----------------------------------------------------------
+
+
+@query(f"""WITH {T.SAMPLES}, d AS (SELECT *, greatest(0, lead(cum_distance_m) OVER (PARTITION BY route_id ORDER BY sample_index) - cum_distance_m) AS delta FROM ts),
+g AS (SELECT route_id, source_primary AS source_key, sum(delta) FILTER (delta > 0) AS d, count(*) AS n FROM d GROUP BY 1, 2), t AS (SELECT *, sum(coalesce(d, 0)) OVER (PARTITION BY route_id) AS total, sum(n) OVER (PARTITION BY route_id) AS rows FROM g)
+SELECT route_id, source_key, round(coalesce(d, 0) / 1e6, 3) AS distance_km, round(CASE WHEN total > 0 THEN coalesce(d, 0) / total ELSE n / rows END, 4) AS share FROM t WHERE coalesce(d, 0) > 0 OR total <= 0""")
+def q_attribution_sources(spark, sf):
+    """Distance and share by source."""
+    s = attribution.intervals(T.samples(spark, sf), ["route_id"])
+    out = attribution.path_sources(T.samples(spark, sf))
+    exact = s.filter("delta > 0").groupBy("route_id", F.col("source_primary").alias("source_key")).agg(F.sum("delta").alias("d"))
+    every = out.join(exact, ["route_id", "source_key"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    total = F.sum("d").over(W.partitionBy("route_id"))
+    return every.select("route_id", "source_key", F.round(F.col("d") / 1e6, 3).alias("distance_km"), F.round(F.when(total > 0, F.col("d") / total).otherwise(F.col("share_pct") / 100), 4).alias("share"))
+
+
+@query(f"""WITH {T.SAMPLES}, n AS (SELECT *, lead(sample_index) OVER w AS ni, lead(lat) OVER w AS nlat, lead(elevation_smooth_m) OVER w AS nz, lead(cum_distance_m) OVER w - cum_distance_m AS delta FROM ts WINDOW w AS (PARTITION BY route_id ORDER BY sample_index)),
+k AS (SELECT * FROM n WHERE delta > 0), e AS (SELECT route_id, source_primary, sample_index AS i, lat, elevation_smooth_m AS z FROM k UNION ALL SELECT route_id, source_primary, ni, nlat, nz FROM k)
+SELECT route_id, source_primary AS source_key, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(z), 2) AS min_z, round(max(z), 2) AS max_z, arg_min(z, i) AS start_z, arg_max(z, i) AS end_z,
+(SELECT count(DISTINCT k.edge_id) FROM k WHERE k.route_id = e.route_id AND k.source_primary = e.source_primary) AS n_edges FROM e GROUP BY 1, 2""")
+def q_attribution_records(spark, sf):
+    """Bounds, elevations and edges by source and feature."""
+    s = T.samples(spark, sf)
+    order = W.partitionBy("route_id").orderBy("sample_index")
+    both = s.withColumns({"ni": F.lead(F.struct("sample_index", "lat", "elevation_smooth_m")).over(order), "delta": F.lead("cum_distance_m").over(order) - F.col("cum_distance_m")}).filter("delta > 0")
+    here = F.struct("sample_index", "lat", "elevation_smooth_m")
+    seen = both.select("route_id", F.col("source_primary").alias("source_key"), F.explode(F.array(here, "ni")).alias("p")).groupBy("route_id", "source_key")
+    found = seen.agg(
+        F.round(F.min("p.lat"), 6).alias("min_lat"), F.round(F.max("p.lat"), 6).alias("max_lat"), F.round(F.min("p.elevation_smooth_m"), 2).alias("min_z"), F.round(F.max("p.elevation_smooth_m"), 2).alias("max_z"),
+        F.min_by("p.elevation_smooth_m", "p.sample_index").alias("start_z"), F.max_by("p.elevation_smooth_m", "p.sample_index").alias("end_z"),
+    )
+    used = attribution.used_records(T.samples(spark, sf)).select("route_id", "source_key", F.size("edge_ids").cast("long").alias("n_edges"))
+    return found.join(used, ["route_id", "source_key"])
+
+
+@query(f"""WITH {T.SAMPLES}, n AS (SELECT route_id, count(*) AS n FROM ts GROUP BY 1), k AS (SELECT DISTINCT route_id, CASE WHEN n <= 6 THEN i ELSE CAST(round_even(i * (n - 1) / 5e0, 0) AS BIGINT) END AS sample_index FROM n, range(0, 6) t(i) WHERE n > 6 OR i < n)
+SELECT route_id, sample_index, round(lat, 7) AS lat FROM ts JOIN k USING (route_id, sample_index)""")
+def q_sample_points(spark, sf):
+    """Six points that stand for a route."""
+    s = T.samples(spark, sf).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("sample_index", "lat"))).alias("p"))
+    return s.select("route_id", F.explode(attribution.representative(F.col("p"))).alias("x")).select("route_id", "x.sample_index", F.round("x.lat", 7).alias("lat"))
+
+
+def sql_area() -> str:
+    cases = " ".join("WHEN lat BETWEEN {1!r} AND {2!r} AND lon BETWEEN {3!r} AND {4!r} THEN '{0}'".format(n.replace("'", "''"), *box) for n, *box in areas.AREA_BOXES)
+    return f"CASE {cases} END"
+
+
+AREA = f"""{T.SAMPLES}, a AS (SELECT route_id, sample_index, {sql_area()} AS area FROM ts), ac AS (SELECT route_id, area, count(*) AS n, min(sample_index) AS first FROM a WHERE area IS NOT NULL GROUP BY 1, 2),
+ar AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY n DESC, first) AS place, sum(n) OVER (PARTITION BY route_id) AS total FROM ac),
+an AS (SELECT p.route_id, CASE WHEN s.area IS NULL THEN p.area WHEN s.n / p.total >= 0.25 THEN p.area || ' to ' || s.area WHEN p.n / p.total < 0.5 THEN p.area || ' area' ELSE p.area END AS area
+FROM ar p LEFT JOIN ar s ON s.route_id = p.route_id AND s.place = 2 WHERE p.place = 1)"""
+
+
+@query(f"WITH {AREA} SELECT route_id, area FROM an")
+def q_area_names(spark, sf):
+    """Boxes and shares."""
+    return areas.area_names(T.samples(spark, sf))
+
+
+@query(f"""WITH {AREA}, f AS (SELECT route_id, path_name, min(sample_index) AS first FROM ts WHERE coalesce(path_name, '') <> '' GROUP BY 1, 2),
+n AS (SELECT route_id, string_agg(path_name, ' + ' ORDER BY first) AS names FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY first, path_name) <= 2) GROUP BY 1)
+SELECT r.route_id, CASE WHEN area IS NOT NULL AND names IS NOT NULL THEN area || ': ' || names ELSE coalesce(names, area || ' loop', 'Loop route') END || ' - 2.50 km, 40 m gain' AS display_name
+FROM (SELECT DISTINCT route_id FROM ts) r LEFT JOIN an USING (route_id) LEFT JOIN n USING (route_id)""")
+def q_display_names(spark, sf):
+    """A18, P29."""
+    s = T.samples(spark, sf)
+    r = s.select("route_id").distinct().select("route_id", F.lit("loop").alias("mode"), F.lit(2500.0).alias("distance_m"), F.lit(40.0).alias("ascent_m"))
+    return areas.display_names(r, s).select("route_id", "display_name")
+
+
+@query("SELECT format('{}_{:05d}m_{:03d}', 'loop', CAST(o_totalprice AS BIGINT) % 90000, CAST(o_custkey % 500 AS BIGINT)) AS route_id, o_orderkey FROM orders")
+def q_route_ids(spark, sf):
+    """P30."""
+    o = read_table(spark, sf, "orders")
+    return o.select(search.route_id(F.lit("loop"), F.rint("o_totalprice") % 90000, (F.col("o_custkey") % 500).cast("int")).alias("route_id"), "o_orderkey")
+
+
+# -- checks -----------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT l_orderkey AS id, count(*) AS n, count(DISTINCT l_suppkey) AS m, sum(l_quantity) AS d FROM lineitem GROUP BY 1)
+SELECT 'no repeated undirected edges' AS name, count(*) FILTER (n <> m) = 0 AS ok, count(*) FILTER (n <> m) || ' offending routes' AS message FROM o
+UNION ALL SELECT 'route distance within budget', count(*) FILTER (d > 200) = 0, count(*) FILTER (d > 200) || ' offending routes' FROM o
+UNION ALL SELECT 'sampled elevations plausible', count(*) FILTER (bad) = 0, count(*) FILTER (bad) || ' sample files outside range' FROM (SELECT user_id, bool_or(value IS NULL OR isnan(value) OR value NOT BETWEEN 0 AND 100) AS bad FROM events GROUP BY 1)
+UNION ALL SELECT 'nearest-neighbour interpolation fallback reported', true, 'fallback count reported: ' || CAST(sum(l_linenumber) * 2 AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""")
+def q_qa_checks(spark, sf):
+    """Q1, Q2, Q5, Q6, A19, Q8, U4."""
+    line = read_table(spark, sf, "lineitem")
+    r = line.groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("undirected_edge_ids"), F.sum("l_quantity").alias("distance_m")).withColumn("budget_km", F.lit(0.2))
+    s = read_table(spark, sf, "events").select(F.col("user_id").alias("route_id"), F.col("value").alias("elevation_smooth_m"))
+    joined = line.join(read_table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").join(read_table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    e = joined.select(F.lit("x").alias("edge_id"), F.lit("a").alias("u"), F.lit("b").alias("v"), F.col("l_linenumber").alias("elevation_fallback_count"))
+    return reduce(DataFrame.union, [qa.repeated_edges(r), qa.budget(r), qa.plausible(s, 0, 100), qa.fallbacks(graph.directed_edges(e))])
+
+
+@query("SELECT 'viz/routes/' || o_orderkey || '.html' AS path FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q_route_artifacts(spark, sf):
+    """Expected files that are missing."""
+    expected = read_table(spark, sf, "orders").select(F.concat(F.lit("viz/routes/"), F.col("o_orderkey").cast("string"), F.lit(".html")).alias("path"))
+    present = read_table(spark, sf, "lineitem").select(F.concat(F.lit("viz/routes/"), F.col("l_orderkey").cast("string"), F.lit(".html")).alias("path"))
+    return expected.join(present, "path", "left_anti")
+
+
+# -- geometry ---------------------------------------------------------------------
+
+
+def straight(spark: SparkSession, sf: str) -> DataFrame:
+    """A line from the origin along x for every part."""
+    p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "cast") else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    return read_table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("n"), F.array(p(0, 0), p(F.col("p_size") / 2, 0), p(F.col("p_size"), 0)).alias("line"))
+
+
+@query("""SELECT p_partkey, round(CAST(i AS DOUBLE) * 7, 6) AS d FROM part, range(0, 60) t(i) WHERE i * 7 < p_size
+UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE) FROM part WHERE p_size > 0 AND NOT abs((ceil(p_size / 7e0) - 1) * 7 - p_size) <= 1e-8 + 1e-5 * p_size""")
+def q_densify(spark, sf):
+    """Stations every seven metres; each lies where its distance says."""
+    d = straight(spark, sf).filter("n > 0").select("p_partkey", F.explode(G.densify(F.col("line"), 7.0)).alias("s"))
+    return d.select("p_partkey", r6("s.x").alias("d"))
+
+
+ZIGZAG = "SELECT user_id, sum(sqrt((distance - d0) * (distance - d0) + (value - v0) * (value - v0))) AS n FROM (SELECT user_id, distance, value, lag(distance) OVER w AS d0, lag(value) OVER w AS v0 FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY us)) GROUP BY 1"
+
+
+@query(f"WITH {T.PROFILES} SELECT user_id, round(coalesce(n, 0) / 1000, 4) AS length_km FROM ({ZIGZAG})")
+def q_line_length(spark, sf):
+    """Planar lengths of whole lines."""
+    p = T.profiles(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("us", F.col("distance").alias("x"), F.col("value").alias("y")))).alias("l"))
+    line = F.transform("l", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    return p.select("user_id", F.round(G.length(line) / 1000, 4).alias("length_km"))
+
+
+def sql_forward(lon: str, lat: str) -> tuple[str, str]:
+    g = crs.GRID
+    e = g.eccentricity
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    d = f"radians({lon} - {g.lon0!r})"
+    xi, eta = f"atan2({t}, cos({d}))", f"asinh(sin({d}) / sqrt({t} * {t} + cos({d}) * cos({d})))"
+    east = eta + "".join(f" + {a!r} * cos({2 * j} * ({xi})) * sinh({2 * j} * ({eta}))" for j, a in enumerate(g.alpha, 1))
+    north = xi + "".join(f" + {a!r} * sin({2 * j} * ({xi})) * cosh({2 * j} * ({eta}))" for j, a in enumerate(g.alpha, 1))
+    return f"{g.east0!r} + {g.radius!r} * ({east})", f"{g.north0!r} + {g.radius!r} * ({north} - {g.xi0!r})"
+
+
+@query("WITH {} SELECT route_id, sample_index, round({}, 2) AS x, round({}, 2) AS y FROM ts".format(T.SAMPLES, *sql_forward("lon", "lat")))
+def q_tm_forward(spark, sf):
+    """G8."""
+    s = T.samples(spark, sf)
+    x, y = crs.to_grid(F.col("lon"), F.col("lat"))
+    return s.select("route_id", "sample_index", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query(f"WITH {T.SAMPLES} SELECT route_id, sample_index, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ts")
+def q_tm_inverse(spark, sf):
+    """There and back again."""
+    x, y = crs.to_grid(F.col("lon"), F.col("lat"))
+    s = T.samples(spark, sf).select("route_id", "sample_index", x.alias("x"), y.alias("y"))
+    lon, lat = crs.to_degrees(F.col("x"), F.col("y"))
+    return s.select("route_id", "sample_index", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7919 % 20011 AS DOUBLE) AS x, CAST(s_suppkey * 104729 % 20011 AS DOUBLE) AS y, s_acctbal AS z FROM supplier),
+c AS (SELECT c_custkey, CAST(c_custkey * 7919 % 20011 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 20011 AS DOUBLE) AS y FROM customer)
+SELECT c_custkey, min((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y)) AS gap FROM c, s GROUP BY 1""")
+def q_nearest_z(spark, sf):
+    """E3's fallback: the nearest of the suppliers' points, which the surface's own limit bounds."""
+    import numpy as np
+
+    t = read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7919 % 20011).cast("double").alias("x"), (F.col("s_suppkey") * 104729 % 20011).cast("double").alias("y"))
+    most = 50_000
+    held = t.limit(most + 1).toPandas()
+    if len(held) > most:
+        raise ValueError("more points than an elevation surface takes")
+    shared = spark.sparkContext.broadcast(elevation.Surface(held[["x", "y", "s_suppkey"]].to_numpy(float), np.empty((0, 3), int)))
+
+    def run(batches):
+        for pdf in batches:
+            near = shared.value
+            key, _ = near.at(pdf[["x", "y"]].to_numpy(float))
+            at = {k: (x, y) for x, y, k in near.points}
+            yield pdf[["c_custkey"]].assign(gap=[(at[k][0] - x) ** 2 + (at[k][1] - y) ** 2 for k, x, y in zip(key, pdf["x"], pdf["y"], strict=True)])
+
+    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 20011).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 20011).cast("double").alias("y"))
+    return c.mapInPandas(run, "c_custkey long, gap double")
+
+
+@query("SELECT c_custkey, CAST(2 * (c_custkey * 7919 % 900 + 50) + 3 * (c_custkey * 104729 % 900 + 50) + 1 AS DOUBLE) AS z FROM customer")
+def q_plane_interp(spark, sf):
+    """A surface over a plane gives the plane."""
+    import pandas as pd
+
+    xy = pd.DataFrame([(x, y) for x in range(0, 1001, 50) for y in range(0, 1001, 50)], columns=["x", "y"], dtype=float)
+    shared = spark.sparkContext.broadcast(elevation.Surface.of(xy.assign(elevation_m=2 * xy["x"] + 3 * xy["y"] + 1)))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["c_custkey"]].assign(z=shared.value.at(pdf[["x", "y"]].to_numpy(float))[0].round(6))
+
+    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 900 + 50).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 900 + 50).cast("double").alias("y"))
+    return c.mapInPandas(run, "c_custkey long, z double")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
+g AS (SELECT k, i, abs(x - (lag(x) OVER (PARTITION BY k ORDER BY i) + 1)) AS gap FROM l) SELECT k, count(*) AS n FROM g WHERE gap > 2 GROUP BY 1""")
+def q_gap_warnings(spark, sf):
+    """Lines of one metre, each beginning at its quantity."""
+    w = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    p = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"))
+    lines = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(w.alias("l")).withColumn("lines", F.transform("l", lambda v: F.array(p(v["l_quantity"]), p(v["l_quantity"] + 1))))
+    return lines.select("k", F.size(G.concatenated(F.col("lines"))["warnings"]).cast("long").alias("n")).filter("n > 0")
+
+
+@query()
+def q_feature_collection(spark, sf):
+    """V2, K6: one GeoJSON text of every user's line."""
+    s = T.samples(spark, sf)
+    r = s.groupBy("route_id").agg(F.count("*").alias("n_samples"))
+    p = F.struct("sample_index", (F.lit(28000.0) + F.col("sample_index")).alias("x"), (F.lit(38700.0) + F.col("elevation_smooth_m")).alias("y"))
+    lines = s.groupBy("route_id").agg(F.array_sort(F.collect_list(p)).alias("l")).select("route_id", F.transform("l", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("coords"), F.array().cast("array<string>").alias("gaps"))
+    return samples.feature_collection(r, lines)
