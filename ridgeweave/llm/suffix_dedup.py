@@ -46,7 +46,7 @@ SIDE = MATCH - K
 #: Bytes that are looked at together; longer texts are cut with enough overlap.
 SLICE = 1 << 21
 #: Entries that a task settles among themselves before it sends them.
-HELD = 1 << 22
+HELD = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 SPAN, COVERED, CLOSER = 0, 1, 2
@@ -125,7 +125,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     own = np.searchsorted(ends, place, "right")
     left, right = np.maximum(starts[own], place - SIDE), np.minimum(ends[own], place + MATCH)
     context = prints.of(left, right) + (place - left).astype(U) * U(0xA24BAED4963EE407)
-    return place, keys[place], context, left, right
+    # chosen keys are low by nature; mixed once more, they spread evenly over the buckets
+    return place, mixed(keys[place] ^ U(BASE)), context, left, right
 
 
 def text_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -244,6 +245,13 @@ def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int)
     return [(d % buckets, SPAN, d, merge_spans(start[p], end[p]).tobytes(), None, None, None) for d, p in by_document(doc)]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so few texts are held as objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -272,7 +280,7 @@ def index_task(buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             for text, _, key, context, left, right in all_anchors(text_bytes(batch.column(1))):
                 parts.append((key, context & U(0xFFFFFFFF), ids[text], left, right))
@@ -334,7 +342,7 @@ def apply_task(buckets: int):
     shift = U(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             texts = text_bytes(batch.column(1))
             flags = [[np.frombuffer(b"".join(x or []), U) for x in batch.column(c).to_pylist()] for c in (2, 3)]
@@ -429,7 +437,7 @@ def report(docs: DataFrame) -> DataFrame:
     both = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 rest, gone = kept(text, found)
