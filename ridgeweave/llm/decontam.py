@@ -73,7 +73,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     scratch = Scratch(docs.sparkSession, "decontam")
     found = candidates(docs, benchmark, scratch, window, shingle)
     found = scratch.keep(found.select(F.col("doc_id").alias(P + "id"), F.col("found").alias(P + "found")), "candidates")
-    df = docs.join(found, docs["doc_id"].eqNullSafe(found[P + "id"]), "left")
+    # The documents' side is dealt at every size: what is found grows with them, so broadcasting it would only do for small tables.
+    df = docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(found[P + "id"]), "left")
     w = item_words(F.col("text"))
     exact = T.let(w, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.filter(F.col(P + "found"), lambda c: F.slice(w, c["start"] + 1, F.size(c["words"])) == c["words"]).alias("hits")))
     df = df.withColumn(P + "exact", exact)
