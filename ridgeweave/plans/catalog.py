@@ -318,7 +318,7 @@ def q_cum_distance(spark, sf):
 @query(f"""WITH {T.PROFILES}, q AS (SELECT event_id AS eid, user_id, distance + 5000 AS pos FROM tp WHERE event_type = 'click'),
 b AS (SELECT eid, pos, arg_max(p.distance, p.distance) AS d0, arg_max(p.value, p.distance) AS v0 FROM q JOIN tp p ON p.user_id = q.user_id AND p.distance <= pos GROUP BY ALL),
 f AS (SELECT eid, pos, arg_min(p.distance, p.distance) AS d1, arg_min(p.value, p.distance) AS v1 FROM q JOIN tp p ON p.user_id = q.user_id AND p.distance >= pos GROUP BY ALL)
-SELECT b.eid AS event_id, round(CASE WHEN d1 IS NULL OR pos = d0 THEN v0 ELSE v0 + (pos - d0) / (d1 - d0) * (v1 - v0) END, 6) AS z FROM b LEFT JOIN f USING (eid)""")
+SELECT b.eid AS event_id, round(CASE WHEN d1 IS NULL OR b.pos = d0 THEN v0 ELSE v0 + (b.pos - d0) / (d1 - d0) * (v1 - v0) END, 6) AS z FROM b LEFT JOIN f USING (eid)""")
 def q_linear_interp(spark, sf):
     """Between the points on either side, clamped."""
     p = T.profiles(spark, sf)
