@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, html_text, licenses, maxent, near_dup, packing, pii, quality, suffix_dedup, warc
+from ridgeweave.llm import decontam, html_text, licenses, maxent, near_dup, packing, pii, quality, suffix_dedup, text, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,33 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document by unigrams and by the model."""
     return maxent.score(read_table(spark, sf_dir, "documents"))
+
+
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
+ORACLES["op7_prefix_decontamination"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format(text.LETTER_WORDS)} AS w FROM benchmark),
+bw AS (SELECT item, CASE WHEN len(w) <= 10 THEN w ELSE w[i:i + 9] END AS win, least(len(w), 10) AS n FROM b, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - 9)),
+d AS (SELECT doc_id, {WORDS.format(text.LETTER_WORDS)} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM d, sizes, range(1, 100000) r(i) WHERE i <= len(w) - n + 1),
+hit AS (SELECT DISTINCT doc_id, dw.n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+places AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(0, 10) r(k) WHERE k < n GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES["op6_lsh_forest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text.BLANK_WORDS)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM d, range(1, 100000) r(i) WHERE i <= greatest(least(len(w), 1), len(w) - 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT doc_id, b FROM reach JOIN link ON other = a)
+SELECT d.doc_id, CAST(coalesce(max(z.n), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(min(other), d.doc_id)) AS kept
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY 1
+"""
