@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ridgeweave.functions import geometry as G
 from ridgeweave.functions.crs import to_degrees
@@ -43,7 +44,7 @@ def in_degrees(line: Column) -> Column:
     return F.transform(line, one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def profile_at(where: pd.Series, distance: pd.Series, value: pd.Series) -> pd.Series:
     """Values of a profile at places along it, clamped at both ends."""
     return pd.Series([None if d is None or len(d) == 0 else np.interp(np.asarray(w, float), np.asarray(d, float), np.asarray(v, float)) for w, d, v in zip(where, distance, value, strict=True)])
