@@ -14,7 +14,7 @@ from ridgeweave import config
 from ridgeweave.operators import elevation, graph, paths, qa, samples, search
 from ridgeweave.session import get_session
 from ridgeweave.sinks import files, pages
-from ridgeweave.sources import fetch as F_
+from ridgeweave.sources import fetch as downloads
 from ridgeweave.sources.geojson import read_vector
 from ridgeweave.sources.layers import load_paths
 
@@ -39,15 +39,15 @@ class Run:
         return self.table(name)
 
     def contours(self):
-        found = F_.layer_file(self.settings.data_dir / "raw" / "data_gov", "national_map_line")
+        found = downloads.layer_file(self.settings.data_dir / "raw" / "data_gov", "national_map_line")
         if found is None:
             raise FileNotFoundError("no contour layer; fetch it first")
         return read_vector(self.spark, str(found))
 
     def fetch(self) -> int:
-        for r in F_.fetch_layers(self.settings):
+        for r in downloads.fetch_layers(self.settings):
             print(f"{r['name']}: {r['path']}")
-        print(f"ways: {F_.fetch_osm(self.settings)}")
+        print(f"ways: {downloads.fetch_osm(self.settings)}")
         return 0
 
     def inspect(self) -> int:
