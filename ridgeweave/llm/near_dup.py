@@ -113,7 +113,8 @@ def sets(docs: DataFrame, wanted: DataFrame, how: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    return d.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    # Dealt at every size: the wanted ids grow with the documents, so broadcasting them would only do for small tables.
+    return d.join(wanted.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
 def keys(how: Forest, depth: int, sig: str = "sig") -> list[Column]:
@@ -139,8 +140,9 @@ def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataF
     pairs = to_leader(members)
     inside = members.filter(F.col("size") > how.small)
     for level, depth in enumerate(DEPTHS[1:], 1):
-        deeper = classes.select("id", F.array(*keys(how, depth)).alias("deeper"))
-        named = inside.select("id", "tree").join(deeper, "id").select("id", "tree", F.get("deeper", F.col("tree")).alias(f"k{level}"))
+        trees_of = inside.groupBy("id").agg(F.collect_list("tree").alias("trees"))  # at most one entry for each tree
+        deeper = classes.join(trees_of, "id").select("id", "trees", F.array(*keys(how, depth)).alias("deeper"))
+        named = deeper.select("id", F.explode(F.transform("trees", lambda t: F.struct(t.alias("tree"), F.get("deeper", t).alias(f"k{level}")))).alias("x")).select("id", "x.*")
         named = scratch.keep(regions(named, f"k{level}"), f"level{level}")
         pairs = pairs.union(to_leader(named))
         inside = named.filter(F.col("size") > how.small)
@@ -151,13 +153,16 @@ def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataF
     return pairs.filter("a <> b").distinct(), members.filter("size > 2").select(F.col("k0").alias("region"), "id")
 
 
+def may_be(how: Forest, left: str, right: str) -> Column:
+    """Whether the sizes and signatures of two sides allow the least similarity."""
+    equal = F.aggregate(F.zip_with(f"sig{left}", f"sig{right}", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return (100 * F.least(f"n{left}", f"n{right}") >= how.percent * F.greatest(f"n{left}", f"n{right}")) & (equal >= how.least_equal())
+
+
 def likely(pairs: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     """Pairs whose sizes and signatures allow the least similarity."""
-    c = classes.select("id", "n", "sig")
-    side = lambda x: c.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    equal = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.filter((100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb")) & (equal >= how.least_equal())).select("a", "b")
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be(how, "a", "b")).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, how: Forest, scratch: Scratch) -> DataFrame:
@@ -172,19 +177,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, how: Forest, scratch: Scratch)
     return scratch.keep(both.select("a", "b").distinct(), "confirmed")
 
 
-def between_components(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one region that lie in different components.
+def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
+    """Likely pairs of members of one region that lie in different components.
 
     Members of the region's largest component need no pairs among themselves,
-    so they stand on one side of the join only.
+    so they stand on one side of the join only. Sizes and signatures are
+    compared within the join, which gives out nothing else.
     """
-    named = large.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    named = shared.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
     share = named.groupBy("region", "component").count()
     main = share.groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1").select("region", "main")
-    named = named.join(main, "region")
-    few = named.filter("component <> main").select("region", F.col("id").alias("x"), F.col("component").alias("cx"))
-    all_of = named.select("region", F.col("id").alias("y"), F.col("component").alias("cy"))
-    return few.join(all_of, "region").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = named.join(main, "region").join(classes.select("id", "n", "sig"), "id")
+    side = lambda x: named.select("region", "main", F.col("id").alias(x), F.col("component").alias("c" + x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
+    x, y = side("x").filter("cx <> main").drop("main"), side("y").drop("main").withColumnRenamed("region", "other")
+    pairs = x.join(y, (F.col("region") == F.col("other")) & (F.col("cx") != F.col("cy")) & may_be(how, "x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
@@ -196,7 +203,7 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     pairs, large = candidates(classes, how, scratch)
     links = confirmed(likely(pairs, classes, how), docs, how, scratch)
     labels = components(links, scratch)
-    more = scratch.keep(likely(between_components(large, labels), classes, how), "between")
+    more = scratch.keep(between_components(large, labels, classes, how), "between")
     if more.limit(1).count():
         more = confirmed(more, docs, how, scratch)
         if more.limit(1).count():
