@@ -134,7 +134,7 @@ def to_leader(members: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), and the members (region, id) of regions that may hold further pairs."""
+    """Pairs (a, b), and the members (region, tree, id) of regions that may hold further pairs."""
     trees = F.posexplode(F.array(*keys(how, DEPTHS[0])))
     members = scratch.keep(regions(classes.select("id", trees.alias("tree", "k0")), "k0"), "members")
     pairs = to_leader(members)
@@ -150,7 +150,7 @@ def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataF
     order = W.partitionBy(f"k{len(DEPTHS) - 1}", "part").orderBy("sig", "id")
     near = rest.select("id", F.lead("id").over(order).alias("next")).filter("next is not null")
     pairs = pairs.union(near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))
-    return pairs.filter("a <> b").distinct(), members.filter("size > 2").select(F.col("k0").alias("region"), "id")
+    return pairs.filter("a <> b").distinct(), members.filter("size > 2").select(F.col("k0").alias("region"), "tree", "id")
 
 
 def may_be(how: Forest, left: str, right: str) -> Column:
@@ -159,6 +159,13 @@ def may_be(how: Forest, left: str, right: str) -> Column:
     return (100 * F.least(f"n{left}", f"n{right}") >= how.percent * F.greatest(f"n{left}", f"n{right}")) & (equal >= how.least_equal())
 
 
+def first_tree(how: Forest, left: str, right: str) -> Column:
+    """The first tree on whose first places two signatures agree."""
+    places = F.array(*[F.array(*map(F.lit, order[: DEPTHS[0]])) for order in how.orders()])
+    agree = F.transform(places, lambda tree: F.forall(tree, lambda p: F.get(F.col(left), p) == F.get(F.col(right), p)))
+    return F.array_position(agree, True).cast("int") - 1
+
+
 def likely(pairs: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
     """Pairs whose sizes and signatures allow the least similarity."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
@@ -182,15 +189,16 @@ def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
 
     Members of the region's largest component need no pairs among themselves,
     so they stand on one side of the join only. Sizes and signatures are
-    compared within the join, which gives out nothing else.
+    compared within the join, which gives out nothing else, and a pair only in
+    the first tree whose region it shares.
     """
-    named = shared.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    named = shared.join(labels, "id", "left").select("region", "tree", "id", F.coalesce("component", "id").alias("component"))
     share = named.groupBy("region", "component").count()
     main = share.groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1").select("region", "main")
     named = named.join(main, "region").join(classes.select("id", "n", "sig"), "id")
-    side = lambda x: named.select("region", "main", F.col("id").alias(x), F.col("component").alias("c" + x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
-    x, y = side("x").filter("cx <> main").drop("main"), side("y").drop("main").withColumnRenamed("region", "other")
-    pairs = x.join(y, (F.col("region") == F.col("other")) & (F.col("cx") != F.col("cy")) & may_be(how, "x", "y"))
+    side = lambda x: named.select("region", "tree", "main", F.col("id").alias(x), F.col("component").alias("c" + x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
+    x, y = side("x").filter("cx <> main").drop("main"), side("y").drop("main", "tree").withColumnRenamed("region", "other")
+    pairs = x.join(y, (F.col("region") == F.col("other")) & (F.col("cx") != F.col("cy")) & may_be(how, "x", "y") & (first_tree(how, "sigx", "sigy") == F.col("tree")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
