@@ -45,7 +45,7 @@ class Shape:
     classes: int = 64
     bits: int = 14
     rounds: int = 2
-    stride: int = 8
+    stride: int = 1
     rate: float = 0.3
     batch: int = 2048
     block_bytes: int = 4 << 20

@@ -277,6 +277,18 @@ def test_the_model_beats_unigrams_on_held_out_texts(spark):
     assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.2
 
 
+def test_every_training_word_reaches_the_weights(spark):
+    s = maxent.Shape()
+    ids = [k for k in range(40) if not maxent.held_out(k)]
+    table = maxent.blocks(spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in ids], "doc_id long, text string").coalesce(1), s).cache()
+    weights = np.zeros((s.rows(), s.classes), np.float32)
+    for k in range(s.rounds):
+        weights = maxent.train_round(table, weights, np.zeros(s.classes, np.float32), s, k)
+    sizes, words, vocab, classes = maxent.opened(table.first())
+    for rows in maxent.features(vocab, classes, words, np.cumsum(sizes) - sizes, s):
+        assert weights[rows].any(axis=1).all()
+
+
 def test_class_probabilities_sum_to_one():
     s = maxent.Shape(classes=8, bits=4)
     w = np.random.default_rng(1).normal(size=(s.rows(), 8)).astype(np.float32)
