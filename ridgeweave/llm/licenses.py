@@ -1,7 +1,10 @@
 r"""Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences and lines; each is normalised to lower-case
-letters, digits and single blanks and looked up among known licence sentences.
+A text is cut at sentence ends, blank lines and around title lines; a single
+line feed is white space, as licence texts are wrapped. Each sentence is
+normalised to lower-case letters, digits and single blanks. Known licence
+sentences are found anywhere in it, unless "not" stands before them; titles
+have to be the whole of it.
 The known identifiers, in the text's order, are then matched against ordered
 rules: at each place the first rule wins whose identifiers follow one another
 there, and the scan goes on behind it. Longer rules stand before the shorter
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from ridgeweave.llm import text as T
 
 P = "__license_"
-SENTENCE_END = r"[.;:!?]+[\x20\x09-\x0D]+|\n"
+_TITLE = r"(?:[Tt][Hh][Ee] )?[Mm][Ii][Tt] [Ll][Ii][Cc][Ee][Nn][Ss][Ee](?: \([Mm][Ii][Tt]\))?"
+_BLANK = r"[\x20\x09\x0D]"
+SENTENCE_END = rf"[.;:!?]+[\x20\x09-\x0D]+|\n{_BLANK}*\n|\n(?={_BLANK}*{_TITLE}{_BLANK}*(?:\n|$))|(?<={_TITLE}){_BLANK}*\n"
 
 #: Sentences of public licences and notices, normalised, by identifier.
 SENTENCES = {
@@ -61,6 +66,9 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+#: Titles, which count as whole sentences only.
+TITLES = {"the mit license": "mit-title", "the mit license mit": "mit-title", "mit license": "mit-title", "mit license mit": "mit-title"}
+
 #: Ordered rules: a licence and the identifiers that state it.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-keep", "mit-as-is")),
@@ -102,10 +110,16 @@ def normal(sentence: Column) -> Column:
 
 def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """(at, id) of the known sentences of a text, in order."""
-    longest = 2 * max(map(len, sentences.values()))
-    ids = F.create_map(*chain.from_iterable((F.lit(s), F.lit(k)) for k, s in sentences.items()))
-    each = F.transform(F.split(text, SENTENCE_END), lambda x, i: F.struct(i.alias("at"), F.when(F.length(x).between(4, longest), F.try_element_at(ids, normal(x))).alias("id")))
-    return F.filter(each, lambda x: x["id"].isNotNull())
+    inside = sorted((x for x in sentences.values() if x not in TITLES), key=len, reverse=True)
+    pattern = rf"(?<![a-z0-9])(?<!\bnot )(?:{'|'.join(inside)})(?![a-z0-9])"
+    ids = F.create_map(*chain.from_iterable((F.lit(s), F.lit(k)) for s, k in ({s: k for k, s in sentences.items()} | TITLES).items()))
+    titles = F.array(*map(F.lit, TITLES))
+
+    def found(x: Column, i: Column) -> Column:
+        which = T.let(normal(x), lambda s: F.when(F.array_contains(titles, s), F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(pattern), F.lit(0))))
+        return F.transform(which, lambda s: F.struct(i.alias("at"), F.try_element_at(ids, s).alias("id")))
+
+    return F.flatten(F.transform(F.split(text, SENTENCE_END), found))
 
 
 def match_rules(ids: Column, rules: tuple = RULES) -> Column:

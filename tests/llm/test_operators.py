@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -433,6 +434,23 @@ def test_licences(spark, text, found):
     assert licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == found
 
 
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + "\n\n".join(textwrap.fill(x, 76) for x in MIT.split("\n")), "MIT"),
+        ("\n".join(textwrap.fill(x, 74, subsequent_indent="   ") for x in (BSD + THIRD).split("\n")), "BSD-3-Clause"),
+        (textwrap.fill(GPL, 72, initial_indent=" * ", subsequent_indent=" * "), "GPL-3.0-or-later"),
+        ("This project is released under the MIT License.", "MIT"), ("MIT License", "MIT"), ("The MIT License (MIT)\nCopyright (c) 2020 X", "MIT"), ("X\nMIT License\r\nCopyright X", "MIT"),
+        ("We compare it with the MIT License here.", ""), ("It is not licensed under the MIT License.", ""),
+    ],
+)
+def test_wrapped_licences_and_notices_in_sentences(spark, text, found):
+    assert licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == found
+
+
 def test_licences_of_odd_rows(docs):
     assert licenses.report(docs).count() == len(texts())
     assert json.dumps(licenses.RULES)
