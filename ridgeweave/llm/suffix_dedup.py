@@ -78,6 +78,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def both_prints(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A fingerprint of 64 bits of an anchor in its context; compared within one document only."""
+    return mixed(mixed(key ^ U(BASE)) + context)
+
+
 class Prints:
     """Fingerprints of any substrings of ``data``, from sums over its beginnings."""
 
@@ -274,7 +279,7 @@ def index_task(buckets: int):
         for b in range(buckets):
             p = slice(cuts[b], cuts[b + 1])
             if cuts[b] < cuts[b + 1]:
-                rows.append((b, ENTRIES, None, key[p].tobytes(), context[p].astype(np.uint32).tobytes(), doc[p].tobytes(), None))
+                rows.append((b, ENTRIES, None, key[p].tobytes(), context[p].tobytes(), doc[p].tobytes(), None))
         for at in range(0, len(rows), 2000):
             yield batch_of(rows[at : at + 2000])
 
@@ -283,7 +288,7 @@ def index_task(buckets: int):
         for batch in sliced(batches):
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             for text, _, key, context, left, right in all_anchors(text_bytes(batch.column(1))):
-                parts.append((key, context & U(0xFFFFFFFF), ids[text], left, right))
+                parts.append((key, context, ids[text], left, right))
                 size += len(key)
                 if size >= HELD:
                     yield from settle(parts)
@@ -307,7 +312,7 @@ def scan_task(buckets: int):
         contexts = np.bincount(of_key[new])[of_key]
         low = np.minimum.reduceat(doc, np.flatnonzero(fresh))[of_key]
         high = np.maximum.reduceat(doc, np.flatnonzero(fresh))[of_key]
-        print_ = key ^ (context.astype(U) << U(32))
+        print_ = both_prints(key, context)
         for kind, chosen in ((COVERED, doc > least), (CLOSER, (doc == least) & (contexts > 1) & (low < high))):
             some = doc[chosen]
             prints = print_[chosen]
@@ -322,7 +327,7 @@ def scan_task(buckets: int):
                 if kind == SPAN:
                     passed.append((b, kind, d, x, y, z, w))
                 else:
-                    families.setdefault(b, Family()).add([np.frombuffer(x, U), np.frombuffer(y, np.uint32), np.frombuffer(z, np.int64)])
+                    families.setdefault(b, Family()).add([np.frombuffer(x, U), np.frombuffer(y, U), np.frombuffer(z, np.int64)])
             if passed:
                 yield batch_of(passed)
         rows: list[tuple] = []
@@ -348,7 +353,7 @@ def apply_task(buckets: int):
             flags = [[np.frombuffer(b"".join(x or []), U) for x in batch.column(c).to_pylist()] for c in (2, 3)]
             rows: list[tuple] = []
             for text, _, key, context, left, right in all_anchors(texts):
-                prints = key ^ ((context & U(0xFFFFFFFF)) << U(32))
+                prints = both_prints(key, context)
                 cuts = np.flatnonzero(np.diff(text)) + 1
                 hit = [np.zeros(len(text), bool), np.zeros(len(text), bool)]
                 for p in np.split(np.arange(len(text)), cuts) if len(text) else []:

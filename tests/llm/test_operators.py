@@ -10,6 +10,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +167,18 @@ def test_suffix_dedup_over_many_tasks_and_cuts(spark, monkeypatch):
     assert places(whole) <= places(pieces)
 
 
+def test_contexts_that_agree_in_their_low_bits_differ(monkeypatch):
+    r, plain = random.Random(3), suffix_dedup.all_anchors
+    common = sentence(r, 30)[:49]
+    rows = [(k, sentence(r, 20)[:60] + common + sentence(r, 20)[:60]) for k in range(6)]
+    data = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows])], names=["doc_id", "text"])
+    monkeypatch.setattr(suffix_dedup, "all_anchors", lambda some: ((t, p, k, c << np.uint64(32), a, b) for t, p, k, c, a, b in plain(some)))
+    entries = list(suffix_dedup.index_task(1)([data]))
+    flags = list(suffix_dedup.scan_task(1)(entries))
+    assert {k for x in entries for k in x.column(1).to_pylist()} == {suffix_dedup.ENTRIES}
+    assert {k for x in flags for k in x.column(1).to_pylist()} == {suffix_dedup.CLOSER}
+
+
 # -- archives ------------------------------------------------------------------------
 
 
