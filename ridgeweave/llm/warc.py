@@ -36,7 +36,7 @@ SALTS = 16
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
-HEADER_MOST = 1 << 16
+HEADER_STEP = 1 << 12
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -142,12 +142,15 @@ class Broken(ValueError):
 
 def parse(data: bytes | memoryview, at: int = 0) -> tuple[Record, int]:
     """The record whose version line is at ``at``, and where the next thing begins."""
-    head = bytes(data[at : at + HEADER_MOST])
+    size = HEADER_STEP
+    head = bytes(data[at : at + size])
     if not head.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
         raise Broken("no version line")
-    stop = head.find(END)
-    if stop < 0:
-        raise Broken("header doesn't end")
+    while (stop := head.find(END)) < 0:
+        if at + size >= len(data):
+            raise Broken("header doesn't end")
+        size *= 4
+        head = bytes(data[at : at + size])
     headers: dict[str, str] = {}
     for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -173,32 +176,45 @@ def parse(data: bytes | memoryview, at: int = 0) -> tuple[Record, int]:
     return made, end + len(END)
 
 
-def inflate(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends; fed in steps, so what follows is not copied."""
+def inflate(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """The gzip member at ``at``, where it ends, and what it lacks; fed in steps, so what follows is not copied."""
     out, d, pos = [], zlib.decompressobj(31), at
     try:
         while not d.eof:
             if pos >= len(data):
-                raise Broken("truncated member")
+                return b"".join(out), len(data), "truncated member"
             out.append(d.decompress(data[pos : pos + step]))
             pos += step
     except zlib.error as e:
         raise Broken(f"member: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data), ""
 
 
-def at_record(data: memoryview, at: int) -> tuple[list[Record], int]:
-    """The whole records of what stands at ``at``, plain or in a gzip member, and where it ends."""
+def at_record(data: memoryview, at: int) -> tuple[list[Record | str], int]:
+    """What stands at ``at``, plain or in a gzip member, and where it ends.
+
+    In a member the reader goes on at the next version line after what is no
+    whole record, and tells why; a member without any whole record is broken.
+    """
     if bytes(data[at : at + 3]) != MAGIC:
         one, end = parse(data, at)
         return [one], end
-    content, end = inflate(data, at)
-    found, pos = [], 0
+    content, end, lacks = inflate(data, at)
+    found: list[Record | str] = []
+    pos = 0
     while pos < len(content):
-        one, pos = parse(content, pos)
-        found.append(one)
-    if not found:
-        raise Broken("empty member")
+        try:
+            one, pos = parse(content, pos)
+            found.append(one)
+        except Broken as e:
+            if not found or not isinstance(found[-1], str):
+                found.append(str(e))
+            after = content.find(b"WARC/1.", pos + 1)
+            pos = after if after >= 0 else len(content)
+    if not any(isinstance(x, Record) for x in found):
+        raise Broken(lacks or next(iter(found), "empty member"))
+    if lacks and not isinstance(found[-1], str):
+        found.append(lacks)
     return found, end
 
 

@@ -219,6 +219,17 @@ def test_salvage_recovers_what_follows_damage():
     assert [type(x[2]) for x in warc.salvage(altered + records[1])] == [str, warc.Record]
 
 
+def test_long_headers_and_members_of_many_records():
+    long = warc.record(1, "http://x/" + "q" * 70_000, b"payload", None)
+    assert [type(x[2]) for x in warc.salvage(warc.member(long))] == [warc.Record]
+    records = [warc.record(k, f"http://x/{k}", random.Random(k).randbytes(400), None) for k in range(5)]
+    ids = lambda data: [x[2] if isinstance(x[2], str) else x[2].headers["warc-record-id"] for x in warc.salvage(data)]
+    bad = records[2][:-20] + b"x" * 16 + warc.END
+    assert ids(warc.member(b"".join([*records[:2], bad, *records[3:]]))) == ["<urn:page:0>", "<urn:page:1>", "warc-block-digest differs", "<urn:page:3>", "<urn:page:4>"]
+    whole = warc.member(b"".join(records))
+    assert ids(whole[: len(whole) // 2])[0] == "<urn:page:0>"
+
+
 # -- personal data ---------------------------------------------------------------------
 
 BASE = {
