@@ -1,22 +1,34 @@
 """Near-duplicates by an LSH forest of MinHash signatures.
 
 Documents with the same shingle set form a class, which its smallest doc_id
-represents. Every tree of the forest orders the classes by its own sequence of
-signature places. A region is what shares a tree's first ``DEPTHS[0]`` places;
-every member is paired with the region's smallest member. Large regions are
-entered deeper, up to ``DEPTHS[-1]`` places, with the same pairs on each depth
-and at the bottom those of neighbours in the sorted order, so candidates grow
-with the members and not with their square. Candidates that the signatures
-make all but impossible go (six standard errors), the others are confirmed on
-full sets. At last, wherever a region still holds members of different
-components, the pairs between these are confirmed too, so taking only
-neighbours at first loses no link.
+represents. A signature has one byte for each of ``places`` hash functions.
+Every tree of the forest is a sorted order of the classes by its own sequence
+of signature places. A region is what agrees on a tree's first ``least``
+places. Within a region the classes that stand next to each other share the
+longest prefixes, so the depth at which candidates meet follows the region's
+density: each class is a candidate with its ``near`` neighbours on both sides.
+A sorted order is cut anywhere into tasks, also inside a region, so a region
+of any size is spread over as many tasks as its rows need, and candidates grow
+with the rows.
+
+Candidates whose signatures make the least similarity all but impossible go
+(six standard errors); the others are confirmed on full sets, and the links
+give first components. What neighbours alone can miss is then settled exactly.
+Every class of a region that still holds several components takes part in a
+join on its rarest shingles: two sets of the least similarity share one of
+them. Within the join a pair has to lie in different components and to pass
+bounds on size, on the place of the shared shingle, and on the difference of
+parity sketches, none of which can lose a link. What passes is confirmed on
+full sets, and its links contract the first components. So the only pairs
+that can be lost are those that share no region in any tree, or that six
+standard errors cut off.
 
 Sets hold 64-bit hashes of shingles. Defined results: a null, empty or
 wordless text has no shingles and is linked with nothing; a text of fewer
-words than a shingle is one shingle; rows with one doc_id count as one
-document; a row without doc_id has no component and is kept; an empty table
-gives no rows; further columns pass through ``keep_first``.
+words than a shingle is one shingle; rows with one doc_id are one document,
+which every one of their texts links; a row without doc_id has no component
+and is kept; an empty table gives no rows; further columns pass through
+``keep_first``. Ties between neighbours in an order go by id.
 """
 
 from __future__ import annotations
@@ -28,36 +40,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeweave.operators.components import components
 from ridgeweave.scratch import Scratch
 
-DEPTHS = (6, 9, 16)
+#: Counters of the shingle frequencies that order shingles by rarity; any order is right, so collisions only cost time.
+COUNTERS = 1 << 18
+#: 64-bit words of a parity sketch.
+SKETCH = 4
+PAIR, MEMBER = 0, 1
+U = np.uint64
 
 
 @dataclass(frozen=True)
 class Forest:
-    """``words`` in a shingle, least similarity in ``percent``, signature ``places``, ``trees``, and the size up to which a region is ``small``."""
+    """``words`` in a shingle, least similarity in ``percent``, signature ``places``, ``trees``, a region's ``least`` depth and the ``most`` places that order a tree, and how many neighbours are ``near``."""
 
     words: int = 5
     percent: int = 80
     places: int = 128
     trees: int = 48
-    small: int = 24
+    least: int = 6
+    most: int = 32
+    near: int = 3
 
-    def orders(self) -> list[list[int]]:
+    def orders(self) -> np.ndarray:
         """Signature places in the order in which each tree looks at them."""
         random = np.random.default_rng(7)
-        return [random.permutation(self.places)[: DEPTHS[-1]].tolist() for _ in range(self.trees)]
+        return np.array([random.permutation(self.places)[: self.most] for _ in range(self.trees)])
 
     def least_equal(self) -> int:
         """Equal places below which a pair of the least similarity lies six standard errors off."""
         p = self.percent / 100
         return max(0, math.floor(self.places * (p - 6 * math.sqrt(p * (1 - p) / self.places))))
 
+    def least_common(self, sizes: int) -> int:
+        """Least common shingles of two sets of so many shingles together."""
+        return -(-self.percent * sizes // (100 + self.percent))
+
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
@@ -78,20 +100,26 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def signature(shingles: np.ndarray, factors: np.ndarray, step: int = 1024) -> np.ndarray:
-    """The upper halves of each factor's smallest product with a shingle."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(32))
+    x *= U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(29))
+
+
+def signature(shingles: np.ndarray, factors: np.ndarray, step: int = 1024) -> bytes:
+    """One byte of each factor's smallest product with a shingle."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, U)
     for at in range(0, len(shingles), step):
         np.minimum(least, (shingles[at : at + step, None] * factors).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (mixed(least) >> U(56)).astype(np.uint8).tobytes()
 
 
 def signed(docs: DataFrame, how: Forest) -> DataFrame:
     """(doc_id, n, digest, sig) of each document; no digest if it has no shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = np.random.default_rng(11).integers(0, 1 << 63, how.places, np.uint64) * np.uint64(2) + np.uint64(1)
+        factors = np.random.default_rng(11).integers(0, 1 << 63, how.places, U) * U(2) + U(1)
         for batch in batches:
             sizes, digests, sigs = [], [], []
             for text in batch.column(1):
@@ -99,13 +127,101 @@ def signed(docs: DataFrame, how: Forest) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s, factors) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, schema.field("sig").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+
+
+def byte_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), width) if len(column) else np.empty((0, width), np.uint8)
+
+
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def planted(classes: DataFrame, how: Forest) -> DataFrame:
+    """(key, id): each class once in each tree; a key is the tree and the places in its order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = how.orders()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                sigs = byte_rows(batch.column(1), how.places)
+                keys = np.empty((len(sigs), how.trees, 1 + how.most), np.uint8)
+                keys[:, :, 0] = np.arange(how.trees)
+                keys[:, :, 1:] = sigs[:, orders]
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), how.trees)
+                yield pa.RecordBatch.from_arrays([binary_column(keys.reshape(-1, 1 + how.most)), pa.array(ids, pa.int64())], names=["key", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "key binary, id long")
+
+
+def neighbours(trees: DataFrame, how: Forest) -> DataFrame:
+    """(kind, a, b): PAIR of neighbours of a region, and MEMBER b of the region a.
+
+    A task walks through its stretch of the sorted orders. The first and the
+    last row of a stretch always count as members, as their company may lie
+    beyond; a pair across that border is left to the exact join, which knows
+    both as members.
+    """
+    region = 1 + how.least
+
+    def region_of(keys: np.ndarray) -> np.ndarray:
+        return (keys[:, :region].astype(np.int64) << np.arange(8 * (region - 1), -1, -8)).sum(axis=1) if region <= 8 else mixed((keys[:, :region].astype(U) * np.random.default_rng(3).integers(1, 1 << 62, region, U)).sum(axis=1)).view(np.int64)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, sig array<int>")
+    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = np.empty((0, 1 + how.most), np.uint8), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(ids)
+            keys = np.concatenate((keys, byte_rows(batch.column(0), 1 + how.most)))
+            ids = np.concatenate((ids, batch.column(1).to_numpy(zero_copy_only=False)))
+            if not old:
+                yield rows(MEMBER, region_of(keys[:1]), ids[:1])
+            together = (keys[1:, :region] == keys[:-1, :region]).all(axis=1)
+            new = np.flatnonzero(together[max(0, old - 1) :]) + max(0, old - 1)
+            some = np.unique(np.concatenate((new, new + 1)))
+            yield rows(MEMBER, region_of(keys[some]), ids[some])
+            run_of = together
+            for gap in range(1, how.near + 1):
+                if gap > 1:
+                    run_of = run_of[:-1] & together[gap - 1 :]
+                at = np.flatnonzero(run_of)
+                at = at[at + gap >= old]
+                yield rows(PAIR, np.minimum(ids[at], ids[at + gap]), np.maximum(ids[at], ids[at + gap]))
+            keys, ids = keys[-how.near :].copy(), ids[-how.near :].copy()
+        if len(ids):
+            yield rows(MEMBER, region_of(keys[-1:]), ids[-1:])
+
+    return trees.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(run, "kind int, a long, b long")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
+    """Pairs whose sizes and signatures allow the least similarity."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = how.least_equal()
+        for batch in batches:
+            equal = (byte_rows(batch.column(2), how.places) == byte_rows(batch.column(3), how.places)).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(equal >= least))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, how: Forest) -> DataFrame:
-    """(id, shingles) of the documents whose id is in ``wanted``."""
+    """(id, shingles) of the documents whose id is in ``wanted``; a repeated text once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,112 +230,130 @@ def sets(docs: DataFrame, wanted: DataFrame, how: Forest) -> DataFrame:
 
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     # Dealt at every size: the wanted ids grow with the documents, so broadcasting them would only do for small tables.
-    return d.join(wanted.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    some = d.join(wanted.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    once = some.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    return once.select("id", "text").mapInArrow(run, "id long, shingles array<long>").filter("size(shingles) > 0")
 
 
-def keys(how: Forest, depth: int, sig: str = "sig") -> list[Column]:
-    """Each tree's key of its first ``depth`` places."""
-    return [F.xxhash64(F.lit(t), *[F.get(F.col(sig), F.lit(p)) for p in order[:depth]]) for t, order in enumerate(how.orders())]
+def confirmed(pairs: DataFrame, full: DataFrame, how: Forest) -> DataFrame:
+    """Pairs that are similar enough on full sets."""
+    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias("s" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return both.filter(100 * F.col("common") >= how.percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
 
 
-def regions(members: DataFrame, key: str) -> DataFrame:
-    """``members`` of regions with company, with the region's size and smallest member."""
-    known = members.groupBy(key).agg(F.count("*").alias("size"), F.min("id").alias("leader")).filter("size > 1")
-    return members.drop("size", "leader").join(known, key)
+def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component) of the members of regions that hold several components."""
+    named = members.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    mixed_ = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("region")
+    return named.join(mixed_, "region").select("id", "component").distinct()
 
 
-def to_leader(members: DataFrame) -> DataFrame:
-    """Each member with the smallest one of its region."""
-    return members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+def frequencies(some: DataFrame) -> np.ndarray:
+    """How often shingles occur, by their hash modulo COUNTERS: a fixed number of counters, whatever the input."""
+    counts = np.zeros(COUNTERS, np.int64)
+    got = some.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("slot")).count().toArrow()
+    counts[got.column("slot").to_numpy()] = got.column("count").to_numpy()
+    return counts
 
 
-def candidates(classes: DataFrame, how: Forest, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), and the members (region, tree, id) of regions that may hold further pairs."""
-    trees = F.posexplode(F.array(*keys(how, DEPTHS[0])))
-    members = scratch.keep(regions(classes.select("id", trees.alias("tree", "k0")), "k0"), "members")
-    pairs = to_leader(members)
-    inside = members.filter(F.col("size") > how.small)
-    for level, depth in enumerate(DEPTHS[1:], 1):
-        trees_of = inside.groupBy("id").agg(F.collect_list("tree").alias("trees"))  # at most one entry for each tree
-        deeper = classes.join(trees_of, "id").select("id", "trees", F.array(*keys(how, depth)).alias("deeper"))
-        named = deeper.select("id", F.explode(F.transform("trees", lambda t: F.struct(t.alias("tree"), F.get("deeper", t).alias(f"k{level}")))).alias("x")).select("id", "x.*")
-        named = scratch.keep(regions(named, f"k{level}"), f"level{level}")
-        pairs = pairs.union(to_leader(named))
-        inside = named.filter(F.col("size") > how.small)
-    rest = inside.join(classes.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 4096)))
-    order = W.partitionBy(f"k{len(DEPTHS) - 1}", "part").orderBy("sig", "id")
-    near = rest.select("id", F.lead("id").over(order).alias("next")).filter("next is not null")
-    pairs = pairs.union(near.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")))
-    return pairs.filter("a <> b").distinct(), members.filter("size > 2").select(F.col("k0").alias("region"), "tree", "id")
+POSTING = [("token", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("front", pa.bool_()), *((f"o{k}", pa.int64()) for k in range(SKETCH))]
+POSTING_DDL = "token long, id long, component long, n int, at int, front boolean, " + ", ".join(f"o{k} long" for k in range(SKETCH))
 
 
-def may_be(how: Forest, left: str, right: str) -> Column:
-    """Whether the sizes and signatures of two sides allow the least similarity."""
-    equal = F.aggregate(F.zip_with(f"sig{left}", f"sig{right}", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (100 * F.least(f"n{left}", f"n{right}") >= how.percent * F.greatest(f"n{left}", f"n{right}")) & (equal >= how.least_equal())
+def rarest_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return shingles[np.lexsort((shingles, counts[shingles.view(np.int64) % COUNTERS]))]
 
 
-def first_tree(how: Forest, left: str, right: str) -> Column:
-    """The first tree on whose first places two signatures agree."""
-    places = F.array(*[F.array(*map(F.lit, order[: DEPTHS[0]])) for order in how.orders()])
-    agree = F.transform(places, lambda tree: F.forall(tree, lambda p: F.get(F.col(left), p) == F.get(F.col(right), p)))
-    return F.array_position(agree, True).cast("int") - 1
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Of each of the sketch's bits, whether an odd number of shingles falls on it.
 
+    Two sketches differ in at most as many bits as their sets differ in shingles.
+    """
+    bit = (mixed(shingles) >> U(40)) % U(64 * SKETCH)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
-def likely(pairs: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
-    """Pairs whose sizes and signatures allow the least similarity."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be(how, "a", "b")).select("a", "b")
 
+def postings(some: DataFrame, counts: np.ndarray, how: Forest) -> DataFrame:
+    """Each set's rarest shingles: those that a smaller set of the least similarity must meet, in front those that a larger one must."""
 
-def confirmed(pairs: DataFrame, docs: DataFrame, how: Forest, scratch: Scratch) -> DataFrame:
-    """Pairs that are similar enough on full sets."""
-    pairs = scratch.keep(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    full = scratch.keep(sets(docs, wanted, how), "sets")
-    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias("s" + x))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("common", common).filter(100 * F.col("common") >= how.percent * (F.size("sa") + F.size("sb") - F.col("common")))
-    return scratch.keep(both.select("a", "b").distinct(), "confirmed")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in POSTING]
+            for id_, component, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = shingles.values.to_numpy(zero_copy_only=False).view(U)
+                n = len(s)
+                prefix = rarest_first(s, counts)[: n - -(-how.percent * n // 100) + 1]
+                front = n - how.least_common(2 * n) + 1
+                m = len(prefix)
+                values = (prefix.view(np.int64), np.full(m, id_), np.full(m, component), np.full(m, n), np.arange(m), np.arange(m) < front, *(np.full(m, o) for o in parity_sketch(s)))
+                for held, x in zip(columns, values, strict=True):
+                    held.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, (_, kind) in zip(columns, POSTING, strict=True)], schema=pa.schema(POSTING))
+
+    return some.select("id", "component", "shingles").mapInArrow(run, POSTING_DDL)
+
+
+def across(posted: DataFrame, how: Forest) -> DataFrame:
+    """Pairs of different components that may reach the least similarity.
+
+    Each shared rare shingle has a main component, its most frequent one.
+    Members of that one are never compared with each other: outsiders stand on
+    one side of the join, or the main ones face outsiders only.
+    """
+    share = posted.groupBy("token", "component").count()
+    main = share.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1").select("token", "main")
+    posted = posted.join(main, "token").withColumn("outside", F.col("component") != F.col("main"))
 
+    def matched(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in d.columns]) for d, side in ((x, "x"), (y, "y")))
+        n, m = F.col("x_n"), F.col("y_n")
+        least = F.ceil(F.lit(how.percent) * (n + m) / (100 + how.percent))
+        differ = sum((F.bit_count(F.col(f"x_o{k}").bitwiseXOR(F.col(f"y_o{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x_o0").bitwiseXOR(F.col("y_o0"))))
+        bounds = (m <= n) & (100 * m >= how.percent * n) & (F.least(n - F.col("x_at"), m - F.col("y_at")) >= least) & (differ <= n + m - 2 * least)
+        return x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component")) & bounds).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
-def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, how: Forest) -> DataFrame:
-    """Likely pairs of members of one region that lie in different components.
+    front, outside = F.col("front"), F.col("outside")
+    return matched(posted.filter(outside), posted.filter(front)).union(matched(posted.filter(~outside), posted.filter(front & outside))).distinct()
 
-    Members of the region's largest component need no pairs among themselves,
-    so they stand on one side of the join only. Sizes and signatures are
-    compared within the join, which gives out nothing else, and a pair only in
-    the first tree whose region it shares.
-    """
-    named = shared.join(labels, "id", "left").select("region", "tree", "id", F.coalesce("component", "id").alias("component"))
-    share = named.groupBy("region", "component").count()
-    main = share.groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1").select("region", "main")
-    named = named.join(main, "region").join(classes.select("id", "n", "sig"), "id")
-    side = lambda x: named.select("region", "tree", "main", F.col("id").alias(x), F.col("component").alias("c" + x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x))
-    x, y = side("x").filter("cx <> main").drop("main"), side("y").drop("main", "tree").withColumnRenamed("region", "other")
-    pairs = x.join(y, (F.col("region") == F.col("other")) & (F.col("cx") != F.col("cy")) & may_be(how, "x", "y") & (first_tree(how, "sigx", "sigy") == F.col("tree")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+def one_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between a document and the classes of its texts, where it has several."""
+    several = rows.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
+    return rows.join(several, "doc_id").join(classes.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document."""
     scratch = Scratch(docs.sparkSession, "near_dup")
     rows = scratch.keep(signed(docs, how), "signed")
-    classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = scratch.keep(classes, "classes")
-    pairs, large = candidates(classes, how, scratch)
-    links = confirmed(likely(pairs, classes, how), docs, how, scratch)
-    labels = components(links, scratch)
-    more = scratch.keep(between_components(large, labels, classes, how), "between")
-    if more.limit(1).count():
-        more = confirmed(more, docs, how, scratch)
-        if more.limit(1).count():
-            labels = components(links.union(more), scratch)
-    of_class = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    known = rows.filter("digest is not null and doc_id is not null")
+    classes = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+
+    walked = scratch.keep(neighbours(planted(classes, how), how), "neighbours")
+    members = walked.filter(F.col("kind") == MEMBER).select(F.col("a").alias("region"), F.col("b").alias("id"))
+    full = scratch.keep(sets(docs, members, how), "sets")
+    pairs = scratch.keep(likely(walked.filter(F.col("kind") == PAIR).select("a", "b").filter("a <> b").distinct(), classes, how), "likely")
+    links = scratch.keep(confirmed(pairs, full, how).union(one_document(rows, classes)), "links")
+    first = components(links, scratch)
+
+    open_ = undecided(members, first)
+    some = scratch.keep(full.join(open_, "id").select("id", "component", "shingles"), "undecided")
+    posted = scratch.keep(postings(some, frequencies(some), how), "postings")
+    found = scratch.keep(confirmed(scratch.keep(across(posted, how), "across"), full, how), "found")
+    of = some.select("id", "component").distinct()
+    joined = found.join(of.withColumnRenamed("id", "a"), "a").withColumnRenamed("component", "x").join(of.withColumnRenamed("id", "b"), "b")
+    above = components(joined.select(F.col("x").alias("a"), F.col("component").alias("b")), scratch)
+
+    above = above.select(F.col("id").alias("component"), F.col("component").alias("above"))
+    of_class = classes.select("digest", "id").join(first, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    of_class = of_class.join(above, "component", "left").select("digest", F.coalesce("above", "component").alias("component"))
+    shown = lambda component: ("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked = known.select("doc_id", "n", "digest").join(of_class, "digest").select(*shown(F.col("component")))
+    return linked.union(rows.filter("digest is null or doc_id is null").select(*shown(F.col("doc_id"))))
 
 
 def keep_first(docs: DataFrame, how: Forest = Forest()) -> DataFrame:

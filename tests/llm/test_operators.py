@@ -346,17 +346,49 @@ def test_near_duplicates(docs, words):
     assert got(near_dup.link(docs, near_dup.Forest(words=words)), "doc_id", "n_shingles", "component_id", "kept") == linked(texts(), words)
 
 
-def test_large_regions_lose_no_link(spark):
+def varied(r: random.Random, base: list[str], changes: int) -> str:
+    w = list(base)
+    for at in r.sample(range(len(w)), changes):
+        w[at] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("changes", [(0, 6), (3, 9), (14, 14)])
+def test_large_regions_lose_no_link(spark, changes):
+    """Groups whose pairs lie above, around and below the least similarity."""
     r = random.Random(2)
-    base = sentence(r, 60).split()
-    rows = []
-    for k in range(70):
-        w = list(base)
-        for _ in range(r.randint(0, 6)):
-            w[r.randrange(len(w))] = f"new{r.randrange(1000)}"
-        rows.append((k, " ".join(w)))
+    base = sentence(r, 100).split()
+    rows = [(k, varied(r, base, r.randint(*changes))) for k in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(near_dup.link(df, near_dup.Forest(words=2, small=6)), "doc_id", "n_shingles", "component_id", "kept") == linked(rows, 2)
+    assert got(near_dup.link(df, near_dup.Forest(words=2)), "doc_id", "n_shingles", "component_id", "kept") == linked(rows, 2)
+
+
+def test_the_exact_join_finds_what_neighbours_miss(spark):
+    """With one tree and one neighbour the order alone finds little; the join makes up for it."""
+    r = random.Random(4)
+    base = sentence(r, 80).split()
+    rows = [(k, varied(r, base, r.randint(0, 5))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = near_dup.Forest(words=2, trees=1, least=1, near=1)
+    whole = {i for i, *_ in near_dup.link(df, few).filter("component_id = 0").collect()}
+    known = {i for i, _, c, _ in linked(rows, 2) if c == 0}
+    assert whole <= known and len(whole) > 0.5 * len(known)
+
+
+def test_texts_of_one_document_link_it(spark):
+    r = random.Random(6)
+    a, b = sentence(r, 60), sentence(r, 60)
+    rows = [(5, a), (5, b), (9, a + " tail"), (3, b + " tail"), (7, sentence(r, 60)), (5, a)]
+    out = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.Forest(words=2)).collect()
+    assert {(x.doc_id, x.component_id) for x in out} == {(5, 3), (9, 3), (3, 3), (7, 7)} and len(out) == len(rows)
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = (np.unique(r.integers(0, 400, 200, np.uint64)) for _ in range(2))
+        bits = sum(int(v).bit_count() for v in (near_dup.parity_sketch(x) ^ near_dup.parity_sketch(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y))
 
 
 def test_one_row_of_each_component_stays(docs):
