@@ -49,7 +49,7 @@ from ridgeweave.scratch import Scratch
 #: Counters of the shingle frequencies that order shingles by rarity; any order is right, so collisions only cost time.
 COUNTERS = 1 << 18
 #: 64-bit words of a parity sketch.
-SKETCH = 4
+SKETCH = 8
 PAIR, MEMBER = 0, 1
 U = np.uint64
 
@@ -64,7 +64,7 @@ class Forest:
     trees: int = 48
     least: int = 6
     most: int = 32
-    near: int = 3
+    near: int = 1
 
     def orders(self) -> np.ndarray:
         """Signature places in the order in which each tree looks at them."""
