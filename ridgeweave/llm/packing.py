@@ -49,11 +49,12 @@ class ChunkEncoder:
     """Ids of whole texts, remembered by blank-separated chunk.
 
     The tokenizer normalises and splits without looking across a blank or a
-    line feed, so the ids of a text are those of its chunks in order. A-Z are
-    lowered beforehand as the tokenizer lowers them anyway. Punctuation behind
-    a letter or digit is a piece of its own, so it is encoded apart, and a
-    chunk of Latin letters is one piece, which the model alone can encode. A
-    text that has the opening of a special token is encoded whole.
+    line feed, so the ids of a text are those of its chunks in order. The
+    tokenizer composes characters before it lowers them, so A-Z are lowered
+    beforehand in ASCII chunks only. Punctuation behind a letter or digit that
+    lowers to one is a piece of its own, so it is encoded apart, and a chunk of
+    Latin letters is one piece, which the model alone can encode. A text that
+    has the opening of a special token is encoded whole.
     """
 
     TAIL = b".,;:!?#$%&*|)"
@@ -83,9 +84,18 @@ class ChunkEncoder:
                 return self._packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode())))])
         return self._whole(text)
 
+    @staticmethod
+    def _ends_in_a_letter(core: bytes) -> bool:
+        if core[-1:].isalnum():
+            return True
+        last = core.decode()[-1:]
+        return "" < last < "\u0250" and last.isalpha() and len(last.lower()) == 1
+
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isascii():
+            chunk = chunk.lower()
         core = chunk.rstrip(self.TAIL)
-        if len(core) == len(chunk) or not core or not (core[-1:].isalnum() or core.decode()[-1] < "\u0250" and core.decode()[-1].isalpha()):
+        if len(core) == len(chunk) or not self._ends_in_a_letter(core):
             return self._piece(chunk)
         known, tail = self.known, chunk[len(core) :]
         for part in (core, tail):
@@ -100,7 +110,7 @@ class ChunkEncoder:
             if "<|" in text:
                 yield self._whole(text) + self.end
                 continue
-            chunks = text.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ")
+            chunks = text.encode("utf-8", "replace").replace(b"\n", b" ").split(b" ")
             if len(known) > CACHE:
                 known.clear()
             try:
