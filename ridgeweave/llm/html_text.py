@@ -2,22 +2,32 @@
 
 The standard library's parser sends its events to ``Blocks``, which gathers
 text by block together with the tags and link characters that came with it and
-the containers that enclose it. The text-to-tag ratio by block line is smoothed
-with a Gaussian; lines above a threshold form the content clusters. From the
-page's root the walk goes down to the container that holds nearly all of the
-clustered text, and the lines of that container are the article. What lies in
-menus, notices, forms and the like never becomes a line.
+the containers that enclose it. Three steps choose the article.
+
+- Tags, roles and names are evidence that a container is no part of it, and
+  the text is the test: a container whose name only mentions such a part
+  (``has-sidebar``) goes if it holds less than half of the page's text, one
+  whose name or tag says that it is one (``sidebar``, ``form``) unless it holds
+  nearly all, as when its end is missing or a form wraps the page.
+- The text-to-tag ratio of what is left is smoothed with a Gaussian by line;
+  lines above a threshold form the content clusters.
+- From the root the walk goes down while one container holds nearly all of the
+  clustered text, but never into a list, table, quote or section. All lines
+  there are the article; where the walk ends at the body, the lines from the
+  first cluster to the last and the prose that adjoins them.
 
 Defined results: a null or empty html, or a page without content, gives an
 empty text; malformed and truncated markup is read as far as it goes; null ids
 and repeated rows are kept; an empty table gives no rows; further columns are
-ignored.
+ignored. Of containers with equally much text the first is entered; a text of
+any length is read whole, by one task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,50 +39,83 @@ from pyspark.sql import functions as F
 LINES = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that may enclose an article or what is no part of it.
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main nav ol section table td ul noscript template select textarea button iframe svg object canvas".split())
-#: Elements whose text is no part of an article.
-DROPPED = frozenset("aside footer form nav dialog noscript template select textarea button iframe svg object canvas head fieldset menu".split())
+#: Elements whose text is never part of an article.
+UNSEEN = frozenset("nav noscript template select textarea button iframe svg object canvas head menu".split())
+#: Elements that say that they are no part of the article.
+APART = frozenset("aside footer form dialog fieldset".split())
 UNREAD = frozenset(("script", "style", "title"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Whole words of class and id values that mark what is no part of an article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|sidebars?|side|widgets?|menus?|nav\w*|breadcrumbs?"
-    r"|footer|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|search\w*|login|signup|skip|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words in class and id values that name such parts.
+MARK = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|sidebars?|side|widgets?|menus?|nav\w*|breadcrumbs?"
+    r"|footer|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|search\w*|login|signup|skip|hidden)(?:$|[\s_-])"
 )
+MENTIONED = re.compile(r"(?:^|[\s_-])" + MARK, re.I)
+NAMED = re.compile(r"(?:^|\s)" + MARK, re.I)
+#: Shares of the page's text from which a container stays, whatever mentions or names it.
+STAYS = {1: 0.5, 2: 0.9}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIGMA = 1.0
 #: Lines are content from this share of the smoothed ratios' deviation on.
 THRESHOLD = 0.5
-#: A container is entered if it has this share of its parent's clustered text.
-MOST = 0.7
+#: A container of these is entered if it has this share of its parent's clustered text.
+MOST = 0.85
+ENTERED = frozenset("article body center div form html main td".split())
+
+
+@dataclass
+class Line:
+    """A block's text, its characters in links, its tags, the numbers of the containers around it, and whether it is a main heading."""
+
+    text: str
+    link: int
+    tags: int
+    path: tuple[int, ...]
+    heading: bool
+
+    @property
+    def own(self) -> int:
+        return max(0, len(self.text) - self.link)
+
+
+def doubt(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """What speaks against an element: 0 nothing, 1 a mention, 2 a name, 3 it is never part of an article."""
+    found = 3 if tag in UNSEEN else 2 if tag in APART or tag == "header" and not in_article else 0
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            found = max(found, 2 if NAMED.search(value) else 1 if MENTIONED.search(value) else 0)
+        elif name == "role":
+            found = max(found, 2 if (value or "").lower() in ROLES else 0)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
+            found = 3
+    return found
 
 
 class Blocks(HTMLParser):
-    """Lines of a page: text, characters in links, tags, and the path of containers."""
+    """Lines of a page, and its containers by number: tag and doubt."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.link = self.tags = 0
         self.in_link = False
         self.heading = False
-        #: Open containers: tag, number, whether dropped.
+        #: Open containers: tag, number, and whether their text is never seen.
         self.open: list[tuple[str, int, bool]] = []
-        self.made: list[str] = []
+        self.made: list[tuple[str, int]] = []
         self.skip_line = False
         self.unread = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.link, self.tags, tuple(x[1] for x in self.open), self.heading))
+            self.lines.append(Line(text, self.link, self.tags, tuple(x[1] for x in self.open), self.heading))
         self.parts, self.link, self.tags = [], 0, 0
         self.skip_line = self.heading = False
 
-    def dropped(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in UNREAD:
             self.unread += 1
@@ -87,21 +130,11 @@ class Blocks(HTMLParser):
             self.heading = True
         elif tag == "br":
             self.parts.append(" ")
-        if not line and tag not in CONTAINERS:
-            return
-        no_part = self.dropped() or tag in DROPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.open))
-        if not no_part and attrs and tag not in ("html", "body", "article", "main"):
-            for name, value in attrs:
-                if name in ("class", "id"):
-                    no_part = no_part or bool(MARKS.search(value or ""))
-                elif name == "role":
-                    no_part = no_part or (value or "").lower() in ROLES
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
-                    no_part = True
         if tag in CONTAINERS:
-            self.open.append((tag, len(self.made), no_part))
-            self.made.append(tag)
-        elif no_part:
+            against = doubt(tag, attrs, any(x[0] in ("article", "main") for x in self.open))
+            self.open.append((tag, len(self.made), against == 3 or bool(self.open) and self.open[-1][2]))
+            self.made.append((tag, against))
+        elif line and attrs and doubt(tag, attrs, True) >= 2:
             self.skip_line = True
 
     def handle_endtag(self, tag: str) -> None:
@@ -120,7 +153,7 @@ class Blocks(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        if self.unread or self.skip_line or self.dropped():
+        if self.unread or self.skip_line or self.open and self.open[-1][2]:
             return
         self.parts.append(data)
         if self.in_link:
@@ -131,6 +164,17 @@ class Blocks(HTMLParser):
         self.end_line()
 
 
+def believed(lines: list[Line], made: list[tuple[str, int]]) -> list[Line]:
+    """Lines outside the containers whose doubt their share of the text confirms."""
+    mass = [0] * len(made)
+    for x in lines:
+        for k in x.path:
+            mass[k] += x.own
+    whole = sum(x.own for x in lines)
+    gone = {k for k, (_, against) in enumerate(made) if against in STAYS and mass[k] < STAYS[against] * whole}
+    return [x for x in lines if not gone.intersection(x.path)] if gone else lines
+
+
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian-weighted mean; the window shrinks at either end."""
     reach = max(1, round(3 * sigma))
@@ -139,38 +183,42 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def choose(lines: list[tuple[str, int, int, tuple[int, ...], bool]], made: list[str]) -> list[str]:
+def choose(lines: list[Line], made: list[tuple[str, int]]) -> list[str]:
     """Texts of the article's lines."""
+    lines = believed(lines, made)
     if not lines:
         return []
-    own = np.array([max(0, len(text) - link) for text, link, *_ in lines], float)
-    score = smooth(own / np.array([1 + x[2] for x in lines]))
+    own = np.array([x.own for x in lines], float)
+    score = smooth(own / np.array([1 + x.tags for x in lines]))
     content = score >= min(THRESHOLD * score.std(), score.max())
     mass: dict[int, float] = {}
     parent: dict[int, int] = {}
-    for text, is_content, (_, _, _, path, _) in zip(own, content, lines, strict=True):
+    for text, is_content, x in zip(own, content, lines, strict=True):
         if is_content:
-            for above, k in zip((-1, *path), path):
+            for above, k in zip((-1, *x.path), x.path):
                 mass[k] = mass.get(k, 0.0) + text
                 parent[k] = above
     at, rest = -1, float(own[content].sum())
     while inside := [k for k in mass if parent[k] == at]:
         best = max(inside, key=lambda k: mass[k])
-        if mass[best] < MOST * rest or at >= 0 and made[at] in ("article", "main") and made[best] != "article":
+        if mass[best] < MOST * rest or made[best][0] not in ENTERED or at >= 0 and made[at][0] in ("article", "main") and made[best][0] != "article":
             break
         at, rest = best, mass[best]
-    if at < 0 or made[at] in ("html", "body"):
+    if at < 0 or made[at][0] in ("html", "body"):
         where = np.flatnonzero(content)
         first, last = int(where[0]), int(where[-1])
-        while first and lines[first - 1][4]:
+        prose = lambda x: x.heading or 2 * x.own > len(x.text)
+        while first and prose(lines[first - 1]):
             first -= 1
-        return [x[0] for x in lines[first : last + 1]]
-    chosen = [at in x[3] for x in lines]
-    if not any(x[4] for x, c in zip(lines, chosen, strict=True) if c):
-        titles = [k for k, x in enumerate(lines) if x[4] and not chosen[k]]
+        while last + 1 < len(lines) and prose(lines[last + 1]):
+            last += 1
+        return [x.text for x in lines[first : last + 1]]
+    chosen = [at in x.path for x in lines]
+    if not any(x.heading for x, c in zip(lines, chosen, strict=True) if c):
+        titles = [k for k, x in enumerate(lines) if x.heading and not chosen[k]]
         if len(titles) == 1 and titles[0] < chosen.index(True):
             chosen[titles[0]] = True
-    return [x[0] for x, c in zip(lines, chosen, strict=True) if c]
+    return [x.text for x, c in zip(lines, chosen, strict=True) if c]
 
 
 def main_text(html: str | None) -> str:
