@@ -5,19 +5,23 @@ Texts become blocks of word numbers, each with its own small vocabulary of
 training words are summed by bucket of the hash and come back to the blocks in
 their vocabulary's order; no table of all words is ever in one place.
 
-The model factors a word's probability into that of its class and that of the
-word within the class. Classes come from the last letters of a word. The
-class's softmax has hashed features: the two classes before, the word before,
-the word before that (a skip), and both words together. Weights have a fixed
-size whatever the corpus. Each round, every task takes gradient steps on its
-own blocks, and the tasks' changes are averaged by examples, slice by slice.
-Within a class words have add-one estimates, and a class's unseen words share
-one more place. Scoring gathers the rows of weights that the features name.
+The model factors a word's probability three times: its class, from its last
+letters; its cell within the class, from its hash; and the word within the
+cell. Class and cell are softmaxes over hashed features: the two classes
+before (class only), the word before, the word before that (a skip), and both
+words together; a cell's features are hashed together with the class. Within a
+cell, which holds about a thousandth of the vocabulary, words have add-one
+estimates without context, and a cell's unseen words share one more place.
+Weights have a fixed size whatever the corpus. Each round every task takes
+gradient steps on every training word of its own blocks, and the tasks'
+changes are averaged by examples, slice by slice and in two steps, so no task
+reads more than about the square root of all tasks' changes. Scoring gathers
+the rows of weights that the features name.
 
 Defined results: a null or empty text is just its end; a null doc_id counts as
 empty text for the fold, so it is trained on; repeated rows count as often as
 they occur; an empty table, or one without training rows, scores by uniform
-classes; further columns are ignored.
+classes; a text of any length lies in one block; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,21 +44,27 @@ END = 1
 
 @dataclass(frozen=True)
 class Shape:
-    """``classes`` (the last one is the end), 2^``bits`` hashed rows, ``rounds`` over every ``stride``-th training word, and how they step."""
+    """``classes`` (the last one is the end), ``cells`` in a class, 2^``bits`` and 2^``cell_bits`` hashed rows, ``rounds`` over every training word, and how they step."""
 
-    classes: int = 64
+    classes: int = 32
+    cells: int = 32
     bits: int = 14
-    rounds: int = 2
-    stride: int = 1
+    cell_bits: int = 15
+    rounds: int = 1
     rate: float = 0.3
-    batch: int = 2048
+    batch: int = 1024
     block_bytes: int = 4 << 20
 
     def rows(self) -> int:
-        return self.classes**2 + (1 << self.bits) + 1
+        return self.classes**2 + (1 << self.bits)
 
-    def size(self) -> int:
-        return self.rows() * self.classes
+    def empty(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of cells."""
+        return np.zeros((self.rows(), self.classes), np.float32), np.zeros((1 << self.cell_bits, self.cells), np.float32)
+
+    def cell(self, vocab: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Numbers of the cells, those of a class together."""
+        return classes.astype(np.int64) * self.cells + ((vocab * U(0xA24BAED4963EE407)) >> U(32)).astype(np.int64) % self.cells
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -128,11 +138,14 @@ def blocks(docs: DataFrame, shape: Shape) -> DataFrame:
 # -- counts ---------------------------------------------------------------------
 
 COUNTS = "block long, bucket int, vocab binary, classes binary, counts binary"
-TOTALS = "block long, bucket int, counts binary, n array<long>, v array<long>"
+TOTALS = "block long, bucket int, counts binary, n array<long>, v array<long>"  # n and v by cell
 
 
 def summed_counts(table: DataFrame, buckets: int, tasks: int, shape: Shape) -> DataFrame:
-    """TOTALS: for each block and bucket of its vocabulary the corpus's counts; rows without a block hold totals by class."""
+    """TOTALS: for each block and bucket of its vocabulary the corpus's counts; rows without a block hold totals by cell.
+
+    A task works one bucket at a time, and buckets follow the data, so what it holds does not grow.
+    """
     shift = U(64 - (buckets.bit_length() - 1))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,35 +157,40 @@ def summed_counts(table: DataFrame, buckets: int, tasks: int, shape: Shape) -> D
                 types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "bucket", "vocab", "classes", "counts"])
 
+    def total(b: int, parts: list[tuple]) -> pa.RecordBatch:
+        words, first, place = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+        totals = np.bincount(place, weights=np.concatenate([p[3] for p in parts]), minlength=len(words)).astype(np.int64)
+        cell = shape.cell(words, np.concatenate([p[2] for p in parts])[first])
+        rows: list[tuple] = []
+        at = 0
+        for block, v, _, _ in parts:
+            rows.append((block, b, totals[place[at : at + len(v)]].tobytes(), None, None))
+            at += len(v)
+        most = shape.classes * shape.cells
+        rows.append((None, b, None, np.bincount(cell, weights=totals, minlength=most).astype(np.int64).tolist(), np.bincount(cell[totals > 0], minlength=most).tolist()))
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "bucket", "counts", "n", "v"])
+
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        current, parts = None, []
         for batch in batches:
             for block, b, v, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                held.setdefault(b, []).append((block, np.frombuffer(v, U), np.frombuffer(c, np.uint8), np.frombuffer(n, np.int64)))
-        for b in sorted(held):
-            parts = held.pop(b)
-            words, first, place = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
-            totals = np.bincount(place, weights=np.concatenate([p[3] for p in parts]), minlength=len(words)).astype(np.int64)
-            kind = np.concatenate([p[2] for p in parts])[first]
-            rows = []
-            at = 0
-            for block, v, _, _ in parts:
-                rows.append((block, b, totals[place[at : at + len(v)]].tobytes(), None, None))
-                at += len(v)
-            n = np.bincount(kind, weights=totals, minlength=shape.classes).astype(np.int64)
-            v = np.bincount(kind[totals > 0], minlength=shape.classes).astype(np.int64)
-            rows.append((None, b, None, n.tolist(), v.tolist()))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "bucket", "counts", "n", "v"])
+                if parts and b != current:
+                    yield total(current, parts)
+                    parts = []
+                current = b
+                parts.append((block, np.frombuffer(v, U), np.frombuffer(c, np.uint8), np.frombuffer(n, np.int64)))
+        if parts:
+            yield total(current, parts)
 
-    return table.select("block", "vocab", "classes", "counts").mapInArrow(deal, COUNTS).repartition(tasks, "bucket").mapInArrow(add, TOTALS)
+    return table.select("block", "vocab", "classes", "counts").mapInArrow(deal, COUNTS).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(add, TOTALS)
 
 
 # -- the model ------------------------------------------------------------------
 
 
-def features(vocab: np.ndarray, classes: np.ndarray, words: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Rows of weights for each word: both classes before, the word before, a skip, and both words."""
+def features(vocab: np.ndarray, classes: np.ndarray, words: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Rows of weights for each word: for its class both classes before, the word before, a skip, and both words; for its cell the last three."""
     h, c = vocab[words], classes[words].astype(np.int32)
     end = shape.classes - 1
 
@@ -187,85 +205,104 @@ def features(vocab: np.ndarray, classes: np.ndarray, words: np.ndarray, starts:
     h1, h2 = before(h, 1, U(END)), before(h, 2, U(END))
     # a document's second word looks back over its start
     c1, c2 = before(c, 1, end), before(c, 2, end)
-    base = shape.classes**2
-    row = lambda x: (x >> U(64 - shape.bits)).astype(np.int32) + base
-    return c1 * shape.classes + c2, row(h1 * U(0x9E3779B97F4A7C15)), row(h2 * U(0xC2B2AE3D27D4EB4F)), row((h1 * U(0x165667B19E3779F9)) ^ (h2 * U(0x27D4EB2F165667C5)))
+    named = (h1 * U(0x9E3779B97F4A7C15), h2 * U(0xC2B2AE3D27D4EB4F), (h1 * U(0x165667B19E3779F9)) ^ (h2 * U(0x27D4EB2F165667C5)))
+    of_class = (c1 * shape.classes + c2, *((x >> U(64 - shape.bits)).astype(np.int32) + shape.classes**2 for x in named))
+    here = c.astype(U) * U(0xD6E8FEB86659FD93)
+    return of_class, tuple((((x ^ (x >> U(32))) + here) * U(0xFF51AFD7ED558CCD) >> U(64 - shape.cell_bits)).astype(np.int32) for x in named)
 
 
-def log_classes(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, for each row of features."""
-    z = bias + weights[rows[0]]
+def softmax(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray) -> np.ndarray:
+    """Probabilities, for each row of features; ``bias`` is one row for all, or one for each."""
+    z = weights.take(rows[0], 0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, 0)
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
+def step(weights: np.ndarray, squares: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One gradient step; each row of weights has its own rate, which falls with its gradients so far."""
+    g = softmax(weights, rows, bias)
+    g[np.arange(len(g)), target] -= 1
+    for r in rows:
+        by = np.argsort(r, kind="stable")
+        ordered = r[by]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        at = ordered[first]
+        total = np.add.reduceat(g.take(by, 0), first, axis=0)
+        squares[at] += np.einsum("ij,ij->i", total, total)
+        total *= (rate / np.sqrt(squares[at]))[:, None].astype(np.float32)
+        weights[at] -= total
+
+
 def opened(row: dict) -> tuple[np.ndarray, ...]:
     """(sizes, words, vocab, classes) of a block."""
     return np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["words"], np.int32), np.frombuffer(row["vocab"], U), np.frombuffer(row["classes"], np.uint8)
 
 
-def train_round(table: DataFrame, weights: np.ndarray, bias: np.ndarray, shape: Shape, number: int, slices: int = 16) -> np.ndarray:
+CHANGES = [("slice", pa.int32()), ("part", pa.int32()), ("seen", pa.int64()), ("change", pa.binary())]
+CHANGES_DDL = "slice int, part int, seen long, change binary"
+
+
+def train_round(table: DataFrame, weights: tuple[np.ndarray, np.ndarray], bias: tuple[np.ndarray, np.ndarray], shape: Shape, number: int, slices: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The weights after every task's gradient steps on its blocks, averaged by examples."""
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast((weights, bias))
+    parts = max(1, round(table.rdd.getNumPartitions() ** 0.5))
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, bias = shared.value
-        w = first.copy()
-        squares = np.full(w.shape, 1e-2, np.float32)
+        of_class, of_cell = (w.copy() for w in first)
+        squares = [np.full(len(w), 1e-2) for w in first]
         seen = 0
         for batch in batches:
             for row in batch.to_pylist():
                 sizes, words, vocab, classes = opened(row)
                 starts = np.cumsum(sizes) - sizes
-                train = np.repeat(np.array([not held_out(i) for i in row["ids"]]), sizes)
-                chosen = np.flatnonzero(train)[number % shape.stride :: shape.stride]
+                chosen = np.flatnonzero(np.repeat(np.array([not held_out(i) for i in row["ids"]]), sizes))
                 if not len(chosen):
                     continue
-                f = features(vocab, classes, words, starts, shape)
-                target = classes[words]
-                order = np.random.default_rng(row["block"] % (1 << 32) + number).permutation(len(chosen))
-                for at in range(0, len(chosen), shape.batch):
-                    p = chosen[order[at : at + shape.batch]]
-                    rows = tuple(x[p] for x in f)
-                    g = np.exp(log_classes(w, rows, bias))
-                    g[np.arange(len(p)), target[p]] -= 1
-                    for r in rows:
-                        unique, inverse = np.unique(r, return_inverse=True)
-                        by = np.argsort(inverse, kind="stable")
-                        total = np.add.reduceat(g[by], np.searchsorted(inverse[by], np.arange(len(unique))), axis=0)
-                        squares[unique] += total * total
-                        w[unique] -= shape.rate * total / np.sqrt(squares[unique])
+                both = features(vocab, classes, words, starts, shape)
+                cell = shape.cell(vocab, classes)[words]
+                kind = classes[words]
+                order = np.random.default_rng(row["block"] % (1 << 32) + number).permutation(chosen)
+                for at in range(0, len(order), shape.batch):
+                    p = order[at : at + shape.batch]
+                    step(of_class, squares[0], tuple(x[p] for x in both[0]), bias[0], kind[p], shape.rate)
+                    step(of_cell, squares[1], tuple(x[p] for x in both[1]), bias[1][kind[p]], cell[p] % shape.cells, shape.rate)
                 seen += len(chosen)
         if seen:
-            change = (w - first).reshape(-1)
-            rows = [(k, seen, part.astype(np.float32).tobytes()) for k, part in enumerate(np.array_split(change, slices))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "seen", "change"])
+            change = np.concatenate([(w - f).reshape(-1) for w, f in zip((of_class, of_cell), first, strict=True)])
+            part = TaskContext.get().partitionId() % parts
+            rows = [(k, part, seen, x.astype(np.float32).tobytes()) for k, x in enumerate(np.array_split(change, slices))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), CHANGES, strict=True)], schema=pa.schema(CHANGES))
 
     def average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for k, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(x, np.float32).astype(np.float64) * n
-                if k in held:
-                    held[k][0] += n
-                    held[k][1] += part
+            for k, part, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = np.frombuffer(x, np.float32).astype(np.float64) * n
+                if (k, part) in held:
+                    held[k, part][0] += n
+                    held[k, part][1] += total
                 else:
-                    held[k] = [n, part]
-        rows = [(k, n, (x / n).astype(np.float32).tobytes()) for k, (n, x) in sorted(held.items())]
+                    held[k, part] = [n, total]
+        rows = [(k, part, n, (x / n).astype(np.float32).tobytes()) for (k, part), (n, x) in sorted(held.items())]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "seen", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), CHANGES, strict=True)], schema=pa.schema(CHANGES))
 
-    ddl = "slice int, seen long, change binary"
-    found = table.select("block", "ids", "sizes", "words", "vocab", "classes").mapInArrow(steps, ddl).repartition(slices, "slice").mapInArrow(average, ddl).collect()
+    found = table.select("block", "ids", "sizes", "words", "vocab", "classes").mapInArrow(steps, CHANGES_DDL)
+    found = found.repartition(slices * parts, "slice", "part").mapInArrow(average, CHANGES_DDL)
+    found = found.withColumn("part", F.lit(0)).repartition(slices, "slice").mapInArrow(average, CHANGES_DDL).collect()
     shared.unpersist()
     if not found:
         return weights
     change = np.concatenate([np.frombuffer(r["change"], np.float32) for r in sorted(found, key=lambda r: r["slice"])])
-    return weights + change.reshape(weights.shape)
+    cut = weights[0].size
+    return weights[0] + change[:cut].reshape(weights[0].shape), weights[1] + change[cut:].reshape(weights[1].shape)
 
 
 REPORT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -276,15 +313,20 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "maxent")
     table = scratch.keep(blocks(docs, shape), "blocks")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(4, (4 * tasks).bit_length() - 1)
+    n_blocks = table.count()
+    buckets = 1 << max(4, (2 * n_blocks).bit_length())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     counts = scratch.keep(summed_counts(table, buckets, tasks, shape), "counts")
-    n, v = np.zeros(shape.classes), np.zeros(shape.classes)
-    sums = [f.format(k) for k in range(shape.classes) for f in ("sum(n[{0}])", "sum(v[{0}])")]
-    for k, x in enumerate(counts.filter("block is null").selectExpr(*sums).first()):
-        (v if k % 2 else n)[k // 2] = x or 0
-    bias = np.log((n + 1) / (n.sum() + shape.classes)).astype(np.float32)
-    weights = np.zeros((shape.rows(), shape.classes), np.float32)
+    n, v = np.zeros(shape.classes * shape.cells), np.zeros(shape.classes * shape.cells)
+    totals = counts.filter("block is null").select(F.posexplode(F.arrays_zip("n", "v"))).groupBy("pos").agg(F.sum("col.n").alias("n"), F.sum("col.v").alias("v"))
+    for r in totals.collect():  # one row for each cell
+        n[r["pos"]], v[r["pos"]] = r["n"], r["v"]
+    by_class = n.reshape(shape.classes, shape.cells)
+    bias = (
+        np.log((by_class.sum(axis=1) + 1) / (n.sum() + shape.classes)).astype(np.float32),
+        np.log((by_class + 1) / (by_class.sum(axis=1, keepdims=True) + shape.cells)).astype(np.float32),
+    )
+    weights = shape.empty()
     for k in range(shape.rounds):
         weights = train_round(table, weights, bias, shape, k)
     shared = spark.sparkContext.broadcast((weights, bias, n, v))
@@ -299,14 +341,17 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                 starts = np.cumsum(sizes) - sizes
                 c = np.frombuffer(b"".join(row["known"]), np.int64)
                 base = np.log10(c + 1.0)
-                within = base - np.log10(n + v + 1.0)[classes]
-                each = within[words]
-                f = features(vocab, classes, words, starts, shape)
-                target = classes[words]
-                for at in range(0, len(words), shape.batch * 4):
-                    s = slice(at, at + shape.batch * 4)
-                    z = log_classes(weights, tuple(x[s] for x in f), bias)
-                    each[s] += z[np.arange(len(z)), target[s]] / np.log(10)
+                cell = shape.cell(vocab, classes)
+                each = (base - np.log10(n + v + 1.0)[cell])[words]
+                cell, kind = cell[words], classes[words]
+                of_class, of_cell = features(vocab, classes, words, starts, shape)
+                for at in range(0, len(words), shape.batch):
+                    s = slice(at, at + shape.batch)
+                    here = np.arange(len(kind[s]))
+                    p = softmax(weights[0], tuple(x[s] for x in of_class), bias[0])[here, kind[s]]
+                    q = softmax(weights[1], tuple(x[s] for x in of_cell), bias[1][kind[s]])[here, cell[s] % shape.cells]
+                    # a probability that rounds to nothing still counts as the least that a float holds
+                    each[s] += np.log10(np.maximum(p, 1e-37)) + np.log10(np.maximum(q, 1e-37))
                 by_doc = lambda x: np.add.reduceat(x, starts)
                 cols = [
                     pa.array(row["ids"], pa.int64()),
