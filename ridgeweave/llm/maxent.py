@@ -10,7 +10,7 @@ letters; its cell within the class, from its hash; and the word within the
 cell. Class and cell are softmaxes over hashed features: the two classes
 before (class only), the word before, the word before that (a skip), and both
 words together; a cell's features are hashed together with the class. Within a
-cell, which holds about a thousandth of the vocabulary, words have add-one
+cell, which holds about a five-hundredth of the vocabulary, words have add-one
 estimates without context, and a cell's unseen words share one more place.
 Weights have a fixed size whatever the corpus. Each round every task takes
 gradient steps on every training word of its own blocks, and the tasks'
@@ -47,7 +47,7 @@ class Shape:
     """``classes`` (the last one is the end), ``cells`` in a class, 2^``bits`` and 2^``cell_bits`` hashed rows, ``rounds`` over every training word, and how they step."""
 
     classes: int = 32
-    cells: int = 32
+    cells: int = 16
     bits: int = 14
     cell_bits: int = 15
     rounds: int = 1
@@ -217,9 +217,9 @@ def softmax(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray)
     for r in rows[1:]:
         z += weights.take(r, 0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -60, 60, out=z)  # so no sum of exponentials is nought or infinite
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -233,8 +233,8 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: tuple[np.ndarray, ...],
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         at = ordered[first]
         total = np.add.reduceat(g.take(by, 0), first, axis=0)
-        squares[at] += np.einsum("ij,ij->i", total, total)
-        total *= (rate / np.sqrt(squares[at]))[:, None].astype(np.float32)
+        squares[at] += (total * total) @ np.ones(total.shape[1], total.dtype)
+        total *= (rate / np.sqrt(squares[at]))[:, None]
         weights[at] -= total
 
 
@@ -256,7 +256,7 @@ def train_round(table: DataFrame, weights: tuple[np.ndarray, np.ndarray], bias:
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, bias = shared.value
         of_class, of_cell = (w.copy() for w in first)
-        squares = [np.full(len(w), 1e-2) for w in first]
+        squares = [np.full(len(w), 1e-2, np.float32) for w in first]
         seen = 0
         for batch in batches:
             for row in batch.to_pylist():

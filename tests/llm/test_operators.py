@@ -317,7 +317,7 @@ def test_context_tells_words_of_one_class_apart(spark):
         while len(w) < 60:
             w.append(follows[w[-1]] if r.random() < 0.9 else r.choice(words))
         rows.append((k, " ".join(w)))
-    out = maxent.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").toPandas()
+    out = maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), maxent.Shape(cells=32, batch=128)).filter("held_out").toPandas()
     assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.5
 
 
