@@ -88,6 +88,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT DISTINCT doc_id, i FROM w JOIN f USING (s) WHERE least < doc_id),
+cut AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cut),
+runs AS (SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 1) AS low, low AS high FROM runs
+         UNION ALL SELECT doc_id, coalesce(max(high), 1), any_value(octet_length(b)) + 1 FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, unhex(string_agg(CASE WHEN high > gaps.low THEN hex(b[gaps.low:high - 1]) ELSE '' END, '' ORDER BY gaps.low)) AS rest FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(rest) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
+
 @query
 def op5_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document by unigrams and by the model."""
@@ -98,10 +115,10 @@ WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 
 ORACLES["op7_prefix_decontamination"] = f"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format(text.LETTER_WORDS)} AS w FROM benchmark),
-bw AS (SELECT item, CASE WHEN len(w) <= 10 THEN w ELSE w[i:i + 9] END AS win, least(len(w), 10) AS n FROM b, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - 9)),
+bw AS (SELECT item, CASE WHEN len(w) <= 10 THEN w ELSE w[i:i + 9] END AS win, least(len(w), 10) AS n FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, {WORDS.format(text.LETTER_WORDS)} AS w FROM documents),
 sizes AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM d, sizes, range(1, 100000) r(i) WHERE i <= len(w) - n + 1),
+dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
 hit AS (SELECT DISTINCT doc_id, dw.n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 places AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(0, 10) r(k) WHERE k < n GROUP BY 1),
 items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY 1)
@@ -112,7 +129,7 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 
 ORACLES["op6_lsh_forest"] = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text.BLANK_WORDS)} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM d, range(1, 100000) r(i) WHERE i <= greatest(least(len(w), 1), len(w) - 1)),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(least(len(w), 1), len(w) - 1) + 1)) AS i FROM d)),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM c JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),

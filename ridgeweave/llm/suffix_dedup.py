@@ -4,37 +4,42 @@ The index is a sparse suffix array. Of the suffixes of a text only those at
 anchors are indexed: an anchor is a place whose ``K`` bytes hash lowest among
 all such places in some string of ``MATCH`` bytes. Equal strings choose equal
 places, so every match of ``MATCH`` bytes contains an anchor that both sides
-have, and about one byte in sixteen is one. Suffixes are ordered by
-fingerprints of what they begin with, as only equality counts, and a suffix
-carries a fingerprint of its context: all bytes of the ``MATCH``-byte strings
-that contain the anchor.
+have, and about one byte in sixteen is one. As only equality counts, suffixes
+are ordered by the fingerprint of their first ``K`` bytes and then by 128 bits
+of fingerprint of their context: all bytes of the ``MATCH``-byte strings that
+contain the anchor.
 
 Each bucket of anchors keeps a logarithmic family of such arrays. A batch
-arrives sorted, is merged with levels that are no larger, and so on up; the
-merge scan of the last level finds what repeats.
+arrives sorted and is merge-scanned against levels that are no larger: where
+one suffix of two levels has the context of another, the larger document's is
+covered and leaves the index, the smaller one's stays. The merged array is the
+new level, and so on up, so levels grow geometrically.
 
 - A context that a smaller document has too is wholly covered.
 - An anchor that occurs in different contexts needs a closer look: one suffix
-  of each context is looked at string by string, again merged and scanned.
+  of each context is looked at string by string, by the same merge scans.
 
 Before any shuffle a task settles what repeats within its own documents and
 sends each pair of anchor and context once, so a passage in a third of all
-documents costs one entry for each task and not one for each document.
+documents costs one entry for each task and not one for each document. A task
+works through one bucket after the other, and their number follows the data.
 
 Defined results: a null or empty text has no bytes and keeps the hash of
-nothing; rows that share a doc_id are one document and never cover each other;
-rows without doc_id neither cover nor are covered; an empty table gives no
-rows; further columns are ignored.
+nothing; rows that share a doc_id never cover each other, and what is removed
+from one of them goes by its own text; rows without doc_id neither cover nor
+are covered; texts of any length are indexed in overlapping slices; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +60,9 @@ SPAN, COVERED, CLOSER = 0, 1, 2
 # -- fingerprints and anchors ---------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, 256, U)
+@lru_cache(maxsize=2)
+def byte_values(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, U)
 
 
 @lru_cache(maxsize=1)
@@ -86,11 +91,11 @@ def both_prints(key: np.ndarray, context: np.ndarray) -> np.ndarray:
 class Prints:
     """Fingerprints of any substrings of ``data``, from sums over its beginnings."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 5):
         size = 1 << max(16, int(len(data)).bit_length())
         power, self.inverse = powers(size)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(byte_values()[data] * power[: len(data)], out=self.sums[1:])
+        np.cumsum(byte_values(seed)[data] * power[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -110,14 +115,14 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, key, context, left, right) of the anchors of texts that lie behind one another in ``data``.
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, key, context, check, left, right) of the anchors of texts that lie behind one another in ``data``.
 
     ``left`` and ``right`` bound the context, which never leaves its text.
     """
     none = np.empty(0, np.int64)
     if len(data) < MATCH:
-        return none, none.view(U), none.view(U), none, none
+        return none, none.view(U), none.view(U), none.view(U), none, none
     prints = Prints(data)
     keys = prints.runs(K)
     starts = np.concatenate(([0], ends[:-1]))
@@ -129,9 +134,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     place = np.flatnonzero((high == keys) & (keys > 0))
     own = np.searchsorted(ends, place, "right")
     left, right = np.maximum(starts[own], place - SIDE), np.minimum(ends[own], place + MATCH)
+    check = Prints(data, 6).of(left, right)
     context = prints.of(left, right) + (place - left).astype(U) * U(0xA24BAED4963EE407)
     # chosen keys are low by nature; mixed once more, they spread evenly over the buckets
-    return place, mixed(keys[place] ^ U(BASE)), context, left, right
+    return place, mixed(keys[place] ^ U(BASE)), context, check, left, right
 
 
 def text_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -165,45 +171,53 @@ def text_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 
 def all_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, place, key, context, left, right), places within the text.
+    """(text, place, key, context, check, left, right), places within the text.
 
     Anchors whose context a cut shortens are left to the neighbouring part.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     for data, ends, which, shift in text_slices(texts):
-        place, key, context, left, right = anchors(data, ends)
+        place, key, context, check, left, right = anchors(data, ends)
         own = np.searchsorted(ends, place, "right")
         moved = shift[own] - np.concatenate(([0], ends[:-1]))[own]
         text = which[own]
         place, left, right = place + moved, left + moved, right + moved
         whole = (left == np.maximum(0, place - SIDE)) & (right == np.minimum(sizes[text], place + MATCH))
-        yield tuple(x[whole] for x in (text, place, key, context, left, right))
+        yield tuple(x[whole] for x in (text, place, key, context, check, left, right))
 
 
 # -- the family of sorted arrays ------------------------------------------------
 
 
 class Family:
-    """Sorted arrays of geometrically growing size over equal columns; the first two order them."""
+    """Sorted arrays of geometrically growing size over equal columns.
+
+    The first ``KEYS`` columns name an entry, the next one is its document.
+    ``scan`` looks at two levels merged into one and says what stays.
+    """
 
-    def __init__(self) -> None:
+    KEYS = 3
+
+    def __init__(self, scan: Callable[[list[np.ndarray]], list[np.ndarray]]) -> None:
         self.levels: list[list[np.ndarray]] = []
+        self.scan = scan
+
+    def ordered(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort(columns[self.KEYS :: -1])
+        return self.scan([c[order] for c in columns])
 
-    @staticmethod
-    def ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        return [c[order] for c in columns]
+    def joined(self, *levels: list[np.ndarray]) -> list[np.ndarray]:
+        return self.ordered([np.concatenate(x) for x in zip(*levels, strict=True)])
 
     def add(self, columns: list[np.ndarray]) -> None:
         level = self.ordered(columns)
         while self.levels and len(self.levels[-1][0]) <= len(level[0]):
-            level = self.ordered([np.concatenate(x) for x in zip(self.levels.pop(), level, strict=True)])
+            level = self.joined(self.levels.pop(), level)
         self.levels.append(level)
 
     def merged(self) -> list[np.ndarray]:
         while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self.ordered([np.concatenate(x) for x in zip(a, b, strict=True)]))
+            self.levels.append(self.joined(self.levels.pop(), self.levels.pop()))
         return self.levels[0] if self.levels else []
 
 
@@ -227,18 +241,20 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.column_stack((start[first], np.append(end[first[1:] - 1], end[-1]))).astype(np.int64)
 
 
-def by_document(doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each document with the places of its entries."""
-    order = np.argsort(doc, kind="stable")
-    cuts = np.flatnonzero(np.diff(doc[order])) + 1
-    for part in np.split(order, cuts) if len(doc) else []:
-        yield int(doc[part[0]]), part
+def runs_of(*columns: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the entries that agree in all columns."""
+    if not len(columns[0]):
+        return
+    order = np.lexsort(columns)
+    cuts = np.flatnonzero(group_starts(*(c[order] for c in columns)))[1:]
+    yield from np.split(order, cuts)
 
 
 # -- tasks ------------------------------------------------------------------------
 
-FLAGS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-FLAGS_DDL = "bucket int, kind int, doc_id long, a binary, b binary, c binary, d binary"
+#: A row of a document's spans, of entries dealt by bucket, or of flags; ``h`` tells apart the texts of one doc_id.
+FLAGS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), *((x, pa.binary()) for x in "abcde")])
+FLAGS_DDL = "bucket int, kind int, doc_id long, h long, a binary, b binary, c binary, d binary, e binary"
 ENTRIES = 3
 
 
@@ -246,8 +262,17 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FLAGS, strict=True)], schema=FLAGS)
 
 
-def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> list[tuple]:
-    return [(d % buckets, SPAN, d, merge_spans(start[p], end[p]).tobytes(), None, None, None) for d, p in by_document(doc)]
+def batches_of(rows: list[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), size):
+        yield batch_of(rows[at : at + size])
+
+
+def span_rows(doc: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> list[tuple]:
+    return [(int(doc[p[0]]) % buckets, SPAN, int(doc[p[0]]), int(h[p[0]]), merge_spans(start[p], end[p]).tobytes(), *[None] * 4) for p in runs_of(doc, h)]
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> U(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -261,34 +286,47 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "replace") for x in column.to_pylist()]
 
 
+def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]] | pa.RecordBatch]:
+    """Batches of spans as they come, and each bucket with its other rows; the input is sorted by bucket."""
+    current, rows = None, []
+    for batch in batches:
+        spans = pc.equal(batch.column(1), SPAN)
+        passed = batch.filter(spans)
+        if passed.num_rows:
+            yield passed
+        rest = batch.filter(pc.invert(spans))
+        for row in zip(*(c.to_pylist() for c in rest.columns), strict=True):
+            if rows and row[0] != current:
+                yield current, iter(rows)
+                rows = []
+            current = row[0]
+            rows.append(row)
+    if rows:
+        yield current, iter(rows)
+
+
 def index_task(buckets: int):
     """Documents to entries by bucket, and to spans that the task's own documents settle."""
-    shift = U(64 - (buckets.bit_length() - 1))
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, context, doc, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, context, key))
-        key, context, doc, left, right = (x[order] for x in (key, context, doc, left, right))
-        new = group_starts(key, context)
-        least = doc[new][np.cumsum(new) - 1]
-        gone = doc > least
-        rows = span_rows(doc[gone], left[gone], right[gone], buckets)
-        key, context, doc = key[new], context[new], doc[new]
-        bucket = (key >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            p = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                rows.append((b, ENTRIES, None, key[p].tobytes(), context[p].tobytes(), doc[p].tobytes(), None))
-        for at in range(0, len(rows), 2000):
-            yield batch_of(rows[at : at + 2000])
+        key, context, check, doc, h, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((doc, check, context, key))
+        key, context, check, doc, h, left, right = (x[order] for x in (key, context, check, doc, h, left, right))
+        new = group_starts(key, context, check)
+        gone = doc > doc[new][np.cumsum(new) - 1]
+        rows = span_rows(doc[gone], h[gone], left[gone], right[gone], buckets)
+        key, context, check, doc = key[new], context[new], check[new], doc[new]
+        for p in runs_of(bucket_of(key, buckets)):
+            p = np.sort(p)
+            rows.append((int(bucket_of(key[p[:1]], buckets)[0]), ENTRIES, None, None, key[p].tobytes(), context[p].tobytes(), check[p].tobytes(), doc[p].tobytes(), None))
+        yield from batches_of(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in sliced(batches):
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
-            for text, _, key, context, left, right in all_anchors(text_bytes(batch.column(1))):
-                parts.append((key, context, ids[text], left, right))
+            ids, hs = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 2))
+            for text, _, key, context, check, left, right in all_anchors(text_bytes(batch.column(1))):
+                parts.append((key, context, check, ids[text], hs[text], left, right))
                 size += len(key)
                 if size >= HELD:
                     yield from settle(parts)
@@ -299,79 +337,66 @@ def index_task(buckets: int):
     return run
 
 
-def scan_task(buckets: int):
+def scan_task():
     """Entries of buckets to what is covered and what needs a closer look, by document."""
 
-    def scan(family: Family) -> Iterator[tuple]:
-        key, context, doc = family.merged()
-        new = group_starts(key, context)
-        group = np.cumsum(new) - 1
-        least = doc[new][group]
-        fresh = group_starts(key)
-        of_key = np.cumsum(fresh) - 1
-        contexts = np.bincount(of_key[new])[of_key]
-        low = np.minimum.reduceat(doc, np.flatnonzero(fresh))[of_key]
-        high = np.maximum.reduceat(doc, np.flatnonzero(fresh))[of_key]
-        print_ = both_prints(key, context)
-        for kind, chosen in ((COVERED, doc > least), (CLOSER, (doc == least) & (contexts > 1) & (low < high))):
-            some = doc[chosen]
-            prints = print_[chosen]
-            for d, p in by_document(some):
-                yield 0, kind, d, np.unique(prints[p]).tobytes(), None, None, None
+    def flags(kind: int, doc: np.ndarray, prints: np.ndarray) -> list[tuple]:
+        return [(0, kind, int(doc[p[0]]), None, np.unique(prints[p]).tobytes(), *[None] * 4) for p in runs_of(doc)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families: dict[int, Family] = {}
-        for batch in batches:
-            passed = []
-            for b, kind, d, x, y, z, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == SPAN:
-                    passed.append((b, kind, d, x, y, z, w))
-                else:
-                    families.setdefault(b, Family()).add([np.frombuffer(x, U), np.frombuffer(y, U), np.frombuffer(z, np.int64)])
-            if passed:
-                yield batch_of(passed)
-        rows: list[tuple] = []
-        for b in sorted(families):
-            rows += scan(families.pop(b))
-            if len(rows) >= 2000:
-                yield batch_of(rows)
-                rows = []
-        if rows:
-            yield batch_of(rows)
+        for found in by_bucket(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            covered: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def scan(level: list[np.ndarray]) -> list[np.ndarray]:
+                key, context, check, doc = level
+                new = group_starts(key, context, check)
+                gone = doc > doc[new][np.cumsum(new) - 1]
+                covered.append((doc[gone], both_prints(key[gone], context[gone])))
+                return [x[new] for x in level]
+
+            family = Family(scan)
+            for row in found[1]:
+                family.add([np.frombuffer(x, t) for x, t in zip(row[4:8], (U, U, U, np.int64), strict=True)])
+            key, context, _, doc = family.merged()
+            rows = flags(COVERED, *(np.concatenate(x) for x in zip(*covered, strict=True)))
+            fresh = group_starts(key)
+            of_key, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            closer = (np.bincount(of_key) > 1)[of_key] & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[of_key]
+            rows += flags(CLOSER, doc[closer], both_prints(key[closer], context[closer]))
+            yield from batches_of(rows)
 
     return run
 
 
 def apply_task(buckets: int):
     """Documents with their flags to spans, and to contexts by bucket for the closer look."""
-    shift = U(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            ids, hs = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 2))
             texts = text_bytes(batch.column(1))
-            flags = [[np.frombuffer(b"".join(x or []), U) for x in batch.column(c).to_pylist()] for c in (2, 3)]
+            flags = [[np.frombuffer(b"".join(x or []), U) for x in batch.column(c).to_pylist()] for c in (3, 4)]
             rows: list[tuple] = []
-            for text, _, key, context, left, right in all_anchors(texts):
+            for text, _, key, context, _, left, right in all_anchors(texts):
                 prints = both_prints(key, context)
-                cuts = np.flatnonzero(np.diff(text)) + 1
                 hit = [np.zeros(len(text), bool), np.zeros(len(text), bool)]
-                for p in np.split(np.arange(len(text)), cuts) if len(text) else []:
+                for p in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(text) else []:
                     for k in (0, 1):
                         f = flags[k][text[p[0]]]
                         if len(f):
                             hit[k][p] = np.isin(prints[p], f)
                 covered, closer = hit
-                rows += span_rows(ids[text[covered]], left[covered], right[covered], buckets)
-                if closer.any():
-                    which = np.flatnonzero(closer)
-                    bucket = (key[which] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(which), np.int64)
-                    for b, p in by_document(bucket):
-                        w = which[p]
-                        data = b"".join([texts[t][s:e] for t, s, e in zip(text[w].tolist(), left[w].tolist(), right[w].tolist(), strict=True)])
-                        rows.append((b, CLOSER, None, ids[text[w]].tobytes(), left[w].tobytes(), (right[w] - left[w]).astype(np.uint8).tobytes(), data))
-            for at in range(0, len(rows), 2000):
-                yield batch_of(rows[at : at + 2000])
+                rows += span_rows(ids[text[covered]], hs[text[covered]], left[covered], right[covered], buckets)
+                which = np.flatnonzero(closer)
+                bucket = bucket_of(key[which], buckets)
+                for p in runs_of(bucket):
+                    w = which[p]
+                    data = b"".join([texts[t][s:e] for t, s, e in zip(text[w].tolist(), left[w].tolist(), right[w].tolist(), strict=True)])
+                    rows.append((int(bucket[p[0]]), CLOSER, None, None, ids[text[w]].tobytes(), left[w].tobytes(), (right[w] - left[w]).astype(np.uint8).tobytes(), data, hs[text[w]].tobytes()))
+            yield from batches_of(rows)
 
     return run
 
@@ -379,57 +404,59 @@ def apply_task(buckets: int):
 def closer_task(buckets: int):
     """Contexts of buckets to the spans of their strings that a smaller document has."""
 
-    def strings(ids: np.ndarray, start: np.ndarray, length: np.ndarray, data: bytes) -> list[np.ndarray]:
+    def strings(ids: np.ndarray, start: np.ndarray, length: np.ndarray, data: bytes, h: np.ndarray) -> list[np.ndarray]:
         body = np.frombuffer(data, np.uint8)
-        prints = Prints(body)
         at = np.cumsum(length) - length
         n = np.maximum(0, length - MATCH + 1)
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         s = at[row] + k
-        return [prints.of(s, s + MATCH), np.zeros(len(row), np.uint8), ids[row], start[row] + k]
+        return [Prints(body).of(s, s + MATCH), Prints(body, 6).of(s, s + MATCH), np.zeros(len(row), np.uint8), ids[row], h[row], start[row] + k]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families: dict[int, Family] = {}
-        for batch in batches:
-            passed = []
-            for b, kind, d, x, y, z, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == SPAN:
-                    passed.append((b, kind, d, x, y, z, w))
-                else:
-                    families.setdefault(b, Family()).add(strings(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint8).astype(np.int64), w))
-            if passed:
-                yield batch_of(passed)
-        for b in sorted(families):
-            string, _, doc, start = families.pop(b).merged()
-            new = group_starts(string)
-            gone = doc > doc[new][np.cumsum(new) - 1]
-            rows = span_rows(doc[gone], start[gone], start[gone] + MATCH, buckets)
-            for at in range(0, len(rows), 2000):
-                yield batch_of(rows[at : at + 2000])
+        for found in by_bucket(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            rows: list[tuple] = []
+
+            def scan(level: list[np.ndarray]) -> list[np.ndarray]:
+                string, check, _, doc, h, start = level
+                new = group_starts(string, check)
+                gone = doc > doc[new][np.cumsum(new) - 1]
+                rows.extend(span_rows(doc[gone], h[gone], start[gone], start[gone] + MATCH, buckets))
+                return [x[~gone] for x in level]
+
+            family = Family(scan)
+            for row in found[1]:
+                a, b, c, d, e = row[4:9]
+                family.add(strings(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint8).astype(np.int64), d, np.frombuffer(e, np.int64)))
+            family.merged()
+            yield from batches_of(rows)
 
     return run
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """A power of two, one bucket for each 4 MB of the input as Spark estimates it."""
+    """A power of two, one bucket for each 4 MB of the input as Spark estimates it, or of its texts where Spark can't."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << min(16, max(6, (size >> 22).bit_length()))
+    if size > 1 << 60:  # Spark's word for an unknown size
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << min(30, max(6, (size >> 22).bit_length()))
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, spans): spans that a smaller document covers, in one or several rows for a document."""
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = d.filter("doc_id is not null and length(text) > 0")
-    n = buckets_for(d)
-    tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
-    flags = scratch.keep(known.mapInArrow(index_task(n), FLAGS_DDL).repartition(tasks, "bucket").mapInArrow(scan_task(n), FLAGS_DDL), "flags")
+    """(doc_id, h, spans): spans that a smaller document covers, in one or several rows for a document's text."""
+    known = docs.filter("doc_id is not null and length(text) > 0")
+    n = buckets_for(docs)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 16)
+    dealt = lambda df: df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    flags = scratch.keep(dealt(known.mapInArrow(index_task(n), FLAGS_DDL)).mapInArrow(scan_task(), FLAGS_DDL), "flags")
     of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("a")))
     wanted = flags.filter(F.col("kind") != SPAN).groupBy("doc_id").agg(of_kind(COVERED).alias("covered"), of_kind(CLOSER).alias("closer"))
-    found = known.join(wanted, "doc_id").mapInArrow(apply_task(n), FLAGS_DDL).repartition(tasks, "bucket").mapInArrow(closer_task(n), FLAGS_DDL)
+    found = dealt(known.join(wanted, "doc_id").select("doc_id", "text", "h", "covered", "closer").mapInArrow(apply_task(n), FLAGS_DDL)).mapInArrow(closer_task(n), FLAGS_DDL)
     found = scratch.keep(found, "spans")
-    return flags.filter(F.col("kind") == SPAN).union(found).select("doc_id", F.col("a").alias("spans"))
+    return flags.filter(F.col("kind") == SPAN).union(found).select("doc_id", "h", F.col("a").alias("spans"))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -438,8 +465,9 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document: its bytes, what is removed, and the hash of the rest."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    spans = removed_spans(docs, scratch).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    both = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id", "left")
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    spans = removed_spans(d, scratch).groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
+    both = d.join(spans, ["doc_id", "h"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -171,18 +171,54 @@ def test_suffix_dedup_over_many_tasks_and_cuts(spark, monkeypatch):
     assert places(whole) <= places(pieces)
 
 
-def test_contexts_that_agree_in_their_low_bits_differ(monkeypatch):
+@pytest.mark.parametrize("same", ["low bits of the context", "context", "check"])
+def test_contexts_that_agree_in_part_differ(monkeypatch, same):
     r, plain = random.Random(3), suffix_dedup.all_anchors
     common = sentence(r, 30)[:49]
-    rows = [(k, sentence(r, 20)[:60] + common + sentence(r, 20)[:60]) for k in range(6)]
-    data = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows])], names=["doc_id", "text"])
-    monkeypatch.setattr(suffix_dedup, "all_anchors", lambda some: ((t, p, k, c << np.uint64(32), a, b) for t, p, k, c, a, b in plain(some)))
+    rows = [(k, sentence(r, 20)[:60] + common + sentence(r, 20)[:60], k) for k in range(6)]
+    data = pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows]) for c in range(3)], names=["doc_id", "text", "h"])
+    alike = {"low bits of the context": lambda c, d: (c << np.uint64(32), d), "context": lambda c, d: (c * np.uint64(0), d), "check": lambda c, d: (c, d * np.uint64(0))}[same]
+    monkeypatch.setattr(suffix_dedup, "all_anchors", lambda some: ((t, p, k, *alike(c, d), a, b) for t, p, k, c, d, a, b in plain(some)))
     entries = list(suffix_dedup.index_task(1)([data]))
-    flags = list(suffix_dedup.scan_task(1)(entries))
+    flags = list(suffix_dedup.scan_task()(entries))
     assert {k for x in entries for k in x.column(1).to_pylist()} == {suffix_dedup.ENTRIES}
     assert {k for x in flags for k in x.column(1).to_pylist()} == {suffix_dedup.CLOSER}
 
 
+def test_differing_texts_of_one_document(spark):
+    r = random.Random(13)
+    x, z = sentence(r, 30), sentence(r, 40)
+    rows = [(1, x), (2, x + " and a tail of its own that is long enough"), (2, z), (2, z), (3, z[:90])]
+    out = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert set(got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == set(removed(rows)) and out.count() == 5
+
+
+def test_levels_grow_geometrically_and_are_scanned_as_they_merge():
+    gone = []
+
+    def scan(level):
+        new = suffix_dedup.group_starts(*level[:3])
+        gone.extend(level[3][~new].tolist())
+        return [x[new] for x in level]
+
+    family = suffix_dedup.Family(scan)
+    for k in range(9):
+        key = np.arange(k, k + 4, dtype=np.uint64)
+        family.add([key, key, key, np.full(4, k)])
+        sizes = [len(level[0]) for level in family.levels]
+        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    assert family.merged()[0].tolist() == list(range(12)) and family.merged()[3].tolist() == [0, 0, 0, 0, *range(1, 9)] and len(gone) == 24
+
+
+def test_long_texts_are_deduplicated_whole(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 5000)
+    r = random.Random(14)
+    long = sentence(r, 9000)
+    rows = [(1, long[40_000:40_600]), (2, long), (3, "new " + long[100:20_000] + " end")]
+    out = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert set(got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == set(removed(rows))
+
+
 # -- archives ------------------------------------------------------------------------
 
 
