@@ -192,22 +192,28 @@ def all_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
 class Family:
     """Sorted arrays of geometrically growing size over equal columns.
 
-    The first ``KEYS`` columns name an entry, the next one is its document.
-    ``scan`` looks at two levels merged into one and says what stays.
+    The first column orders a level, the next ``names`` name an entry. ``scan``
+    looks at a level, or at two merged into one, and says what stays. Entries
+    of one name stand together: where two names share a place in the order, it
+    is made anew by names.
     """
 
-    KEYS = 3
-
-    def __init__(self, scan: Callable[[list[np.ndarray]], list[np.ndarray]]) -> None:
+    def __init__(self, names: int, scan: Callable[[list[np.ndarray]], list[np.ndarray]]) -> None:
         self.levels: list[list[np.ndarray]] = []
-        self.scan = scan
+        self.names, self.scan = names, scan
 
-    def ordered(self, columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.lexsort(columns[self.KEYS :: -1])
-        return self.scan([c[order] for c in columns])
+    def ordered(self, columns: list[np.ndarray], kind: str = "quicksort") -> list[np.ndarray]:
+        order = np.argsort(columns[0], kind=kind)
+        level = [c[order] for c in columns]
+        tie = level[0][1:] == level[0][:-1]
+        if any((c[1:] != c[:-1])[tie].any() for c in level[1 : 1 + self.names]):
+            order = np.lexsort((*columns[self.names : 0 : -1], columns[0]))
+            level = [c[order] for c in columns]
+        return self.scan(level)
 
     def joined(self, *levels: list[np.ndarray]) -> list[np.ndarray]:
-        return self.ordered([np.concatenate(x) for x in zip(*levels, strict=True)])
+        """The stable sort finds the two sorted runs and merges them."""
+        return self.ordered([np.concatenate(x) for x in zip(*levels, strict=True)], "stable")
 
     def add(self, columns: list[np.ndarray]) -> None:
         level = self.ordered(columns)
@@ -218,7 +224,7 @@ class Family:
     def merged(self) -> list[np.ndarray]:
         while len(self.levels) > 1:
             self.levels.append(self.joined(self.levels.pop(), self.levels.pop()))
-        return self.levels[0] if self.levels else []
+        return self.levels[0]
 
 
 def group_starts(*columns: np.ndarray) -> np.ndarray:
@@ -271,6 +277,24 @@ def span_rows(doc: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray
     return [(int(doc[p[0]]) % buckets, SPAN, int(doc[p[0]]), int(h[p[0]]), merge_spans(start[p], end[p]).tobytes(), *[None] * 4) for p in runs_of(doc, h)]
 
 
+def gathered(rows: Iterable[tuple], least: int) -> Iterator[list[bytes]]:
+    """The binary columns of rows, joined to batches of ``least`` bytes in the first one."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row[4:])
+        size += len(row[4])
+        if size >= least:
+            yield [b"".join(x) for x in zip(*held, strict=True) if x[0] is not None]
+            held, size = [], 0
+    if held:
+        yield [b"".join(x) for x in zip(*held, strict=True) if x[0] is not None]
+
+
+def smallest(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each entry the least value of its run; runs begin at ``new``."""
+    return np.minimum.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key >> U(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
 
@@ -351,17 +375,24 @@ def scan_task():
             covered: list[tuple[np.ndarray, np.ndarray]] = []
 
             def scan(level: list[np.ndarray]) -> list[np.ndarray]:
-                key, context, check, doc = level
+                _, key, context, check, doc = level
                 new = group_starts(key, context, check)
-                gone = doc > doc[new][np.cumsum(new) - 1]
+                least = smallest(doc, new)
+                gone = doc > least
                 covered.append((doc[gone], both_prints(key[gone], context[gone])))
-                return [x[new] for x in level]
-
-            family = Family(scan)
-            for row in found[1]:
-                family.add([np.frombuffer(x, t) for x, t in zip(row[4:8], (U, U, U, np.int64), strict=True)])
-            key, context, _, doc = family.merged()
+                stays = [x[new] for x in level]
+                stays[4] = least[new]
+                return stays
+
+            family = Family(3, scan)
+            for batch in gathered(found[1], 1 << 19):
+                key, context, check, doc = (np.frombuffer(x, t) for x, t in zip(batch, (U, U, U, np.int64), strict=True))
+                family.add([(key << U(32)) | (context >> U(32)), key, context, check, doc])
+            _, key, context, _, doc = family.merged()
             rows = flags(COVERED, *(np.concatenate(x) for x in zip(*covered, strict=True)))
+            if len(np.unique(key)) < np.count_nonzero(group_starts(key)):  # two keys that agree in their low bits lie mingled
+                order = np.lexsort((context, key))
+                key, context, doc = key[order], context[order], doc[order]
             fresh = group_starts(key)
             of_key, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
             closer = (np.bincount(of_key) > 1)[of_key] & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[of_key]
@@ -411,28 +442,29 @@ def closer_task(buckets: int):
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         s = at[row] + k
-        return [Prints(body).of(s, s + MATCH), Prints(body, 6).of(s, s + MATCH), np.zeros(len(row), np.uint8), ids[row], h[row], start[row] + k]
+        return [Prints(body).of(s, s + MATCH), Prints(body, 6).of(s, s + MATCH), ids[row], h[row], start[row] + k]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in by_bucket(batches):
             if isinstance(found, pa.RecordBatch):
                 yield found
                 continue
-            rows: list[tuple] = []
+            spans: list[tuple[np.ndarray, ...]] = []
 
             def scan(level: list[np.ndarray]) -> list[np.ndarray]:
-                string, check, _, doc, h, start = level
-                new = group_starts(string, check)
-                gone = doc > doc[new][np.cumsum(new) - 1]
-                rows.extend(span_rows(doc[gone], h[gone], start[gone], start[gone] + MATCH, buckets))
+                string, check, doc, h, start = level
+                gone = doc > smallest(doc, group_starts(string, check))
+                spans.append((doc[gone], h[gone], start[gone]))
                 return [x[~gone] for x in level]
 
-            family = Family(scan)
-            for row in found[1]:
-                a, b, c, d, e = row[4:9]
-                family.add(strings(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint8).astype(np.int64), d, np.frombuffer(e, np.int64)))
+            family = Family(1, scan)
+            for batch in gathered(found[1], 1 << 17):
+                a, b, c, d, e = batch
+                columns = strings(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint8).astype(np.int64), d, np.frombuffer(e, np.int64))
+                family.add(columns)
             family.merged()
-            yield from batches_of(rows)
+            doc, h, start = (np.concatenate(x) for x in zip(*spans, strict=True))
+            yield from batches_of(span_rows(doc, h, start, start + MATCH, buckets))
 
     return run
 

@@ -197,17 +197,30 @@ def test_levels_grow_geometrically_and_are_scanned_as_they_merge():
     gone = []
 
     def scan(level):
-        new = suffix_dedup.group_starts(*level[:3])
-        gone.extend(level[3][~new].tolist())
+        new = suffix_dedup.group_starts(*level[:2])
+        gone.extend(level[2][~new].tolist())
         return [x[new] for x in level]
 
-    family = suffix_dedup.Family(scan)
+    family = suffix_dedup.Family(1, scan)
     for k in range(9):
         key = np.arange(k, k + 4, dtype=np.uint64)
-        family.add([key, key, key, np.full(4, k)])
+        family.add([key, key, np.full(4, k)])
         sizes = [len(level[0]) for level in family.levels]
         assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
-    assert family.merged()[0].tolist() == list(range(12)) and family.merged()[3].tolist() == [0, 0, 0, 0, *range(1, 9)] and len(gone) == 24
+    assert family.merged()[1].tolist() == list(range(12)) and len(gone) == 24
+
+
+def test_entries_that_share_a_place_in_the_order_are_told_apart():
+    found = []
+
+    def scan(level):
+        found.append(np.count_nonzero(suffix_dedup.group_starts(*level[1:3])))
+        return level
+
+    family = suffix_dedup.Family(2, scan)
+    place = np.zeros(6, np.uint64)
+    family.add([place, np.array([1, 2, 1, 2, 1, 2]), np.array([5, 6, 5, 6, 7, 6]), np.arange(6)])
+    assert found == [3]
 
 
 def test_long_texts_are_deduplicated_whole(spark, monkeypatch):
