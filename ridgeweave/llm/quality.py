@@ -104,15 +104,15 @@ class Fit:
         return 1 / (1 + math.exp(min(700.0, max(-700.0, bad - good))))
 
 
-def fit(counts: dict[str, int], rules: int, rounds: int = 50, floor: float = 0.001, start: float = 0.9) -> Fit:
+def fit(counts: dict[str, int], rules: int, rounds: int = 50, floor: float = 0.001, start: float = 0.9, trust: tuple[float, float] = (20, 1)) -> Fit:
     """Expectation-maximisation over vote patterns.
 
     It begins with bad votes taken at their word: a bad vote is rare among
     good texts, while most rules call a bad text good, as each looks for one
-    fault only. The rarity among good texts weighs as much as the data, since
-    where bad texts share a single fault the votes alone would leave open to
-    which class they belong. A vote may never speak against its own meaning,
-    so the two classes can't change places. Without votes the start decides.
+    fault only. Each rate also counts ``trust`` made-up votes of that kind, a
+    number that does not grow, so the data move the rates. A vote may never
+    speak against its own meaning, so the two classes can't change places.
+    Without votes the start decides.
     """
     good, bad = {"+": 0.998, "-": 0.002}, {"+": 0.8, "-": 0.2}
     model = Fit(start, (good,) * rules, (bad,) * rules)
@@ -125,10 +125,10 @@ def fit(counts: dict[str, int], rules: int, rounds: int = 50, floor: float = 0.0
         sides: tuple[list, list] = ([], [])
         for k in range(rules):
             rates = []
-            for weight, first, trust in ((post, good, total), ({p: 1 - x for p, x in post.items()}, bad, 1)):
+            for weight, first, made_up in ((post, good, trust[0]), ({p: 1 - x for p, x in post.items()}, bad, trust[1])):
                 hit = sum(weight[p] * n for p, n in counts.items() if p[k] == "-")
                 cast = sum(weight[p] * n for p, n in counts.items() if p[k] != "0")
-                rates.append((hit + trust * first["-"]) / (cast + trust))
+                rates.append((hit + made_up * first["-"]) / (cast + made_up))
             if rates[0] > rates[1]:
                 rates = [sum(rates) / 2] * 2
             for side, rate in zip(sides, rates, strict=True):

@@ -594,6 +594,29 @@ def test_the_fit_tells_good_from_bad():
     assert quality.fit({}, 4).posterior("0000") == pytest.approx(0.9)
 
 
+def test_the_fit_equals_plain_expectation_maximisation():
+    """Text by text, with a table of rates for each class and rule, instead of counts of patterns."""
+    r = random.Random(21)
+    rows = []
+    for _ in range(600):
+        fine = r.random() < 0.8
+        rows.append("".join("0" if r.random() < 0.2 else "-" if r.random() < (0.03 if fine else 0.6) else "+" for _ in range(5)))
+    model = quality.fit(dict(collections.Counter(rows)), 5)
+    cast = np.array([[v != "0" for v in x] for x in rows])
+    bad = np.array([[v == "-" for v in x] for x in rows])
+    rates, prior = np.array([[0.002] * 5, [0.2] * 5]), 0.9
+    for _ in range(50):
+        odds = [np.log(p) + (np.where(bad, np.log(q), np.log(1 - q)) * cast).sum(axis=1) for p, q in zip((prior, 1 - prior), rates, strict=True)]
+        post = 1 / (1 + np.exp(odds[1] - odds[0]))
+        for k, (w, first, made_up) in enumerate(((post, 0.002, 20), (1 - post, 0.2, 1))):
+            rates[k] = ((w[:, None] * bad).sum(axis=0) + made_up * first) / ((w[:, None] * cast).sum(axis=0) + made_up)
+        rates[:, rates[0] > rates[1]] = rates.mean(axis=0)[rates[0] > rates[1]]
+        rates, prior = rates.clip(0.001, 0.999), float(np.clip(post.mean(), 0.001, 0.999))
+    odds = [np.log(p) + (np.where(bad, np.log(q), np.log(1 - q)) * cast).sum(axis=1) for p, q in zip((prior, 1 - prior), rates, strict=True)]
+    assert [model.posterior(x) for x in rows] == pytest.approx((1 / (1 + np.exp(odds[1] - odds[0]))).tolist())
+    assert [model.given_good[k]["-"] for k in range(5)] == pytest.approx(rates[0].tolist())
+
+
 def test_junk_goes_and_clean_texts_stay(spark):
     r = random.Random(6)
     clean = [(k, sentence(r, 80)) for k in range(40)]
