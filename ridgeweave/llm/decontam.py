@@ -26,7 +26,7 @@ P = "__decontam_"
 
 
 def item_words(text: Column) -> Column:
-    return T.words(T.lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), T.LETTER_WORDS)
+    return T.words(T.lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), T.NO_LETTERS)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -75,10 +75,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     found = scratch.keep(found.select(F.col("doc_id").alias(P + "id"), F.col("found").alias(P + "found")), "candidates")
     # The documents' side is dealt at every size: what is found grows with them, so broadcasting it would only do for small tables.
     df = docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(found[P + "id"]), "left")
-    w = item_words(F.col("text"))
-    exact = T.let(w, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.filter(F.col(P + "found"), lambda c: F.slice(w, c["start"] + 1, F.size(c["words"])) == c["words"]).alias("hits")))
-    df = df.withColumn(P + "exact", exact)
-    hits = F.col(P + "exact.hits")
+    exact = T.let(item_words(F.col("text")), lambda w: F.filter(F.col(P + "found"), lambda c: F.slice(w, c["start"] + 1, F.size(c["words"])) == c["words"]))
+    # Texts without candidates are not cut into words again, unless their number is asked for.
+    df = df.withColumn(P + "exact", F.when(F.col(P + "found").isNotNull(), exact))
+    hits = F.col(P + "exact")
     spans = F.array_sort(F.transform(hits, lambda c: F.struct(c["start"].alias("s"), (c["start"] + F.size(c["words"])).alias("e"))))
     union = F.aggregate(
         spans,
@@ -86,7 +86,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
         lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n")),
         lambda a: a["n"],
     )
-    df = df.withColumns({P + "n_words": F.col(P + "exact.n_words"), P + "n_hit": F.coalesce(union, F.lit(0).cast("long")), P + "items": F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"])))), F.array().cast("array<string>"))})
+    df = df.withColumns({P + "n_words": F.size(item_words(F.col("text"))).cast("long"), P + "n_hit": F.coalesce(union, F.lit(0).cast("long")), P + "items": F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"])))), F.array().cast("array<string>"))})
     return df.drop(P + "id", P + "found", P + "exact")
 
 
