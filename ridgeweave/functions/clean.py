@@ -16,7 +16,7 @@ NAME_KEYS = ("name", "TRAIL_NAME", "PARK", "PCN_LOOP")
 TYPE_KEYS = ("TRAIL_TYPE", "TYPE")
 ELEVATION_KEYS = ("ELEVATION", "ELEV", "HEIGHT", "CONTOUR", "LEVEL", "NAME")
 PREFERRED_KEYS = (*ID_KEYS, "TRAIL_NAME", "TRAIL_TYPE", "ALLOW_WALKING", "NAME", "name", "PARK", "PCN_LOOP", "TYPE", "highway", "access", "foot", "SHAPE.LEN", "length", "INC_CRC", "FMEL_UPD_D")
-MOST_PROPERTIES, LONGEST_TEXT = 20, 160
+MOST_PROPERTIES, LONGEST_TEXT, MOST_LISTED = 20, 160, 8
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
@@ -35,6 +35,16 @@ def first_present(*values: Column) -> Column:
     return F.coalesce(*[F.when(present(v), v.cast("string")) for v in values])
 
 
+def first_value(values: Column) -> Column:
+    """The first of a list as text; null for an empty one and for what is missing."""
+    return first_present(F.get(values, F.lit(0)))
+
+
+def list_text(values: Column) -> Column:
+    """The text of a list's first ``MOST_LISTED`` values."""
+    return F.concat(F.lit("["), F.array_join(F.transform(F.slice(values, 1, MOST_LISTED), lambda v: scalar_text(v)), ", "), F.lit("]"))
+
+
 def or_default(value: Column, default: float) -> Column:
     """``value``, or ``default`` where it is null or zero."""
     return F.when(value.isNull() | (value == 0), F.lit(default)).otherwise(value)

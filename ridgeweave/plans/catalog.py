@@ -39,14 +39,31 @@ def r6(c: Column | str) -> Column:
 # -- cleaning -------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, lower(p_type) IN ('standard', 'small') AS is_yes,
-CASE WHEN lower(p_brand) IN ('footway', 'brand#1', 'brand#2') THEN true ELSE false END AS listed,
-lower(p_type) NOT IN ('promo', 'economy') AS not_barred FROM part""")
+@query("""WITH p AS (SELECT p_partkey, ['Yes', 'no', '1', ' T ', '1.0', NULL, 'walk', 'Allowed', 'false'][p_partkey % 9 + 1] AS flag,
+['Footway', 'path', 'motorway', 'steps', NULL][p_partkey % 5 + 1] AS highway, [NULL, 'Private', 'yes', 'no'][p_partkey % 4 + 1] AS access, ['no', NULL, 'designated'][p_partkey % 3 + 1] AS foot FROM part)
+SELECT p_partkey, coalesce(lower(trim(flag)) IN ('1', 'true', 't', 'yes', 'y', 'walk', 'allowed'), false) AS is_yes,
+coalesce(lower(highway) IN ('footway', 'path', 'pedestrian', 'steps', 'track'), false) AND coalesce(lower(access), '') NOT IN ('private', 'no') AND coalesce(lower(foot), '') NOT IN ('private', 'no') AS walkable FROM p""")
 def q_walkable_filter(spark, sf):
     """Flags and lists, null-safe."""
+    value = lambda *of: F.get(F.array(*map(F.lit, of)), (F.col("p_partkey") % len(of)).cast("int"))
+    flag = value("Yes", "no", "1", " T ", "1.0", None, "walk", "Allowed", "false")
+    ok = C.walkable(value("Footway", "path", "motorway", "steps", None), value(None, "Private", "yes", "no"), value("no", None, "designated"))
+    return read_table(spark, sf, "part").select("p_partkey", C.truthy(flag).alias("is_yes"), ok.alias("walkable"))
+
+
+@query("SELECT DISTINCT p_type AS folderpath FROM part WHERE p_partkey % 3 > 0")
+def q_folder_paths(spark, sf):
+    """Distinct folders of a layer; features without one don't count."""
     p = read_table(spark, sf, "part")
-    listed = F.coalesce(F.lower("p_brand").isin("footway", "brand#1", "brand#2"), F.lit(False))
-    return p.select("p_partkey", F.coalesce(F.lower("p_type").isin("standard", "small"), F.lit(False)).alias("is_yes"), listed.alias("listed"), (~F.lower(F.coalesce("p_type", F.lit(""))).isin("promo", "economy")).alias("not_barred"))
+    held = F.when(F.col("p_partkey") % 3 > 0, F.create_map(F.lit("FOLDERPATH"), F.col("p_type"))).otherwise(F.create_map().cast("map<string,string>"))
+    return elevation.folder_paths(p.select(held.alias("properties")))
+
+
+@query("""SELECT l_orderkey, CAST(min(l_partkey) AS VARCHAR) AS first, '[' || array_to_string(list_sort(list(DISTINCT l_partkey))[1:8], ', ') || ']' AS listed FROM lineitem GROUP BY 1""")
+def q_list_values(spark, sf):
+    """The first of a list, and a list cut to eight."""
+    x = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("x"))
+    return x.select("l_orderkey", C.first_value(F.col("x")).alias("first"), C.list_text(F.col("x")).alias("listed"))
 
 
 @query("""SELECT p_partkey, coalesce(try_cast(nullif(regexp_extract(p_name, '[-+]?\\d+(?:\\.\\d+)?'), '') AS DOUBLE),
@@ -58,7 +75,7 @@ def q_contour_parse(spark, sf):
 
 @query("SELECT p_type AS folderpath, count(*) AS n FROM part WHERE p_type ILIKE '%econ%' OR p_type ILIKE '%PROMO%' GROUP BY 1")
 def q_folder_patterns(spark, sf):
-    """Escaped patterns in any case."""
+    """P5: escaped patterns in any case."""
     return read_table(spark, sf, "part").filter(C.matches_any(F.col("p_type"), ["econ", "PROMO"])).groupBy(F.col("p_type").alias("folderpath")).agg(F.count("*").alias("n"))
 
 
@@ -100,19 +117,37 @@ def q_directed_edges(spark, sf):
     return graph.directed_edges(T.edges(spark, sf)).select("directed_edge_id", "src", "dst", "undirected_edge_id", "length_m", "ascent_m", "descent_m")
 
 
-@query(f"WITH {T.EDGES} SELECT edge_id, source_primary || '_' || lpad(CAST(row_number() OVER (PARTITION BY source_primary ORDER BY edge_id) AS VARCHAR), 6, '0') AS sequence_id FROM te")
-def q_edge_sequence_ids(spark, sf):
-    """Numbers by source."""
-    n = F.row_number().over(W.partitionBy("source_primary").orderBy("edge_id"))
-    return T.edges(spark, sf).select("edge_id", F.format_string("%s_%06d", "source_primary", n).alias("sequence_id"))
+PATHS = f"""{T.EDGES}, {T.NODES}, tp AS (SELECT row_number() OVER (ORDER BY edge_id) - 1 AS path_ordinal, edge_id AS name, source_primary, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM te JOIN tn a ON a.node_id = u JOIN tn b ON b.node_id = v),
+ends AS (SELECT path_ordinal * 2 AS seq, path_ordinal, 0 AS side, round_even(ux / 2.5, 0) * 2.5 AS x, round_even(uy / 2.5, 0) * 2.5 AS y FROM tp UNION ALL SELECT path_ordinal * 2 + 1, path_ordinal, 1, round_even(vx / 2.5, 0) * 2.5, round_even(vy / 2.5, 0) * 2.5 FROM tp)"""
 
 
-@query(f"WITH {T.NODES} SELECT node_id, round_even(x / 2.5, 0) * 2.5 AS kx, round_even(y / 2.5, 0) * 2.5 AS ky, CAST(floor((x - 5000) / 1500) AS BIGINT) AS cx, CAST(floor((y - 5000) / 1500) AS BIGINT) AS cy FROM tn")
-def q_node_keys(spark, sf):
-    """Keys rounded half to even, and cells by floor."""
+def path_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A straight path for every edge, numbered by the edge's id."""
     n = T.nodes(spark, sf)
-    key = lambda c: (F.rint(F.col(c) / 2.5) * 2.5).alias("k" + c)
-    return n.select("node_id", key("x"), key("y"), *[graph.cell(F.col(c) - 5000, 1500).alias("c" + c) for c in "xy"])
+    end = lambda k: n.select(F.col("node_id").alias(k), F.struct("x", "y").alias("p" + k))
+    e = T.edges(spark, sf).join(end("u"), "u").join(end("v"), "v")
+    e = e.select(F.col("edge_id").alias("name"), "source_primary", "source_confidence", F.array("pu", "pv").alias("coords"))
+    return paths.with_ordinals(e, ["name"])
+
+
+@query(f"WITH {PATHS} SELECT seq, path_ordinal, side, x, y FROM ends")
+def q_path_ends(spark, sf):
+    """Both ends of every path, rounded half to even."""
+    return paths.ends(path_table(spark, sf), 2.5)
+
+
+@query(f"""WITH {PATHS}, k AS (SELECT x, y, min(seq) AS first FROM ends GROUP BY x, y), n AS (SELECT x, y, 'n' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 6, '0') AS node_id FROM k),
+j AS (SELECT tp.*, a.node_id AS u, b.node_id AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM tp JOIN ends e ON e.seq = tp.path_ordinal * 2 JOIN n a ON a.x = e.x AND a.y = e.y JOIN ends f ON f.seq = tp.path_ordinal * 2 + 1 JOIN n b ON b.x = f.x AND b.y = f.y)
+SELECT source_primary || '_' || lpad(CAST(row_number() OVER (PARTITION BY source_primary ORDER BY path_ordinal) AS VARCHAR), 6, '0') AS edge_id, u, v, name, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)), 6) AS length_m FROM j WHERE u <> v""")
+def q_network_edges(spark, sf):
+    """Nodes by first appearance, edges numbered by source."""
+    return paths.edges_and_nodes(path_table(spark, sf), precision=2.5)[1].select("edge_id", "u", "v", "name", r6("length_m").alias("length_m"))
+
+
+@query(f"WITH {T.NODES} SELECT node_id, CAST(floor((x - 5000) / 1500) AS BIGINT) AS cx, CAST(floor((y - 5000) / 1500) AS BIGINT) AS cy FROM tn")
+def q_node_cells(spark, sf):
+    """Cells by floor."""
+    return T.nodes(spark, sf).select("node_id", *[graph.cell(F.col(c) - 5000, 1500).alias("c" + c) for c in "xy"])
 
 
 @query(f"""WITH {T.NODES}, p AS (SELECT x, y, min(node_id) AS id FROM tn GROUP BY x, y)
@@ -239,8 +274,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SETS} SELECT a, b, round(common / (sa + sb - common), 6) AS jaccard FROM x")
 def q_jaccard(spark, sf):
-    """A7."""
-    return pairs(spark, sf).select("a", "b", r6(F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("jaccard"))
+    """Of two sets of edges, for pairs that share one."""
+    held = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("e"))
+    side = lambda k: held.select(F.col("l_orderkey").alias(k), F.col("e").alias("e" + k))
+    return pairs(spark, sf).select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", r6(S.edge_jaccard(F.col("ea"), F.col("eb"))).alias("jaccard"))
 
 
 @query(f"WITH {SETS} SELECT a, b, round(CASE WHEN ta + tb - shared > 0 THEN shared / (ta + tb - shared) ELSE 1 END, 6) AS similarity FROM x")
@@ -311,8 +348,8 @@ def q_median_spacing(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem")
 def q_cum_distance(spark, sf):
     """What lies before each edge."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(W.unboundedPreceding, -1)
-    return read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)).alias("before"))
+    line = read_table(spark, sf, "lineitem").withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", series.cumulative(["l_orderkey"], "place", "l_quantity").alias("before"))
 
 
 @query(f"""WITH {T.PROFILES}, q AS (SELECT event_id AS eid, user_id, distance + 5000 AS pos FROM tp WHERE event_type = 'click'),

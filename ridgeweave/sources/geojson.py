@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeweave.functions.geometry import LINE
+from ridgeweave.operators.paths import with_ordinals
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 FEATURE = f"struct<id:string,properties:map<string,string>,geometry:{GEOMETRY}>"
@@ -35,9 +36,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Features one to a line, which Spark splits; the index counts along the files."""
+    """Features one to a line, which Spark splits; the index counts on from 0 along the files."""
     raw = spark.read.schema("id string, properties map<string,string>, geometry " + GEOMETRY).json(path)
-    return features_of(raw.select(F.monotonically_increasing_id().alias("feature_idx"), F.struct("id", "properties", "geometry").alias("feature")))
+    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.struct("id", "properties", "geometry").alias("feature"))
+    numbered = with_ordinals(placed, ["file", "block", "place"])
+    return features_of(numbered.select(F.col("path_ordinal").alias("feature_idx"), "feature"))
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ def load_osm(spark: SparkSession, settings: Settings) -> DataFrame | None:
         raise RuntimeError(f"can't read {found}; convert it to GeoJSON or Parquet first")
     ways = read_vector(spark, str(found))
     box = settings.get("sources.osm.singapore_bbox_wgs84")
-    return P.walkable_ways(in_box(ways, tuple(map(float, box))) if box and found.suffix == ".parquet" and "lines" not in ways.columns else ways)
+    return P.walkable_ways(in_box(ways, tuple(map(float, box))) if box else ways)
 
 
 def load_paths(spark: SparkSession, settings: Settings) -> DataFrame:

@@ -40,3 +40,18 @@ def test_entry_without_llm():
 
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_where_the_folder_is_gone(tmp_path):
+    """A copy without the training-data operators still imports, and keeps the other queries."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "ridgeweave", tmp_path / "ridgeweave", ignore=lambda d, names: {"llm", "__pycache__"} & set(names))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sum(k.startswith('q_') for k in e.queries()), sum(k.startswith(('op', 'pipe')) for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, timeout=120)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), "0"]

@@ -286,3 +286,27 @@ def test_downloads_wait_cache_and_hide_addresses(tmp_path):
     side = (s.data_dir / "raw" / "data_gov" / "national_map_line.json").read_text()
     assert "secret" not in side and json.loads(side)["path"] == "data/raw/data_gov/national_map_line.geojson"
     assert (fetch.wait_after(None, 3), fetch.wait_after("x", 9), fetch.wait_after("-1", 0)) == (8.0, 60.0, 0.0)
+
+
+def test_lines_of_features_are_numbered_on_along_the_files(spark, tmp_path):
+    import json
+
+    from ridgeweave.sources.geojson import in_box, read_geojson_lines
+
+    for k in range(3):
+        lines = [json.dumps({"type": "Feature", "id": f"{k}-{i}", "properties": {"at": str(5 * k + i)}, "geometry": {"type": "LineString", "coordinates": [[103.0 + k, 1.0], [103.1 + k, 1.1]]}}) for i in range(5)]
+        (tmp_path / f"part-{k}.geojsonl").write_text("\n".join(lines))
+    layer = read_geojson_lines(spark, str(tmp_path))
+    rows = {r.feature_idx: r.properties["at"] for r in layer.collect()}
+    assert rows == {k: str(k) for k in range(15)}
+    assert {r.feature_idx for r in in_box(layer, (103.9, 0.0, 104.5, 2.0)).collect()} == set(range(5, 10))
+
+
+def test_first_of_a_list_and_lists_cut_to_eight(spark):
+    from pyspark.sql import functions as F
+
+    from ridgeweave.functions import clean as C
+
+    df = spark.createDataFrame([(["footway", "path"],), ([],), (None,), (["nan"],), ([str(k) for k in range(12)],)], "x array<string>")
+    got = [tuple(r) for r in df.select(C.first_value(F.col("x")), C.list_text(F.col("x"))).collect()]
+    assert got == [("footway", "[footway, path]"), (None, "[]"), (None, None), (None, "[]"), ("0", "[0, 1, 2, 3, 4, 5, 6, 7]")]
