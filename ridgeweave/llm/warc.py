@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ridgeweave.scratch import Scratch
 
+log = logging.getLogger(__name__)
 LEAST = 100
 ARCHIVE_BYTES = 1 << 20
 #: Copies of a repeated payload's row, and parts of the pages that share it.
@@ -280,7 +282,21 @@ def read(table: DataFrame) -> DataFrame:
     return table.select("archive", "data").mapInArrow(run, ROWS)
 
 
+def logged_gaps(found: DataFrame) -> int:
+    """How many byte gaps are quarantined; each reason is logged with its gaps and bytes."""
+    total = 0
+    for r in found.filter("gap is not null").groupBy("gap").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes")).collect():  # reasons are of few kinds
+        log.warning("%d gaps of %d bytes quarantined: %s", r["n"], r["bytes"], r["gap"])
+        total += r["n"]
+    return total
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """One row for each page, as read back from the archives that were written."""
-    table = Scratch(pages.sparkSession, "warc").keep(archives(pages), "archives")
-    return read(table).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """One row for each page, as read back from the archives that were written; a page that isn't found again is an error."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    found = scratch.keep(read(scratch.keep(archives(pages), "archives")).drop("payload"), "read")
+    logged_gaps(found)
+    written, kept = pages.count(), found.filter("gap is null")
+    if (n := kept.count()) != written:
+        raise RuntimeError(f"{written} pages written, {n} read back")
+    return kept.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -255,6 +255,21 @@ def test_archives_round_trip(spark):
     assert got(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == expected
 
 
+def test_long_urls_and_damaged_archives(spark, caplog, monkeypatch):
+    pages = spark.createDataFrame([(k, "http://x/" + "u" * (200_000 if k == 2 else 3), f"<p>{k}</p>" * 60) for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in warc.round_trip(pages).collect()} == set(range(6))
+    table = warc.archives(pages)
+    name, data = table.first()
+    hurt = spark.createDataFrame([(name, bytes(data[:200]) + b"\x00" * 40 + bytes(data[240:]))], "archive string, data binary")
+    found = warc.read(hurt).cache()
+    with caplog.at_level("WARNING"):
+        assert warc.logged_gaps(found) >= 1
+    assert "quarantined" in caplog.text and len({r.page_id for r in found.filter("gap is null").collect()}) >= 4
+    monkeypatch.setattr(warc, "archives", lambda _: hurt)
+    with pytest.raises(RuntimeError, match="read back"):
+        warc.round_trip(pages)
+
+
 def test_salvage_recovers_what_follows_damage():
     records = [warc.record(k, f"http://x/{k}", f"payload {k} ".encode() * 30, None) for k in range(6)]
     good = [warc.member(r) for r in records]
