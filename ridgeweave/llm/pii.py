@@ -1,11 +1,16 @@
 r"""Personal data: base patterns plus bootstrapped contexts, in DataFrame functions only.
 
-Base spans come from fixed patterns. They seed the second part: the two words
-before a seed are a lexical pattern of its kind. Patterns and identifier-like
-instances form a graph. In each round a pattern's confidence is the share of
-its instances that belong to the kind, by their scores so far, and an
-instance's score is the noisy-or of its patterns' confidences. Instances of
-high-confidence patterns become spans of that kind. Base spans always stay.
+Base spans come from fixed patterns and seed the second part. The words about
+a span are its lexical patterns: two or one before it, one on either side, and
+two behind it. A line's start, a text's end and another match stand for a word,
+so a list's second entry has a pattern too. Patterns and instances, base or
+identifier-like, form a graph. In each round a pattern is induced for a kind
+once enough different trusted instances stand in it, and its confidence is the
+share of its instances that belong to the kind, by their scores so far. An
+instance's score is the noisy-or of the confidences of its trusted patterns,
+and a trusted instance induces patterns in the next round. Instances of
+trusted patterns become spans of that kind, where their shape allows it. Base
+spans always stay.
 
 Spans count code points, the end is exclusive. A match is found by splitting
 the text at the pattern, so its place is the length of what lies before it.
@@ -30,7 +35,7 @@ from ridgeweave.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 P = "__pii_"
-SPAN = "struct<s:bigint,e:bigint,value:string,context:string>"
+SPAN = "struct<s:bigint,e:bigint,value:string,contexts:array<string>>"
 
 _LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
@@ -38,8 +43,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![0-9A-Za-z])[0-9(][0-9().\x20/-]{5,30}[0-9](?![0-9A-Za-z])",
-    "spelled": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}} ?[(\[]at[)\]] ?[A-Za-z0-9-]{{1,63}}(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{{2,12}}",
+    "number": r"(?<![0-9A-Za-z(])\(?[0-9][0-9().\x20/-]{4,}[0-9](?![0-9A-Za-z])",
+    "spelled": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{{2,}}+",
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 
@@ -70,10 +75,27 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def context(before: Column) -> Column:
-    """The last two words before a span, lowered, without punctuation; empty if there are fewer."""
-    tail = F.lower(F.right(before, F.lit(48)))
-    return F.trim(F.regexp_replace(F.regexp_extract(tail, r"([^\x20\x09-\x0D]{1,20}[\x20\x09-\x0D]+[^\x20\x09-\x0D]{1,20})[\x20\x09-\x0D]*$", 1), r"[^\p{L}\p{N}]+", " "))
+def _tokens(gap: Column) -> Column:
+    """Lowered runs of letters and digits; a line feed gives ``^``."""
+    plain = F.regexp_replace(F.lower(gap), r"[^\p{L}\p{N}\n]+", " ")
+    return F.array_remove(F.split(F.replace(plain, F.lit("\n"), F.lit(" ^ ")), " +"), "")
+
+
+def contexts(before: Column, after: Column, left: Column, right: Column) -> Column:
+    """Lexical patterns of a span between two gaps; ``left`` and ``right`` stand for what lies beyond them.
+
+    A few characters nearest the span are looked at first, and the whole gap
+    where they hold less than two words and the one that may be cut.
+    """
+    near = F.lit(64)
+    last = T.let(_tokens(F.right(before, near)), lambda w: F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(T.let(F.concat(F.array(left), _tokens(before)), lambda v: F.slice(v, F.greatest(F.lit(1), F.size(v) - 1), 2))))
+    first = T.let(_tokens(F.left(after, near)), lambda w: F.when(F.size(w) > 2, F.slice(w, 1, 2)).otherwise(F.slice(F.concat(_tokens(after), F.array(right)), 1, 2)))
+
+    def made(x: Column, y: Column) -> Column:
+        one = F.element_at(x, -1)
+        return F.array(F.concat(F.array_join(x, " "), F.lit(" _")), F.concat(one, F.lit(" _")), F.concat(one, F.lit(" _ "), F.get(y, F.lit(0))), F.concat(F.lit("_ "), F.array_join(y, " ")))
+
+    return F.filter(F.array_distinct(T.let(last, lambda x: T.let(first, lambda y: made(x, y)))), lambda c: c.rlike(r"[\p{L}\p{N}]"))
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -85,7 +107,9 @@ def spans(text: Column, kind: str) -> Column:
         def step(a: Column, k: Column) -> Column:
             start = a["at"] + F.length(F.get(gaps, k))
             end = start + F.length(F.get(found, k))
-            span = F.struct(start.cast("long").alias("s"), end.cast("long").alias("e"), F.get(found, k).alias("value"), context(F.get(gaps, k)).alias("context"))
+            left, right = F.when(k == 0, "^").otherwise("#"), F.when(k == F.size(found) - 1, "$").otherwise("#")
+            about = contexts(F.get(gaps, k), F.get(gaps, k + 1), left, right)
+            span = F.struct(start.cast("long").alias("s"), end.cast("long").alias("e"), F.get(found, k).alias("value"), about.alias("contexts"))
             return F.struct(end.cast("long").alias("at"), F.when(valid(kind, F.get(found, k)), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
         start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
@@ -102,7 +126,7 @@ def located(docs: DataFrame) -> DataFrame:
     df = docs.withColumns({P + k: spans(text, k) for k in KINDS} | {P + "number": spans(text, "number"), P + "spelled": spans(text, "spelled")})
 
     def tagged(i: int, kind: str) -> Column:
-        return F.transform(F.col(P + kind), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("kind"), x["e"].alias("e"), x["value"].alias("value"), x["context"].alias("context")))
+        return F.transform(F.col(P + kind), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("kind"), x["e"].alias("e"), x["value"].alias("value"), x["contexts"].alias("contexts")))
 
     base = F.concat(*[tagged(i, k) for i, k in enumerate(KINDS)])
     df = df.withColumns({P + "base": F.array_sort(base), P + "row": F.monotonically_increasing_id()})
@@ -112,40 +136,46 @@ def located(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """``rounds`` of scoring; a pattern counts from ``support`` distinct seeds and is trusted from ``confidence`` on."""
+    """``rounds`` of scoring; a pattern counts from ``support`` different trusted instances, patterns and instances are trusted from ``confidence`` on."""
 
     rounds: int = 3
     support: int = 5
     confidence: float = 0.8
 
 
+def fits(kind: Column, value: Column) -> Column:
+    """Whether an identifier-like instance has the shape of a kind: letters for mail, digits alone for the others."""
+    return value.rlike("[a-z]") == (kind == 0)
+
+
 def discover(found: DataFrame, scratch: Scratch, how: Bootstrap = Bootstrap()) -> DataFrame:
     """(row, extra): spans that trusted patterns find in the rows of ``located``.
 
-    Only contexts, instances and their counts travel. Distinct pairs are
-    formed before anything is counted, so a context that a third of the rows
-    share costs one row for each task.
+    Only patterns, instances and their counts travel. Distinct pairs are
+    formed before anything is counted, so a pattern that a third of the rows
+    share costs one row for each task. A pattern with fewer instances than
+    ``support`` can't be induced in any round and goes before the first one.
     """
-    seeds = found.select(F.explode(P + "base").alias("x")).select(F.col("x.kind").alias("kind"), "x.context", F.lower("x.value").alias("value")).filter("context <> ''").distinct()
-    support = seeds.groupBy("kind", "context").count().filter(F.col("count") >= how.support).select("kind", "context")
-    support = scratch.keep(support, "patterns")
-    inside = support.select("context").distinct()
-    spots = found.select(P + "row", F.explode(P + "candidates").alias("x")).select(P + "row", "x.s", "x.e", "x.context", F.lower("x.value").alias("value"))
-    spots = scratch.keep(spots.join(inside, "context", "left_semi"), "spots")
-    known = seeds.join(inside, "context", "left_semi").select("kind", "context", "value", F.lit(1.0).alias("score"))
-    edges = scratch.keep(known.select("context", "value").union(spots.select("context", "value")).distinct(), "edges")
-    known = scratch.keep(known, "known")
-    size = edges.groupBy("context").agg(F.count("*").alias("n"))
-    scores = known.select("kind", "value", "score").distinct()
+    seeds = found.select(F.explode(P + "base").alias("x")).select(F.col("x.kind").alias("kind"), F.lower("x.value").alias("value"), "x.contexts")
+    spots = found.select(P + "row", F.explode(P + "candidates").alias("x")).select(P + "row", "x.s", "x.e", F.lower("x.value").alias("value"), F.explode("x.contexts").alias("pattern"))
+    spots = scratch.keep(spots, "spots")
+    known = scratch.keep(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)), "known")
+    every = seeds.select(F.explode("contexts").alias("pattern"), "value", F.lit(True).alias("seed")).union(spots.select("pattern", "value", F.lit(False)))
+    every = scratch.keep(every.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pairs")
+    size = every.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= how.support)
+    edges = scratch.keep(every.join(size, "pattern"), "edges")
+    scores = known
     for k in range(how.rounds):
-        mass = edges.join(scores, "value").groupBy("kind", "context").agg(F.sum("score").alias("mass"))
-        patterns = mass.join(support, ["kind", "context"], "left_semi").join(size, "context").select("kind", "context", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
-        patterns = scratch.keep(patterns, f"confidence{k}")
-        guessed = edges.join(patterns, "context").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
-        merged = guessed.union(known.select("kind", "value", "score")).groupBy("kind", "value").agg(F.max("score").alias("score"))
-        scores = scratch.keep(merged, f"scores{k}")
-    trusted = patterns.filter(F.col("confidence") >= how.confidence).groupBy("context").agg(F.max_by("kind", "confidence").alias("kind"))
-    return spots.join(trusted, "context").groupBy(P + "row").agg(F.array_sort(F.collect_set(F.struct("s", "kind", "e"))).alias(P + "extra"))
+        mass = edges.join(scores, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= how.confidence).alias("trusted"), F.max("n").alias("n"))
+        patterns = mass.filter(F.col("trusted") >= how.support).select("kind", "pattern", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= how.confidence)
+        patterns = scratch.keep(patterns, f"patterns{k}")
+        if k + 1 < how.rounds:
+            guessed = edges.filter(~F.col("seed")).join(patterns, "pattern").filter(fits(F.col("kind"), F.col("value")))
+            guessed = guessed.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+            scores = scratch.keep(guessed.union(known.select("kind", "value", "score")).groupBy("kind", "value").agg(F.max("score").alias("score")), f"scores{k}")
+    hits = spots.join(patterns, "pattern").filter(fits(F.col("kind"), F.col("value")))
+    hits = hits.groupBy(P + "row", "s", "e").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    return hits.groupBy(P + "row").agg(F.array_sort(F.collect_set(F.struct("s", "kind", "e"))).alias(P + "extra"))
 
 
 def detect(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:

@@ -12,8 +12,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ridgeweave.llm import decontam, html_text, licenses, maxent, near_dup, packing, pii, quality, suffix_dedup, warc
 from ridgeweave.llm.registry import tokenizer_path
@@ -342,6 +344,103 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got_[0].startswith("phone:23:")
 
 
+LIKE = {
+    "number": (r"(?<![0-9A-Za-z(])\(?[0-9][0-9(). /-]{4,}[0-9](?![0-9A-Za-z])", lambda v: 7 <= len(re.sub("[^0-9]", "", v)) <= 19),
+    "spelled": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{2,}+", lambda v: True),
+}
+
+
+def places(text, pattern, ok):
+    """(start, end, value, patterns) of every valid match, its patterns found from all words about it."""
+    found, out = list(re.finditer(pattern, text)), []
+    words = lambda gap: regex.sub(r"[^\p{L}\p{N}\n]+", " ", gap.lower()).replace("\n", " ^ ").split()
+    for k, m in enumerate(found):
+        first, last = k == 0, k + 1 == len(found)
+        x = (["^" if first else "#"] + words(text[0 if first else found[k - 1].end() : m.start()]))[-2:]
+        y = (words(text[m.end() : len(text) if last else found[k + 1].start()]) + ["$" if last else "#"])[:2]
+        made = {" ".join(x) + " _", x[-1] + " _", f"{x[-1]} _ {y[0]}", "_ " + " ".join(y)}
+        if ok(m[0]):
+            out.append((m.start(), m.end(), m[0].lower(), {c for c in made if regex.search(r"[\p{L}\p{N}]", c)}))
+    return out
+
+
+def bootstrapped(rows, how):
+    """All spans of every row, by plain loops over the whole graph."""
+    seeds, spots, base, about = set(), [], {}, collections.defaultdict(set)
+    for i, t in rows:
+        base[i] = {(s, k, e) for k, kind in enumerate(BASE) for s, e, *_ in places(t, *BASE[kind])}
+        free = [p for kind in LIKE for p in places(t, *LIKE[kind]) if not any(s < p[1] and p[0] < e for s, _, e in base[i])]
+        fixed = [(k, p) for k, kind in enumerate(BASE) for p in places(t, *BASE[kind])]
+        seeds |= {(k, p[2]) for k, p in fixed}
+        spots += [(i, p) for p in free]
+        for _, _, value, patterns in [p for _, p in fixed] + free:
+            for c in patterns:
+                about[c].add(value)
+    seeded, score, trusted = {v for _, v in seeds}, dict.fromkeys(seeds, 1.0), {}
+    fits = lambda k, v: (k == 0) == bool(re.search("[a-z]", v))
+    for _ in range(how.rounds):
+        trusted = {}
+        for c, values in about.items():
+            for k in range(4):
+                have = [score.get((k, v), 0.0) for v in values]
+                if sum(x >= how.confidence for x in have) >= how.support and sum(have) / (len(values) + 1) >= how.confidence:
+                    trusted[k, c] = sum(have) / (len(values) + 1)
+        miss = collections.defaultdict(lambda: 1.0)
+        for (k, c), x in trusted.items():
+            for v in about[c] - seeded:
+                if fits(k, v):
+                    miss[k, v] *= 1 - x
+        score = dict.fromkeys(seeds, 1.0) | {at: 1 - x for at, x in miss.items()}
+    for i, (s, e, v, patterns) in spots:
+        kinds = [(x, -k) for (k, c), x in trusted.items() if c in patterns and fits(k, v)]
+        if kinds:
+            base[i].add((s, -max(kinds)[1], e))
+    return {i: ",".join(f"{list(BASE)[k]}:{s}:{e}" for s, k, e in sorted(x)) for i, x in base.items()}
+
+
+def letters(r, n):
+    return "".join(r.choices("abcdefghijklmnop", k=n))
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_discovered_spans_are_those_of_plain_loops(spark, rounds):
+    r = random.Random(9)
+    number = lambda: f"{r.randint(200, 999)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+    cues, tails, rows = ["call me", "phone:", "dial\nnow", "Fax -", "ring " + "y" * 90, "İ Σ", "the"], ["today", "or", "\nbye", "z" * 90, ""], []
+    for k in range(400):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            value = r.choice([lambda: "+1 " + number(), number, number, lambda: f"{letters(r, 4)}@{letters(r, 3)}.net", lambda: f"{letters(r, 5)} (at) {letters(r, 4)} (dot) org", lambda: "10.0.0." + str(r.randint(0, 300)), lambda: "4111 1111 1111 1111"])()
+            parts.append(r.choice([letters(r, 3) + " ", "", "mail "]) + r.choice(cues) + " " + value + " " + r.choice(tails))
+        rows.append((k, r.choice([" ", "\n", ". "]).join(parts)))
+    rows += [(900 + k, f"call me +1 {number()} today") for k in range(30)] + [(950 + k, f"call me {number()} or reach line {k % 7} at {number()} or") for k in range(30)]
+    rows += [(1000 + k, f"write to: {letters(r, 6)}@{letters(r, 4)}.com please") for k in range(9)] + [(1020 + k, f"write to: {letters(r, 6)} [at] {letters(r, 4)}.com please") for k in range(2)]
+    how = pii.Bootstrap(rounds=rounds, confidence=0.6)
+    out = pii.detect_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), how)
+    got_ = {x.doc_id: x.spans for x in out.select("doc_id", pii.joined(F.col("__pii_spans")).alias("spans")).collect()}
+    expected = bootstrapped(rows, how)
+    assert got_ == expected
+    assert sum(len(x.split(",")) for x in expected.values()) > sum(len(base_spans(t).split(",")) for _, t in rows)
+
+
+def test_trusted_instances_induce_patterns(spark):
+    """No base span stands behind "reach at": only numbers that "call me" finds lead there."""
+    n = lambda k: f"743 555 {1000 + k}"
+    rows = [(k, f"{'w' * (k + 1)} call me +1 {n(k)} soon") for k in range(100)] + [(100 + k, f"{'w' * (k + 1)} call me {n(500 + k)} soon, reach {'v' * (k + 1)} at: {n(500 + k)} {'u' * (k + 1)}") for k in range(12)]
+    rows += [(200, "xx at: 743 555 7777 yy"), (201, "xx in 743 555 7777 yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    find = lambda rounds: {x.doc_id: [tuple(s) for s in x["__pii_spans"]] for x in pii.detect_ids(df, pii.Bootstrap(rounds=rounds)).collect()}
+    once, more = find(1), find(3)
+    assert once[200] == [] and more[200] == [(7, 3, 19)]
+    assert once[201] == more[201] == []
+
+
+def test_contexts_of_very_long_gaps(spark):
+    rows = [(k, f"{'x ' * 30_000}{'q' * 30_000} +1 743 555 {1000 + k} {'z' * 30_000}") for k in range(6)] + [(9, f"{'q' * 30_000} 743 555 9999 end"), (10, "(" * 100_000 + "1 1" + "(" * 100_000)]
+    got_ = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got_[9] == "phone:30001:30013" and got_[10] == ""
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd or 10.0.0.1 now", 99), (2, "nothing", 7), (3, None, None)]
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
