@@ -436,7 +436,7 @@ def test_trusted_instances_induce_patterns(spark):
 
 
 def test_contexts_of_very_long_gaps(spark):
-    rows = [(k, f"{'x ' * 30_000}{'q' * 30_000} +1 743 555 {1000 + k} {'z' * 30_000}") for k in range(6)] + [(9, f"{'q' * 30_000} 743 555 9999 end"), (10, "(" * 100_000 + "1 1" + "(" * 100_000)]
+    rows = [(k, f"{'x ' * 30_000}{'q' * 30_000} +1 743 555 {1000 + k} {'z' * 30_000}") for k in range(12)] + [(9, f"{'q' * 30_000} 743 555 9999 end"), (10, "(" * 100_000 + "1 1" + "(" * 100_000)]
     got_ = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got_[9] == "phone:30001:30013" and got_[10] == ""
 
