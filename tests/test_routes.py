@@ -217,6 +217,26 @@ def test_attribution_and_names(spark, walk):
     assert "Summit Path" in name and name.endswith("0.10 km, 20 m gain")
 
 
+def test_source_records_in_full(spark):
+    ddl = "route_id string, sample_index int, lon double, lat double, cum_distance_m double, elevation_smooth_m double, grade_smooth_pct double, edge_id string, source_primary string, source_feature_id string, source_row_index string, source_raw_properties_json string, path_name string, highway string, source_confidence double"
+    rows = [
+        ("r", 0, 103.123456789, 1.5, 0.0, 4.0, None, "e1", "osm", "w1", "12", '{"highway": "path", "n": 1}', "Ridge", "nan", 0.9),
+        ("r", 1, 103.2, 1.6, 30.0, 5.0, 3.3, "e1", "osm", "w1", "13", "[1]", "Other", "path", 0.9),
+        ("r", 2, 103.3, 1.7, 40.0, 6.0, 1.0, "e2", "old_map", None, None, "{broken", " ", "track", None),
+        ("r", 3, 103.4, 1.8, 50.0, 7.0, 1.0, "e2", "old_map", None, None, None, None, "track", None),
+    ]
+    a, b = attribution.used_records(spark.createDataFrame(rows, ddl).repartition(3)).orderBy(F.desc("distance_m")).collect()
+    assert (a.source_label, a.feature_id, a.distance_m, a.share_pct) == ("OpenStreetMap walkable paths", "w1", 40.0, 80.0)
+    assert json.loads(a.source_properties) == {"highway": "path", "n": 1}
+    assert json.loads(a.attributes) == {"source_primary": "osm", "source_feature_id": "w1", "source_row_index": "12", "path_name": "Ridge", "source_confidence": 0.9}
+    assert json.loads(a.source_lookup) == {"raw_dataset_feature_id": "w1", "raw_row_index": "12", "id_note": attribution.ID_NOTE}
+    assert a.points[0].asDict() == {"sample_index": 0, "lon": 103.1234568, "lat": 1.5, "cum_distance_m": 0.0, "elevation_smooth_m": 4.0, "grade_smooth_pct": None, "edge_id": "e1"}
+    assert (b.source_label, b.feature_id, b.source_confidence) == ("Old Map", "e2", 0.5)
+    assert json.loads(b.source_properties) == json.loads(b.attributes) == {"source_primary": "old_map", "highway": "track"}
+    assert json.loads(b.source_lookup) == {"raw_dataset_feature_id": "e2", "id_note": attribution.ID_NOTE}
+    assert attribution.elevation_source(spark).first().label == "SLA National Map Line"
+
+
 def test_area_shares(spark):
     bukit, dairy, out = (1.354, 103.777), (1.38, 103.777), (0.0, 0.0)
     data = [("one", k, *bukit) for k in range(2)] + [("two", k, *(bukit if k < 6 else dairy)) for k in range(8)] + [("most", k, *(dairy if k == 9 else bukit)) for k in range(10)] + [("none", 0, *out)]
