@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeweave.llm import decontam, html_text, licenses, maxent, near_dup, packing, pii, quality, suffix_dedup, text, warc
+from ridgeweave.llm import conversation, decontam, exact_dedup, html_text, licenses, maxent, near_dup, packing, pii, quality, resample, suffix_dedup, text, warc
 from ridgeweave.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,105 @@ SELECT d.doc_id, CAST(coalesce(max(z.n), 0) AS BIGINT) AS n_shingles, least(d.do
        d.doc_id = least(d.doc_id, coalesce(min(other), d.doc_id)) AS kept
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY 1
 """
+
+
+@query
+def op11_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal but for white space."""
+    return exact_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_content_sort_dedup"] = r"""
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+WINDOW g AS (PARTITION BY body)
+"""
+
+#: CRC-32 in SQL: the table from its polynomial, then one step for each byte of a text.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab"
+
+
+def crc(text: str) -> str:
+    """SQL of an ASCII or UTF-8 text's CRC-32, where ``tab`` is the table."""
+    pairs = f"list_transform(range(CAST(length(hex({text})) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({pairs}, lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planned damage."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversation.report(conversation.damaged(rows), rows)
+
+
+def repair_sql() -> str:
+    """A fold over each conversation's rows; a state's key is its cost in nine digits and then its audit."""
+
+    def edit(x: str, cost: str, letter: str, piece: str | None) -> str:
+        k = f"lpad(CAST(CAST(left({x}.k, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({x}.k, 10) || '{letter}'"
+        r = f"{x}.r" if piece is None else f"{x}.r || CASE WHEN {x}.r = '' THEN '' ELSE chr(10) END || {piece}"
+        return f"{{'k': {k}, 'r': {r}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda o: o.k IS NOT NULL))"
+
+    nothing = "CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR))"
+    drop = lambda q: edit(f"st.{q}", "4", "D", None)
+    keep = lambda q, initial: f"CASE WHEN e.fault NOT IN (1, 2) AND e.initial = '{initial}' THEN {edit(f'st.{q}', 'e.charge', 'K', 'e.line')} ELSE {nothing} END"
+    turn = lambda q, role: f"CASE WHEN e.fault NOT IN (1, 2) THEN {edit(f'st.{q}', '3 + e.charge', 'R', chr(39) + role + ':' + chr(39) + ' || e.body')} ELSE {nothing} END"
+    insert = lambda q, role: edit(f"st.{q}", "3", "I", f"'{role}:'")
+    row = {
+        "z": least(drop("z")),
+        "s": least(drop("s"), keep("z", "s")),
+        "u": least(drop("u"), *[keep(q, "u") for q in "zsa"], *[turn(q, "user") for q in "zsa"]),
+        "a": least(drop("a"), keep("u", "a"), turn("u", "assistant")),
+    }
+    pack = lambda **new: "{" + ", ".join(f"'{q}': {new.get(q, f'st.{q}')}" for q in "zsua") + "}"
+    step = f"CASE e.op WHEN 1 THEN {pack(**row)} WHEN 2 THEN {pack(u=least('st.u', *[insert(q, 'user') for q in 'zsa']))} ELSE {pack(a=least('st.a', insert('u', 'assistant')))} END"
+    start = f"{{'z': {{'k': '000000000', 'r': ''}}, 's': {nothing}, 'u': {nothing}, 'a': {nothing}}}"
+    pause = "{'op': 2, 'initial': '', 'fault': 0, 'charge': 0, 'line': '', 'body': ''}, {'op': 3, 'initial': '', 'fault': 0, 'charge': 0, 'line': '', 'body': ''}"
+    return f"""
+WITH t AS ({CRC_TABLE}),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS die FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN die = 4 THEN 'user' WHEN role = '' THEN ' ' ELSE role END AS role, CASE die WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE WHEN die = 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE die <> 0),
+k AS (SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text), copy) AS place FROM d),
+f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM k),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({{'op': 1, 'initial': initial, 'fault': fault, 'charge': CASE WHEN fault = 3 THEN 3 ELSE 0 END, 'line': role || ':' || text, 'body': text}} ORDER BY place) AS steps FROM f GROUP BY conv_id),
+s AS (SELECT * EXCLUDE (steps), list_reduce([{pause}] || flatten(list_transform(steps, lambda x: [x, {pause}])), lambda st, e: {step}, {start}) AS st FROM g),
+b AS (SELECT * EXCLUDE (st), {least("st.z", "st.a")} AS best FROM s)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+       CAST(coalesce(CAST(left(best.k, 9) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(best.k, 10), '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ORACLES["op12_conversation_repair"] = repair_sql()
+
+
+@query
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's words."""
+    return resample.draw(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_importance_draw"] = f"""
+WITH t AS ({CRC_TABLE}),
+d AS (SELECT doc_id, {WORDS.format(text.LETTER_WORDS)} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS f FROM d),
+bw AS (SELECT unnest({WORDS.format(text.LETTER_WORDS)}) AS f FROM benchmark),
+v AS (SELECT f, CAST({crc("f")} % 10000 AS INTEGER) AS bucket FROM (SELECT f FROM dw UNION SELECT f FROM bw), t),
+sn AS (SELECT bucket, count(*) AS n FROM dw JOIN v USING (f) GROUP BY 1),
+tn AS (SELECT bucket, count(*) AS n FROM bw JOIN v USING (f) GROUP BY 1),
+g AS (SELECT f, CAST(floor(1000 * ln(CAST(coalesce(tn.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM sn) + 10000 AS DOUBLE) / (CAST(coalesce(sn.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM tn) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+      FROM v LEFT JOIN sn USING (bucket) LEFT JOIN tn USING (bucket)),
+m AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN g USING (f) GROUP BY 1),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM r
+"""
