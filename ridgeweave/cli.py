@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ridgeweave import config
-from ridgeweave.operators import elevation, graph, paths, qa, samples, search
+from ridgeweave.operators import elevation, graph, noding, paths, qa, samples, search
 from ridgeweave.session import get_session
 from ridgeweave.sinks import files, pages
 from ridgeweave.sources import fetch as downloads
@@ -59,7 +59,7 @@ class Run:
         s = self.settings.get
         p = self.save(load_paths(self.spark, self.settings), "paths/paths.parquet")
         if s("path_processing.split_intersections", False):
-            p = paths.split_at_crossings(p)
+            p = noding.node_lines(p)
         nodes, edges = paths.edges_and_nodes(p, s("path_processing.node_precision_m", 0.01), s("path_processing.endpoint_snap_tolerance_m", 5.0))
         print(f"{self.save(nodes, 'paths/nodes.parquet').count()} nodes, {self.save(edges, 'paths/edges.parquet').count()} edges")
         return 0

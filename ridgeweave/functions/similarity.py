@@ -26,3 +26,10 @@ def weighted_jaccard(common: Column, a: Column, b: Column) -> Column:
 def weighted_containment(common: Column, a: Column, b: Column) -> Column:
     shorter = F.least(a, b)
     return F.when(shorter > 0, common / shorter).otherwise(F.lit(1.0))
+
+
+def near_duplicate(common: Column, na: Column, nb: Column, shared: Column, ta: Column, tb: Column, jaccard: float, length_jaccard: float, containment: float) -> Column:
+    """Whether any of the three similarities reaches its limit, from counts and lengths of the common edges and of either side."""
+    union = na + nb - common
+    alike = F.when(union > 0, common / union).otherwise(F.lit(1.0))
+    return (alike >= jaccard) | (weighted_jaccard(shared, ta, tb) >= length_jaccard) | (weighted_containment(shared, ta, tb) >= containment)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,50 +91,99 @@ def ends(paths: DataFrame, precision: float) -> DataFrame:
     return paths.select(F.explode(F.array(side(0, G.start(F.col("coords"))), side(1, G.end(F.col("coords"))))).alias("e")).select("e.*")
 
 
+def bucket(c: str | Column, tolerance: float) -> Column:
+    """The cell of a coordinate: the whole part of an exact division."""
+    v = F.col(c) if isinstance(c, str) else c
+    rest = v % tolerance
+    return F.rint((v - F.when(rest < 0, rest + tolerance).otherwise(rest)) / tolerance).cast("long")
+
+
+#: A cell and its eight neighbours.
+AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def beside(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each cell (cx, cy) of their neighbourhood, with (dx, dy) from that cell to their own."""
+    spread = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy")) for dx, dy in AROUND])).alias("c")
+    return rows.withColumn("_c", F.lit(0)).select(*[c for c in rows.columns if c not in ("cx", "cy")], spread).select("*", "c.*").drop("c")
+
+
 def snap_pairs(points: DataFrame, tolerance: float) -> DataFrame:
     """Pairs of distinct points within the tolerance, by an equi-join on grid cells."""
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    home = points.select(F.col("point").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.explode(F.array(*[F.struct((cell("x") + dx).alias("cx"), (cell("y") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("c")
-    near = points.select(F.col("point").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around).select("b", "bx", "by", "c.*")
-    gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    home = points.select(F.col("point").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
+    near = beside(points.select(F.col("point").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"))
+    gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     return home.join(near, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & (gap <= tolerance)).select("a", "b")
 
 
-def snap_nodes(points: DataFrame, tolerance: float, scratch: Scratch) -> DataFrame:
+def first_of_cells(points: DataFrame) -> DataFrame:
+    """The points that come before all others in their own and the eight cells around."""
+    least = points.groupBy("cx", "cy").agg(F.min("point").alias("least"))
+    around = beside(least).groupBy("cx", "cy").agg(F.min("least").alias("least"))
+    return points.join(around, ["cx", "cy"]).filter(F.col("point") == F.col("least")).drop("least")
+
+
+def out_of_reach(points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
+    """``points`` without those within the tolerance of a node. A cell holds few nodes, as nodes keep their distance."""
+    near = beside(nodes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
+    reach = points.join(near, ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")) <= tolerance).select("point").distinct()
+    return points.join(reach, "point", "left_anti")
+
+
+def worked_through(points: DataFrame, tolerance: float, scratch: Scratch) -> DataFrame:
+    """(point) of the nodes among points that no earlier node reaches, each component of near points in order.
+
+    A point looks at the nodes of nine cells, so a component takes time in
+    proportion to its points.
+    """
+    label = components(snap_pairs(points, tolerance), scratch)
+    named = points.join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        found = []
+        for point, x, y, cx, cy in group.sort_values("point")[["point", "x", "y", "cx", "cy"]].itertuples(index=False):
+            if not any(math.hypot(nx - x, ny - y) <= tolerance for dx, dy in AROUND for nx, ny in cells.get((cx + dx, cy + dy), ())):
+                cells.setdefault((cx, cy), []).append((x, y))
+                found.append(point)
+        return pd.DataFrame({"point": found}, dtype="int64")
+
+    return named.groupBy("component").applyInPandas(run, "point long")
+
+
+def snap_nodes(points: DataFrame, tolerance: float, scratch: Scratch, rounds: int = 4) -> DataFrame:
     """(seq, node_seq, nx, ny): the node that each end joins.
 
     In the paths' order a point joins the nearest node so far within the
-    tolerance, the later probe winning a tie, or becomes a node. What is near
-    is not transitive, but points in different components of the nearness
-    graph never meet, so each component is worked through by itself.
+    tolerance, the later probe winning a tie, or becomes a node. In rounds, a
+    point that comes before all in its neighbourhood is a node, and what lies
+    within its tolerance is none. Most points are settled after a few rounds;
+    chains that are left are worked through in their order, each component by
+    itself. Which node an end joins is a join at the end, with the nodes that
+    came before it: a handful, as nodes keep their distance. So two ends at one
+    place may join different nodes where one was made between them.
     """
-    distinct = scratch.keep(points.groupBy("x", "y").agg(F.min("seq").alias("point")), "points")
+    distinct = scratch.keep(points.groupBy("x", "y").agg(F.min("seq").alias("point")).withColumns({"cx": bucket("x", tolerance) if tolerance > 0 else F.lit(0), "cy": bucket("y", tolerance) if tolerance > 0 else F.lit(0)}), "points")
     if tolerance <= 0:
         return points.join(distinct, ["x", "y"]).select("seq", F.col("point").alias("node_seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    label = components(snap_pairs(distinct, tolerance), scratch)
-    named = distinct.join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes: list[tuple[float, float, int]] = []
-        out = []
-        for seq, x, y in group.sort_values("point")[["point", "x", "y"]].itertuples(index=False):
-            bx, by = x // tolerance, y // tolerance
-            probes = sorted((nx // tolerance - bx, ny // tolerance - by, k) for k, (nx, ny, _) in enumerate(nodes))
-            best, where = tolerance, None
-            for dx, dy, k in probes:
-                if abs(dx) <= 1 and abs(dy) <= 1:
-                    gap = ((nodes[k][0] - x) ** 2 + (nodes[k][1] - y) ** 2) ** 0.5
-                    if gap <= best:
-                        best, where = gap, k
-            if where is None:
-                nodes.append((x, y, seq))
-                where = len(nodes) - 1
-            out.append((x, y, nodes[where][2], nodes[where][0], nodes[where][1]))
-        return pd.DataFrame(out, columns=["x", "y", "node_seq", "nx", "ny"])
-
-    joined = named.groupBy("component").applyInPandas(run, "x double, y double, node_seq long, nx double, ny double")
-    return points.join(joined, ["x", "y"]).select("seq", "node_seq", "nx", "ny")
+    left, nodes = distinct, distinct.limit(0)
+    for _ in range(rounds):
+        new = scratch.keep(first_of_cells(left), "firsts")
+        nodes = nodes.unionByName(new)
+        left = scratch.keep(out_of_reach(left, new, tolerance), "left")
+        if not left.limit(1).count():
+            break
+    else:
+        nodes = nodes.unionByName(left.join(worked_through(left, tolerance, scratch), "point"))
+    nodes = scratch.keep(nodes, "nodes")
+    near = beside(nodes.select(F.col("point").alias("node_seq"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
+    gap = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
+    probes = distinct.join(near, ["cx", "cy"]).withColumn("gap", gap).filter(F.col("gap") <= tolerance)
+    found = F.struct("gap", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), (-F.col("node_seq")).alias("last"), "nx", "ny")
+    held = probes.groupBy("point").agg(F.collect_list(found).alias("near"))
+    best = F.array_min(F.filter("near", lambda n: -n["last"] <= F.col("seq")))
+    met = points.join(distinct.join(held, "point").select("x", "y", "near"), ["x", "y"]).withColumn("n", best)
+    return met.select("seq", (-F.col("n.last")).alias("node_seq"), "n.nx", "n.ny")
 
 
 def edges_and_nodes(paths: DataFrame, precision: float = 0.01, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -165,40 +216,3 @@ def edges_and_nodes(paths: DataFrame, precision: float = 0.01, tolerance: float
         "coords",
     )
     return nodes.select("node_id", "x", "y"), edges
-
-
-def split_at_crossings(paths: DataFrame, cell_m: float = 100.0) -> DataFrame:
-    """Paths cut where their segments cross or touch; equal pieces stay once, with their first path's lineage.
-
-    Segments meet in the grid cells that their boxes cover, so only
-    neighbours are compared.
-    """
-    seg = F.transform(F.sequence(F.lit(0), F.size("coords") - 2), lambda i: F.struct(i.alias("i"), F.get("coords", i).alias("p"), F.get("coords", i + 1).alias("q")))
-    s = paths.select("path_ordinal", F.explode(seg).alias("s")).select("path_ordinal", "s.*")
-    low, high = (lambda c: F.floor(F.least(f"p.{c}", f"q.{c}") / cell_m)), (lambda c: F.floor(F.greatest(f"p.{c}", f"q.{c}") / cell_m))
-    cells = s.withColumn("cx", F.explode(F.sequence(low("x"), high("x")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y"))))
-    a, b = cells.alias("a"), cells.alias("b")
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & ((F.col("a.path_ordinal") != F.col("b.path_ordinal")) | (F.abs(F.col("a.i") - F.col("b.i")) > 1)))
-    d = lambda k, c: F.col(f"{k}.q.{c}") - F.col(f"{k}.p.{c}")
-    cross = d("a", "x") * d("b", "y") - d("a", "y") * d("b", "x")
-    ox, oy = F.col("b.p.x") - F.col("a.p.x"), F.col("b.p.y") - F.col("a.p.y")
-    t, u = (ox * d("b", "y") - oy * d("b", "x")), (ox * d("a", "y") - oy * d("a", "x"))
-    cut = F.when(F.abs(cross) > 1e-12, F.struct((t / F.nullif(cross, F.lit(0.0))).alias("t"), (u / F.nullif(cross, F.lit(0.0))).alias("u")))
-    hits = met.withColumn("cut", cut).filter("cut.t between -1e-12 and 1 + 1e-12 and cut.u between -1e-12 and 1 + 1e-12")
-    hits = hits.select(F.col("a.path_ordinal").alias("path_ordinal"), F.col("a.i").alias("i"), F.struct(F.bround(F.col("cut.t"), 9).alias("t"), (F.col("a.p.x") + F.col("cut.t") * d("a", "x")).alias("x"), (F.col("a.p.y") + F.col("cut.t") * d("a", "y")).alias("y")).alias("c"))
-    cuts = hits.filter("c.t >= 0 and c.t <= 1").groupBy("path_ordinal").agg(F.collect_set(F.struct("i", "c")).alias("cuts"))
-    base = paths.join(cuts, "path_ordinal", "left")
-    corners = F.transform("coords", lambda p, i: F.struct(i.cast("int").alias("i"), F.lit(0.0).alias("t"), p["x"].alias("x"), p["y"].alias("y"), F.lit(False).alias("cut")))
-    inner = F.transform(F.coalesce("cuts", F.array().cast("array<struct<i:int,c:struct<t:double,x:double,y:double>>>")), lambda k: F.struct(F.when(k["c"]["t"] >= 1.0, k["i"] + 1).otherwise(k["i"]).alias("i"), F.when(k["c"]["t"] >= 1.0, F.lit(0.0)).otherwise(k["c"]["t"]).alias("t"), k["c"]["x"].alias("x"), k["c"]["y"].alias("y"), F.lit(True).alias("cut")))
-    spots = base.select("path_ordinal", F.explode(F.concat(corners, inner)).alias("v")).select("path_ordinal", "v.*")
-    spots = spots.groupBy("path_ordinal", "i", "t").agg(F.min_by(F.struct("x", "y"), "cut").alias("p"), F.max("cut").alias("cut"))
-    w = W.partitionBy("path_ordinal").orderBy("i", "t")
-    piece = F.coalesce(F.sum(F.col("cut").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pieces = spots.withColumn("piece", piece).withColumn("before", F.lag("p").over(w)).groupBy("path_ordinal", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "t", "p"))).alias("v"), F.min_by("before", F.struct("i", "t")).alias("before"))
-    coords = F.concat(F.when(F.col("before").isNotNull() & (F.col("piece") > 0), F.array("before")).otherwise(F.array().cast(G.LINE)), F.transform("v", lambda x: x["p"]))
-    lines = pieces.withColumn("coords", coords).filter((F.size("coords") > 1) & (G.length(F.col("coords")) > 0)).drop("v", "before")
-    key = F.least(F.to_json("coords"), F.to_json(F.reverse("coords")))
-    first = F.row_number().over(W.partitionBy(key).orderBy("path_ordinal", "piece"))
-    lines = lines.withColumn("_first", first).filter("_first = 1").drop("_first")
-    out = lines.join(paths.drop("coords"), "path_ordinal").drop("path_ordinal")
-    return with_ordinals(out, ["source_primary", "feature_idx", "part", "piece"] if "feature_idx" in paths.columns else ["piece"])

@@ -18,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeweave.functions.similarity import gain_density
+from ridgeweave.functions.similarity import gain_density, near_duplicate
 from ridgeweave.operators import graph as G
 from ridgeweave.scratch import Scratch
 
 MODES = ("loop", "point_to_point")
+#: More states than are ever taken.
+MANY = 1 << 62
+#: States of a budget and mode that one task settles in a round.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -171,71 +175,164 @@ def without_repeats(states: DataFrame, how: Search) -> DataFrame:
 
 
 class Greedy:
-    """Takes states in order unless their cell is full or they resemble one taken before."""
+    """Takes states in order unless their cell is full or they resemble one taken before.
 
-    def __init__(self, how: Search):
-        self.how = how
-        self.taken: list[int] = []
-        self.sets: list[tuple[frozenset, float]] = []
-        self.cells: dict = {}
+    What was taken is found again by its edges, so a state is compared with
+    those that share one.
+    """
 
-    def take(self, k: int, edges: dict[str, float], cell: tuple) -> None:
-        self.taken.append(k)
-        self.sets.append((frozenset(edges), sum(edges.values())))
+    def __init__(self, how: Search, cells: dict | None = None):
+        self.how = how
+        self.sets: list[tuple[int, float]] = []
+        self.by_edge: dict[str, list[int]] = {}
+        self.cells: dict = dict(cells or {})
+
+    def take(self, edges: dict[str, float], cell: tuple) -> None:
+        for e in edges:
+            self.by_edge.setdefault(e, []).append(len(self.sets))
+        self.sets.append((len(edges), sum(edges.values())))
         self.cells[cell] = self.cells.get(cell, 0) + 1
 
     def full(self, cell: tuple) -> bool:
-        return bool(self.how.route_diversity_grid_m and self.how.max_routes_per_grid) and self.cells.get(cell, 0) >= self.how.max_routes_per_grid
+        return caps_cells(self.how) and self.cells.get(cell, 0) >= self.how.max_routes_per_grid
 
     def resembles(self, edges: dict[str, float]) -> bool:
-        total = sum(edges.values())
-        for other, length in self.sets:
-            common = other & edges.keys()
-            union = len(other) + len(edges) - len(common)
-            if (len(common) / union if union else 1.0) >= self.how.jaccard:
-                return True
-            shared = sum(edges[e] for e in common)
-            either, shorter = total + length - shared, min(total, length)
-            if (shared / either if either > 0 else 1.0) >= self.how.length_jaccard or (shared / shorter if shorter > 0 else 1.0) >= self.how.length_containment:
+        if all_alike(self.how):
+            return bool(self.sets)
+        common: dict[int, list[float]] = {}
+        for e, n in edges.items():
+            for k in self.by_edge.get(e, ()):
+                common.setdefault(k, []).append(n)
+        total, how = sum(edges.values()), self.how
+        for k, both in common.items():
+            size, length = self.sets[k]
+            shared = sum(both)
+            if len(both) / (size + len(edges) - len(both)) >= how.jaccard or shared / (total + length - shared) >= how.length_jaccard or shared / min(total, length) >= how.length_containment:
                 return True
         return False
 
 
-def select_diverse(states: DataFrame, how: Search) -> DataFrame:
-    """States of each budget and mode that the greedy selection keeps, with their ``place``.
+def caps_cells(how: Search) -> bool:
+    return bool(how.route_diversity_grid_m and how.max_routes_per_grid)
+
+
+def all_alike(how: Search) -> bool:
+    """Whether even routes without a common edge count as near-duplicates."""
+    return min(how.jaccard, how.length_jaccard, how.length_containment) <= 0
+
 
-    A best state for every landmark comes first, on steps if there is one. The
-    order decides what is taken, so one task works through one budget and mode;
-    its input is bounded by the beam and the number of levels.
+GROUP = ["budget_m", "mode"]
+
+
+def landmark_picks(left: DataFrame, how: Search) -> DataFrame:
+    """(uid, pick): the best state for every landmark, on steps if there is one, in the order of their choice.
+
+    At most ``n`` states go to other landmarks in either pass, so the first
+    2n of each landmark decide; these few rows meet in one task for a group.
     """
-    cell = route_cell(how.route_diversity_grid_m or 1.0)
-    slim = without_repeats(states, how).withColumns({"cx": cell["cx"], "cy": cell["cy"]})
-    fields = "budget_m double, mode string, directed_edge_ids array<string>, place int"
+    n = len(how.landmarks)
+
+    def best(column: str) -> DataFrame:
+        place = W.partitionBy(*GROUP, "mark").orderBy("order")
+        rows = left.select(*GROUP, "uid", "order", F.explode(column).alias("mark"))
+        return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= 2 * n).select(*GROUP, "uid", "order", F.lit(column).alias("kind"), "mark")
+
+    rows = best("step_landmarks").union(best("landmarks"))
+    rows = rows.withColumn("place", F.dense_rank().over(W.partitionBy(*GROUP).orderBy("order"))).drop("order")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(path=[tuple(x) for x in group["directed_edge_ids"]]).sort_values(["ascent_m", "density", "confidence", "distance_m", "path"], ascending=[False, False, False, True, True])
-        edges = [dict(zip(u, n, strict=True)) for u, n in zip(g["undirected_edge_ids"], g["lengths"], strict=True)]
-        cells = list(zip(g["cx"], g["cy"], strict=True))
-        greedy, served, used = Greedy(how), set(), set()
-        for column in ("step_landmarks", "landmarks"):
-            for k, marks in enumerate(g[column]):
-                fresh = [m for m in sorted(marks) if m not in served]
-                if k not in used and fresh:
-                    greedy.take(k, edges[k], cells[k])
-                    used.add(k)
+        served, used = set(), []
+        for kind in ("step_landmarks", "landmarks"):
+            for _, g in group[group["kind"] == kind].sort_values(["place", "mark"]).groupby("place"):
+                uid = int(g["uid"].iloc[0])
+                fresh = [m for m in g["mark"] if m not in served]
+                if uid not in used and fresh:
+                    used.append(uid)
                     served.add(fresh[0])
-        for k in range(len(g)):
-            if k not in used and not greedy.full(cells[k]) and not greedy.resembles(edges[k]):
-                greedy.take(k, edges[k], cells[k])
-        out = g.iloc[greedy.taken][["budget_m", "mode", "directed_edge_ids"]]
-        return out.assign(place=range(len(out)))
+        return pd.DataFrame({"uid": used, "pick": range(len(used))})
 
-    chosen = slim.groupBy("budget_m", "mode").applyInPandas(run, fields)
-    return states.join(chosen, ["budget_m", "mode", "directed_edge_ids"])
+    return rows.groupBy(*GROUP).applyInPandas(run, "uid long, pick int")
+
+
+def resolved(block: DataFrame, how: Search) -> DataFrame:
+    """(uid) of the states in ``block`` that the greedy choice takes.
+
+    ``block`` has a bounded number of rows for each budget and mode, none like
+    a state taken before; ``used`` counts those in its cell, ``need`` how many
+    more are wanted.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("place")
+        cells = list(zip(g["cx"], g["cy"], strict=True))
+        greedy, taken = Greedy(how, dict(zip(cells, g["used"], strict=True))), []
+        for uid, ids, lengths, cell in zip(g["uid"], g["undirected_edge_ids"], g["lengths"], cells, strict=True):
+            edges = dict(zip(ids, lengths, strict=True))
+            if len(taken) < g["need"].iloc[0] and not greedy.full(cell) and not greedy.resembles(edges):
+                greedy.take(edges, cell)
+                taken.append(uid)
+        return pd.DataFrame({"uid": taken}, dtype="int64")
+
+    return block.groupBy(*GROUP).applyInPandas(run, "uid long")
+
+
+def unlike(left: DataFrame, taken: DataFrame, how: Search) -> DataFrame:
+    """``left`` without what resembles a state in ``taken``, found through an index of edges."""
+    if all_alike(how):
+        return left.join(taken.select(*GROUP).distinct(), GROUP, "left_anti")
+    total = F.aggregate("lengths", F.lit(0.0), lambda a, x: a + x)
+    each = lambda df: df.select(*GROUP, "uid", F.size("lengths").alias("n"), total.alias("total"), F.explode(F.arrays_zip("undirected_edge_ids", "lengths")).alias("e"))
+    mine = each(left).select(*GROUP, "uid", "n", "total", F.col("e.undirected_edge_ids").alias("edge"), F.col("e.lengths").alias("length"))
+    other = each(taken).select(*GROUP, F.col("uid").alias("like"), F.col("n").alias("m"), F.col("total").alias("whole"), F.col("e.undirected_edge_ids").alias("edge"))
+    pairs = mine.join(other, [*GROUP, "edge"]).groupBy("uid", "like", "n", "m", "total", "whole").agg(F.count("*").alias("common"), F.sum("length").alias("shared"))
+    near = near_duplicate(F.col("common"), F.col("n"), F.col("m"), F.col("shared"), F.col("total"), F.col("whole"), how.jaccard, how.length_jaccard, how.length_containment)
+    return left.join(pairs.filter(near).select("uid").distinct(), "uid", "left_anti")
+
+
+def select_diverse(states: DataFrame, how: Search, enough: int | None = None) -> DataFrame:
+    """States of each budget and mode that the greedy selection keeps, with their ``place``; the first ``enough`` of them at least.
+
+    A best state for every landmark comes first. Then rounds: of what is left,
+    none like a state taken before, the best ``BLOCK`` states of each budget
+    and mode are settled in order; what resembles the newly taken ones, or lies
+    in a cell that is now full, leaves in a join over edges. Each round takes
+    at least the best of what is left, so there are no more rounds than states
+    taken. No task holds more than a block.
+    """
+    scratch = Scratch(states.sparkSession, "diverse")
+    cell = route_cell(how.route_diversity_grid_m or 1.0)
+    order = F.struct((-F.col("ascent_m")).alias("a"), (-F.col("density")).alias("g"), (-F.col("confidence")).alias("c"), F.col("distance_m").alias("d"), F.col("directed_edge_ids").alias("p"))
+    slim = without_repeats(states, how).select(*GROUP, order.alias("order"), "undirected_edge_ids", "lengths", "landmarks", "step_landmarks", cell["cx"].alias("cx"), cell["cy"].alias("cy"))
+    left = scratch.keep(slim.withColumn("uid", F.monotonically_increasing_id()), "left")
+    none = left.limit(0).withColumn("pick", F.lit(None).cast("int"))
+    new = scratch.keep(left.join(landmark_picks(left, how), "uid") if how.landmarks else none, "picks")
+    taken = [new]
+    while True:
+        every = G.union_layers(taken)
+        have = every.groupBy(*GROUP).agg(F.count("*").alias("have"))
+        left = unlike(left.join(new.select("uid"), "uid", "left_anti"), new, how)
+        left = left.join(have, GROUP, "left").withColumn("need", F.lit(MANY if enough is None else enough) - F.coalesce("have", F.lit(0))).filter("need > 0").drop("have")
+        used = every.groupBy(*GROUP, "cx", "cy").agg(F.count("*").alias("used"))
+        left = left.join(used, [*GROUP, "cx", "cy"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        if caps_cells(how):
+            left = left.filter(F.col("used") < how.max_routes_per_grid)
+        left = scratch.keep(left, "left")
+        if left.limit(1).count() == 0:
+            break
+        best = left.withColumn("place", F.row_number().over(W.partitionBy(*GROUP).orderBy("order"))).filter(F.col("place") <= BLOCK)
+        best = scratch.keep(best, "block")
+        new = scratch.keep(best.drop("place", "need", "used").join(resolved(best, how), "uid").withColumn("pick", F.lit(None).cast("int")), "taken")
+        taken.append(new)
+        left = left.join(best.select("uid"), "uid", "left_anti").drop("need", "used")
+    chosen = G.union_layers(taken).withColumn("place", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.asc_nulls_last("pick"), "order")) - 1)
+    return states.join(chosen.select(*GROUP, F.col("order.p").alias("directed_edge_ids"), "place"), [*GROUP, "directed_edge_ids"])
 
 
 def emit(kept: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` of each budget and mode whose edge set no smaller budget of the mode has emitted, with ``rank``."""
+    """The first ``most`` of each budget and mode whose edge set no smaller budget of the mode has emitted, with ``rank``.
+
+    ``kept`` has no more rows for a mode than the settings ask for.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         seen, ranks, where = set(), [], []
@@ -283,4 +380,5 @@ def search_routes(directed: DataFrame, nodes: DataFrame, budgets_km: list[float]
     """Routes over ``directed`` edges; ``nodes`` has node_id, x and y."""
     scratch = Scratch(directed.sparkSession, "search")
     found = scratch.keep(candidates(directed, nodes, budgets_km, modes, how, scratch).filter(F.col("ascent_m") >= how.min_ascent_m), "accepted")
-    return routes_of(emit(select_diverse(found, how), how.max_routes_per_budget))
+    enough = how.max_routes_per_budget * len({float(b) for b in budgets_km}) + 2 * len(how.landmarks)
+    return routes_of(emit(select_diverse(found, how, enough), how.max_routes_per_budget))

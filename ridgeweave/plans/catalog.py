@@ -13,7 +13,7 @@ from ridgeweave.functions import clean as C
 from ridgeweave.functions import crs
 from ridgeweave.functions import geometry as G
 from ridgeweave.functions import similarity as S
-from ridgeweave.operators import areas, attribution, elevation, graph, paths, qa, samples, search, series
+from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, search, series
 from ridgeweave.plans import tables as T
 from ridgeweave.scratch import Scratch
 from ridgeweave.session import read_table
@@ -295,10 +295,8 @@ def q_containment(spark, sf):
 @query(f"WITH {SETS} SELECT a, b FROM x WHERE common / (sa + sb - common) >= 0.25 OR shared / (ta + tb - shared) >= 0.2 OR shared / least(ta, tb) >= 0.5")
 def q_near_dup_pairs(spark, sf):
     """Any of three similarities."""
-    p = pairs(spark, sf)
-    c = {k: F.col(k) for k in ("common", "shared", "sa", "sb", "ta", "tb")}
-    near = (c["common"] / (c["sa"] + c["sb"] - c["common"]) >= 0.25) | (S.weighted_jaccard(c["shared"], c["ta"], c["tb"]) >= 0.2) | (S.weighted_containment(c["shared"], c["ta"], c["tb"]) >= 0.5)
-    return p.filter(near).select("a", "b")
+    near = S.near_duplicate(*[F.col(k) for k in ("common", "sa", "sb", "shared", "ta", "tb")], 0.25, 0.2, 0.5)
+    return pairs(spark, sf).filter(near).select("a", "b")
 
 
 @query(f"WITH {T.EDGES} SELECT edge_id, (CASE WHEN regexp_matches(name, 'RED', 'i') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(name, 'w.dget$', 'i') THEN 2 ELSE 0 END) AS marks, highway = 'steps' AND (regexp_matches(name, 'RED', 'i') OR regexp_matches(name, 'w.dget$', 'i')) AS on_steps FROM te")
@@ -308,6 +306,46 @@ def q_landmarks(spark, sf):
     return e.select("edge_id", F.aggregate("landmarks", F.lit(0), lambda a, k: a + k + 1).alias("marks"), (F.size("step_landmarks") > 0).alias("on_steps"))
 
 
+# -- noding and snapping: the lines of an order side by side on one straight line ------
+
+ORDINALS = "h AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem)"
+
+
+def stretches(spark: SparkSession, sf: str, length: Column) -> DataFrame:
+    """A path along x for every line item, from its quantity on, at its order's height."""
+    rows = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"), length.cast("double").alias("long"))
+    spot = lambda x: F.struct(x.alias("x"), (F.col("k") * 50.0).alias("y"))
+    rows = paths.with_ordinals(rows, ["k", "n", "l_partkey", "l_suppkey", "q"])
+    return rows.withColumn("coords", F.array(spot(F.col("q")), spot(F.col("q") + F.col("long"))))
+
+
+@query(f"""WITH {ORDINALS},
+x AS (SELECT k, q AS x FROM h UNION SELECT k, q + 10 FROM h UNION SELECT k, 30 FROM h WHERE q < 30 AND q + 10 > 30),
+v AS (SELECT k, x AS x0, lead(x) OVER (PARTITION BY k ORDER BY x) AS x1 FROM x),
+flat AS (SELECT v.k, x0, k50 AS y0, x1, k50 AS y1, min(i) AS i FROM v JOIN (SELECT *, k * 50 AS k50 FROM h) h ON h.k = v.k AND q <= x0 AND q + 10 >= x1 GROUP BY ALL),
+met AS (SELECT k, bool_or(q <= 30 AND q + 10 >= 30) AS met FROM h GROUP BY 1),
+up AS (SELECT k, 30 AS x0, k * 50 - 20 AS y0, 30 AS x1, CASE WHEN met THEN k * 50 ELSE k * 50 + 20 END AS y1 FROM met UNION ALL SELECT k, 30, k * 50, 30, k * 50 + 20 FROM met WHERE met)
+SELECT k, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, i AS lineage FROM flat UNION ALL SELECT k, x0, y0, x1, y1, -1 FROM up""")
+def q_noded_overlaps(spark, sf):
+    """Paths that overlap on one line, and an upright one across each order's."""
+    flat = stretches(spark, sf, F.lit(10.0)).select("path_ordinal", F.col("path_ordinal").alias("lineage"), "k", "coords")
+    spot = lambda dy: F.struct(F.lit(30.0).alias("x"), (F.col("k") * 50.0 + dy).alias("y"))
+    up = flat.groupBy("k").agg((-F.min("path_ordinal") - 1).alias("path_ordinal")).select("path_ordinal", F.lit(-1).cast("long").alias("lineage"), "k", F.array(spot(-20.0), spot(20.0)).alias("coords"))
+    out = noding.node_lines(flat.unionByName(up), 20.0)
+    return out.select("k", *[r6(F.col("coords")[i][c]).alias(f"{c}{i}") for i in (0, 1) for c in "xy"], "lineage")
+
+
+@query(f"""WITH {ORDINALS}, e AS (SELECT k, 2 * i AS seq, CAST(q AS DOUBLE) AS x FROM h UNION ALL SELECT k, 2 * i + 1, q + p % 13 + 1 FROM h),
+g AS (SELECT k, list({{'seq': seq, 'x': x}} ORDER BY seq) AS l FROM e GROUP BY 1),
+r AS (SELECT k, list_reduce(l, lambda st, p: list_append(st, {{'seq': p.seq, 'x': p.x, 'node': coalesce(list_min(list_transform(list_filter(st, lambda m: m.node = m.seq AND abs(m.x - p.x) <= 5),
+lambda m: {{'gap': abs(m.x - p.x), 'dx': floor(p.x / 5) - floor(m.x / 5), 'seq': -m.seq}})), {{'gap': 0, 'dx': 0, 'seq': -p.seq}}).seq * -1}}), CAST([] AS STRUCT(seq BIGINT, x DOUBLE, node BIGINT)[])) AS o FROM g)
+SELECT o.seq AS seq, o.node AS node_seq FROM (SELECT unnest(o) AS o FROM r)""")
+def q_snapped_ends(spark, sf):
+    """Ends that join earlier nodes within five metres, in the paths' order."""
+    p = stretches(spark, sf, F.col("l_partkey") % 13 + 1)
+    return paths.snap_nodes(paths.ends(p, 0.01), 5.0, Scratch(spark, "snapped")).select("seq", "node_seq")
+
+
 # -- series -----------------------------------------------------------------------
 
 

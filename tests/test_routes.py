@@ -12,7 +12,7 @@ from ridgeweave import config
 from ridgeweave.functions import clean as C
 from ridgeweave.functions import crs
 from ridgeweave.functions import geometry as G
-from ridgeweave.operators import areas, attribution, elevation, graph, paths, qa, samples, series
+from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, series
 from ridgeweave.sinks import files, pages
 from ridgeweave.sources import fetch
 from ridgeweave.sources.geojson import read_geojson
@@ -91,7 +91,7 @@ def test_crossing_lines_stay_whole_by_default(spark):
 
 
 def test_crossing_lines_are_split_on_demand(spark):
-    cut = paths.split_at_crossings(path_table(spark, [(0, 0), (10, 10)], [(0, 10), (10, 0)]))
+    cut = noding.node_lines(path_table(spark, [(0, 0), (10, 10)], [(0, 10), (10, 0)]))
     nodes, edges = paths.edges_and_nodes(cut)
     assert (nodes.count(), edges.count()) == (5, 4)
 

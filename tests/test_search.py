@@ -134,11 +134,50 @@ def plain_search(nodes, edges, budget, mode, how):
     return named
 
 
-@pytest.mark.parametrize("seed,mode", [(1, "loop"), (2, "point_to_point")])
-def test_against_a_plain_walk(spark, seed, mode):
+@pytest.mark.parametrize("seed,mode,block", [(1, "loop", 2048), (2, "point_to_point", 2048), (3, "point_to_point", 1), (4, "loop", 3)])
+def test_against_a_plain_walk(spark, monkeypatch, seed, mode, block):
+    """Blocks of a few states settle the same routes in more rounds."""
+    monkeypatch.setattr(search, "BLOCK", block)
     r = random.Random(seed)
     nodes = [(f"n{k}", r.randrange(0, 4000), r.randrange(0, 4000)) for k in range(9)]
     edges = [(f"e{k:02d}", *[n[0] for n in r.sample(nodes, 2)], r.choice([50, 100, 150]), r.randrange(0, 9), r.randrange(0, 9)) for k in range(16)]
     how = search.Search(beam_width=12, max_start_nodes=None, start_node_grid_m=None, frontier_grid_m=1000, max_frontier_states_per_grid=3, route_diversity_grid_m=1000, max_routes_per_grid=2, max_routes_per_budget=8)
     found = search.search_routes(*build(spark, nodes, edges), [0.4], [mode], how).collect()
     assert [tuple(x.directed_edge_ids) for x in sorted(found, key=lambda x: x.rank)] == plain_search(nodes, edges, 400.0, mode, how)
+
+
+def chosen_in_order(states, how):
+    """The whole choice for one budget and mode as a loop over ranked states of (path, edges, ascent, landmarks on steps, landmarks, cell)."""
+    near = lambda a, b: len(a & b) / len(a | b) >= how.jaccard or len(a & b) / len(a | b) >= how.length_jaccard or len(a & b) / min(len(a), len(b)) >= how.length_containment
+    kept, served, cells = [], set(), {}
+    for which in (3, 4):
+        for s in states:
+            fresh = [m for m in sorted(s[which]) if m not in served]
+            if s not in kept and fresh:
+                kept.append(s)
+                served.add(fresh[0])
+                cells[s[5]] = cells.get(s[5], 0) + 1
+    for s in states:
+        if s not in kept and cells.get(s[5], 0) < how.max_routes_per_grid and not any(near(set(s[1]), set(k[1])) for k in kept):
+            kept.append(s)
+            cells[s[5]] = cells.get(s[5], 0) + 1
+    return [s[0] for s in kept]
+
+
+@pytest.mark.parametrize("seed,block", [(1, 2), (2, 2048)])
+def test_landmarks_cells_and_likeness_decide_in_order(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    r = random.Random(seed)
+    how = search.Search(route_diversity_grid_m=100, max_routes_per_grid=3, landmarks=["a", "b", "c"], jaccard=0.6, length_jaccard=0.7, length_containment=0.8)
+    states = []
+    for k in range(60):
+        edges = r.sample([f"e{i}" for i in range(14)], r.randint(2, 6))
+        marks = [m for m in range(3) if r.random() < 0.06]
+        states.append(((f"p{k:03d}",), edges, float(r.randrange(12)), [m for m in marks if r.random() < 0.5], marks, r.randrange(12)))
+    states.sort(key=lambda s: (-s[2], s[0]))
+    rows = [(1.0, "loop", list(p), e, [1.0] * len(e), a, a, 1.0, 1.0, on, m, 100.0 * c + 50, 0.0, 1) for p, e, a, on, m, c in states]
+    df = spark.createDataFrame(rows, "budget_m double, mode string, directed_edge_ids array<string>, undirected_edge_ids array<string>, lengths array<double>, ascent_m double, density double, confidence double, distance_m double, step_landmarks array<int>, landmarks array<int>, sum_x double, sum_y double, placed int")
+    got = search.select_diverse(df, how).orderBy("place").collect()
+    assert [tuple(x.directed_edge_ids) for x in got] == chosen_in_order(states, how)
+    few = search.select_diverse(df, how, 5).orderBy("place").collect()
+    assert [tuple(x.directed_edge_ids) for x in few][:5] == chosen_in_order(states, how)[:5]
