@@ -69,8 +69,8 @@ class Run:
         lines = elevation.contour_lines(self.contours(), s("contours.folderpath_patterns", []))
         lines = self.save(lines.withColumn("coords", paths.projected(F.col("coords"))), "elevation/contours.parquet")
         points = self.save(elevation.contour_points(lines, s("contours.densify_spacing_m", 100), s("contours.max_interpolation_points")), "elevation/points.parquet")
-        surface = elevation.Surface.of(points.toPandas())
-        edges = elevation.enrich_edges(self.table("paths/edges.parquet"), surface, s("elevation.edge_sample_spacing_m", 10), s("elevation.smooth_window_m", 30))
+        triangles, samples_of = elevation.Surface.of(points.toPandas()).tables(self.spark)
+        edges = elevation.enrich_edges(self.table("paths/edges.parquet"), self.save(triangles, "elevation/triangles.parquet"), self.save(samples_of, "elevation/samples.parquet"), s("elevation.edge_sample_spacing_m", 10), s("elevation.smooth_window_m", 30))
         print(f"{self.save(edges, 'elevation/edges.parquet').count()} edges with profiles")
         return 0
 

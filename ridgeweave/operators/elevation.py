@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeweave.functions import clean as C
 from ridgeweave.functions import geometry as G
+from ridgeweave.operators import series, surface
 from ridgeweave.operators.paths import field, with_ordinals
 
 
@@ -167,88 +168,34 @@ class Surface:
             return cls(xyz, none)
         return cls(xyz, Triangulation(xyz[:, :2]).triangles())
 
-    def at(self, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(elevations, whether the nearest point stood in)."""
-        cells = self._grid()
-        out, missing = np.full(len(xy), np.nan), np.ones(len(xy), bool)
-        low, size, by_cell = cells
-        where = np.floor((xy - low) / size).astype(int)
-        for cell in np.unique(where, axis=0) if len(self.triangles) else []:
-            for t in by_cell.get(tuple(cell), ()):
-                a, b, c = self.points[self.triangles[t]]
-                m = np.flatnonzero(missing & (where == cell).all(axis=1))
-                if not len(m):
-                    break
-                det = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-                u = ((b[1] - c[1]) * (xy[m, 0] - c[0]) + (c[0] - b[0]) * (xy[m, 1] - c[1])) / det
-                v = ((c[1] - a[1]) * (xy[m, 0] - c[0]) + (a[0] - c[0]) * (xy[m, 1] - c[1])) / det
-                hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
-                out[m[hit]] = u[hit] * a[2] + v[hit] * b[2] + (1 - u[hit] - v[hit]) * c[2]
-                missing[m[hit]] = False
-        for at in range(0, int(missing.sum()), 512):
-            m = np.flatnonzero(missing)[at : at + 512]
-            gap = ((xy[m, None, :] - self.points[None, :, :2]) ** 2).sum(axis=2)
-            out[m] = self.points[gap.argmin(axis=1), 2]
-        return out, missing
-
-    def _grid(self) -> tuple[np.ndarray, float, dict[tuple[int, int], list[int]]]:
-        if not hasattr(self, "_cells"):
-            low = self.points[:, :2].min(axis=0)
-            size = max(float((self.points[:, :2].max(axis=0) - low).max()) / max(1.0, math.sqrt(len(self.triangles) or 1)), 1e-9)
-            by_cell: dict[tuple[int, int], list[int]] = {}
-            corners = self.points[self.triangles][:, :, :2] if len(self.triangles) else np.empty((0, 3, 2))
-            a, b = np.floor((corners.min(axis=1) - low) / size).astype(int), np.floor((corners.max(axis=1) - low) / size).astype(int)
-            for t in range(len(corners)):
-                for i in range(a[t, 0], b[t, 0] + 1):
-                    for j in range(a[t, 1], b[t, 1] + 1):
-                        by_cell.setdefault((i, j), []).append(t)
-            self._cells = low, size, by_cell
-        return self._cells
-
-
-def smoothed(values: np.ndarray, distances: np.ndarray, window_m: float) -> np.ndarray:
-    """Centred moving mean over an odd number of samples; the window shrinks at both ends."""
-    if len(values) <= 2:
-        return values.copy()
-    steps = np.diff(distances)
-    steps = steps[steps > 0]
-    k = max(1, round(window_m / float(np.median(steps)) if len(steps) else 1))
-    reach = k // 2
-    sums = np.concatenate(([0.0], np.cumsum(values)))
-    i = np.arange(len(values))
-    a, b = np.maximum(0, i - reach), np.minimum(len(values), i + reach + 1)
-    return (sums[b] - sums[a]) / (b - a)
-
-
-PROFILE = (
-    "edge_id string, ascent_fwd_m double, descent_fwd_m double, ascent_rev_m double, descent_rev_m double, elevation_fallback_count int, profile_distance_m array<double>, profile_elevation_raw_m array<double>, "
-    "profile_elevation_smooth_m array<double>, profile_distance_rev_m array<double>, profile_elevation_raw_rev_m array<double>, profile_elevation_smooth_rev_m array<double>"
-)
-
-
-def enrich_edges(edges: DataFrame, surface: Surface, spacing_m: float = 10, window_m: float = 30) -> DataFrame:
-    """``edges`` with profiles of both orientations, their ascents and descents, and how often the nearest point stood in.
-
-    The reverse profile is sampled anew from its own start. The surface is
-    bounded by the contour points' own limit and is broadcast once.
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The triangles with their corners, and the samples, for the lookups in ``operators/surface``."""
+        samples = pd.DataFrame(self.points, columns=["x", "y", "z"]).rename_axis("sample").reset_index()
+        corners = np.hstack([self.points[self.triangles[:, k]] for k in range(3)]) if len(self.triangles) else np.empty((0, 9))
+        names = [a + c for a in "abc" for c in "xyz"]
+        triangles = pd.DataFrame(corners, columns=names).rename_axis("triangle").reset_index()
+        spec = "triangle long, " + ", ".join(f"{n} double" for n in names)
+        return spark.createDataFrame(triangles, spec), spark.createDataFrame(samples, "sample long, x double, y double, z double")
+
+
+PROFILE = ("profile_distance", "profile_elevation_raw", "profile_elevation_smooth")
+
+
+def enrich_edges(edges: DataFrame, triangles: DataFrame, samples: DataFrame, spacing_m: float = 10, window_m: float = 30) -> DataFrame:
+    """``edges`` with profiles of both orientations, their ascents and descents, and how often the nearest sample stood in.
+
+    The reverse profile is sampled anew from its own start. All stations of
+    all edges are looked up in one join, then each profile is one row.
     """
-    shared = edges.sparkSession.sparkContext.broadcast(surface)
-    lines = edges.select("edge_id", G.densify(F.col("coords"), spacing_m).alias("fwd"), G.densify(F.reverse("coords"), spacing_m).alias("rev"))
-
-    def one(points) -> tuple:
-        d = np.array([p["d"] for p in points], float)
-        raw, stood_in = shared.value.at(np.array([(p["x"], p["y"]) for p in points], float))
-        smooth = smoothed(raw, d, window_m)
-        step = np.diff(smooth)
-        return d.tolist(), raw.tolist(), smooth.tolist(), float(step[step > 0].sum()), float(-step[step < 0].sum()), int(stood_in.sum())
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for edge, fwd, rev in pdf.itertuples(index=False):
-                f, r = one(fwd), one(rev)
-                rows.append((edge, f[3], f[4], r[3], r[4], f[5] + r[5], *f[:3], *r[:3]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PROFILE.split(", ")])
-
-    gone = [x.split()[0] for x in PROFILE.split(", ")][1:]
-    return edges.drop(*gone).join(lines.mapInPandas(run, PROFILE), "edge_id")
+    sides = F.explode(F.array(*[F.struct(F.lit(tag).alias("side"), G.densify(line, spacing_m).alias("stations")) for tag, line in (("fwd", F.col("coords")), ("rev", F.reverse("coords")))])).alias("s")
+    stations = edges.select("edge_id", sides).select("edge_id", "s.side", F.explode("s.stations").alias("p")).select("edge_id", "side", "p.d", "p.x", "p.y")
+    found = surface.elevations(stations, triangles, samples)
+    rows = found.groupBy("edge_id", "side").agg(F.array_sort(F.collect_list(F.struct("d", "z"))).alias("p"), F.sum(F.col("stood_in").cast("int")).alias("stood_in"))
+    part = lambda c: F.transform("p", lambda v: v[c])
+    rows = rows.withColumns({PROFILE[0]: part("d"), PROFILE[1]: part("z")}).withColumn(PROFILE[2], series.smoothed(F.col(PROFILE[0]), F.col(PROFILE[1]), window_m))
+    rows = rows.withColumns({"ascent": series.total_of(F.col(PROFILE[2]), 1), "descent": series.total_of(F.col(PROFILE[2]), -1)})
+    only = lambda tag, c: F.max(F.when(F.col("side") == tag, F.struct(c))).getItem(c)
+    out = [only(tag, c).alias(f"{c}_{tag}_m") for tag in ("fwd", "rev") for c in ("ascent", "descent")]
+    out += [only(tag, c).alias(f"{c}{'' if tag == 'fwd' else '_rev'}_m") for tag in ("fwd", "rev") for c in PROFILE]
+    profiles = rows.groupBy("edge_id").agg(*out, F.sum("stood_in").cast("int").alias("elevation_fallback_count"))
+    return edges.drop(*profiles.columns[1:]).join(profiles, "edge_id")

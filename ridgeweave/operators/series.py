@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ridgeweave.functions.geometry import let
+
 
 def along(keys: list[str], order: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(order)
@@ -34,27 +36,52 @@ def grade(keys: list[str], order: str, distance: str, value: str) -> Column:
 def median_spacing(df: DataFrame, keys: list[str], order: str, distance: str) -> DataFrame:
     """Exact median of the positive steps of each series; null if there are none."""
     step = F.col(distance) - F.lag(distance).over(along(keys, order))
-    return df.withColumn("_step", step).groupBy(*keys).agg(F.median(F.when(F.col("_step") > 0, F.col("_step"))).alias("spacing_m"), F.count("*").alias("n"))
+    return df.withColumn("_step", step).groupBy(*keys).agg(F.median(F.when(F.col("_step") > 0, F.col("_step"))).alias("spacing_m"))
 
 
-def smooth(df: DataFrame, keys: list[str], order: str, distance: str, value: str, window_m: float, out: str) -> DataFrame:
-    """Centred moving mean over an odd number of rows that spans about ``window_m``.
+def steps(values: Column) -> Column:
+    """Differences of neighbours in an array."""
+    n = F.size(values)
+    return F.when(n > 1, F.zip_with(F.slice(values, F.lit(2), n - 1), F.slice(values, F.lit(1), n - 1), lambda b, a: b - a)).otherwise(F.array().cast("array<double>"))
+
+
+def total_of(values: Column, sign: int) -> Column:
+    """Sum of the rises of an array, or of its falls for a sign of -1."""
+    return F.aggregate(steps(values), F.lit(0.0), lambda total, d: total + F.greatest(F.lit(0.0), d * sign))
+
+
+def median(values: Column) -> Column:
+    """The middle of an array, or the mean of its two middle values; null for none."""
+    return let(F.array_sort(values), lambda s: F.when(F.size(s) > 0, (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2))
+
 
-    The number depends on each series' own spacing, so rows are joined with
-    prefix sums at either end of their window instead of a fixed frame.
+def smoothed(distances: Column, values: Column, window_m: float) -> Column:
+    """Centred moving mean over an odd number of values that spans about ``window_m``; it shrinks at both ends.
+
+    The number depends on the median of the series' own positive spacings.
     """
-    spacing = median_spacing(df, keys, order, distance)
-    k = F.greatest(F.lit(1), F.rint(F.lit(float(window_m)) / F.coalesce("spacing_m", F.lit(float(window_m)))).cast("int"))
-    reach = F.when(F.col("n") <= 2, 0).otherwise(F.floor(k / 2).cast("int"))
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_all")).join(spacing.select(*keys, reach.alias("_reach")), keys)
-
-    def mean(x: Column, i: Column) -> Column:
-        first = F.greatest(F.lit(0), i - F.col("_reach"))
-        part = F.slice(F.col("_all"), first + 1, i + F.col("_reach") - first + 1)
-        return F.struct(x["o"].alias(order), (F.aggregate(part, F.lit(0.0), lambda a, y: a + y["v"]) / F.size(part)).alias(out))
-
-    means = listed.select(*keys, F.explode(F.transform("_all", mean)).alias("_m")).select(*keys, "_m.*")
-    return df.join(means, [*keys, order])
+    spacing = median(F.filter(steps(distances), lambda d: d > 0))
+    reach = F.when(F.size(values) <= 2, 0).otherwise(F.floor(F.greatest(F.lit(1.0), F.rint(F.lit(float(window_m)) / F.coalesce(spacing, F.lit(float(window_m))))) / 2).cast("int"))
+
+    def means(r: Column) -> Column:
+        def mean(_: Column, i: Column) -> Column:
+            first = F.greatest(F.lit(0), i - r)
+            part = F.slice(values, first + 1, i + r - first + 1)
+            return F.aggregate(part, F.lit(0.0), lambda a, y: a + y) / F.size(part)
+
+        return F.transform(values, mean)
+
+    return let(reach, means)
+
+
+def smooth(df: DataFrame, keys: list[str], order: str, distance: str, value: str, window_m: float, out: str) -> DataFrame:
+    """``df`` with the moving mean of each series; every series is one array on its way."""
+    rows = df.withColumn("_row", F.struct(F.col(order).alias("o"), F.col(distance).cast("double").alias("d"), F.col(value).cast("double").alias("v")))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("_all"))
+    part = lambda c: F.transform("_all", lambda x: x[c])
+    listed = listed.select(*keys, part("o").alias(order), smoothed(part("d"), part("v"), window_m).alias(out))
+    means = listed.select(*keys, F.explode(F.arrays_zip(order, out)).alias("_m"))
+    return df.join(means.select(*keys, "_m.*"), [*keys, order])
 
 
 def cumulative(keys: list[str], order: str, length: str) -> Column:

@@ -13,7 +13,7 @@ from ridgeweave.functions import clean as C
 from ridgeweave.functions import crs
 from ridgeweave.functions import geometry as G
 from ridgeweave.functions import similarity as S
-from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, search, series
+from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, search, series, surface
 from ridgeweave.plans import tables as T
 from ridgeweave.scratch import Scratch
 from ridgeweave.session import read_table
@@ -361,11 +361,11 @@ def q_profile_grades(spark, sf):
     return T.profiles(spark, sf).select("event_id", r6(series.grade(["user_id"], "us", "distance", "value")).alias("grade"))
 
 
-@query(f"WITH {T.PROFILES} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM tp")
+@query(f"WITH {T.PROFILES} SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY user_id) <= 2 THEN value ELSE avg(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END, 6) AS smooth FROM tp")
 def q_profile_smooth3(spark, sf):
-    """W1 with a frame of three."""
-    w = W.partitionBy("user_id").orderBy("us").rowsBetween(-1, 1)
-    return T.profiles(spark, sf).select("event_id", r6(F.avg("value").over(w)).alias("smooth"))
+    """W1 over even spacings, so with a frame of three."""
+    p = T.profiles(spark, sf).withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("us")).cast("double"))
+    return series.smooth(p, ["user_id"], "us", "place", "value", 3, "smooth").select("event_id", r6("smooth").alias("smooth"))
 
 
 @query(f"""WITH {T.PROFILES}, s AS (SELECT *, row_number() OVER w - 1 AS i, distance - lag(distance) OVER w AS dd FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY us)),
@@ -570,43 +570,39 @@ def q_tm_inverse(spark, sf):
 
 @query("""WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7919 % 20011 AS DOUBLE) AS x, CAST(s_suppkey * 104729 % 20011 AS DOUBLE) AS y, s_acctbal AS z FROM supplier),
 c AS (SELECT c_custkey, CAST(c_custkey * 7919 % 20011 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 20011 AS DOUBLE) AS y FROM customer)
-SELECT c_custkey, min((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y)) AS gap FROM c, s GROUP BY 1""")
+SELECT c_custkey, s_suppkey AS nearest, (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) AS gap FROM c, s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY gap, s_suppkey) = 1""")
 def q_nearest_z(spark, sf):
-    """E3's fallback: the nearest of the suppliers' points, which the surface's own limit bounds."""
-    import numpy as np
-
-    t = read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7919 % 20011).cast("double").alias("x"), (F.col("s_suppkey") * 104729 % 20011).cast("double").alias("y"))
-    most = 50_000
-    held = t.limit(most + 1).toPandas()
-    if len(held) > most:
-        raise ValueError("more points than an elevation surface takes")
-    shared = spark.sparkContext.broadcast(elevation.Surface(held[["x", "y", "s_suppkey"]].to_numpy(float), np.empty((0, 3), int)))
-
-    def run(batches):
-        for pdf in batches:
-            near = shared.value
-            key, _ = near.at(pdf[["x", "y"]].to_numpy(float))
-            at = {k: (x, y) for x, y, k in near.points}
-            yield pdf[["c_custkey"]].assign(gap=[(at[k][0] - x) ** 2 + (at[k][1] - y) ** 2 for k, x, y in zip(key, pdf["x"], pdf["y"], strict=True)])
-
-    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 20011).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 20011).cast("double").alias("y"))
-    return c.mapInPandas(run, "c_custkey long, gap double")
-
-
-@query("SELECT c_custkey, CAST(2 * (c_custkey * 7919 % 900 + 50) + 3 * (c_custkey * 104729 % 900 + 50) + 1 AS DOUBLE) AS z FROM customer")
+    """J12, E3 where no triangle helps: the nearest supplier of every customer."""
+    spot = lambda k: [(F.col(k) * m % 20011).cast("double").alias(c) for c, m in (("x", 7919), ("y", 104729))]
+    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"), *spot("s_suppkey"), F.col("s_acctbal").cast("double").alias("z"))
+    c = read_table(spark, sf, "customer").select("c_custkey", *spot("c_custkey"))
+    found = surface.nearest(c.select("x", "y").distinct(), s, Scratch(spark, "nearest"))
+    return c.join(found, ["x", "y"]).select("c_custkey", F.col("sample").alias("nearest"), "gap")
+
+
+def price_mesh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(triangles, samples) over all parts, forty in a row and a hundred metres apart, as high as their price."""
+    k = F.col("p_partkey")
+    p = read_table(spark, sf, "part").select(k.cast("long").alias("sample"), (k % 40).cast("long").alias("i"), F.floor(k / 40).alias("j"), F.col("p_retailprice").cast("double").alias("z"))
+    corner = lambda name, di, dj: p.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.struct((F.col("i") * 100.0).alias("x"), (F.col("j") * 100.0).alias("y"), "z").alias(name))
+    cells = corner("a", 0, 0).join(corner("b", 1, 0), ["i", "j"]).join(corner("c", 0, 1), ["i", "j"]).join(corner("d", 1, 1), ["i", "j"])
+    halves = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), *[F.col(x).alias(k) for k, x in zip("abc", of, strict=True)]) for n, of in enumerate(("abc", "dcb"))])).alias("t")
+    corners = cells.select(((F.col("j") * 40 + F.col("i")) * 2).alias("first"), halves)
+    triangles = corners.select((F.col("first") + F.col("t.n")).alias("triangle"), *[F.col(f"t.{k}.{c}").alias(k + c) for k in "abc" for c in "xyz"])
+    return triangles, p.select("sample", (F.col("i") * 100.0).alias("x"), (F.col("j") * 100.0).alias("y"), "z")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS i, p_partkey // 40 AS j, CAST(p_retailprice AS DOUBLE) AS z FROM part),
+c AS (SELECT c_custkey, c_custkey * 7919 % 4500 - 300e0 AS x, c_custkey * 104729 % 5600 - 300e0 AS y FROM customer),
+g AS (SELECT *, least(floor(x / 100), 38) AS ci, least(floor(y / 100), (SELECT max(j) - 1 FROM p)) AS cj, x BETWEEN 0 AND 3900 AND y BETWEEN 0 AND (SELECT max(j) * 100 FROM p) AS inside FROM c),
+t AS (SELECT c_custkey, x / 100 - ci AS u, y / 100 - cj AS v, a.z AS a, b.z AS b, c2.z AS c, d.z AS d FROM g JOIN p a ON a.i = ci AND a.j = cj JOIN p b ON b.i = ci + 1 AND b.j = cj JOIN p c2 ON c2.i = ci AND c2.j = cj + 1 JOIN p d ON d.i = ci + 1 AND d.j = cj + 1 WHERE inside),
+o AS (SELECT c_custkey, z FROM g, p WHERE NOT inside QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY (i * 100 - x) ** 2 + (j * 100 - y) ** 2, k) = 1)
+SELECT c_custkey, round(CASE WHEN u + v <= 1 THEN a + u * (b - a) + v * (c - a) ELSE d + (1 - u) * (c - d) + (1 - v) * (b - d) END, 6) AS z, false AS stood_in FROM t UNION ALL SELECT c_custkey, round(z, 6), true FROM o""")
 def q_plane_interp(spark, sf):
-    """A surface over a plane gives the plane."""
-    import pandas as pd
-
-    xy = pd.DataFrame([(x, y) for x in range(0, 1001, 50) for y in range(0, 1001, 50)], columns=["x", "y"], dtype=float)
-    shared = spark.sparkContext.broadcast(elevation.Surface.of(xy.assign(elevation_m=2 * xy["x"] + 3 * xy["y"] + 1)))
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[["c_custkey"]].assign(z=shared.value.at(pdf[["x", "y"]].to_numpy(float))[0].round(6))
-
-    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 900 + 50).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 900 + 50).cast("double").alias("y"))
-    return c.mapInPandas(run, "c_custkey long, z double")
+    """Customers over the triangles of all parts, the nearest part outside of them."""
+    c = read_table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 4500 - 300.0).alias("x"), (F.col("c_custkey") * 104729 % 5600 - 300.0).alias("y"))
+    out = surface.elevations(c, *price_mesh(spark, sf))
+    return out.select("c_custkey", r6("z").alias("z"), "stood_in")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),

@@ -12,7 +12,8 @@ from ridgeweave import config
 from ridgeweave.functions import clean as C
 from ridgeweave.functions import crs
 from ridgeweave.functions import geometry as G
-from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, series
+from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, series, surface
+from ridgeweave.scratch import Scratch
 from ridgeweave.sinks import files, pages
 from ridgeweave.sources import fetch
 from ridgeweave.sources.geojson import read_geojson
@@ -146,22 +147,34 @@ def test_triangles_have_empty_circles():
         assert (((xy - a - centre) ** 2).sum(axis=1) >= (centre @ centre) * (1 - 1e-7)).all()
 
 
-def test_surface_over_a_plane_and_beyond():
+def test_surface_over_a_plane_and_beyond(spark):
     g = pd.DataFrame([(x, y, 2 * x + y) for x in range(5) for y in range(5)], columns=["x", "y", "elevation_m"])
-    z, stood_in = elevation.Surface.of(g).at(np.array([[1.5, 2.25], [9.0, 4.0]]))
-    assert z == pytest.approx([5.25, 12.0]) and stood_in.tolist() == [False, True]
-    flat = elevation.Surface.of(g[g.y == 0])
-    assert flat.at(np.array([[1.2, 0.0]]))[1].all()
+    at = lambda points, *xy: {(r.x, r.y): (r.z, r.stood_in) for r in surface.elevations(spark.createDataFrame([tuple(map(float, p)) for p in xy], "x double, y double"), *elevation.Surface.of(points).tables(spark)).collect()}
+    found = at(g, (1.5, 2.25), (9, 4), (1.5, 2.25))
+    assert found[1.5, 2.25] == (pytest.approx(5.25), False) and found[9.0, 4.0] == (12.0, True)
+    assert at(g[g.y == 0], (1.2, 0)) == {(1.2, 0.0): (2.0, True)}
     with pytest.raises(ValueError):
         elevation.Surface.of(g[:0])
 
 
+@pytest.mark.parametrize("kind", ["cloud", "clusters", "line", "one"])
+def test_the_nearest_sample_is_that_of_all(spark, monkeypatch, kind):
+    monkeypatch.setattr(surface, "LEAF", 4)
+    rng = np.random.default_rng(5)
+    s = {"cloud": rng.uniform(0, 100, (300, 2)), "clusters": np.concatenate([rng.normal(c, 0.01, (100, 2)) for c in (0, 50, 1000)]), "line": np.array([(k % 40, 0.0) for k in range(90)]), "one": np.array([(3.0, 4.0)])}[kind]
+    p = np.unique(np.concatenate([rng.uniform(-200, 300, (150, 2)), s[:20] + 0.5, np.floor(s[:9])]), axis=0)
+    samples_of = spark.createDataFrame([(k, float(x), float(y), float(k)) for k, (x, y) in enumerate(s)], "sample long, x double, y double, z double")
+    got = {(r.x, r.y): r.sample for r in surface.nearest(spark.createDataFrame([tuple(map(float, v)) for v in p], "x double, y double"), samples_of, Scratch(spark, "n")).collect()}
+    gaps = ((p[:, None, :] - s[None]) ** 2).sum(axis=2)
+    assert got == {tuple(v): int(np.argmin(row)) for v, row in zip(map(tuple, p), gaps, strict=True)}
+
+
 def test_profiles_between_two_contours(spark):
     contours = spark.createDataFrame([(0, 0, 0.0, [(0.0, 0.0), (100.0, 0.0)]), (1, 0, 100.0, [(0.0, 100.0), (100.0, 100.0)])], f"feature_idx long, part int, elevation_m double, coords {LINE}")
     points = elevation.contour_points(contours, 50)
     assert points.count() == 6 and elevation.contour_points(contours, 50, 3).count() == 3
     edges = spark.createDataFrame([("e", [(10.0, 10.0), (10.0, 90.0)])], f"edge_id string, coords {LINE}")
-    e = elevation.enrich_edges(edges, elevation.Surface.of(points.toPandas())).first()
+    e = elevation.enrich_edges(edges, *elevation.Surface.of(points.toPandas()).tables(spark)).first()
     assert len(e.profile_distance_m) >= 9 and e.profile_elevation_smooth_m == sorted(e.profile_elevation_smooth_m)
     assert e.ascent_fwd_m == pytest.approx(e.descent_rev_m) and e.elevation_fallback_count == 0
 
@@ -169,7 +182,6 @@ def test_profiles_between_two_contours(spark):
 def test_smoothing(spark):
     v, d = [0.0, 10.0, 5.0, 25.0, 20.0], [0.0, 10.0, 20.0, 30.0, 40.0]
     expected = [5, 5, 40 / 3, 50 / 3, 22.5]
-    assert elevation.smoothed(np.array(v), np.array(d), 30).tolist() == pytest.approx(expected)
     df = spark.createDataFrame([("a", i, d[i], v[i]) for i in range(5)], "k string, i int, d double, v double")
     assert [r.s for r in series.smooth(df, ["k"], "i", "d", "v", 30, "s").orderBy("i").collect()] == pytest.approx(expected)
 
