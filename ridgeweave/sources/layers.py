@@ -9,7 +9,10 @@ from ridgeweave.operators import paths as P
 from ridgeweave.operators.graph import union_layers
 from ridgeweave.sources.fetch import layer_file, osm_file
 from ridgeweave.sources.geojson import in_box, read_vector
+from ridgeweave.sources.ways import read_ways
 
+#: Tags of a way that its path needs; no others are decoded from OSM's blocks.
+WAY_TAGS = ("highway", "access", "foot", "name")
 LAYERS = ("nparks_tracks", "central_nature_reserve", "park_connector_loop")
 
 
@@ -18,11 +21,15 @@ def load_osm(spark: SparkSession, settings: Settings) -> DataFrame | None:
     found = osm_file(settings)
     if found is None or not found.exists():
         return None
-    if found.suffix.lower() not in (".parquet", ".geojson", ".json", ".geojsonl", ".ndjson"):
-        raise RuntimeError(f"can't read {found}; convert it to GeoJSON or Parquet first")
+    given = settings.get("sources.osm.singapore_bbox_wgs84")
+    box = tuple(map(float, given)) if given else None
+    suffix = found.suffix.lower()
+    if suffix in (".gpkg", ".shp", ".pbf"):
+        return P.walkable_ways(read_ways(spark, str(found), list(WAY_TAGS) if suffix == ".pbf" else None, box))
+    if suffix not in (".parquet", ".geojson", ".json", ".geojsonl", ".ndjson"):
+        raise RuntimeError(f"can't read {found}; convert it to one of the kinds that README names")
     ways = read_vector(spark, str(found))
-    box = settings.get("sources.osm.singapore_bbox_wgs84")
-    return P.walkable_ways(in_box(ways, tuple(map(float, box))) if box else ways)
+    return P.walkable_ways(in_box(ways, box) if box else ways)
 
 
 def load_paths(spark: SparkSession, settings: Settings) -> DataFrame:
