@@ -90,7 +90,7 @@ class Run:
         found = self.save(search.search_routes(edges, self.table("graph/nodes.parquet"), self.settings.get("budgets_km"), self.settings.get("modes"), how), "graph/routes.parquet")
         lines = samples.route_lines(found, edges)
         named = samples.with_gap_warnings(found, lines).orderBy(F.desc("ascent_m"), F.desc("gain_density_m_per_km"), F.desc("source_confidence"), "route_id")
-        print(f"{len(files.write_routes(found, samples.route_samples(found, edges), lines, out))} routes")
+        print(f"{files.write_routes(found, samples.route_samples(found, edges), lines, out)} routes")
         files.write_routes_json(named, out / "routes.json")
         return 0
 

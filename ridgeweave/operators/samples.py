@@ -126,12 +126,24 @@ def markers(samples: DataFrame, threshold_pct: float = 12) -> DataFrame:
             F.when(~F.isnan("grade_smooth_pct") & (F.abs("grade_smooth_pct") >= threshold_pct), F.lit("steep")),
         )
     )
-    return samples.select("route_id", "sample_index", "lon", "lat", F.explode(kinds).alias("kind"))
+    named = F.concat(F.lit("Steps"), F.coalesce(F.concat(F.lit(": "), "path_name"), F.lit("")))
+    note = F.when(F.col("kind") == "km", F.format_string("%.1f km", d / 1000)).when(F.col("kind") == "steps", named).when(F.col("kind") == "steep", F.format_string("%.1f %%", "grade_smooth_pct")).otherwise(F.lit("Direction"))
+    return samples.withColumn("kind", F.explode(kinds)).select("route_id", "sample_index", "lon", "lat", "kind", note.alias("note"))
 
 
-def feature_collection(routes: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row, one text: a GeoJSON collection of all routes in degrees, without their identifier lists."""
+def features(routes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(route_id, feature): each route as a GeoJSON feature in degrees, without its identifier lists."""
     joined = routes.join(lines, "route_id").drop("gaps")
     properties = F.struct(*[c for c in routes.columns if c not in ("directed_edge_ids", "undirected_edge_ids", "node_ids")])
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), in_degrees(F.col("coords")).alias("coordinates")).alias("geometry"), properties.alias("properties"))
-    return joined.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("route_id", feature.alias("f")))), lambda x: x["f"]).alias("features")), {"ignoreNullFields": "false"}).alias("geojson"))
+    return joined.select("route_id", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def simplified(line: Column, tolerance: float) -> Column:
+    """Points of a line that are at least ``tolerance`` from the last one kept, and its end."""
+
+    def step(kept: Column, p: Column) -> Column:
+        return F.when((F.size(kept) == 0) | (G.distance(F.element_at(kept, -1), p) >= tolerance), F.array_append(kept, p)).otherwise(kept)
+
+    body = F.aggregate(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), F.array().cast(G.LINE), step)
+    return F.when(F.size(line) > 0, F.array_append(body, F.element_at(line, -1))).otherwise(body)

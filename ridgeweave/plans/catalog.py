@@ -615,11 +615,16 @@ def q_gap_warnings(spark, sf):
     return lines.select("k", F.size(G.concatenated(F.col("lines"))["warnings"]).cast("long").alias("n")).filter("n > 0")
 
 
-@query()
+@query(f"""WITH {T.SAMPLES}, f AS (SELECT route_id, count(*) AS n_samples FROM ts GROUP BY 1)
+SELECT route_id, sample_index AS place, 'LineString' AS kind, n_samples, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ts JOIN f USING (route_id)""")
 def q_feature_collection(spark, sf):
-    """V2, K6: one GeoJSON text of every user's line."""
+    """V2, K6: every user's line as a GeoJSON feature, read back from its text."""
+    x, y = crs.to_grid(F.col("lon"), F.col("lat"))
     s = T.samples(spark, sf)
-    r = s.groupBy("route_id").agg(F.count("*").alias("n_samples"))
-    p = F.struct("sample_index", (F.lit(28000.0) + F.col("sample_index")).alias("x"), (F.lit(38700.0) + F.col("elevation_smooth_m")).alias("y"))
-    lines = s.groupBy("route_id").agg(F.array_sort(F.collect_list(p)).alias("l")).select("route_id", F.transform("l", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("coords"), F.array().cast("array<string>").alias("gaps"))
-    return samples.feature_collection(r, lines)
+    packed = F.array_sort(F.collect_list(F.struct("sample_index", x.alias("x"), y.alias("y"))))
+    r = s.groupBy("route_id").agg(F.count("*").alias("n_samples"), packed.alias("l"))
+    lines = r.select("route_id", F.transform("l", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("coords"), F.array().cast("array<string>").alias("gaps"))
+    read = F.from_json("feature", "struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>,properties:struct<route_id:string,n_samples:long>>")
+    back = samples.features(r.drop("l"), lines).select(read.alias("f")).filter("f.type = 'Feature'")
+    points = back.select("f.properties.route_id", "f.properties.n_samples", F.col("f.geometry.type").alias("kind"), F.posexplode("f.geometry.coordinates").alias("place", "p"))
+    return points.select("route_id", F.col("place").cast("long").alias("place"), "kind", "n_samples", r6(F.col("p")[0]).alias("lon"), r6(F.col("p")[1]).alias("lat"))

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import math
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeweave.operators.samples import in_degrees
+from ridgeweave.operators.samples import features, in_degrees
+from ridgeweave.sinks.png import profile
+from ridgeweave.sinks.writer import write_files, write_joined
 
 STALE = ("*.geojson", "*_edges.json", "*.gpx", "*_profile.png", "*_profile.svg", "*_samples.parquet", "routes.csv", "routes.json")
 ROUTE_DDL = (
@@ -45,83 +51,86 @@ def remove_stale(folder: Path, patterns: tuple[str, ...] = STALE) -> None:
                 p.unlink()
 
 
-def write_tables(samples: DataFrame, routes: DataFrame, folder: str) -> None:
-    """Routes, and samples partitioned by route, as Parquet in any store."""
-    routes.write.mode("overwrite").parquet(f"{folder}/routes_table")
-    samples.write.mode("overwrite").partitionBy("route_id").parquet(f"{folder}/samples_table")
-
-
 def gpx(route_id: str, points: list) -> str:
     body = "".join(f'<trkpt lat="{p["lat"]!r}" lon="{p["lon"]!r}"><ele>{p["elevation_smooth_m"]!r}</ele></trkpt>' for p in points)
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="ridgeweave"><trk><name>{escape(route_id)}</name><trkseg>{body}</trkseg></trk></gpx>'
 
 
-def profile_svg(route_id: str, points: list, width: int = 800, height: int = 300) -> str:
-    """The elevation profile as a line drawing."""
-    xs, zs = [p["cum_distance_km"] for p in points] or [0.0], [p["elevation_smooth_m"] for p in points] or [0.0]
-    low, high, far = min(zs), max(zs), max(xs) or 1.0
-    line = " ".join(f"{40 + x / far * (width - 60):.1f},{height - 30 - (z - low) / ((high - low) or 1.0) * (height - 60):.1f}" for x, z in zip(xs, zs, strict=True))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}"><title>{escape(route_id)}</title><polyline fill="none" stroke="#265c42" stroke-width="2" points="{line}"/><text x="40" y="{height - 8}">0 to {far:.2f} km, {low:.0f} to {high:.0f} m</text></svg>'
-
-
-def profile_png(route_id: str, points: list, path: Path) -> None:
-    """The profile as a picture where a plotting library is installed, as a drawing otherwise."""
-    try:
-        import matplotlib
-
-        matplotlib.use("Agg")
-        from matplotlib import pyplot
-    except ImportError:
-        path.with_suffix(".svg").write_text(profile_svg(route_id, points))
-        return
-    figure, axes = pyplot.subplots(figsize=(8, 3))
-    axes.plot([p["cum_distance_km"] for p in points], [p["elevation_smooth_m"] for p in points], color="#265c42", linewidth=2)
-    axes.set(title=route_id, xlabel="Distance (km)", ylabel="Elevation (m)")
-    figure.savefig(path, dpi=140, bbox_inches="tight")
-    pyplot.close(figure)
-
-
-def write_routes(routes: DataFrame, samples: DataFrame, lines: DataFrame, folder: str | Path) -> list[dict]:
-    """The files of every route; routes arrive one at a time, each with its own samples."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    remove_stale(out)
-    listed = [r.asDict() for r in routes.select(*ROUTE_FIELDS).collect()]
-    with (out / "routes.csv").open("w", newline="") as f:
-        table = csv.DictWriter(f, ROUTE_FIELDS)
-        table.writeheader()
-        table.writerows({k: json.dumps(v) if k in LISTS else v for k, v in r.items()} for r in listed)
-    by_id = {r["route_id"]: r for r in listed}
-    points = F.array_sort(F.collect_list(F.struct("sample_index", *[c for c in samples.columns if c not in ("route_id", "sample_index")]))).alias("points")
-    whole = lines.select("route_id", in_degrees(F.col("coords")).alias("line")).join(samples.groupBy("route_id").agg(points), "route_id", "left")
-    for row in whole.toLocalIterator():
-        key, pts = row["route_id"], row["points"] or []
-        scalars = {k: v for k, v in by_id[key].items() if k not in LISTS}
-        (out / f"{key}.geojson").write_text(dump({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": scalars, "geometry": {"type": "LineString", "coordinates": row["line"]}}]}))
-        (out / f"{key}_edges.json").write_text(dump({k: by_id[key][k] for k in ("route_id", *LISTS[:3])}))
-        (out / f"{key}.gpx").write_text(gpx(key, pts))
-        profile_png(key, pts, out / f"{key}_profile.png")
-        write_samples(key, pts, out / f"{key}_samples.parquet")
-    return listed
-
-
-def write_samples(route_id: str, points: list, path: Path) -> None:
-    import pyarrow as pa
-    from pyarrow import parquet
-
-    parquet.write_table(pa.Table.from_pylist([{"route_id": route_id, **p.asDict()} for p in points]), path)
+def files_of(row: dict) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of a route's files: line, edges, track, picture and samples."""
+    key, points = row["route_id"], row["points"] or []
+    scalars = {k: row[k] for k in ROUTE_FIELDS if k not in LISTS}
+    line = {"type": "LineString", "coordinates": row["line"]}
+    yield f"{key}.geojson", dump({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": scalars, "geometry": line}]}).encode()
+    yield f"{key}_edges.json", dump({k: row[k] for k in ("route_id", *LISTS[:3])}).encode()
+    yield f"{key}.gpx", gpx(key, points).encode()
+    yield f"{key}_profile.png", profile(key, [p["cum_distance_km"] for p in points], [p["elevation_smooth_m"] for p in points])
+    yield f"{key}_samples.parquet", samples_file(key, points)
+
+
+def samples_file(route_id: str, points: list[dict]) -> bytes:
+    out = io.BytesIO()
+    parquet.write_table(pa.Table.from_pylist([{"route_id": route_id, **p} for p in points]), out)
+    return out.getvalue()
+
+
+def each_file(rows: DataFrame, files: Callable[[dict], Iterator[tuple[str, bytes]]]) -> DataFrame:
+    """(name, data) of the files of every row, one row's at a time."""
+    schema = pa.schema([("name", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                (row,) = batch.slice(k, 1).to_pylist()
+                names, data = zip(*files(row), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "name string, data binary")
+
+
+def points_of(samples: DataFrame) -> DataFrame:
+    """(route_id, points): the samples of each route in order."""
+    rest = [c for c in samples.columns if c not in ("route_id", "sample_index")]
+    return samples.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("sample_index", *rest))).alias("points"))
+
+
+def write_routes(routes: DataFrame, samples: DataFrame, lines: DataFrame, folder: str | Path) -> int:
+    """The files of every route, written by tasks, and the table of all; how many routes there are.
+
+    A route's files are one task's work and appear together when the job
+    commits; files of earlier runs go in the same commit.
+    """
+    whole = routes.select(*ROUTE_FIELDS).join(lines.select("route_id", in_degrees(F.col("coords")).alias("line")), "route_id").join(points_of(samples), "route_id", "left")
+    write_files(each_file(whole, files_of), folder, STALE)
+    write_joined(lines_of(routes, csv_line), Path(folder) / "routes.csv", csv_line(dict(zip(ROUTE_FIELDS, ROUTE_FIELDS, strict=True))) + "\n")
+    return routes.count()
+
+
+def csv_line(row: dict) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow([json.dumps(v) if isinstance(v := row[k], list) else v for k in ROUTE_FIELDS])
+    return out.getvalue()
+
+
+def lines_of(routes: DataFrame, line: Callable[[dict], str]) -> DataFrame:
+    """(value): a line of text for each route, in the rows' order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([line(r) for r in batch.to_pylist()], pa.string())], names=["value"])
+
+    return routes.select(*ROUTE_FIELDS).mapInArrow(run, "value string")
 
 
 def write_routes_json(routes: DataFrame, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(dump([r.asDict() for r in routes.select(*ROUTE_FIELDS).collect()]))
+    """All routes as one JSON list, joined from what tasks wrote."""
+    write_joined(lines_of(routes, dump), path, "[", ",\n", "]\n")
 
 
 def read_routes_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROUTE_DDL).option("multiLine", True).json(path)
 
 
-def write_layer(layer: DataFrame, path: str) -> None:
-    """Lines in grid metres as GeoJSON features in degrees, one to a line."""
-    properties = F.struct(*[c for c in layer.columns if c != "coords"])
-    layer.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("LineString").alias("type"), in_degrees(F.col("coords")).alias("coordinates")).alias("geometry"))).alias("value")).write.mode("overwrite").text(path)
+def write_collection(routes: DataFrame, lines: DataFrame, path: str | Path) -> None:
+    """All routes as one GeoJSON collection, its features in the order of their identifiers."""
+    write_joined(features(routes, lines).orderBy("route_id").select(F.col("feature").alias("value")), path, '{"type":"FeatureCollection","features":[', ",\n", "]}\n")

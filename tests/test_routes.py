@@ -269,12 +269,15 @@ def test_files_pages_and_checks(spark, walk, tmp_path):
     assert back.first().undirected_edge_ids == ["ab"]
     pages.render(back, s, lines, tmp_path / "viz")
     page = (tmp_path / "viz" / "routes" / "loop_00500m_001.html").read_text()
-    assert "Fixture" in page and "NaN" not in page
+    assert "Fixture" in page and "NaN" not in page and "Elevation: " in page
+    assert 'id="map"' in page and 'class="elevation"' in page and "Start" in page and "End" in page and 'class="steps"' in page and 'class="steep"' in page
+    assert 'data-route="loop_00500m_001"' in (tmp_path / "viz" / "index.html").read_text()
     json.loads((tmp_path / "viz" / "assets" / "routes.geojson").read_text())
     checks = qa.diagnostics(back, d, lines, s, tmp_path).collect()
     assert [c.name for c in checks][0] == "no repeated undirected edges" and len(checks) == 7
     assert [c.ok for c in checks][:3] == [True, True, True] and checks[6].ok
-    assert checks[3].ok == (out / "loop_00500m_001_profile.png").exists()
+    assert checks[3].ok and (out / "loop_00500m_001_profile.png").read_bytes().startswith(b"\x89PNG")
+    assert not list(tmp_path.rglob("_pending*"))
 
 
 def test_no_routes_still_give_a_table(spark, walk, tmp_path):
