@@ -39,10 +39,11 @@ class Run:
         return self.table(name)
 
     def contours(self):
-        found = downloads.layer_file(self.settings.data_dir / "raw" / "data_gov", "national_map_line")
+        name = "national_map_line"
+        found = downloads.cached(self.settings, self.settings.data_dir / "raw" / "data_gov", name, str(self.settings.get(f"sources.data_gov.{name}", "")))
         if found is None:
             raise FileNotFoundError("no contour layer; fetch it first")
-        return read_vector(self.spark, str(found))
+        return read_vector(self.spark, found["path"])
 
     def fetch(self) -> int:
         for r in downloads.fetch_layers(self.settings):

@@ -40,6 +40,12 @@ def first_value(values: Column) -> Column:
     return first_present(F.get(values, F.lit(0)))
 
 
+def unlisted(value: Column) -> Column:
+    """A text as it is, but the first of a list that arrives as JSON."""
+    listed = F.from_json(value, "array<string>")
+    return F.when(value.startswith("["), F.coalesce(F.when(listed.isNotNull(), first_value(listed)), F.when(listed.isNull(), value))).otherwise(value)
+
+
 def list_text(values: Column) -> Column:
     """The text of a list's first ``MOST_LISTED`` values."""
     return F.concat(F.lit("["), F.array_join(F.transform(F.slice(values, 1, MOST_LISTED), lambda v: scalar_text(v)), ", "), F.lit("]"))

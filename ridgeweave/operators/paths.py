@@ -69,7 +69,7 @@ def walking_only(layer: DataFrame) -> DataFrame:
 
 def walkable_ways(layer: DataFrame) -> DataFrame:
     p = lambda k: field("properties", k)
-    return layer.filter(C.walkable(p("highway"), p("access"), p("foot")))
+    return layer.filter(C.walkable(C.unlisted(p("highway")), p("access"), p("foot")))
 
 
 def with_ordinals(paths: DataFrame, order: list[str]) -> DataFrame:

@@ -331,25 +331,22 @@ def select_diverse(states: DataFrame, how: Search, enough: int | None = None) ->
 def emit(kept: DataFrame, most: int) -> DataFrame:
     """The first ``most`` of each budget and mode whose edge set no smaller budget of the mode has emitted, with ``rank``.
 
-    ``kept`` has no more rows for a mode than the settings ask for.
+    Budgets follow each other, as what one emits is closed to the next.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        seen, ranks, where = set(), [], []
-        for _, part in group.sort_values(["budget_m", "place"]).groupby("budget_m", sort=True):
-            rank = 0
-            for i, edges in zip(part.index, part["undirected_edge_ids"], strict=True):
-                key = frozenset(edges)
-                if rank < most and key not in seen:
-                    seen.add(key)
-                    rank += 1
-                    ranks.append(rank)
-                    where.append(i)
-        return group.loc[where, ["budget_m", "mode", "directed_edge_ids"]].assign(rank=ranks)
-
-    slim = kept.select("budget_m", "mode", "place", "directed_edge_ids", "undirected_edge_ids")
-    ranks = slim.groupBy("mode").applyInPandas(run, "budget_m double, mode string, directed_edge_ids array<string>, rank int")
-    return kept.join(ranks, ["budget_m", "mode", "directed_edge_ids"])
+    scratch = Scratch(kept.sparkSession, "emit")
+    key = ["mode", "edges"]
+    slim = scratch.keep(kept.select("budget_m", "mode", "place", "directed_edge_ids", F.array_sort("undirected_edge_ids").alias("edges")), "kept")
+    out: list[DataFrame] = []
+    for budget in sorted(r[0] for r in slim.select("budget_m").distinct().collect()):
+        mine = slim.filter(F.col("budget_m") == budget)
+        for before in out:
+            mine = mine.join(before.select(*key), key, "left_anti")
+        mine = mine.withColumn("again", F.row_number().over(W.partitionBy(*key).orderBy("place"))).filter("again = 1")
+        out.append(scratch.keep(mine.withColumn("rank", F.row_number().over(W.partitionBy("mode").orderBy("place"))).filter(F.col("rank") <= most).drop("again"), "emitted"))
+    if not out:
+        return kept.withColumn("rank", F.lit(0)).limit(0)
+    ranks = G.union_layers(out).select(*GROUP, "directed_edge_ids", "rank")
+    return kept.join(ranks, [*GROUP, "directed_edge_ids"])
 
 
 def route_id(mode: Column, budget_m: Column, rank: Column) -> Column:

@@ -88,13 +88,15 @@ def q_source_id_coalesce(spark, sf):
     return e.select("event_id", C.source_id([kind], F.col("event_id")).alias("feature_id"), C.or_default(F.col("value"), 0.5).alias("weight"), F.when(F.col("value") == F.floor("value"), C.scalar_text(F.col("value"))).alias("whole"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"event_type\":\"' || event_type || '\",\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS properties FROM events")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"event_type":"' || event_type || '","k":"' || json_extract_string(props, '$.k') || '"}' AS properties,
+CASE WHEN event_type = 'error' THEN '{"source_primary":"' || user_id || '","highway":"error"}' ELSE CAST(json(props) AS VARCHAR) END AS used FROM events""")
 def q_properties_json(spark, sf):
-    """Present properties as sorted JSON, and one read back from JSON."""
+    """Present properties as sorted JSON, one read back from JSON, and a record's own or those made up."""
     e = read_table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     held = F.map_concat(F.create_map(F.lit("k"), k), F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("blank"), F.lit(" ")))
-    return e.select("event_id", k.cast("long").alias("k"), C.compact_properties(held).alias("properties"))
+    raw = e.withColumns({"source_raw_properties_json": F.when(F.col("event_type") == "error", "no object").otherwise(F.col("props")), "source_primary": F.col("user_id").cast("string"), "path_name": F.lit(" "), "highway": F.col("event_type")})
+    return raw.select("event_id", k.cast("long").alias("k"), C.compact_properties(held).alias("properties"), attribution.properties(raw).alias("used"))
 
 
 @query("""SELECT event_id, layer, user_id, value FROM (
@@ -193,7 +195,7 @@ def level_query(levels: int, budget_m: float):
 
     run.__name__ = f"q_expand_level{levels}"
     run.__doc__ = "J3, P19-P21, A2, A3: trails of a number of edges within a budget."
-    return query(f"WITH {T.DIRECTED}, {unrolled(levels, budget_m)} SELECT array_to_string(p, '>') AS path, start, cur, d, a, c / len(p) AS c FROM l{levels}")(run)
+    return query(f"WITH {T.DIRECTED}, {unrolled(levels, budget_m)} SELECT array_to_string(p, '>') AS path, start, cur, d, a, c / len(p) AS c FROM l{levels} ORDER BY path")(run)
 
 
 q_expand_level1, q_expand_level2, q_expand_level3 = level_query(1, 500.0), level_query(2, 40.0), level_query(3, 40.0)
@@ -249,12 +251,17 @@ def q_rank_routes(spark, sf):
     return t.select(F.array_join("directed_edge_ids", ">").alias("path"), F.row_number().over(W.partitionBy("start_node").orderBy(*search.rank_order())).alias("place"))
 
 
-@query(f"""WITH {T.DIRECTED}, {unrolled(2, 40.0)}, k AS (SELECT d, array_to_string(list_sort(e), '+') AS edges, array_to_string(p, '>') AS path FROM l2)
-SELECT path, edges FROM k WHERE d > 20 AND NOT EXISTS (SELECT 1 FROM k s WHERE s.d <= 20 AND s.edges = k.edges)""")
+@query(f"""WITH {T.DIRECTED}, {unrolled(2, 40.0)}, k AS (SELECT d, a, array_to_string(list_sort(e), '+') AS edges, array_to_string(p, '>') AS path FROM l2),
+b AS (SELECT 20 AS budget, * FROM k WHERE d <= 20 UNION ALL SELECT 40, * FROM k WHERE NOT EXISTS (SELECT 1 FROM k s WHERE s.d <= 20 AND s.edges = k.edges)),
+f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY budget, edges ORDER BY a DESC, path) = 1)
+SELECT budget, path, edges, row_number() OVER (PARTITION BY budget ORDER BY a DESC, path) AS rank FROM f ORDER BY budget, path""")
 def q_budget_antijoin(spark, sf):
-    """What a smaller budget has already."""
-    k = trails(spark, sf, 2, 40.0).select(F.col("distance_m").alias("d"), F.array_join(F.sort_array("undirected_edge_ids"), "+").alias("edges"), F.array_join("directed_edge_ids", ">").alias("path"))
-    return k.filter("d > 20").join(k.filter("d <= 20"), "edges", "left_anti").select("path", "edges")
+    """Routes of two budgets; what the smaller one has emitted is closed to the larger."""
+    t = trails(spark, sf, 2, 40.0).drop("budget_m").withColumns({"mode": F.lit("point_to_point"), "path": F.array_join("directed_edge_ids", ">")})
+    both = t.filter("distance_m <= 20").withColumn("budget_m", F.lit(20.0)).unionByName(t.withColumn("budget_m", F.lit(40.0)))
+    placed = both.withColumn("place", F.row_number().over(W.partitionBy("budget_m").orderBy(F.desc("ascent_m"), "path")))
+    out = search.emit(placed.select("budget_m", "mode", "place", "directed_edge_ids", "undirected_edge_ids"), 1 << 30)
+    return out.select(F.col("budget_m").cast("int").alias("budget"), F.array_join("directed_edge_ids", ">").alias("path"), F.array_join(F.array_sort("undirected_edge_ids"), "+").alias("edges"), F.col("rank").cast("long").alias("rank"))
 
 
 # -- similarity: orders as sets of parts, their quantities as lengths ------------
@@ -411,44 +418,37 @@ def q_steep_sections(spark, sf):
 # -- attribution and names ----------------------------------------------------------
 
 
-@query(f"""WITH {T.SAMPLES}, d AS (SELECT *, greatest(0, lead(cum_distance_m) OVER (PARTITION BY route_id ORDER BY sample_index) - cum_distance_m) AS delta FROM ts),
-g AS (SELECT route_id, source_primary AS source_key, sum(delta) FILTER (delta > 0) AS d, count(*) AS n FROM d GROUP BY 1, 2), t AS (SELECT *, sum(coalesce(d, 0)) OVER (PARTITION BY route_id) AS total, sum(n) OVER (PARTITION BY route_id) AS rows FROM g)
-SELECT route_id, source_key, round(coalesce(d, 0) / 1e6, 3) AS distance_km, round(CASE WHEN total > 0 THEN coalesce(d, 0) / total ELSE n / rows END, 4) AS share FROM t WHERE coalesce(d, 0) > 0 OR total <= 0""")
+@query(f"""WITH {T.SAMPLES}, d AS (SELECT *, greatest(0, lead(cum_distance_m) OVER w - cum_distance_m) AS delta, 0.25 + sample_index % 4 / 10e0 AS conf FROM ts WINDOW w AS (PARTITION BY route_id ORDER BY sample_index)),
+g AS (SELECT route_id, source_primary AS source_key, coalesce(sum(delta) FILTER (delta > 0), 0) AS d, sum(conf * delta) FILTER (delta > 0) AS w, count(*) AS n, avg(conf) AS mean FROM d GROUP BY 1, 2),
+t AS (SELECT *, sum(d) OVER (PARTITION BY route_id) AS total, sum(n) OVER (PARTITION BY route_id) AS rows FROM g)
+SELECT route_id, source_key, round_even(d, 1) AS distance_m, round_even(CASE WHEN total > 0 THEN d / total ELSE n / rows END * 100, 1) AS share_pct, round_even(CASE WHEN total > 0 THEN w / d ELSE mean END, 2) AS confidence FROM t WHERE d > 0 OR total <= 0""")
 def q_attribution_sources(spark, sf):
-    """Distance and share by source."""
-    s = attribution.intervals(T.samples(spark, sf), ["route_id"])
-    out = attribution.path_sources(T.samples(spark, sf))
-    exact = s.filter("delta > 0").groupBy("route_id", F.col("source_primary").alias("source_key")).agg(F.sum("delta").alias("d"))
-    every = out.join(exact, ["route_id", "source_key"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    total = F.sum("d").over(W.partitionBy("route_id"))
-    return every.select("route_id", "source_key", F.round(F.col("d") / 1e6, 3).alias("distance_km"), F.round(F.when(total > 0, F.col("d") / total).otherwise(F.col("share_pct") / 100), 4).alias("share"))
-
-
-@query(f"""WITH {T.SAMPLES}, n AS (SELECT *, lead(sample_index) OVER w AS ni, lead(lat) OVER w AS nlat, lead(elevation_smooth_m) OVER w AS nz, lead(cum_distance_m) OVER w - cum_distance_m AS delta FROM ts WINDOW w AS (PARTITION BY route_id ORDER BY sample_index)),
-k AS (SELECT * FROM n WHERE delta > 0), e AS (SELECT route_id, source_primary, sample_index AS i, lat, elevation_smooth_m AS z FROM k UNION ALL SELECT route_id, source_primary, ni, nlat, nz FROM k)
-SELECT route_id, source_primary AS source_key, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(z), 2) AS min_z, round(max(z), 2) AS max_z, arg_min(z, i) AS start_z, arg_max(z, i) AS end_z,
-(SELECT count(DISTINCT k.edge_id) FROM k WHERE k.route_id = e.route_id AND k.source_primary = e.source_primary) AS n_edges FROM e GROUP BY 1, 2""")
+    """Distance, share and confidence by source."""
+    s = T.samples(spark, sf).withColumn("source_confidence", F.lit(0.25) + F.col("sample_index") % 4 / 10)
+    return attribution.path_sources(s)
+
+
+RECORDS = f"""{T.SAMPLES}, n AS (SELECT *, lead(sample_index) OVER w AS ni, lead(lat) OVER w AS nlat, lead(elevation_smooth_m) OVER w AS nz, lead(cum_distance_m) OVER w - cum_distance_m AS delta FROM ts WINDOW w AS (PARTITION BY route_id ORDER BY sample_index)),
+k AS (SELECT * FROM n WHERE delta > 0), e AS (SELECT route_id, source_primary, sample_index AS i, lat, elevation_smooth_m AS z FROM k UNION SELECT route_id, source_primary, ni, nlat, nz FROM k)"""
+
+
+@query(f"""WITH {RECORDS}, t AS (SELECT route_id, max(cum_distance_m) - min(cum_distance_m) AS total FROM ts GROUP BY 1),
+d AS (SELECT route_id, source_primary, round_even(sum(delta), 1) AS distance_m, count(DISTINCT edge_id) AS n_edges, arg_min(sample_index, sample_index) AS first FROM k GROUP BY 1, 2)
+SELECT route_id, source_primary AS source_key, source_primary AS feature_id, round_even(min(lat), 7) AS min_lat, round_even(max(lat), 7) AS max_lat, round_even(min(z), 1) AS min_z, round_even(max(z), 1) AS max_z, round_even(arg_min(z, i), 1) AS start_z, round_even(arg_max(z, i), 1) AS end_z,
+any_value(n_edges) AS n_edges, any_value(distance_m) AS distance_m, any_value(CASE WHEN total > 0 THEN round_even(distance_m / total * 100, 1) ELSE 0 END) AS share_pct FROM e JOIN d USING (route_id, source_primary) JOIN t USING (route_id) GROUP BY 1, 2""")
 def q_attribution_records(spark, sf):
-    """Bounds, elevations and edges by source and feature."""
-    s = T.samples(spark, sf)
-    order = W.partitionBy("route_id").orderBy("sample_index")
-    both = s.withColumns({"ni": F.lead(F.struct("sample_index", "lat", "elevation_smooth_m")).over(order), "delta": F.lead("cum_distance_m").over(order) - F.col("cum_distance_m")}).filter("delta > 0")
-    here = F.struct("sample_index", "lat", "elevation_smooth_m")
-    seen = both.select("route_id", F.col("source_primary").alias("source_key"), F.explode(F.array(here, "ni")).alias("p")).groupBy("route_id", "source_key")
-    found = seen.agg(
-        F.round(F.min("p.lat"), 6).alias("min_lat"), F.round(F.max("p.lat"), 6).alias("max_lat"), F.round(F.min("p.elevation_smooth_m"), 2).alias("min_z"), F.round(F.max("p.elevation_smooth_m"), 2).alias("max_z"),
-        F.min_by("p.elevation_smooth_m", "p.sample_index").alias("start_z"), F.max_by("p.elevation_smooth_m", "p.sample_index").alias("end_z"),
-    )
-    used = attribution.used_records(T.samples(spark, sf)).select("route_id", "source_key", F.size("edge_ids").cast("long").alias("n_edges"))
-    return found.join(used, ["route_id", "source_key"])
-
-
-@query(f"""WITH {T.SAMPLES}, n AS (SELECT route_id, count(*) AS n FROM ts GROUP BY 1), k AS (SELECT DISTINCT route_id, CASE WHEN n <= 6 THEN i ELSE CAST(round_even(i * (n - 1) / 5e0, 0) AS BIGINT) END AS sample_index FROM n, range(0, 6) t(i) WHERE n > 6 OR i < n)
-SELECT route_id, sample_index, round(lat, 7) AS lat FROM ts JOIN k USING (route_id, sample_index)""")
+    """Bounds, elevations, edges and shares by source and feature."""
+    used = attribution.used_records(T.samples(spark, sf))
+    z = {"min_z": "min_smooth_m", "max_z": "max_smooth_m", "start_z": "start_smooth_m", "end_z": "end_smooth_m"}
+    return used.select("route_id", "source_key", "feature_id", "min_lat", "max_lat", *[F.col(c).alias(k) for k, c in z.items()], F.size("edge_ids").cast("long").alias("n_edges"), "distance_m", "share_pct")
+
+
+@query(f"""WITH {RECORDS}, p AS (SELECT *, row_number() OVER (PARTITION BY route_id, source_primary ORDER BY i) - 1 AS place, count(*) OVER (PARTITION BY route_id, source_primary) AS n FROM e)
+SELECT route_id, source_primary AS source_key, i AS sample_index, round_even(lat, 7) AS lat, round_even(z, 7) AS z FROM p WHERE n <= 6 OR place IN (SELECT CAST(round_even(t.i * (n - 1) / 5e0, 0) AS BIGINT) FROM range(0, 6) t(i))""")
 def q_sample_points(spark, sf):
-    """Six points that stand for a route."""
-    s = T.samples(spark, sf).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("sample_index", "lat"))).alias("p"))
-    return s.select("route_id", F.explode(attribution.representative(F.col("p"))).alias("x")).select("route_id", "x.sample_index", F.round("x.lat", 7).alias("lat"))
+    """Six points that stand for each source's part of a route."""
+    used = attribution.used_records(T.samples(spark, sf)).select("route_id", "source_key", F.explode("points").alias("p"))
+    return used.select("route_id", "source_key", "p.sample_index", "p.lat", F.col("p.elevation_smooth_m").alias("z"))
 
 
 def sql_area() -> str:
@@ -504,12 +504,19 @@ def q_qa_checks(spark, sf):
     return reduce(DataFrame.union, [qa.repeated_edges(r), qa.budget(r), qa.plausible(s, 0, 100), qa.fallbacks(graph.directed_edges(e))])
 
 
-@query("SELECT 'viz/routes/' || o_orderkey || '.html' AS path FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS k, unnest(list_concat(list_transform({sql_list(qa.ROUTE_FILES)}, lambda s: 'routes/' || o_orderkey || s), ['viz/assets/route_samples/' || o_orderkey || '.json', 'viz/routes/' || o_orderkey || '.html'])) AS path FROM orders)
+SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE path = CASE WHEN l_linenumber % 2 = 0 THEN 'routes/' || l_orderkey || '.gpx' ELSE 'viz/routes/' || l_orderkey || '.html' END)
+UNION ALL SELECT unnest({sql_list(qa.GLOBAL_FILES)})""")
 def q_route_artifacts(spark, sf):
-    """Expected files that are missing."""
-    expected = read_table(spark, sf, "orders").select(F.concat(F.lit("viz/routes/"), F.col("o_orderkey").cast("string"), F.lit(".html")).alias("path"))
-    present = read_table(spark, sf, "lineitem").select(F.concat(F.lit("viz/routes/"), F.col("l_orderkey").cast("string"), F.lit(".html")).alias("path"))
-    return expected.join(present, "path", "left_anti")
+    """Expected files of every order that are missing."""
+    routes_of = read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("route_id"))
+    key = F.col("l_orderkey").cast("string")
+    present = read_table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("routes/"), key, F.lit(".gpx"))).otherwise(F.concat(F.lit("viz/routes/"), key, F.lit(".html"))).alias("path"))
+    return qa.missing_files(routes_of, present.distinct())
 
 
 # -- geometry ---------------------------------------------------------------------

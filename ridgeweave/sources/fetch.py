@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -23,31 +25,52 @@ def open_url(url: str, timeout: float):
     return urllib.request.urlopen(url, timeout=timeout)  # noqa: S310
 
 
-def wait_after(header: str | None, attempt: int) -> float:
-    """Seconds to wait when asked to slow down: what the header says, else doubling up to a minute."""
+#: Longest pauses in seconds, by why there is nothing yet.
+PAUSES = {"busy": 60, "pending": 10}
+
+
+@dataclass
+class Reply:
+    """What the server says about a dataset: ``kind`` is there, gone, busy or pending."""
+
+    kind: str
+    text: str = ""
+    asked_pause: str | None = None
+
+
+def ask(dataset: str, timeout: float, opener: Opener) -> Reply:
     try:
-        return max(0.0, float(header)) if header is not None else float(min(2**attempt, 60))
-    except ValueError:
-        return float(min(2**attempt, 60))
+        with opener(POLL.format(dataset), timeout) as answer:
+            body = json.load(answer)
+    except urllib.error.HTTPError as e:
+        if e.code == 429:
+            return Reply("busy", asked_pause=e.headers.get("Retry-After"))
+        raise
+    data = body.get("data", {})
+    state = str(data.get("status", "")).lower()
+    for address in (data.get("url"), data.get("downloadUrl") if state in READY else None):
+        if address:
+            return Reply("there", str(address))
+    return Reply("gone" if state in FAILED else "pending", json.dumps(body))
+
+
+def pause(reply: Reply, turn: int) -> float:
+    """Seconds before the next turn: as long as the server asks, else doubling up to the longest for its reason."""
+    with contextlib.suppress(TypeError, ValueError):
+        return max(0.0, float(reply.asked_pause))
+    return float(min(1 << turn, PAUSES[reply.kind]))
 
 
 def poll_url(dataset: str, timeout: float = 30, tries: int = 20, opener: Opener = open_url, sleep: Callable[[float], None] = time.sleep) -> str:
     """The download address of a dataset, once there is one."""
-    for attempt in range(tries):
-        try:
-            with opener(POLL.format(dataset), timeout) as answer:
-                data = (body := json.load(answer)).get("data", {})
-        except urllib.error.HTTPError as e:
-            if e.code != 429:
-                raise
-            sleep(wait_after(e.headers.get("Retry-After"), attempt))
-            continue
-        status = str(data.get("status", "")).lower()
-        if address := data.get("url") or (status in READY and data.get("downloadUrl")):
-            return str(address)
-        if status in FAILED:
-            raise RuntimeError(f"download of {dataset} failed: {body}")
-        sleep(min(2**attempt, 10))
+    for turn in range(tries):
+        reply = ask(dataset, timeout, opener)
+        if reply.kind in PAUSES:
+            sleep(pause(reply, turn))
+        elif reply.kind == "there":
+            return reply.text
+        else:
+            raise RuntimeError(f"download of {dataset} failed: {reply.text}")
     raise TimeoutError(f"no download address for {dataset}")
 
 

@@ -320,7 +320,8 @@ def test_downloads_wait_cache_and_hide_addresses(tmp_path):
     assert not any("d1" in u for u in asked)
     side = (s.data_dir / "raw" / "data_gov" / "national_map_line.json").read_text()
     assert "secret" not in side and json.loads(side)["path"] == "data/raw/data_gov/national_map_line.geojson"
-    assert (fetch.wait_after(None, 3), fetch.wait_after("x", 9), fetch.wait_after("-1", 0)) == (8.0, 60.0, 0.0)
+    busy = lambda asked: fetch.Reply("busy", asked_pause=asked)
+    assert (fetch.pause(busy(None), 3), fetch.pause(busy("x"), 9), fetch.pause(busy("-1"), 0), fetch.pause(fetch.Reply("pending"), 9)) == (8.0, 60.0, 0.0, 10.0)
 
 
 def test_lines_of_features_are_numbered_on_along_the_files(spark, tmp_path):
