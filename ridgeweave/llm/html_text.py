@@ -12,9 +12,10 @@ the containers that enclose it. Three steps choose the article.
 - The text-to-tag ratio of what is left is smoothed with a Gaussian by line;
   lines above a threshold form the content clusters.
 - From the root the walk goes down while one container holds nearly all of the
-  clustered text, but never into a list, table, quote or section. All lines
-  there are the article; where the walk ends at the body, the lines from the
-  first cluster to the last and the prose that adjoins them.
+  clustered text and no prose stands beside it, but never into a list, table,
+  quote or section. All lines there are the article; where the walk ends at the
+  body, or above prose in several parts, the lines from the first cluster to
+  the last and the prose that adjoins them.
 
 Defined results: a null or empty html, or a page without content, gives an
 empty text; malformed and truncated markup is read as far as it goes; null ids
@@ -52,8 +53,18 @@ MARK = (
 )
 MENTIONED = re.compile(r"(?:^|[\s_-])" + MARK, re.I)
 NAMED = re.compile(r"(?:^|\s)" + MARK, re.I)
+#: The same as the whole of a name: a paragraph or heading so named goes, while ``related-work`` stays.
+EXACT = re.compile(r"(?:^|\s)" + MARK.replace("[\\s_-]", "\\s"), re.I)
+#: Names of readers' comments and of notices, wholly or as what a name ends with; ``has-comments`` says something else.
+CONCLUSIVE = re.compile(
+    r"(?:^|\s)(?!(?:has|with|no|show|hide|without|enable)[_-])(?:(?:[a-z0-9]+[_-])*(?:comments?|commentlist|discussions?|reply|replies|respond|disqus)(?:[_-](?:list|area|section|wrapper|container|thread|block|box|form))?"
+    r"|(?:[a-z0-9]+[_-])*(?:cookies?|consent|gdpr|newsletter|paywall)[_-](?:notice|banner|bar|popup|modal|overlay|message|box|dialog|wall|law|signup|form))(?:$|\s)",
+    re.I,
+)
 #: Shares of the page's text from which a container stays, whatever mentions or names it.
 STAYS = {1: 0.5, 2: 0.9}
+#: Doubt of a container that goes wherever there is prose outside of such.
+OUT = 2.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIGMA = 1.0
 #: Lines are content from this share of the smoothed ratios' deviation on.
@@ -63,6 +74,10 @@ MOST = 0.85
 ENTERED = frozenset("article body center div form html main td".split())
 
 
+#: Characters of a line of prose at least, and what it ends with.
+PROSE, ENDS = 20, ".!?:;…\"'”’»)。！？"
+
+
 @dataclass
 class Line:
     """A block's text, its characters in links, its tags, the numbers of the containers around it, and whether it is a main heading."""
@@ -77,15 +92,20 @@ class Line:
     def own(self) -> int:
         return max(0, len(self.text) - self.link)
 
+    @property
+    def prose(self) -> bool:
+        """Whether it reads like a sentence of its own."""
+        return self.own >= PROSE and 2 * self.own > len(self.text) and self.text[-1] in ENDS
+
 
-def doubt(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
-    """What speaks against an element: 0 nothing, 1 a mention, 2 a name, 3 it is never part of an article."""
+def doubt(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
+    """What speaks against an element: 0 nothing, 1 a mention, 2 a name, 2.5 the name of comments or a notice, 3 it is never part of an article."""
     found = 3 if tag in UNSEEN else 2 if tag in APART or tag == "header" and not in_article else 0
     if tag in ("html", "body", "article", "main"):
         return 0
     for name, value in attrs:
         if name in ("class", "id") and value:
-            found = max(found, 2 if NAMED.search(value) else 1 if MENTIONED.search(value) else 0)
+            found = max(found, OUT if CONCLUSIVE.search(value) else 2 if NAMED.search(value) else 1 if MENTIONED.search(value) else 0)
         elif name == "role":
             found = max(found, 2 if (value or "").lower() in ROLES else 0)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
@@ -105,7 +125,7 @@ class Blocks(HTMLParser):
         self.heading = False
         #: Open containers: tag, number, and whether their text is never seen.
         self.open: list[tuple[str, int, bool]] = []
-        self.made: list[tuple[str, int]] = []
+        self.made: list[tuple[str, float]] = []
         self.skip_line = False
         self.unread = 0
 
@@ -134,7 +154,7 @@ class Blocks(HTMLParser):
             against = doubt(tag, attrs, any(x[0] in ("article", "main") for x in self.open))
             self.open.append((tag, len(self.made), against == 3 or bool(self.open) and self.open[-1][2]))
             self.made.append((tag, against))
-        elif line and attrs and doubt(tag, attrs, True) >= 2:
+        elif line and attrs and (doubt(tag, attrs, True) == 3 or any(n in ("class", "id") and v and EXACT.search(v) for n, v in attrs)):
             self.skip_line = True
 
     def handle_endtag(self, tag: str) -> None:
@@ -160,18 +180,25 @@ class Blocks(HTMLParser):
             self.link += len(data)
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""
         super().close()
         self.end_line()
 
 
-def believed(lines: list[Line], made: list[tuple[str, int]]) -> list[Line]:
-    """Lines outside the containers whose doubt their share of the text confirms."""
+def believed(lines: list[Line], made: list[tuple[str, float]]) -> list[Line]:
+    """Lines outside the containers whose doubt the text confirms."""
+    sure = {k for k, (_, against) in enumerate(made) if against == OUT}
+    doubted = {k for k, (_, against) in enumerate(made) if against >= 1}
+    articles = {k for k, (tag, _) in enumerate(made) if tag in ("article", "main")}
+    if sure and any(x.prose or x.own and articles.intersection(x.path) for x in lines if not doubted.intersection(x.path)):
+        lines = [x for x in lines if not sure.intersection(x.path)]
     mass = [0] * len(made)
     for x in lines:
         for k in x.path:
             mass[k] += x.own
     whole = sum(x.own for x in lines)
-    gone = {k for k, (_, against) in enumerate(made) if against in STAYS and mass[k] < STAYS[against] * whole}
+    gone = {k for k, (_, against) in enumerate(made) if 1 <= against < 3 and mass[k] < STAYS[int(against)] * whole}
     return [x for x in lines if not gone.intersection(x.path)] if gone else lines
 
 
@@ -183,7 +210,7 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def choose(lines: list[Line], made: list[tuple[str, int]]) -> list[str]:
+def choose(lines: list[Line], made: list[tuple[str, float]]) -> list[str]:
     """Texts of the article's lines."""
     lines = believed(lines, made)
     if not lines:
@@ -198,16 +225,19 @@ def choose(lines: list[Line], made: list[tuple[str, int]]) -> list[str]:
             for above, k in zip((-1, *x.path), x.path):
                 mass[k] = mass.get(k, 0.0) + text
                 parent[k] = above
-    at, rest = -1, float(own[content].sum())
+    at, rest, several = -1, float(own[content].sum()), False
     while inside := [k for k in mass if parent[k] == at]:
         best = max(inside, key=lambda k: mass[k])
         if mass[best] < MOST * rest or made[best][0] not in ENTERED or at >= 0 and made[at][0] in ("article", "main") and made[best][0] != "article":
             break
+        if made[best][0] not in ("html", "body", "article", "main") and any(x.prose and best not in x.path and (at < 0 or at in x.path) for x in lines):
+            several = True
+            break
         at, rest = best, mass[best]
-    if at < 0 or made[at][0] in ("html", "body"):
-        where = np.flatnonzero(content)
+    if at < 0 or several or made[at][0] in ("html", "body"):
+        where = np.flatnonzero(content & np.array([at < 0 or at in x.path for x in lines]))
         first, last = int(where[0]), int(where[-1])
-        prose = lambda x: x.heading or 2 * x.own > len(x.text)
+        prose = lambda x: (at < 0 or at in x.path) and (x.heading or 2 * x.own > len(x.text))
         while first and prose(lines[first - 1]):
             first -= 1
         while last + 1 < len(lines) and prose(lines[last + 1]):

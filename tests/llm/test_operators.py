@@ -653,6 +653,36 @@ def test_names_alone_hide_no_article(before, after):
     assert html_text.main_text(f"<html><body>{before}{BODY}{after}</body></html>") == "\n".join(p.strip() for p in PARAGRAPHS)
 
 
+TEXT = "\n".join(p.strip() for p in PARAGRAPHS)
+
+
+def replies(n, tag="div", name="comment"):
+    return "".join(f'<{tag} class="{name}"><b>Ann {k}</b><p>I liked this article very much, reply {k}, thank you for it, really it was so nice.</p></{tag}>' for k in range(n))
+
+
+@pytest.mark.parametrize("n", [3, 12, 120])
+@pytest.mark.parametrize("layout", ['<article>{0}<div class="post-comments">{1}</div></article>', '<article>{0}</article><div class="entry-comments">{1}</div>', '<article>{0}</article><section id="comments">{1}</section>', '<main>{0}<div class="discussion">{1}</div></main>', "<main>{0}<div class=x7>{1}</div></main>", '<div class="post has-comments">{0}</div><ol class="comment-list">{1}</ol>'])
+def test_readers_comments_go_however_many(layout, n):
+    """From a few to more than nine tenths of the page's text."""
+    assert html_text.main_text(f"<html><body>{layout.format(BODY, replies(n))}</body></html>") == TEXT
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f'<article><p>One line article.</p></article><div class="cookie-notice">{"We use cookies to make this site better for you. " * 9}</div>', "One line article."),
+        (f'<article><h1>T</h1><h2 class="related-work">Related work</h2>{BODY}<p class="notice-period">The notice period is one month.</p><p class="search-results">Results are shown.</p><p class="share">Share</p></article>', f"T\nRelated work\n{TEXT}\nThe notice period is one month.\nResults are shown."),
+        (f"<div class=post><div><p>The lead of the article stands first.</p></div><div>{BODY}</div><div><p>And this is the last paragraph.</p></div></div>", f"The lead of the article stands first.\n{TEXT}\nAnd this is the last paragraph."),
+        (f"<div id=page><div>An intro to the whole text is here.</div><div>{BODY}</div><p>A closing paragraph ends it.</p></div>", f"An intro to the whole text is here.\n{TEXT}\nA closing paragraph ends it."),
+        (f"<article>{BODY}</article><!-- unclosed <p>More words here to see.", TEXT),
+        (f'<div class="comments">{BODY}</div>', TEXT),
+        ("<main>" + "".join(f'<div class="post"><p>Text of post {k} stands here and is long enough.</p></div>' for k in range(8)) + "</main>", "\n".join(f"Text of post {k} stands here and is long enough." for k in range(8))),
+    ],
+)
+def test_nothing_else_is_lost(html, text):
+    assert html_text.main_text(f"<html><body><nav><a>x</a></nav>{html}") == text
+
+
 def test_marked_pages_are_recalled():
     """Made-up pages whose article is known: nearly all of its words are found, and nearly nothing else."""
     r = random.Random(8)
