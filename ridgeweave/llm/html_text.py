@@ -189,7 +189,7 @@ class Blocks(HTMLParser):
 def believed(lines: list[Line], made: list[tuple[str, float]]) -> list[Line]:
     """Lines outside the containers whose doubt the text confirms."""
     sure = {k for k, (_, against) in enumerate(made) if against == OUT}
-    doubted = {k for k, (_, against) in enumerate(made) if against >= 1}
+    doubted = {k for k, (_, against) in enumerate(made) if against >= 2}
     articles = {k for k, (tag, _) in enumerate(made) if tag in ("article", "main")}
     if sure and any(x.prose or x.own and articles.intersection(x.path) for x in lines if not doubted.intersection(x.path)):
         lines = [x for x in lines if not sure.intersection(x.path)]
