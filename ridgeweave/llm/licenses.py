@@ -1,10 +1,12 @@
 r"""Licence scans by sentence rules, in DataFrame functions only.
 
 A text is cut at sentence ends, blank lines and around title lines; a single
-line feed is white space, as licence texts are wrapped. Each sentence is
-normalised to lower-case letters, digits and single blanks. Known licence
-sentences are found anywhere in it, unless "not" stands before them; titles
-have to be the whole of it.
+line feed is white space, as licence texts are wrapped. Texts and sentences
+without any of the words that known sentences share are passed over. Each other
+sentence is normalised to lower-case letters, digits and single blanks, and
+looked up in the map of known sentences. Where it is none of them as a whole,
+known sentences are found anywhere in it, unless "not" stands before them;
+titles have to be the whole of it.
 The known identifiers, in the text's order, are then matched against ordered
 rules: at each place the first rule wins whose identifiers follow one another
 there, and the scan goes on behind it. Longer rules stand before the shorter
@@ -14,7 +16,9 @@ Known sentences and rules are literals of fixed number, so no row is shuffled.
 
 Defined results: a null or empty text has no sentences and no licences; null
 ids and repeated rows are kept as they are; an empty table gives no rows;
-further columns pass through ``scan``.
+further columns pass through ``scan``. Texts of any length are read whole. Of
+known sentences that begin at one place the longest counts, and of rules that
+fit there the first.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from ridgeweave.llm import text as T
 P = "__license_"
 _TITLE = r"(?:[Tt][Hh][Ee] )?[Mm][Ii][Tt] [Ll][Ii][Cc][Ee][Nn][Ss][Ee](?: \([Mm][Ii][Tt]\))?"
 _BLANK = r"[\x20\x09\x0D]"
-SENTENCE_END = rf"[.;:!?]+[\x20\x09-\x0D]+|\n{_BLANK}*\n|\n(?={_BLANK}*{_TITLE}{_BLANK}*(?:\n|$))|(?<={_TITLE}){_BLANK}*\n"
+SENTENCE_END = rf"(?<![Ii]dentifier)(?<![\x20\x09-\x0D][Vv])[.;:!?]+[\x20\x09-\x0D]+|\n{_BLANK}*\n|\n(?={_BLANK}*{_TITLE}{_BLANK}*(?:\n|$))|(?<={_TITLE}){_BLANK}*\n"
 
 #: Sentences of public licences and notices, normalised, by identifier.
 SENTENCES = {
@@ -64,8 +68,36 @@ SENTENCES = {
     "cc0-title": "this work is dedicated to the public domain under cc0 1 0",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "all rights reserved",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "v2-or-later": "either version 2 of the license or at your option any later version",
+    "v21-or-later": "either version 2 1 of the license or at your option any later version",
+    "v3-or-later": "either version 3 of the license or at your option any later version",
+    "gpl2-head": "gnu general public license version 2 june 1991",
+    "gpl3-head": "gnu general public license version 3 29 june 2007",
+    "lgpl21-head": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3-head": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-head": "gnu affero general public license version 3 19 november 2007",
+    "apache-head": "apache license version 2 0 january 2004",
+    "mpl-head": "mozilla public license version 2 0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "bsl-grant": "boost software license version 1 0",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
+#: Identifiers that stand behind "SPDX-License-Identifier:".
+SPDX = (
+    "MIT ISC 0BSD Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later"
+    " LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 Unlicense Zlib"
+).split()
+SENTENCES |= {f"spdx-{x}": "spdx license identifier " + " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) for x in SPDX}
+#: Each known sentence has one of these in some word.
+WORDS = ("licens", "permi", "redistribut", "copyright", "warrant", "reserved", "software", "either", "domain")
+
 #: Titles, which count as whole sentences only.
 TITLES = {"the mit license": "mit-title", "the mit license mit": "mit-title", "mit license": "mit-title", "mit license mit": "mit-title"}
 
@@ -99,6 +131,27 @@ RULES = (
     ("CC0-1.0", ("cc0-title",)),
     ("MPL-2.0", ("mpl-form",)),
     ("all-rights-reserved", ("reserved",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-redistribute", "v2-or-later")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "v2-or-later")),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "v3-or-later")),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute", "v21-or-later")),
+    ("LGPL-3.0-or-later", ("lgpl-redistribute", "v3-or-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-redistribute", "v3-or-later")),
+    ("AGPL-3.0-or-later", ("agpl-redistribute", "v3-or-later")),
+    ("GPL-2.0", ("gpl2-head",)),
+    ("GPL-3.0", ("gpl3-head",)),
+    ("LGPL-2.1", ("lgpl21-head",)),
+    ("LGPL-3.0", ("lgpl3-head",)),
+    ("AGPL-3.0", ("agpl3-head",)),
+    ("Apache-2.0", ("apache-head",)),
+    ("MPL-2.0", ("mpl-head",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    *((x, (f"spdx-{x}",)) for x in SPDX),
 )
 
 
@@ -108,18 +161,24 @@ def normal(sentence: Column) -> Column:
     return F.regexp_replace(plain, r"^(?:[0-9]{1,2} |[a-z] )(?=redistributions |neither )", "")
 
 
+def worth_reading(text: Column) -> Column:
+    """Whether a text of lower-case letters has one of the words that known sentences share."""
+    return text.rlike("|".join(WORDS))
+
+
 def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """(at, id) of the known sentences of a text, in order."""
     inside = sorted((x for x in sentences.values() if x not in TITLES), key=len, reverse=True)
     pattern = rf"(?<![a-z0-9])(?<!\bnot )(?:{'|'.join(inside)})(?![a-z0-9])"
     ids = F.create_map(*chain.from_iterable((F.lit(s), F.lit(k)) for s, k in ({s: k for k, s in sentences.items()} | TITLES).items()))
-    titles = F.array(*map(F.lit, TITLES))
 
-    def found(x: Column, i: Column) -> Column:
-        which = T.let(normal(x), lambda s: F.when(F.array_contains(titles, s), F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(pattern), F.lit(0))))
-        return F.transform(which, lambda s: F.struct(i.alias("at"), F.try_element_at(ids, s).alias("id")))
+    def within(s: Column, i: Column) -> Column:
+        at = lambda k: F.struct(i.alias("at"), k.alias("id"))
+        whole = F.try_element_at(ids, s)
+        return T.let(whole, lambda k: F.when(k.isNotNull(), F.array(at(k))).when(worth_reading(s), F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda x: at(F.try_element_at(ids, x)))).otherwise(F.array().cast("array<struct<at:int,id:string>>")))
 
-    return F.flatten(F.transform(F.split(text, SENTENCE_END), found))
+    found = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda x, i: T.let(normal(x), lambda s: within(s, i))))
+    return F.when(worth_reading(T.lower_ascii(text)), found).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
 
 
 def match_rules(ids: Column, rules: tuple = RULES) -> Column:

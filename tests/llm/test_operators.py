@@ -801,6 +801,68 @@ def test_wrapped_licences_and_notices_in_sentences(spark, text, found):
     assert licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("// SPDX-License-Identifier: MIT\n#include <a.h>", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS.", ["ISC"]),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["AGPL-3.0-or-later"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2.0-or-later"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", ["GPL-3.0"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n", ["Apache-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not given, ask.", ["MPL-2.0"]),
+        ("Software without a licence sentence of its own, and its permissions.", []),
+    ],
+)
+def test_more_licences(spark, text, found):
+    df = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert list(df.first()[licenses.P + "found"]) == found
+
+
+def plainly_scanned(text):
+    """Known sentences and licences by loops over all of them at every place."""
+    table = {s: k for k, s in licenses.SENTENCES.items()} | licenses.TITLES
+    known = []
+    for i, part in enumerate(regex.split(licenses.SENTENCE_END, text)):
+        s = re.sub("[^a-z0-9]+", " ", low(part)).strip(" ")
+        s = re.sub(r"^(?:[0-9]{1,2} |[a-z] )(?=redistributions |neither )", "", s)
+        if s in table:
+            known.append((i, table[s]))
+            continue
+        words, k = s.split(" "), 0
+        while k < len(words):
+            fits = [x for x in licenses.SENTENCES.values() if x not in licenses.TITLES and words[k : k + len(x.split())] == x.split() and (k == 0 or words[k - 1] != "not")]
+            if fits:
+                best = max(fits, key=len)
+                known.append((i, table[best]))
+                k += len(best.split())
+            else:
+                k += 1
+    ids, found, k = [x for _, x in known], [], 0
+    while k < len(ids):
+        rule = next(((name, seq) for name, seq in licenses.RULES if tuple(ids[k : k + len(seq)]) == seq), None)
+        if rule:
+            found.append(rule[0])
+        k += len(rule[1]) if rule else 1
+    return known, found
+
+
+def test_licences_are_those_of_plain_loops(spark):
+    r = random.Random(10)
+    pieces = [*licenses.SENTENCES.values(), *licenses.TITLES, "not", "some other words", "2", "a"]
+    rows = [(k, "".join(r.choice([str.upper, str.title, str])(r.choice(pieces)) + r.choice([". ", " ", "\n", "\n\n", "; ", ", ", "!\n"]) for _ in range(r.randint(0, 9)))) for k in range(250)] + [(999, "word " * 50_000 + licenses.SENTENCES["mit-notice"])]
+    for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        known, found = plainly_scanned(x["text"])
+        assert ([(v["at"], v["id"]) for v in x[licenses.P + "known"]], list(x[licenses.P + "found"])) == (known, found)
+
+
+def test_every_known_sentence_has_a_word_that_opens_texts():
+    assert all(any(w in s for w in licenses.WORDS) for s in [*licenses.SENTENCES.values(), *licenses.TITLES])
+
+
 def test_licences_of_odd_rows(docs):
     assert licenses.report(docs).count() == len(texts())
     assert json.dumps(licenses.RULES)
