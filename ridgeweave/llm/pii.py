@@ -5,9 +5,11 @@ a span are its lexical patterns: two or one before it, one on either side, and
 two behind it. A line's start, a text's end and another match stand for a word,
 so a list's second entry has a pattern too. Patterns and instances, base or
 identifier-like, form a graph. In each round a pattern is induced for a kind
-once enough different trusted instances stand in it, and its confidence is the
-share of its instances that belong to the kind, by their scores so far. An
-instance's score is the noisy-or of the confidences of its trusted patterns,
+once enough different trusted instances stand in it and they are half of all
+that it holds; its confidence is the kind's share of what is known of its
+instances, by their scores so far, as one that nothing is known of speaks
+neither for nor against it. Where base spans overlap, the longest is the
+place's seed. An instance's score is the noisy-or of the confidences of its trusted patterns,
 and a trusted instance induces patterns in the next round. Instances of
 trusted patterns become spans of that kind, where their shape allows it. Base
 spans always stay.
@@ -28,6 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeweave.llm import text as T
@@ -44,7 +47,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![0-9A-Za-z(])\(?[0-9][0-9().\x20/-]{4,}[0-9](?![0-9A-Za-z])",
-    "spelled": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{{2,}}+",
+    "spelled": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{{2,}}+| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]{{2,}}+)++)",
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 
@@ -115,7 +118,7 @@ def spans(text: Column, kind: str) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
 
-    may = {"email": text.contains("@"), "phone": text.contains("+"), "spelled": text.rlike(r"[(\[]at[)\]]")}.get(kind, text.rlike("[0-9]"))
+    may = {"email": text.contains("@"), "phone": text.contains("+"), "spelled": text.rlike(r"[(\[]at[)\]]") | (text.contains(" at ") & text.contains(" dot "))}.get(kind, text.rlike("[0-9]"))
     matches = T.let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, T.let(F.split(text, PATTERNS[kind], -1), lambda g: walk(m, g))).otherwise(empty))
     return F.when(may, matches).otherwise(empty)
 
@@ -136,11 +139,12 @@ def located(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """``rounds`` of scoring; a pattern counts from ``support`` different trusted instances, patterns and instances are trusted from ``confidence`` on."""
+    """``rounds`` of scoring; a pattern counts from ``support`` different trusted instances and from a share ``known`` of its instances, patterns and instances are trusted from ``confidence`` on."""
 
     rounds: int = 3
     support: int = 5
     confidence: float = 0.8
+    known: float = 0.5
 
 
 def fits(kind: Column, value: Column) -> Column:
@@ -156,7 +160,9 @@ def discover(found: DataFrame, scratch: Scratch, how: Bootstrap = Bootstrap()) -
     share costs one row for each task. A pattern with fewer instances than
     ``support`` can't be induced in any round and goes before the first one.
     """
-    seeds = found.select(F.explode(P + "base").alias("x")).select(F.col("x.kind").alias("kind"), F.lower("x.value").alias("value"), "x.contexts")
+    longer = lambda b, o: (o["s"] < b["e"]) & (b["s"] < o["e"]) & (F.struct(o["e"] - o["s"], -o["kind"]) > F.struct(b["e"] - b["s"], -b["kind"]))
+    places = F.filter(P + "base", lambda b: ~F.exists(P + "base", lambda o: longer(b, o)))
+    seeds = found.select(F.explode(places).alias("x")).select(F.col("x.kind").alias("kind"), F.lower("x.value").alias("value"), "x.contexts")
     spots = found.select(P + "row", F.explode(P + "candidates").alias("x")).select(P + "row", "x.s", "x.e", F.lower("x.value").alias("value"), F.explode("x.contexts").alias("pattern"))
     spots = scratch.keep(spots, "spots")
     known = scratch.keep(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)), "known")
@@ -167,7 +173,9 @@ def discover(found: DataFrame, scratch: Scratch, how: Bootstrap = Bootstrap()) -
     scores = known
     for k in range(how.rounds):
         mass = edges.join(scores, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= how.confidence).alias("trusted"), F.max("n").alias("n"))
-        patterns = mass.filter(F.col("trusted") >= how.support).select("kind", "pattern", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= how.confidence)
+        share = F.col("mass") / (F.sum("mass").over(W.partitionBy("pattern")) + 1)
+        enough = (F.col("trusted") >= how.support) & (F.col("mass") >= how.known * F.col("n"))
+        patterns = mass.withColumn("confidence", share).filter(enough & (F.col("confidence") >= how.confidence)).select("kind", "pattern", "confidence")
         patterns = scratch.keep(patterns, f"patterns{k}")
         if k + 1 < how.rounds:
             guessed = edges.filter(~F.col("seed")).join(patterns, "pattern").filter(fits(F.col("kind"), F.col("value")))

@@ -370,7 +370,8 @@ def bootstrapped(rows, how):
     for i, t in rows:
         base[i] = {(s, k, e) for k, kind in enumerate(BASE) for s, e, *_ in places(t, *BASE[kind])}
         free = [p for kind in LIKE for p in places(t, *LIKE[kind]) if not any(s < p[1] and p[0] < e for s, _, e in base[i])]
-        fixed = [(k, p) for k, kind in enumerate(BASE) for p in places(t, *BASE[kind])]
+        every = [(k, p) for k, kind in enumerate(BASE) for p in places(t, *BASE[kind])]
+        fixed = [(k, p) for k, p in every if not any(o[0] < p[1] and p[0] < o[1] and (o[1] - o[0], -j) > (p[1] - p[0], -k) for j, o in every)]
         seeds |= {(k, p[2]) for k, p in fixed}
         spots += [(i, p) for p in free]
         for _, _, value, patterns in [p for _, p in fixed] + free:
@@ -381,10 +382,11 @@ def bootstrapped(rows, how):
     for _ in range(how.rounds):
         trusted = {}
         for c, values in about.items():
+            total = sum(score.get((k, v), 0.0) for k in range(4) for v in values)
             for k in range(4):
                 have = [score.get((k, v), 0.0) for v in values]
-                if sum(x >= how.confidence for x in have) >= how.support and sum(have) / (len(values) + 1) >= how.confidence:
-                    trusted[k, c] = sum(have) / (len(values) + 1)
+                if sum(x >= how.confidence for x in have) >= how.support and sum(have) >= how.known * len(values) and sum(have) / (total + 1) >= how.confidence:
+                    trusted[k, c] = sum(have) / (total + 1)
         miss = collections.defaultdict(lambda: 1.0)
         for (k, c), x in trusted.items():
             for v in about[c] - seeded:
@@ -435,6 +437,21 @@ def test_trusted_instances_induce_patterns(spark):
     assert once[201] == more[201] == []
 
 
+@pytest.mark.parametrize("unseen", [7, 14, 25])
+def test_unseen_numbers_in_trusted_words_are_found(spark, unseen):
+    """From a tenth to nearly a third of all numbers in the words have no sign of their own."""
+    r = random.Random(unseen)
+    digits = lambda: f"7{r.randint(100, 999)} {r.randint(1000, 9999)}"
+    call = "Please call me on phone number {} any time today"
+    rows = [(k, call.format(f"+44 20 {digits()}")) for k in range(60)] + [(100 + k, call.format(f"020 {digits()}")) for k in range(unseen)]
+    rows += [(300 + k, f"write to me at {letters(r, 5)}@{letters(r, 4)}.org please") for k in range(20)] + [(400, "write to me at jdoe at example dot com please")]
+    clean = [(500 + k, f"The order of {r.randint(1000, 9999)} {r.randint(1000, 9999)} pieces came in {letters(r, 5)} at noon dot and was number {r.randint(10**7, 10**8)} in all") for k in range(200)]
+    out = {x.doc_id: x.spans for x in pii.report(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert all(out[100 + k] == f"phone:{(at := call.index('{'))}:{at + 13}" for k in range(unseen))
+    assert out[400] == "email:15:38"
+    assert all(out[i] == "" for i, _ in clean)
+
+
 def test_contexts_of_very_long_gaps(spark):
     rows = [(k, f"{'x ' * 30_000}{'q' * 30_000} +1 743 555 {1000 + k} {'z' * 30_000}") for k in range(12)] + [(9, f"{'q' * 30_000} 743 555 9999 end"), (10, "(" * 100_000 + "1 1" + "(" * 100_000)]
     got_ = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
