@@ -5,9 +5,11 @@ anchors are indexed: an anchor is a place whose ``K`` bytes hash lowest among
 all such places in some string of ``MATCH`` bytes. Equal strings choose equal
 places, so every match of ``MATCH`` bytes contains an anchor that both sides
 have, and about one byte in sixteen is one. As only equality counts, suffixes
-are ordered by the fingerprint of their first ``K`` bytes and then by 128 bits
-of fingerprint of their context: all bytes of the ``MATCH``-byte strings that
-contain the anchor.
+are ordered by the fingerprint of their first ``K`` bytes and then by two
+fingerprints of their context: all bytes of the ``MATCH``-byte strings that
+contain the anchor. Both have 64 bits and their own bases and byte values; the
+second also holds a sum modulo a prime, so no pair of texts makes both agree
+for the same reason.
 
 Each bucket of anchors keeps a logarithmic family of such arrays. A batch
 arrives sorted and is merge-scanned against levels that are no larger: where
@@ -65,17 +67,48 @@ def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, U)
 
 
-@lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and those of its inverse modulo 2^64."""
     out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n + 1, U(b))
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+#: An odd modulus whose remainders come from shifts, and the bases of the second print.
+PRIME, SECOND, THIRD = (1 << 31) - 1, 0xC2B2AE3D27D4EB4F, 1_220_703_125
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """A number of few more bits than PRIME with the remainder of ``x``, which is overwritten."""
+    for _ in range(2):
+        high = x >> U(31)
+        x &= U(PRIME)
+        x += high
+    return x
+
+
+def remainder(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME."""
+    x = folded(x)
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+@lru_cache(maxsize=1)
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of THIRD and of its inverse modulo PRIME, by doubling."""
+    out = []
+    for b in (THIRD, pow(THIRD, -1, PRIME)):
+        p = np.array([1], U)
+        while len(p) <= n:
+            p = np.concatenate((p, remainder(p * U(pow(b, len(p), PRIME)))))
+        out.append(p[: n + 1])
+    return out[0], out[1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(32))
     x *= U(0xD6E8FEB86659FD93)
@@ -91,9 +124,9 @@ def both_prints(key: np.ndarray, context: np.ndarray) -> np.ndarray:
 class Prints:
     """Fingerprints of any substrings of ``data``, from sums over its beginnings."""
 
-    def __init__(self, data: np.ndarray, seed: int = 5):
+    def __init__(self, data: np.ndarray, seed: int = 5, base: int = BASE):
         size = 1 << max(16, int(len(data)).bit_length())
-        power, self.inverse = powers(size)
+        power, self.inverse = powers(size, base)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(byte_values(seed)[data] * power[: len(data)], out=self.sums[1:])
 
@@ -105,6 +138,20 @@ class Prints:
         return mixed((self.sums[width:] - self.sums[:n]) * self.inverse[:n]) if n else np.empty(0, U)
 
 
+class Checks:
+    """Second fingerprints, which share nothing with the first: a sum with its own base and byte values, mixed with one modulo a prime."""
+
+    def __init__(self, data: np.ndarray):
+        self.whole = Prints(data, 6, SECOND)
+        power, self.inverse = prime_powers(1 << max(16, int(len(data)).bit_length()))
+        self.sums = np.zeros(len(data) + 1, U)
+        np.cumsum(folded((byte_values(7) & U(PRIME))[data] * power[: len(data)]), out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        odd = remainder(remainder(self.sums[end] - self.sums[start]) * self.inverse[start])
+        return mixed(self.whole.of(start, end) ^ mixed(odd + U(THIRD)))
+
+
 def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """Least or greatest of each ``width`` neighbours, by doubling."""
     have = 1
@@ -134,7 +181,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     place = np.flatnonzero((high == keys) & (keys > 0))
     own = np.searchsorted(ends, place, "right")
     left, right = np.maximum(starts[own], place - SIDE), np.minimum(ends[own], place + MATCH)
-    check = Prints(data, 6).of(left, right)
+    check = Checks(data).of(left, right)
     context = prints.of(left, right) + (place - left).astype(U) * U(0xA24BAED4963EE407)
     # chosen keys are low by nature; mixed once more, they spread evenly over the buckets
     return place, mixed(keys[place] ^ U(BASE)), context, check, left, right
@@ -442,7 +489,7 @@ def closer_task(buckets: int):
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         s = at[row] + k
-        return [Prints(body).of(s, s + MATCH), Prints(body, 6).of(s, s + MATCH), ids[row], h[row], start[row] + k]
+        return [Prints(body).of(s, s + MATCH), Checks(body).of(s, s + MATCH), ids[row], h[row], start[row] + k]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in by_bucket(batches):

@@ -187,6 +187,25 @@ def test_contexts_that_agree_in_part_differ(monkeypatch, same):
     assert {k for x in flags for k in x.column(1).to_pylist()} == {suffix_dedup.CLOSER}
 
 
+def test_the_second_prints_are_sums_modulo_a_prime():
+    """And where two letters change places, neither print follows from the other."""
+    data = np.frombuffer(b"abcabdxyzabcabdxyz" * 12, np.uint8)
+    check, first = suffix_dedup.Checks(data), suffix_dedup.Prints(data)
+    power = [pow(suffix_dedup.THIRD, k, suffix_dedup.PRIME) for k in range(250)]
+    value = [int(v) % (suffix_dedup.PRIME + 1) for v in suffix_dedup.byte_values(7)[data]]
+    at = np.arange(0, 100, 7)
+    odd = suffix_dedup.remainder(suffix_dedup.remainder(check.sums[at + 50] - check.sums[at]) * check.inverse[at])
+    assert odd.tolist() == [sum(value[i + k] * power[k] for k in range(50)) % suffix_dedup.PRIME for i in at.tolist()]
+    assert (check.of(at, at + 50) == check.of(at + 18, at + 68)).all() and (first.of(at, at + 50) == first.of(at + 18, at + 68)).all()
+    swapped = [np.frombuffer(bytes(x), np.uint8) for x in (b"ab" + b"q" * 60, b"ba" + b"q" * 60)]
+    ends = (np.array([0]), np.array([62]))
+    apart = lambda make: int(make(swapped[0]).sums[62]) - int(make(swapped[1]).sums[62])
+    second = lambda d: suffix_dedup.Prints(d, 6, suffix_dedup.SECOND)
+    values = [int(suffix_dedup.byte_values(s)[97]) - int(suffix_dedup.byte_values(s)[98]) for s in (5, 6)]
+    assert (apart(suffix_dedup.Prints) * values[1] - apart(second) * values[0]) % (1 << 64) != 0
+    assert suffix_dedup.Checks(swapped[0]).of(*ends) != suffix_dedup.Checks(swapped[1]).of(*ends)
+
+
 def test_differing_texts_of_one_document(spark):
     r = random.Random(13)
     x, z = sentence(r, 30), sentence(r, 40)
@@ -445,7 +464,7 @@ def test_unseen_numbers_in_trusted_words_are_found(spark, unseen):
     call = "Please call me on phone number {} any time today"
     rows = [(k, call.format(f"+44 20 {digits()}")) for k in range(60)] + [(100 + k, call.format(f"020 {digits()}")) for k in range(unseen)]
     rows += [(300 + k, f"write to me at {letters(r, 5)}@{letters(r, 4)}.org please") for k in range(20)] + [(400, "write to me at jdoe at example dot com please")]
-    clean = [(500 + k, f"The order of {r.randint(1000, 9999)} {r.randint(1000, 9999)} pieces came in {letters(r, 5)} at noon dot and was number {r.randint(10**7, 10**8)} in all") for k in range(200)]
+    clean = [(500 + k, f"The order of {r.randint(1000, 9999)} {r.randint(1000, 9999)} pieces came in {letters(r, 5)} at noon dot and was number {r.randint(10**7, 10**8)} in all") for k in range(250)]
     out = {x.doc_id: x.spans for x in pii.report(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
     assert all(out[100 + k] == f"phone:{(at := call.index('{'))}:{at + 13}" for k in range(unseen))
     assert out[400] == "email:15:38"
