@@ -21,6 +21,7 @@ from ridgeweave.sinks.png import profile
 from ridgeweave.sinks.writer import write_files, write_joined
 
 STALE = ("*.geojson", "*_edges.json", "*.gpx", "*_profile.png", "*_profile.svg", "*_samples.parquet", "routes.csv", "routes.json")
+COLLECTION = '{"type":"FeatureCollection","features":['
 ROUTE_DDL = (
     "route_id string, budget_km double, mode string, rank int, distance_m double, ascent_m double, descent_m double, gain_density_m_per_km double, source_confidence double,"
     " directed_edge_ids array<string>, undirected_edge_ids array<string>, node_ids array<string>, warnings array<string>"
@@ -133,4 +134,16 @@ def read_routes_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_collection(routes: DataFrame, lines: DataFrame, path: str | Path) -> None:
     """All routes as one GeoJSON collection, its features in the order of their identifiers."""
-    write_joined(features(routes, lines).orderBy("route_id").select(F.col("feature").alias("value")), path, '{"type":"FeatureCollection","features":[', ",\n", "]}\n")
+    write_joined(features(routes, lines).orderBy("route_id").select(F.col("feature").alias("value")), path, COLLECTION, ",\n", "]}\n")
+
+
+def write_layer(layer: DataFrame, path: str | Path) -> None:
+    """Lines in grid metres as one GeoJSON collection in degrees; all other columns are properties.
+
+    Features keep the order of ``path_ordinal`` where the layer has it.
+    """
+    properties = F.struct(*[c for c in layer.columns if c != "coords"])
+    geometry = F.struct(F.lit("LineString").alias("type"), in_degrees(F.col("coords")).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"})
+    rows = layer.orderBy("path_ordinal") if "path_ordinal" in layer.columns else layer
+    write_joined(rows.select(feature.alias("value")), path, COLLECTION, ",\n", "]}\n")

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeweave.operators import samples
-from ridgeweave.sinks import drawing, png, writer
+from ridgeweave.operators import paths, samples
+from ridgeweave.sinks import drawing, files, png, writer
+from ridgeweave.sources import geojson
 
 
 def test_files_appear_together_and_old_ones_go(spark, tmp_path):
@@ -39,6 +40,15 @@ def test_joined_texts_keep_the_order(spark, tmp_path, n):
     assert (tmp_path / "a" / "all.json").read_text() == f"[{','.join(map(str, reversed(range(n))))}]"
 
 
+def test_layers_come_back_from_their_collection(spark, tmp_path):
+    rows = [(k, f"n{k}", None if k % 2 else 1.5, [(28000.0 + k, 38700.0), (28010.0, 38710.0 + k)]) for k in range(40)]
+    layer = spark.createDataFrame(rows, "path_ordinal long, name string, rank double, coords array<struct<x:double,y:double>>").repartition(4)
+    files.write_layer(layer, tmp_path / "l.geojson")
+    back = geojson.read_geojson(spark, str(tmp_path / "l.geojson"), 300)
+    out = back.select("feature_idx", F.col("properties")["name"].alias("name"), F.transform(paths.projected(F.col("lines")[0]), lambda p: F.array(F.round(p["x"], 3), F.round(p["y"], 3))).alias("l")).orderBy("feature_idx").collect()
+    assert [(r.feature_idx, r.name, [tuple(p) for p in r.l]) for r in out] == [(k, n, line) for k, n, _, line in rows]
+
+
 def pixels(data):
     """The rows of a PNG without filters."""
     assert data[:8] == b"\x89PNG\r\n\x1a\n"
