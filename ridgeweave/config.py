@@ -57,6 +57,7 @@ DEFAULTS: dict[str, Any] = {
     },
 }
 
+# The folders that every run finds.
 FOLDERS = ("raw/data_gov", "raw/osm", "cache", "processed/paths", "processed/elevation", "processed/graph", "fixtures")
 OUTPUTS = ("routes", "maps", "profiles", "viz/assets/route_samples", "viz/routes")
 

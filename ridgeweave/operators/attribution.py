@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ridgeweave.config import DEFAULTS
 from ridgeweave.functions.clean import present
 
+DATASETS = DEFAULTS["sources"]["data_gov"]
 VIEW = "https://data.gov.sg/datasets/{}/view"
 PARKS, LAND = "National Parks Board via data.gov.sg", "Singapore Land Authority via data.gov.sg"
 # Key, label, publisher, dataset identifier, address and description of each source.
 SOURCES = (
-    ("nparks_tracks", "NParks Tracks", PARKS, "d_306cc1018cb733346681883ee6d73054", VIEW.format("d_306cc1018cb733346681883ee6d73054"), "Walking-permitted NParks track segments used for route network geometry."),
-    ("central_nature_reserve", "Central Nature Reserve Hiking Trails", PARKS, "d_84e6db6c43ffb8b17803334ec2b5c95d", VIEW.format("d_84e6db6c43ffb8b17803334ec2b5c95d"), "Central Nature Reserve hiking trail geometry used for route network segments."),
-    ("park_connector_loop", "Park Connector Loop", PARKS, "d_a69ef89737379f231d2ae93fd1c5707f", VIEW.format("d_a69ef89737379f231d2ae93fd1c5707f"), "Park connector loop segments used where they form part of selected routes."),
-    ("national_map_line", "SLA National Map Line", LAND, "d_10480c0b59e65663dfae1028ff4aa8bb", VIEW.format("d_10480c0b59e65663dfae1028ff4aa8bb"), "Contour lines parsed and interpolated for elevation, ascent, descent, and profile charts."),
+    ("nparks_tracks", "NParks Tracks", PARKS, DATASETS["nparks_tracks"], VIEW.format(DATASETS["nparks_tracks"]), "Walking-permitted NParks track segments used for route network geometry."),
+    ("central_nature_reserve", "Central Nature Reserve Hiking Trails", PARKS, DATASETS["central_nature_reserve"], VIEW.format(DATASETS["central_nature_reserve"]), "Central Nature Reserve hiking trail geometry used for route network segments."),
+    ("park_connector_loop", "Park Connector Loop", PARKS, DATASETS["park_connector_loop"], VIEW.format(DATASETS["park_connector_loop"]), "Park connector loop segments used where they form part of selected routes."),
+    ("national_map_line", "SLA National Map Line", LAND, DATASETS["national_map_line"], VIEW.format(DATASETS["national_map_line"]), "Contour lines parsed and interpolated for elevation, ascent, descent, and profile charts."),
     ("osm", "OpenStreetMap walkable paths", "OpenStreetMap contributors via Geofabrik", None, "https://download.geofabrik.de/asia/malaysia-singapore-brunei.html", "Walkable OSM ways used as enrichment for paths, tracks, footways, and steps."),
     ("fixture", "Fixture", "Synthetic test fixture", None, None, "Synthetic route network data used by tests."),
 )

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of a run's files; so are the names and messages of the checks below.
 ROUTE_FILES = (".geojson", "_edges.json", ".gpx", "_profile.png", "_samples.parquet")
 GLOBAL_FILES = ("routes/routes.csv", "viz/index.html", "viz/assets/route_summary.json", "viz/assets/routes.geojson")
 
