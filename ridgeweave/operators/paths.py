@@ -110,6 +110,7 @@ def beside(rows: DataFrame) -> DataFrame:
 
 def snap_pairs(points: DataFrame, tolerance: float) -> DataFrame:
     """Pairs of distinct points within the tolerance, by an equi-join on grid cells."""
+    points = points.select("point", "x", "y", bucket("x", tolerance).alias("cx"), bucket("y", tolerance).alias("cy"))
     home = points.select(F.col("point").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
     near = beside(points.select(F.col("point").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"))
     gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
