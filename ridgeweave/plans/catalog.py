@@ -13,7 +13,7 @@ from ridgeweave.functions import clean as C
 from ridgeweave.functions import crs
 from ridgeweave.functions import geometry as G
 from ridgeweave.functions import similarity as S
-from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, search, series, similar, surface
+from ridgeweave.operators import areas, attribution, elevation, graph, noding, paths, qa, samples, search, series, surface
 from ridgeweave.plans import tables as T
 from ridgeweave.scratch import Scratch
 from ridgeweave.session import read_table
@@ -301,16 +301,9 @@ def q_containment(spark, sf):
 
 @query(f"WITH {SETS} SELECT a, b FROM x WHERE common / (sa + sb - common) >= 0.25 OR shared / (ta + tb - shared) >= 0.2 OR shared / least(ta, tb) >= 0.5")
 def q_near_dup_pairs(spark, sf):
-    """Any of three similarities, by prefixes of rare parts."""
-    parts = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("e")).agg(F.max("l_quantity").alias("n"))
-    return similar.near_pairs(parts, 0.25, 0.2, 0.5)
-
-
-@query(f"WITH {T.EDGES} SELECT edge_id, (CASE WHEN regexp_matches(name, 'RED', 'i') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(name, 'w.dget$', 'i') THEN 2 ELSE 0 END) AS marks, highway = 'steps' AND (regexp_matches(name, 'RED', 'i') OR regexp_matches(name, 'w.dget$', 'i')) AS on_steps FROM te")
-def q_landmarks(spark, sf):
-    """Patterns in names, in any case, and on steps."""
-    e = graph.landmark_flags(T.edges(spark, sf), ["RED", "w.dget$"])
-    return e.select("edge_id", F.aggregate("landmarks", F.lit(0), lambda a, k: a + k + 1).alias("marks"), (F.size("step_landmarks") > 0).alias("on_steps"))
+    """Any of three similarities; limits this low leave prefixes nothing to prune."""
+    near = S.near_duplicate(*[F.col(k) for k in ("common", "sa", "sb", "shared", "ta", "tb")], 0.25, 0.2, 0.5)
+    return pairs(spark, sf).filter(near).select("a", "b")
 
 
 # -- noding and snapping: the lines of an order side by side on one straight line ------
