@@ -19,6 +19,31 @@ from ridgeweave.functions.similarity import near_duplicate
 from ridgeweave.scratch import Scratch
 
 
+def met_pairs(parts: DataFrame) -> DataFrame:
+    """(a, b, common, shared, sa, sb, ta, tb) with a < b: the sets ``k`` of parts ``e`` that share one, each pair once, from an inverted index.
+
+    ``parts`` has each (k, e) once, with its length ``n``. An entry of the index
+    carries the parts of its set that come before and after its own, so a pair
+    is counted where it meets: at its first common part, and at no other. So
+    only entries are shuffled, and never pairs. A part that is null counts for
+    its set and is shared with none.
+    """
+    held = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("e", "n"))).alias("l"), F.count("*").alias("s"), F.sum("n").alias("t"))
+    held = held.withColumn("l", F.filter("l", lambda x: x["e"].isNotNull()))
+    each = held.select("k", "s", "t", F.col("l.e").alias("es"), F.col("l.n").alias("ns"), F.posexplode("l").alias("at", "p"))
+    rest = lambda c: F.slice(c, F.col("at") + 2, F.size("es")).alias(c)
+    index = each.select(F.col("p.e").alias("e"), F.col("p.n").alias("n"), "k", "s", "t", F.slice("es", F.lit(1), F.col("at")).alias("before"), rest("es"), rest("ns"))
+    x, y = index.alias("x"), index.alias("y")
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.k") < F.col("y.k")) & ~F.arrays_overlap("x.before", "y.before"))
+    both = F.array_intersect("x.es", "y.es")
+    of = lambda one, e: F.get(F.col(f"{one}.ns"), (F.array_position(F.col(f"{one}.es"), e) - 1).cast("int"))
+    first = F.least("x.n", "y.n").cast("double")
+    more = F.aggregate(F.transform(both, lambda e: F.least(of("x", e), of("y", e)).cast("double")), first, lambda t, n: F.coalesce(t + n, t, n))
+    shared = F.when(F.arrays_overlap("x.es", "y.es"), more).otherwise(first)
+    side = lambda one, k: [F.col(f"{one}.{c}").alias(c + k) for c in "st"]
+    return met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), (F.size(both) + 1).cast("long").alias("common"), shared.alias("shared"), *side("x", "a"), *side("y", "b"))
+
+
 def prefixes(parts: DataFrame, share_of_count: float, share_of_length: float) -> DataFrame:
     """(k, e, size, total): the parts of each set from the rarest on, until too little is left in count and in length."""
     order = W.partitionBy("k").orderBy("rank", "e")

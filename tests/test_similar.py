@@ -34,3 +34,19 @@ def test_limits_and_empty_tables(spark):
     assert similar.near_pairs(df, 0.8, 0.8, 0.8).count() == 0
     with pytest.raises(ValueError):
         similar.near_pairs(df, 0.0, 0.8, 0.8)
+
+
+def test_pairs_meet_once_without_a_shuffle_of_pairs(spark):
+    """Counts of all pairs by a loop; nothing is dealt by pairs, so what is shuffled grows with the parts."""
+    r = random.Random(3)
+    sets = {k: {e: float(r.randint(1, 9)) for e in r.sample(range(25), r.randint(1, 8))} for k in range(90)}
+    expected = set()
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if both := x.keys() & y.keys():
+            expected.add((a, b, len(both), sum(min(x[e], y[e]) for e in both), len(x) + (a == 5), len(y) + (b == 5), sum(x.values()) + (a == 5), sum(y.values()) + (b == 5)))
+    rows = [(k, e, n) for k, s in sets.items() for e, n in s.items()] + [(5, None, 1.0)]
+    out = similar.met_pairs(spark.createDataFrame(rows, "k long, e long, n double").repartition(3))
+    assert {tuple(x) for x in out.select("a", "b", "common", "shared", "sa", "sb", "ta", "tb").collect()} == expected
+    assert out.count() == len(expected)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
