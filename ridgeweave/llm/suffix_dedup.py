@@ -51,12 +51,16 @@ MATCH, K = 50, 20
 W = MATCH - K + 1
 SIDE = MATCH - K
 #: Bytes that are looked at together; longer texts are cut with enough overlap.
-SLICE = 1 << 21
+SLICE = 1 << 18
 #: Entries that a task settles among themselves before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Bytes that the tables of powers serve at least, so slices of any size share one.
+LEAST = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 SPAN, COVERED, CLOSER = 0, 1, 2
+#: Bits of an anchor's key that are sent beside its bucket. Keys only gather contexts for the closer look, so two that agree in them cost a look at most.
+SENT = (1 << 32) - 1
 
 
 # -- fingerprints and anchors ---------------------------------------------------
@@ -117,16 +121,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def both_prints(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """A fingerprint of 64 bits of an anchor in its context; compared within one document only."""
-    return mixed(mixed(key ^ U(BASE)) + context)
+    """A fingerprint of 64 bits of an anchor, by the bits of its key that are sent, in its context; compared within one document only."""
+    return mixed(mixed((key & U(SENT)) ^ U(BASE)) + context)
 
 
 class Prints:
     """Fingerprints of any substrings of ``data``, from sums over its beginnings."""
 
     def __init__(self, data: np.ndarray, seed: int = 5, base: int = BASE):
-        size = 1 << max(16, int(len(data)).bit_length())
-        power, self.inverse = powers(size, base)
+        power, self.inverse = powers(max(LEAST, 1 << int(len(data)).bit_length()), base)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(byte_values(seed)[data] * power[: len(data)], out=self.sums[1:])
 
@@ -143,7 +146,7 @@ class Checks:
 
     def __init__(self, data: np.ndarray):
         self.whole = Prints(data, 6, SECOND)
-        power, self.inverse = prime_powers(1 << max(16, int(len(data)).bit_length()))
+        power, self.inverse = prime_powers(max(LEAST, 1 << int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(folded((byte_values(7) & U(PRIME))[data] * power[: len(data)]), out=self.sums[1:])
 
@@ -274,6 +277,16 @@ class Family:
         return self.levels[0]
 
 
+def narrow(doc: np.ndarray) -> bytes:
+    """Documents in four bytes each where they fit, as most do."""
+    return doc.astype(np.int32).tobytes() if doc.min() >= -(1 << 31) and doc.max() < 1 << 31 else doc.tobytes()
+
+
+def widened(doc: bytes, n: int) -> bytes:
+    """``n`` documents in eight bytes each, from those of ``narrow``."""
+    return doc if len(doc) == 8 * n else np.frombuffer(doc, np.int32).astype(np.int64).tobytes()
+
+
 def group_starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in sorted columns."""
     new = np.ones(len(columns[0]), bool)
@@ -360,7 +373,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]] | pa.RecordBatch]:
     """Batches of spans as they come, and each bucket with its other rows; the input is sorted by bucket."""
     current, rows = None, []
-    for batch in batches:
+    for batch in sliced(batches, 64):
         spans = pc.equal(batch.column(1), SPAN)
         passed = batch.filter(spans)
         if passed.num_rows:
@@ -381,6 +394,7 @@ def index_task(buckets: int):
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, context, check, doc, h, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((doc, check, context, key))
         key, context, check, doc, h, left, right = (x[order] for x in (key, context, check, doc, h, left, right))
         new = group_starts(key, context, check)
@@ -389,7 +403,7 @@ def index_task(buckets: int):
         key, context, check, doc = key[new], context[new], check[new], doc[new]
         for p in runs_of(bucket_of(key, buckets)):
             p = np.sort(p)
-            rows.append((int(bucket_of(key[p[:1]], buckets)[0]), ENTRIES, None, None, key[p].tobytes(), context[p].tobytes(), check[p].tobytes(), doc[p].tobytes(), None))
+            rows.append((int(bucket_of(key[p[:1]], buckets)[0]), ENTRIES, None, None, key[p].astype(np.uint32).tobytes(), context[p].tobytes(), check[p].tobytes(), narrow(doc[p]), None))
         yield from batches_of(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,14 +446,13 @@ def scan_task():
                 return stays
 
             family = Family(3, scan)
-            for batch in gathered(found[1], 1 << 19):
-                key, context, check, doc = (np.frombuffer(x, t) for x, t in zip(batch, (U, U, U, np.int64), strict=True))
+            wide = ((*r[:7], widened(r[7], len(r[4]) // 4), None) for r in found[1])
+            for batch in gathered(wide, 1 << 18):
+                key, context, check, doc = (np.frombuffer(x, t) for x, t in zip(batch, (np.uint32, U, U, np.int64), strict=True))
+                key = key.astype(U)
                 family.add([(key << U(32)) | (context >> U(32)), key, context, check, doc])
             _, key, context, _, doc = family.merged()
             rows = flags(COVERED, *(np.concatenate(x) for x in zip(*covered, strict=True)))
-            if len(np.unique(key)) < np.count_nonzero(group_starts(key)):  # two keys that agree in their low bits lie mingled
-                order = np.lexsort((context, key))
-                key, context, doc = key[order], context[order], doc[order]
             fresh = group_starts(key)
             of_key, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
             closer = (np.bincount(of_key) > 1)[of_key] & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[of_key]
@@ -517,18 +530,18 @@ def closer_task(buckets: int):
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """A power of two, one bucket for each 4 MB of the input as Spark estimates it, or of its texts where Spark can't."""
+    """A power of two, one bucket for each 2 MB of the input as Spark estimates it, or of its texts where Spark can't."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:  # Spark's word for an unknown size
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 << min(30, max(6, (size >> 22).bit_length()))
+    return 1 << min(30, max(6, (size >> 21).bit_length()))
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, spans): spans that a smaller document covers, in one or several rows for a document's text."""
     known = docs.filter("doc_id is not null and length(text) > 0")
     n = buckets_for(docs)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 16)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 4)
     dealt = lambda df: df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     flags = scratch.keep(dealt(known.mapInArrow(index_task(n), FLAGS_DDL)).mapInArrow(scan_task(), FLAGS_DDL), "flags")
     of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("a")))

@@ -157,6 +157,24 @@ def test_suffix_dedup(docs):
     assert set(got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == set(removed(texts()))
 
 
+def test_suffix_entries_are_small_and_so_is_what_a_task_holds():
+    """24 bytes for an anchor where documents fit in four; far ids keep eight. Tables and columns stay below 120 MB."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    texts = [bytes(x).decode("latin-1") for x in r.integers(32, 127, (16, 1 << 18), np.uint8)]
+    for shift, width in ((0, 24), (1 << 40, 28)):
+        docs = pa.RecordBatch.from_pydict({"doc_id": [k + shift for k in range(16)], "text": texts, "h": [0] * 16})
+        tracemalloc.start()
+        rows = [x for batch in suffix_dedup.index_task(4)([docs]) for x in zip(*(c.to_pylist() for c in batch.columns[4:8]), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        n = sum(len(x[1]) for x in rows) // 8
+        assert n > 1 << 17 and sum(map(len, sum(rows, ()))) == width * n
+        assert peak < 120e6
+        assert {int(d) for x in rows for d in np.frombuffer(suffix_dedup.widened(x[3], len(x[1]) // 8), np.int64)} == set(docs.to_pydict()["doc_id"])
+
+
 def test_suffix_dedup_over_many_tasks_and_cuts(spark, monkeypatch):
     r = random.Random(8)
     parts = [sentence(r, 12) for _ in range(30)]
