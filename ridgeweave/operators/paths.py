@@ -72,8 +72,8 @@ def walkable_ways(layer: DataFrame) -> DataFrame:
     return layer.filter(C.walkable(C.unlisted(p("highway")), p("access"), p("foot")))
 
 
-def with_ordinals(paths: DataFrame, order: list[str]) -> DataFrame:
-    """``paths`` with ``path_ordinal`` from 0 on in the given order.
+def with_ordinals(paths: DataFrame, order: list[str], name: str = "path_ordinal") -> DataFrame:
+    """``paths`` with ``name`` from 0 on in the given order.
 
     Rows are range-partitioned and numbered within their partition; only the
     partitions' counts pass through one place.
@@ -82,7 +82,15 @@ def with_ordinals(paths: DataFrame, order: list[str]) -> DataFrame:
     part = F.shiftright("_id", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("path_ordinal", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_before")
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_before")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name`` from 1 on within each of a few groups, however large: no task holds one."""
+    scratch = Scratch(rows.sparkSession, "numbered")
+    out = scratch.keep(with_ordinals(rows, [group, *order], "_at"), "rows")
+    first = out.groupBy(F.col(group).alias("_group")).agg(F.min("_at").alias("_first"))
+    return out.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_group")
 
 
 def ends(paths: DataFrame, precision: float) -> DataFrame:
@@ -202,11 +210,11 @@ def edges_and_nodes(paths: DataFrame, precision: float = 0.01, tolerance: float
     side = lambda k, u: held.filter(F.col("seq") % 2 == k).select(F.floor(F.col("seq") / 2).alias("path_ordinal"), F.col("node_id").alias(u), F.col("p").alias(f"p{u}"))
     both = paths.join(side(0, "u"), "path_ordinal").join(side(1, "v"), "path_ordinal").filter("u <> v")
     coords = G.with_ends(F.col("coords"), F.col("pu"), F.col("pv"))
-    number = F.row_number().over(W.partitionBy("source_primary").orderBy("path_ordinal"))
+    both = numbered(both, "source_primary", ["path_ordinal"], "_number")
     have = set(paths.columns)
     measure = lambda c: (C.or_default(F.col(c).cast("double"), 0.0) if c in have else F.lit(0.0)).alias(c)
     edges = both.withColumn("coords", coords).select(
-        F.format_string("%s_%06d", "source_primary", number).alias("edge_id"),
+        F.format_string("%s_%06d", "source_primary", "_number").alias("edge_id"),
         "u",
         "v",
         G.length(F.col("coords")).alias("length_m"),

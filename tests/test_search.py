@@ -181,3 +181,42 @@ def test_landmarks_cells_and_likeness_decide_in_order(spark, monkeypatch, seed,
     assert [tuple(x.directed_edge_ids) for x in got] == chosen_in_order(states, how)
     few = search.select_diverse(df, how, 5).orderBy("place").collect()
     assert [tuple(x.directed_edge_ids) for x in few][:5] == chosen_in_order(states, how)[:5]
+
+
+def test_first_steps_are_those_of_all_seeds_and_nothing_large_is_in_one_task(spark, rows):
+    from pyspark.sql import functions as F
+
+    from ridgeweave.operators import graph, paths, search
+
+    nodes = spark.createDataFrame([(f"n{k}", float(k), float(-k)) for k in range(6)], "node_id string, x double, y double")
+    place = lambda k: [float(k), float(-k)] if k < 6 else [None, None]
+    edges = [(f"e{i}", f"n{i % 7}", f"n{i * 5 % 7}", 10.0 * (i % 4), 1.0 * i, 2.0, 3.0, 4.0, 0.5, *place(i % 7), *place(i * 5 % 7)) for i in range(30)]
+    have = spark.createDataFrame(edges, "edge_id string, u string, v string, length_m double, ascent_fwd_m double, descent_fwd_m double, ascent_rev_m double, descent_rev_m double, source_confidence double, ux double, uy double, vx double, vy double")
+    plain = search.steps_of(graph.directed_edges(have.drop("ux", "uy", "vx", "vy")), nodes, [])
+    placed = search.steps_of(graph.directed_edges(have), nodes, [])
+    one, two = search.expand(search.seeds(nodes.select("node_id"), nodes, [10.0, 20.0]), plain, 9), search.first_steps(placed, [10.0, 20.0])
+    assert one.columns == two.columns and rows(one) == rows(two)
+    assert rows(search.expand(one, plain, 9)) == rows(search.expand(two, placed, 9, 0.0))
+    slim = two.select("budget_m", "start_node", "current_node", "distance_m", "undirected_edge_ids")
+    assert rows(search.expand(slim, placed, 9)) == rows(search.expand(one, plain, 9), *slim.columns)
+    many = spark.range(200).select((F.col("id") * 37 % 200).alias("at"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    expected = {(r["at"], r["g"]): 0 for r in many.collect()}
+    for g in (None, 1, 2):
+        for n, key in enumerate(sorted(k for k in expected if k[1] == g), 1):
+            expected[key] = n
+    out = paths.numbered(many, "g", ["at"], "n")
+    assert {(r["at"], r["g"]): r["n"] for r in out.collect()} == expected
+
+
+def test_states_meet_their_limit_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from ridgeweave.operators import search
+
+    none = F.array().cast("array<int>")
+    numbers = [F.col("id").cast("double").alias(k) for k in ("distance_m", "ascent_m", "confidence_sum", "sum_x", "sum_y")]
+    ids = [F.array(F.col("id").cast("string")).alias(k) for k in ("directed_edge_ids", "undirected_edge_ids")]
+    states = spark.range(100).select(F.lit(9.0).alias("budget_m"), *numbers, *ids, F.lit(1).alias("placed"), F.when(F.col("id") < 10, F.array(F.lit(1))).otherwise(none).alias("step_landmarks"))
+    out = search.prune(states, search.Search(beam_width=50, frontier_grid_m=1000.0, max_frontier_states_per_grid=2))
+    assert sorted(r.distance_m for r in out.collect()) == [*map(float, range(10)), 98.0, 99.0]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
