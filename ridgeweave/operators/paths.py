@@ -113,7 +113,9 @@ AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 def beside(rows: DataFrame) -> DataFrame:
     """``rows`` once for each cell (cx, cy) of their neighbourhood, with (dx, dy) from that cell to their own."""
     spread = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy")) for dx, dy in AROUND])).alias("c")
-    return rows.withColumn("_c", F.lit(0)).select(*[c for c in rows.columns if c not in ("cx", "cy")], spread).select("*", "c.*").drop("c")
+    out = rows.withColumn("_c", F.lit(0)).select(*[c for c in rows.columns if c not in ("cx", "cy")], spread).select("*", "c.*").drop("c")
+    # Spark judges the nine copies by the size of the file they come from, and would send them whole through the driver
+    return out.hint("merge")
 
 
 def snap_pairs(points: DataFrame, tolerance: float) -> DataFrame:
@@ -129,14 +131,14 @@ def first_of_cells(points: DataFrame) -> DataFrame:
     """The points that come before all others in their own and the eight cells around."""
     least = points.groupBy("cx", "cy").agg(F.min("point").alias("least"))
     around = beside(least).groupBy("cx", "cy").agg(F.min("least").alias("least"))
-    return points.join(around, ["cx", "cy"]).filter(F.col("point") == F.col("least")).drop("least")
+    return points.join(around.hint("merge"), ["cx", "cy"]).filter(F.col("point") == F.col("least")).drop("least")
 
 
 def out_of_reach(points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
     """``points`` without those within the tolerance of a node. A cell holds few nodes, as nodes keep their distance."""
     near = beside(nodes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
     reach = points.join(near, ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")) <= tolerance).select("point").distinct()
-    return points.join(reach, "point", "left_anti")
+    return points.join(reach.hint("merge"), "point", "left_anti")
 
 
 def worked_through(points: DataFrame, tolerance: float, scratch: Scratch) -> DataFrame:
@@ -191,7 +193,7 @@ def snap_nodes(points: DataFrame, tolerance: float, scratch: Scratch, rounds: in
     found = F.struct("gap", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), (-F.col("node_seq")).alias("last"), "nx", "ny")
     held = probes.groupBy("point").agg(F.collect_list(found).alias("near"))
     best = F.array_min(F.filter("near", lambda n: -n["last"] <= F.col("seq")))
-    met = points.join(distinct.join(held, "point").select("x", "y", "near"), ["x", "y"]).withColumn("n", best)
+    met = points.join(distinct.join(held.hint("merge"), "point").select("x", "y", "near").hint("merge"), ["x", "y"]).withColumn("n", best)
     return met.select("seq", (-F.col("n.last")).alias("node_seq"), "n.nx", "n.ny")
 
 

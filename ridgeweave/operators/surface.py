@@ -46,7 +46,7 @@ def in_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     cell = lambda v, low: F.floor((v - low) / size)
     side = lambda k, low, f: cell(f(*[F.col(c + k) for c in "abc"]), low)
     laid = triangles.withColumn("gx", F.explode(F.sequence(side("x", x0, F.least), side("x", x0, F.greatest)))).withColumn("gy", F.explode(F.sequence(side("y", y0, F.least), side("y", y0, F.greatest))))
-    met = points.withColumns({"gx": cell(F.col("x"), x0), "gy": cell(F.col("y"), y0)}).join(laid, ["gx", "gy"])
+    met = points.withColumns({"gx": cell(F.col("x"), x0), "gy": cell(F.col("y"), y0)}).join(laid.hint("merge"), ["gx", "gy"])
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     met = met.withColumn("det", det).filter("det <> 0")
@@ -90,13 +90,13 @@ def nearest(points: DataFrame, samples: DataFrame, scratch: Scratch) -> DataFram
     for level in range(1, depth + 1):
         cells = spots.withColumns(at(level)).groupBy("gx", "gy").agg(*box)
         cells = cells.withColumns({"hx": F.col("gx"), "hy": F.col("gy"), "gx": F.floor(F.col("gx") / FAN), "gy": F.floor(F.col("gy") / FAN)})
-        seen = left.join(scratch.keep(cells, "cells"), ["gx", "gy"]).withColumns({"near": box_gap(False), "far": box_gap(True)})
+        seen = left.join(scratch.keep(cells, "cells").hint("merge"), ["gx", "gy"]).withColumns({"near": box_gap(False), "far": box_gap(True)})
         kept = seen.groupBy("x", "y").agg(F.min("far").alias("most"), F.collect_list(F.struct("near", "hx", "hy")).alias("c"))
         kept = kept.select("x", "y", F.explode(F.filter("c", lambda c: c["near"] <= F.col("most"))).alias("c"))
         left = scratch.keep(kept.select("x", "y", F.col("c.hx").alias("gx"), F.col("c.hy").alias("gy")), "left")
     last = spots.withColumns(at(depth)).select("gx", "gy", F.col("x").alias("sx"), F.col("y").alias("sy"), "s")
     gap = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
-    best = left.join(last, ["gx", "gy"]).groupBy("x", "y").agg(F.min(F.struct(gap.alias("gap"), "s.sample", "s.z")).alias("b"))
+    best = left.join(last.hint("merge"), ["gx", "gy"]).groupBy("x", "y").agg(F.min(F.struct(gap.alias("gap"), "s.sample", "s.z")).alias("b"))
     return best.select("x", "y", "b.sample", "b.z", "b.gap")
 
 
@@ -107,4 +107,4 @@ def elevations(points: DataFrame, triangles: DataFrame, samples: DataFrame) -> D
     inside = scratch.keep(in_triangles(places, triangles), "inside")
     outside = scratch.keep(places.join(inside, ["x", "y"], "left_anti"), "outside")
     both = inside.withColumn("stood_in", F.lit(False)).unionByName(nearest(outside, samples, scratch).select("x", "y", "z", F.lit(True).alias("stood_in")))
-    return points.join(scratch.keep(both, "found"), ["x", "y"])
+    return points.join(scratch.keep(both, "found").hint("merge"), ["x", "y"])

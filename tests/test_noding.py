@@ -141,3 +141,10 @@ def spark_seq():
     from pyspark.sql import functions as F
 
     return F.col("id").alias("seq")
+
+
+def test_copies_for_neighbouring_cells_are_not_broadcast(spark):
+    df = spark.range(40).select(spark_seq(), (spark_seq() * 7.0).alias("x"), (spark_seq() % 2).cast("double").alias("y"))
+    points = df.select("x", "y", df["seq"].alias("point"), paths.bucket("x", 5.0).alias("cx"), paths.bucket("y", 5.0).alias("cy"))
+    for out in (paths.first_of_cells(points), paths.out_of_reach(points, points, 5.0), paths.snap_pairs(points, 5.0)):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
