@@ -28,43 +28,52 @@ NEAR, PARALLEL = 1e-9, 1e-12
 ON_LINE, DECIMALS = 1e-6, 6
 
 
+#: The ends of a segment as plain numbers, which are less to move than structs.
+ENDS = ["ax", "ay", "bx", "by"]
+
+
+def spot(k: str) -> Column:
+    return F.struct(F.col(k + "x").alias("x"), F.col(k + "y").alias("y"))
+
+
+def numbers(p: Column, to: str) -> list[Column]:
+    return [p[c].alias(to + c) for c in "xy"]
+
+
 def corners(paths: DataFrame) -> DataFrame:
-    """(path_ordinal, i, p, q, first): every corner ``p`` with the next one, null at the end; repeated points count once."""
+    """(path_ordinal, l): the corners of every path that has two at least; repeated points count once."""
     line = F.filter("coords", lambda p, i: (i == 0) | (p != F.get("coords", i - 1)))
-    each = paths.select("path_ordinal", line.alias("l")).filter(F.size("l") > 1)
-    return each.select("path_ordinal", F.posexplode("l").alias("i", "p"), "l").select("path_ordinal", "i", "p", F.get("l", F.col("i") + 1).alias("q"))
-
+    return paths.select("path_ordinal", line.alias("l")).filter(F.size("l") > 1)
 
-def one_way(p: Column, q: Column) -> tuple[Column, Column]:
-    """The two ends of a segment in an order that doesn't depend on its direction."""
-    return F.least(p, q), F.greatest(p, q)
 
+def segments(lines: DataFrame) -> DataFrame:
+    """(path_ordinal, i, alone, forward, ax, ay, bx, by): every segment, its ends in an order that doesn't depend on its direction."""
+    each = lines.select("path_ordinal", (F.size("l") == 2).alias("alone"), F.posexplode("l").alias("i", "p"), F.get("l", F.col("i") + 1).alias("q")).filter("q is not null")
+    return each.select("path_ordinal", "i", "alone", (F.col("p") <= F.col("q")).alias("forward"), *numbers(F.least("p", "q"), "a"), *numbers(F.greatest("p", "q"), "b"))
 
-def segments(spots: DataFrame) -> DataFrame:
-    """(a, b): the different segments."""
-    a, b = one_way(F.col("p"), F.col("q"))
-    return spots.filter("q is not null").select(a.alias("a"), b.alias("b")).distinct()
 
+def meetings(each: DataFrame, cell_m: float) -> DataFrame:
+    """Pairs (a, b, c, d) of different segments whose boxes touch, each once, in the first cell that both cover.
 
-def meetings(lines: DataFrame, cell_m: float) -> DataFrame:
-    """Pairs (a, b, c, d) of different segments whose boxes touch, each once, in the first cell that both cover."""
-    low = lambda c: F.floor(F.least(f"a.{c}", f"b.{c}") / cell_m)
-    high = lambda c: F.floor(F.greatest(f"a.{c}", f"b.{c}") / cell_m)
-    placed = lines.withColumns({"lx": low("x"), "ly": low("y"), "hx": high("x"), "hy": high("y")})
-    placed = placed.withColumn("cx", F.explode(F.sequence("lx", "hx"))).withColumn("cy", F.explode(F.sequence("ly", "hy")))
-    other = placed.select("cx", "cy", F.col("a").alias("c"), F.col("b").alias("d"), F.col("lx").alias("mx"), F.col("ly").alias("my"))
-    apart = [(F.greatest(f"{u}.{k}", f"{v}.{k}") >= F.least(f"{w}.{k}", f"{z}.{k}")) for k in "xy" for u, v, w, z in (("a", "b", "c", "d"), ("c", "d", "a", "b"))]
-    first = (F.col("cx") == F.greatest("lx", "mx")) & (F.col("cy") == F.greatest("ly", "my"))
-    met = placed.join(other, ["cx", "cy"]).filter(first & (F.struct("a", "b") < F.struct("c", "d")))
-    for test in apart:
-        met = met.filter(test)
-    return met.select("a", "b", "c", "d")
+    Both sides of the join are the same rows, dealt by cells once; there equal segments become one.
+    """
+    low = lambda u, v: F.floor(F.least(u, v) / cell_m)
+    high = lambda u, v: F.floor(F.greatest(u, v) / cell_m)
+    placed = each.select(*ENDS, F.explode(F.sequence(low("ax", "bx"), high("ax", "bx"))).alias("gx"))
+    placed = placed.withColumn("gy", F.explode(F.sequence(low("ay", "by"), high("ay", "by")))).repartition("gx", "gy").distinct()
+    other = placed.select("gx", "gy", *[F.col(u + k).alias(v + k) for u, v in ("ac", "bd") for k in "xy"])
+    met = placed.join(other.hint("merge"), ["gx", "gy"]).filter(F.struct(*ENDS) < F.struct("cx", "cy", "dx", "dy"))
+    for k in "xy":
+        met = met.filter(F.col("g" + k) == F.greatest(low("a" + k, "b" + k), low("c" + k, "d" + k)))
+        for u, v, w, z in ("abcd", "cdab"):
+            met = met.filter(F.greatest(u + k, v + k) >= F.least(w + k, z + k))
+    return met.select(*[spot(k).alias(k) for k in "abcd"])
 
 
 def cuts(met: DataFrame) -> DataFrame:
     """(a, b, at): points at which segments are cut, or that become nodes where they are an end of theirs.
 
-    Two ends that meet are left to the count of corners.
+    Two ends that meet are left to the count of corners. Rows may repeat.
     """
     v = lambda p, q: (F.col(f"{q}.x") - F.col(f"{p}.x"), F.col(f"{q}.y") - F.col(f"{p}.y"))
     cross = lambda m, n: m[0] * n[1] - m[1] * n[0]
@@ -86,7 +95,68 @@ def cuts(met: DataFrame) -> DataFrame:
     within = lambda k: ((F.lit(k) - F.least("tc", "td")) > NEAR) & ((F.greatest("tc", "td") - F.lit(k)) > NEAR)
     pair = lambda p, q, at, when: F.when(when, F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(at).alias("at")))
     overlap = F.array(pair("a", "b", "c", inside("tc")), pair("a", "b", "d", inside("td")), pair("c", "d", "a", within(0.0)), pair("c", "d", "b", within(1.0)))
-    return crossing.unionByName(aligned.select(F.explode(F.array_compact(overlap)).alias("s")).select("s.a", "s.b", "s.at")).distinct()
+    return crossing.unionByName(aligned.select(F.explode(F.array_compact(overlap)).alias("s")).select("s.a", "s.b", "s.at"))
+
+
+def stretches(cut: DataFrame, each: DataFrame) -> DataFrame:
+    """(path_ordinal, i, j, alone, s, e): what cuts leave of each segment, in its path's direction.
+
+    A segment is cut once for all the paths that share it; cuts that repeat
+    count once, in the same shuffle.
+    """
+    away = F.hypot(F.col("px") - F.col("ax"), F.col("py") - F.col("ay"))
+    order = W.partitionBy(*ENDS).orderBy(away, "px", "py")
+    at = cut.withColumns({"j": F.dense_rank().over(order) - 1, **{f"l{k}": F.lag(f"p{k}", 1).over(order) for k in "xy"}})
+    at = at.withColumn("n", F.max("j").over(W.partitionBy(*ENDS)) + 1).filter("lx is null or lx <> px or ly <> py")
+    before = F.when(F.col("j") == 0, spot("a")).otherwise(spot("l"))
+    part = lambda j, s, e: F.struct(j.alias("j"), s.alias("s"), e.alias("e"))
+    mine, rest = part(F.col("j"), before, spot("p")), F.when(F.col("j") == F.col("n") - 1, part(F.col("n").cast("int"), spot("p"), spot("b")))
+    at = at.select(*ENDS, F.col("n").cast("int").alias("n"), F.explode(F.array_compact(F.array(mine, rest))).alias("part"))
+    found = each.join(at.hint("merge"), ENDS, "left")
+    whole = part(F.lit(0), spot("a"), spot("b"))
+    found = found.withColumns({"n": F.coalesce("n", F.lit(0)), "part": F.coalesce("part", whole)})
+    way = lambda x, y: F.when(F.col("forward"), x).otherwise(y)
+    return found.select("path_ordinal", "i", way(F.col("part.j"), F.col("n") - F.col("part.j")).alias("j"), "alone", way(F.col("part.s"), F.col("part.e")).alias("s"), way(F.col("part.e"), F.col("part.s")).alias("e"))
+
+
+def pieces_of(paths: DataFrame, cell_m: float) -> DataFrame:
+    """(path_ordinal, piece, coords): every path cut where it meets others or itself, equal pieces as often as they occur.
+
+    What is left of a path of one segment is a piece by itself; of others, what
+    lies between two places that no other corner shares runs on.
+    """
+    scratch = Scratch(paths.sparkSession, "noding")
+    lines = scratch.keep(corners(paths), "lines")
+    each = segments(lines)
+    found = cuts(meetings(each, cell_m))
+    inner = lines.filter(F.size("l") > 2).select("path_ordinal", F.posexplode("l").alias("i", "p"), F.size("l").alias("n")).filter("i > 0 and i < n - 1").drop("n")
+    inner = scratch.keep(inner, "inner")
+    bent = not inner.isEmpty()
+    if bent:
+        found = scratch.keep(found.distinct(), "cuts")
+    is_end = (F.col("at") == F.col("a")) | (F.col("at") == F.col("b"))
+    cut = found.filter(~is_end).select(*[x for u, v in (("a", "a"), ("b", "b"), ("at", "p")) for x in numbers(F.col(u), v)])
+    left = stretches(cut, each)
+    pieces = left.filter("alone").select("path_ordinal", F.col("j").alias("piece"), F.array("s", "e").alias("coords"))
+    if not bent:
+        return pieces
+    places = inner.select("p").distinct()
+    seen = lines.select(F.explode("l").alias("p")).join(places, "p", "left_semi").groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").select("p")
+    nodes = seen.union(found.select(F.col("at").alias("p")).join(places, "p", "left_semi")).distinct()
+    stops = inner.join(nodes, "p").select("path_ordinal", "i", F.lit(-1).alias("j"))
+    rows = left.filter("not alone").drop("alone").unionByName(stops, allowMissingColumns=True)
+    starts = (F.col("j") != 0) | (F.col("i") == 0)
+    rows = rows.withColumn("piece", F.sum(starts.cast("int")).over(W.partitionBy("path_ordinal").orderBy("i", "j")).cast("int") - 1).filter("s is not null")
+    runs = rows.groupBy("path_ordinal", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "j", "s", "e"))).alias("v"))
+    return pieces.unionByName(runs.select("path_ordinal", "piece", F.concat(F.array(F.col("v")[0]["s"]), F.transform("v", lambda x: x["e"])).alias("coords")))
+
+
+def noded(paths: DataFrame, cell_m: float = 100.0) -> DataFrame:
+    """(path_ordinal, piece, coords): the pieces of ``node_lines``, with the path that each was cut from."""
+    back = F.reverse("coords")
+    lines = pieces_of(paths, cell_m).select("path_ordinal", "piece", F.least("coords", back).alias("key"), (back < F.col("coords")).alias("turned"))
+    lines = lines.groupBy("key").agg(F.min(F.struct("path_ordinal", "piece", "turned")).alias("first")).select("first.*", F.when(F.col("first.turned"), F.reverse("key")).otherwise(F.col("key")).alias("coords")).drop("turned")
+    return lines.filter(G.length(F.col("coords")) > 0)
 
 
 def node_lines(paths: DataFrame, cell_m: float = 100.0) -> DataFrame:
@@ -98,24 +168,5 @@ def node_lines(paths: DataFrame, cell_m: float = 100.0) -> DataFrame:
     path that meets itself is cut there; of equal pieces, in either direction,
     one stays; an empty table gives no rows.
     """
-    scratch = Scratch(paths.sparkSession, "noding")
-    spots = scratch.keep(corners(paths), "corners")
-    found = scratch.keep(cuts(meetings(scratch.keep(segments(spots), "segments"), cell_m)), "cuts")
-    is_end = (F.col("at") == F.col("a")) | (F.col("at") == F.col("b"))
-    visited = spots.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").select("p")
-    nodes = scratch.keep(visited.union(found.select(F.col("at").alias("p"))).distinct().withColumn("node", F.lit(True)), "nodes")
-    last = F.col("q").isNull()
-    kept = spots.join(nodes, "p", "left").select("path_ordinal", "i", F.lit(0.0).alias("t"), "p", (F.coalesce("node", F.lit(False)) | (F.col("i") == 0) | last).alias("cut"))
-    a, b = one_way(F.col("p"), F.col("q"))
-    share = F.hypot(F.col("at.x") - F.col("p.x"), F.col("at.y") - F.col("p.y"))
-    inner = spots.filter("q is not null").withColumns({"a": a, "b": b}).join(found.filter(~is_end), ["a", "b"]).select("path_ordinal", "i", share.alias("t"), F.col("at").alias("p"), F.lit(True).alias("cut"))
-    order = W.partitionBy("path_ordinal").orderBy("i", "t")
-    piece = F.coalesce(F.sum(F.col("cut").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pieces = kept.unionByName(inner).withColumns({"piece": piece, "before": F.lag("p").over(order)})
-    pieces = pieces.groupBy("path_ordinal", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "t", "p"))).alias("v"), F.min_by("before", F.struct("i", "t")).alias("before"))
-    points = F.transform("v", lambda x: x["p"])
-    lines = pieces.filter("before is not null").withColumn("coords", F.concat(F.array("before"), points)).drop("v", "before")
-    key = F.least("coords", F.reverse("coords"))
-    lines = lines.withColumn("key", key).groupBy("key").agg(F.min_by(F.struct("path_ordinal", "piece", "coords"), F.struct("path_ordinal", "piece")).alias("first")).select("first.*")
-    out = lines.filter(G.length(F.col("coords")) > 0).join(paths.drop("coords"), "path_ordinal")
+    out = noded(paths, cell_m).join(paths.drop("coords"), "path_ordinal")
     return with_ordinals(out.withColumnRenamed("path_ordinal", "cut_from"), ["cut_from", "piece"]).drop("cut_from")

@@ -148,3 +148,16 @@ def test_copies_for_neighbouring_cells_are_not_broadcast(spark):
     points = df.select("x", "y", df["seq"].alias("point"), paths.bucket("x", 5.0).alias("cx"), paths.bucket("y", 5.0).alias("cy"))
     for out in (paths.first_of_cells(points), paths.out_of_reach(points, points, 5.0), paths.snap_pairs(points, 5.0)):
         assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_equal_segments_and_cells_are_dealt_once(spark):
+    """Paths of one segment go to no window over paths, the sides of the meeting are one shuffle, and repeated cuts count once in theirs."""
+    lines = [[(0, 0), (10, 0)], [(10, 0), (0, 0)], [(4, 0), (14, 0)], [(4, 0), (14, 0)], [(7, -5), (7, 5)]]
+    out = noding.noded(table(spark, lines))
+    rows = out.collect()
+    assert sorted((r.path_ordinal, r.piece, [tuple(p) for p in r.coords]) for r in rows) == [
+        (0, 0, [(0.0, 0.0), (4.0, 0.0)]), (0, 1, [(4.0, 0.0), (7.0, 0.0)]), (0, 2, [(7.0, 0.0), (10.0, 0.0)]),
+        (2, 2, [(10.0, 0.0), (14.0, 0.0)]), (4, 0, [(7.0, -5.0), (7.0, 0.0)]), (4, 1, [(7.0, 0.0), (7.0, 5.0)]),
+    ]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "hashpartitioning(path_ordinal" not in plan
