@@ -223,19 +223,37 @@ def softmax(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray)
     return z
 
 
+def summed(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in ``r``, sorted, and for each the sum of its rows of ``g``.
+
+    Most numbers have one row, which is taken as it is; only the others' are added.
+    """
+    bits = (len(r) - 1).bit_length()
+    kind = np.int32 if int(r.max()) < 1 << (31 - bits) else np.int64
+    packed = (r.astype(kind) << kind(bits)) | np.arange(len(r), dtype=kind)
+    packed.sort()
+    by, ordered = packed & kind((1 << bits) - 1), packed >> kind(bits)
+    again = ordered[1:] == ordered[:-1]
+    first = np.flatnonzero(np.concatenate(([True], ~again)))
+    total = g.take(by.take(first), 0)
+    if len(first) < len(r):
+        among = np.concatenate((again, [False])) | np.concatenate(([False], again))  # has another row of its number
+        begins = among.take(first)
+        starts = (np.cumsum(among) - 1).take(first[begins])
+        total[begins] = np.add.reduceat(g.take(by[among], 0), starts, axis=0)
+    return ordered.take(first), total
+
+
 def step(weights: np.ndarray, squares: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient step; each row of weights has its own rate, which falls with its gradients so far."""
     g = softmax(weights, rows, bias)
     g[np.arange(len(g)), target] -= 1
     for r in rows:
-        by = np.argsort(r, kind="stable")
-        ordered = r[by]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        at = ordered[first]
-        total = np.add.reduceat(g.take(by, 0), first, axis=0)
-        squares[at] += (total * total) @ np.ones(total.shape[1], total.dtype)
-        total *= (rate / np.sqrt(squares[at]))[:, None]
-        weights[at] -= total
+        at, total = summed(g, r)
+        size = squares.take(at) + (total * total) @ np.ones(total.shape[1], total.dtype)
+        squares[at] = size
+        total *= (rate / np.sqrt(size))[:, None]
+        weights[at] = weights.take(at, 0) - total
 
 
 def opened(row: dict) -> tuple[np.ndarray, ...]:

@@ -921,3 +921,16 @@ def test_licences_of_odd_rows(docs):
     assert licenses.report(docs).count() == len(texts())
     assert json.dumps(licenses.RULES)
     assert all(s in licenses.SENTENCES for _, seq in licenses.RULES for s in seq)
+
+
+def test_rows_of_one_number_are_copied_and_others_added():
+    """The sums are those of adding every number's rows, to the last bit, for numbers of any size."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, most in ((1, 5), (257, 40), (1024, 20000), (1024, 1 << 30)):
+        g, rows = r.random((n, 4), np.float32), r.integers(0, most, n).astype(np.int32)
+        by = np.argsort(rows, kind="stable")
+        numbers, first = np.unique(rows[by], return_index=True)
+        at, total = maxent.summed(g, rows)
+        assert np.array_equal(at, numbers) and np.array_equal(total, np.add.reduceat(g[by], first, axis=0))
