@@ -220,3 +220,26 @@ def test_states_meet_their_limit_before_the_shuffle(spark):
     out = search.prune(states, search.Search(beam_width=50, frontier_grid_m=1000.0, max_frontier_states_per_grid=2))
     assert sorted(r.distance_m for r in out.collect()) == [*map(float, range(10)), 98.0, 99.0]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 1
+
+
+def test_tasks_that_extend_many_steps_stay_small(spark, rows, monkeypatch):
+    """Spark would merge them by what they read, a ninth of what they make: 60 copies of sf0.1 spilled in nine tasks."""
+    from ridgeweave.plans import catalog
+
+    have = spark.createDataFrame([(f"e{i}", f"n{i % 7}", f"n{i * 5 % 7}", 10.0 * (i % 4), *[1.0] * 5, *[float(k % 7) for k in (i, i, i * 5, i * 5)]) for i in range(30)], "edge_id string, u string, v string, length_m double, ascent_fwd_m double, descent_fwd_m double, ascent_rev_m double, descent_rev_m double, source_confidence double, ux double, uy double, vx double, vy double")
+    steps = search.steps_of(graph.directed_edges(have), None, [])
+    state = search.first_steps(steps, [30.0])
+    few = search.expand_many(state, steps, steps.count(), 9, 10.0)
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(search, "STEPS", 5)
+    many = search.expand_many(state, steps, steps.count(), 9, 10.0)
+    assert many.rdd.getNumPartitions() == 12
+    assert rows(many) == rows(few) == rows(search.expand(state, steps, 9, 10.0)) and rows(few)
+
+    folder = "/root/testdata/sf0.001"
+    for run in (catalog.q_beam_level2, catalog.q_expand_level3):
+        monkeypatch.setattr(search, "STEPS", 50)
+        apart = run(spark, folder)
+        assert "REPARTITION_BY_NUM" in apart._jdf.queryExecution().toString()
+        monkeypatch.setattr(search, "STEPS", 100_000)
+        assert rows(apart) == rows(run(spark, folder))
