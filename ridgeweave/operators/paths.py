@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,6 +108,10 @@ def bucket(c: str | Column, tolerance: float) -> Column:
     return F.rint((v - F.when(rest < 0, rest + tolerance).otherwise(rest)) / tolerance).cast("long")
 
 
+#: Cells along a side of a tile, and how many more its task sees on every side.
+TILE, RIM = 64, 2
+#: Open ends that a cell keeps one by one; what it holds more leaves all around it open.
+OPEN = 64
 #: A cell and its eight neighbours.
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -134,10 +140,15 @@ def first_of_cells(points: DataFrame) -> DataFrame:
     return points.join(around.hint("merge"), ["cx", "cy"]).filter(F.col("point") == F.col("least")).drop("least")
 
 
+def gap() -> Column:
+    """From (x, y) to (nx, ny)."""
+    return F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
+
+
 def out_of_reach(points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
-    """``points`` without those within the tolerance of a node. A cell holds few nodes, as nodes keep their distance."""
-    near = beside(nodes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
-    reach = points.join(near, ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")) <= tolerance).select("point").distinct()
+    """``points`` without those within the tolerance of an earlier node. A cell holds few nodes, as nodes keep their distance."""
+    near = beside(nodes.select(F.col("point").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
+    reach = points.join(near, ["cx", "cy"]).filter((F.col("node") < F.col("point")) & (gap() <= tolerance)).select("point").distinct()
     return points.join(reach.hint("merge"), "point", "left_anti")
 
 
@@ -154,7 +165,7 @@ def worked_through(points: DataFrame, tolerance: float, scratch: Scratch) -> Dat
         cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
         found = []
         for point, x, y, cx, cy in group.sort_values("point")[["point", "x", "y", "cx", "cy"]].itertuples(index=False):
-            if not any(math.hypot(nx - x, ny - y) <= tolerance for dx, dy in AROUND for nx, ny in cells.get((cx + dx, cy + dy), ())):
+            if not any(math.sqrt((nx - x) ** 2 + (ny - y) ** 2) <= tolerance for dx, dy in AROUND for nx, ny in cells.get((cx + dx, cy + dy), ())):
                 cells.setdefault((cx, cy), []).append((x, y))
                 found.append(point)
         return pd.DataFrame({"point": found}, dtype="int64")
@@ -162,39 +173,111 @@ def worked_through(points: DataFrame, tolerance: float, scratch: Scratch) -> Dat
     return named.groupBy("component").applyInPandas(run, "point long")
 
 
+def settled(tolerance: float, tile: int, rim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A walk through the ends of tile after tile, each in order, that tells which node an end joins.
+
+    A tile's task sees some cells around it, but not what lies beyond: an end
+    in the outermost of them may join a node there, so whether it is one is
+    open unless a node in sight reaches it, and so on for what it may reach.
+    An open end of the tile gets no node_seq and its own place; ``may`` tells
+    that it may be a node. It can't be one where its place was met before.
+    """
+    root, shift = math.sqrt, 1 << 32
+    around = [dx * shift + dy for dx, dy in AROUND]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, near, opened, vague = None, {}, {}, set()
+        for batch in batches:
+            seqs, joined, nxs, nys, mays = [], [], [], [], []
+            for seq, x, y, cx, cy, tx, ty in zip(*[batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("seq", "x", "y", "cx", "cy", "tx", "ty")], strict=True):
+                if (tx, ty) != at:
+                    # nodes and open ends by cell; no two cells in sight have one key
+                    at, near, opened, vague = (tx, ty), {}, {}, set()
+                    west, east, south, north = tx * tile, tx * tile + tile - 1, ty * tile, ty * tile + tile - 1
+                    least_x, most_x, least_y, most_y = west - rim, east + rim, south - rim, north + rim
+                key = cx * shift + cy
+                best, node, doubt, met = tolerance, None, key in vague or not (least_x < cx < most_x and least_y < cy < most_y), False
+                for n in [n for d in around if key + d in near for n in near[key + d]]:
+                    dx, dy = n[0] - x, n[1] - y
+                    far = root(dx * dx + dy * dy)
+                    if far <= best and n[2]:
+                        # of equally near ones the later probe, cells and then nodes in order
+                        if far < best or node is None or n[3:] > node[3:]:
+                            best, node = far, n
+                    elif far <= tolerance and not n[2]:
+                        doubt, met = True, met or far == 0
+                may = node is None and not met
+                if may:
+                    node = (x, y, not doubt, cx, cy, seq)
+                    if doubt:
+                        opened[key] = opened.get(key, 0) + 1
+                    if doubt and opened[key] > OPEN:
+                        vague.update([key + d for d in around])
+                    else:
+                        near.setdefault(key, []).append(node)
+                if west <= cx <= east and south <= cy <= north:
+                    seqs.append(seq)
+                    joined.append(None if doubt else node[5])
+                    nxs.append(x if doubt else node[0])
+                    nys.append(y if doubt else node[1])
+                    mays.append(may and doubt)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(joined, pa.int64()), pa.array(nxs, pa.float64()), pa.array(nys, pa.float64()), pa.array(mays, pa.bool_())], ["seq", "node_seq", "nx", "ny", "may"])
+
+    return walk
+
+
+def snap_in_tiles(points: DataFrame, tolerance: float) -> DataFrame:
+    """(seq, node_seq, nx, ny, may) of ``settled`` over all ends, from one shuffle by tile; ends near a side go to its neighbours too."""
+    seen = lambda c: F.explode(F.sequence(F.floor((F.col(c) - RIM) / TILE), F.floor((F.col(c) + RIM) / TILE)))
+    dealt = points.select("seq", "x", "y", bucket("x", tolerance).alias("cx"), bucket("y", tolerance).alias("cy"))
+    dealt = dealt.select("*", seen("cx").alias("tx")).select("*", seen("cy").alias("ty"))
+    inorder = dealt.repartition("tx", "ty").sortWithinPartitions("tx", "ty", "seq")
+    return inorder.mapInArrow(settled(tolerance, TILE, RIM), "seq long, node_seq long, nx double, ny double, may boolean")
+
+
 def snap_nodes(points: DataFrame, tolerance: float, scratch: Scratch, rounds: int = 4) -> DataFrame:
     """(seq, node_seq, nx, ny): the node that each end joins.
 
     In the paths' order a point joins the nearest node so far within the
-    tolerance, the later probe winning a tie, or becomes a node. In rounds, a
-    point that comes before all in its neighbourhood is a node, and what lies
-    within its tolerance is none. Most points are settled after a few rounds;
-    chains that are left are worked through in their order, each component by
-    itself. Which node an end joins is a join at the end, with the nodes that
-    came before it: a handful, as nodes keep their distance. So two ends at one
-    place may join different nodes where one was made between them.
+    tolerance, the later probe winning a tie, or becomes a node. Tiles are
+    walked through in that order, with some cells around each, which settles
+    all but what depends on a chain of ends from beyond those cells. Of these
+    few, in rounds, a point that comes before all in its neighbourhood is a
+    node, and what lies within its tolerance is none; chains that are left are
+    worked through in their order, each component by itself. Which node such
+    an end joins is a join at the end, with the nodes that came before it: a
+    handful, as nodes keep their distance. So two ends at one place may join
+    different nodes where one was made between them.
     """
-    distinct = scratch.keep(points.groupBy("x", "y").agg(F.min("seq").alias("point")).withColumns({"cx": bucket("x", tolerance) if tolerance > 0 else F.lit(0), "cy": bucket("y", tolerance) if tolerance > 0 else F.lit(0)}), "points")
     if tolerance <= 0:
-        return points.join(distinct, ["x", "y"]).select("seq", F.col("point").alias("node_seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    left, nodes = distinct, distinct.limit(0)
+        first = points.groupBy("x", "y").agg(F.min("seq").alias("node_seq"))
+        return points.join(first, ["x", "y"]).select("seq", "node_seq", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    met = scratch.keep(snap_in_tiles(points, tolerance), "met")
+    closed = met.filter("node_seq is not null").select("seq", "node_seq", "nx", "ny")
+    if not met.filter("node_seq is null").limit(1).count():
+        return closed
+    cells = [bucket("x", tolerance).alias("cx"), bucket("y", tolerance).alias("cy")]
+    opened = scratch.keep(met.filter("node_seq is null").select("seq", F.col("nx").alias("x"), F.col("ny").alias("y"), "may").select("*", *cells), "open")
+    sure = met.filter("node_seq = seq").select(F.col("seq").alias("point"), F.col("nx").alias("x"), F.col("ny").alias("y")).select("*", *cells)
+    nodes = scratch.keep(sure.join(beside(opened.select("cx", "cy").distinct()).select("cx", "cy").distinct(), ["cx", "cy"], "left_semi").select("point", "x", "y", "cx", "cy"), "near")
+    left = scratch.keep(out_of_reach(opened.filter("may").select(F.col("seq").alias("point"), "x", "y", "cx", "cy"), nodes, tolerance), "left")
     for _ in range(rounds):
-        new = scratch.keep(first_of_cells(left), "firsts")
-        nodes = nodes.unionByName(new)
-        left = scratch.keep(out_of_reach(left, new, tolerance), "left")
         if not left.limit(1).count():
             break
+        new = scratch.keep(first_of_cells(left), "firsts")
+        nodes = nodes.unionByName(new.select(nodes.columns))
+        left = scratch.keep(out_of_reach(left, new, tolerance), "left")
     else:
-        nodes = nodes.unionByName(left.join(worked_through(left, tolerance, scratch), "point"))
+        nodes = nodes.unionByName(left.join(worked_through(left, tolerance, scratch), "point").select(nodes.columns))
     nodes = scratch.keep(nodes, "nodes")
     near = beside(nodes.select(F.col("point").alias("node_seq"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy"))
-    gap = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
-    probes = distinct.join(near, ["cx", "cy"]).withColumn("gap", gap).filter(F.col("gap") <= tolerance)
+    places = opened.groupBy("x", "y", "cx", "cy").agg(F.min("seq").alias("point"))
+    probes = places.join(near, ["cx", "cy"]).withColumn("gap", gap()).filter(F.col("gap") <= tolerance)
     found = F.struct("gap", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), (-F.col("node_seq")).alias("last"), "nx", "ny")
-    held = probes.groupBy("point").agg(F.collect_list(found).alias("near"))
+    held = probes.groupBy("x", "y").agg(F.collect_list(found).alias("near"))
     best = F.array_min(F.filter("near", lambda n: -n["last"] <= F.col("seq")))
-    met = points.join(distinct.join(held.hint("merge"), "point").select("x", "y", "near").hint("merge"), ["x", "y"]).withColumn("n", best)
-    return met.select("seq", (-F.col("n.last")).alias("node_seq"), "n.nx", "n.ny")
+    late = opened.join(held.hint("merge"), ["x", "y"]).withColumn("n", best)
+    return closed.unionByName(late.select("seq", (-F.col("n.last")).alias("node_seq"), "n.nx", "n.ny"))
 
 
 def edges_and_nodes(paths: DataFrame, precision: float = 0.01, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:

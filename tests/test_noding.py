@@ -5,6 +5,7 @@ import random
 from fractions import Fraction as Q
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeweave.operators import noding, paths
 from ridgeweave.scratch import Scratch
@@ -128,6 +129,32 @@ def test_snapping_in_rounds_is_snapping_in_order(spark, kind, rounds):
     assert [got[k] for k in range(len(points))] == plainly_snapped(points, 5.0)
 
 
+@pytest.mark.parametrize("kind, tile, rim", [("cloud", 2, 1), ("sparse", 3, 2), ("grid", 1, 1)])
+def test_ends_of_any_tile_join_the_nodes_of_the_whole(spark, monkeypatch, kind, tile, rim):
+    monkeypatch.setattr(paths, "TILE", tile)
+    monkeypatch.setattr(paths, "RIM", rim)
+    monkeypatch.setattr(paths, "OPEN", tile)
+    r = random.Random(tile)
+    spread = {"cloud": 40, "sparse": 160, "grid": 0}[kind]
+    points = [(round(r.uniform(-spread, spread), 1), round(r.uniform(-spread, spread), 1)) for _ in range(400)] if spread else [(x * 2.5, y * 2.5) for x in range(-9, 9) for y in range(-9, 9)]
+    r.shuffle(points)
+    points += r.choices(points, k=150)
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "seq long, x double, y double")
+    got = {x.seq: (points[x.node_seq], (x.nx, x.ny)) for x in paths.snap_nodes(df, 5.0, Scratch(spark, "tiles")).collect()}
+    expected = plainly_snapped(points, 5.0)
+    assert [got[k] for k in range(len(points))] == [(p, p) for p in expected]
+
+
+def test_ends_apart_are_settled_by_one_pass_over_tiles(spark):
+    """Lines far from each other, as those of orders: no component, no join with neighbouring cells."""
+    at = [F.col("id").alias("seq"), (F.col("id") * 7 % 11).cast("double").alias("x"), (F.floor(F.col("id") / 8) * 50.0).alias("y")]
+    df = spark.range(4000).select(*at)
+    out = paths.snap_nodes(df, 5.0, Scratch(spark, "apart"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    expected = plainly_snapped([(r.x, r.y) for r in df.orderBy("seq").collect()], 5.0)
+    assert [(r.nx, r.ny) for r in out.orderBy("seq").collect()] == expected
+
+
 def test_a_large_component_takes_time_in_proportion(spark):
     """A chain that leaves one component of 20,000 points: one pass, nine cells for each."""
     n = 20_000
