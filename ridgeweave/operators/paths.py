@@ -89,8 +89,7 @@ def with_ordinals(paths: DataFrame, order: list[str], name: str = "path_ordinal"
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """``rows`` with ``name`` from 1 on within each of a few groups, however large: no task holds one."""
-    scratch = Scratch(rows.sparkSession, "numbered")
-    out = scratch.keep(with_ordinals(rows, [group, *order], "_at"), "rows")
+    out = with_ordinals(rows, [group, *order], "_at")
     first = out.groupBy(F.col(group).alias("_group")).agg(F.min("_at").alias("_first"))
     return out.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_group")
 

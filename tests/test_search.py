@@ -5,6 +5,7 @@ import random
 import pytest
 
 from ridgeweave.operators import graph, search
+from ridgeweave.scratch import Scratch
 
 EDGE = "edge_id string, u string, v string, length_m double, ascent_fwd_m double, descent_fwd_m double, ascent_rev_m double, descent_rev_m double, source_confidence double, name string, highway string"
 
@@ -243,3 +244,31 @@ def test_tasks_that_extend_many_steps_stay_small(spark, rows, monkeypatch):
         assert "REPARTITION_BY_NUM" in apart._jdf.queryExecution().toString()
         monkeypatch.setattr(search, "STEPS", 100_000)
         assert rows(apart) == rows(run(spark, folder))
+
+
+def test_many_emitted_rows_are_written_once(spark, monkeypatch):
+    """In the order of their ranks: not before their edge sets are told apart, and not again with ranks."""
+    wrote, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, label, *more: wrote.append(label) or write(self, df, label, *more))
+    r = random.Random(3)
+    states = [(b, m, r.randint(0, 9), r.sample("abcdef", r.randint(1, 3))) for b in (10.0, 20.0, 40.0) for m in search.MODES for _ in range(40)]
+    states = [(b, m, (-a, f"{k:03d}"), [f"{e}:fwd" for e in edges], edges) for k, (b, m, a, edges) in enumerate(states)]
+    kept = spark.createDataFrame(states, "budget_m double, mode string, place struct<a:int,path:string>, directed_edge_ids array<string>, undirected_edge_ids array<string>")
+    expected, closed = {}, set()
+    for b in (10.0, 20.0, 40.0):
+        for m in search.MODES:
+            best = {}
+            for _, _, place, _, edges in sorted((s for s in states if s[:2] == (b, m)), key=lambda s: s[2]):
+                if (m, *sorted(edges)) not in closed:
+                    best.setdefault((m, *sorted(edges)), place)
+            closed |= set(best)
+            expected |= {(b, m, tuple(place)): (n, key[1:]) for n, (key, place) in enumerate(sorted(best.items(), key=lambda x: x[1]), 1)}
+    for budgets in (None, [10.0, 20.0, 40.0]):
+        out = search.emit(kept.drop("directed_edge_ids"), 1 << 30, budgets)
+        assert {(x.budget_m, x.mode, tuple(x.place)): (x["rank"], tuple(x.edges)) for x in out.collect()} == expected
+        assert wrote == ["ranged"] * 3
+        wrote.clear()
+    whole = search.emit(kept, 1 << 30).collect()
+    assert {(x.budget_m, x.mode, tuple(x.place)): (x["rank"], tuple(sorted(x.undirected_edge_ids))) for x in whole if (x.budget_m, x.mode, tuple(x.place)) in expected} == expected
+    few = search.emit(kept, 1000).collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, whole))
